@@ -1,15 +1,61 @@
-"""Five stages from raw documents to packed training sequences, each one operator of ``plumbline.llm``."""
+"""Five stages from raw documents to packed training sequences, each one operator of ``plumbline.llm``.
+
+Every function takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of ``docs``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from plumbline.llm.common import cut
+from plumbline.llm.jaccard_join import jaccard_links
+from plumbline.llm.language import UNKNOWN, fit, identify
+from plumbline.llm.mixing import mix_sources
+from plumbline.llm.packing import pack, word_count
+from plumbline.llm.secrets import redact_secrets
+
+#: Share of its words that a document's main language must explain.
+LEAST_SHARE = 0.5
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep documents of a language: those without a letter, and those no language explains half of, go."""
+    found = identify(docs, fit(docs))
+    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SHARE)).select(*docs.columns)
+
+
+def jaccard_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep of each group of linked documents the one with the smallest doc_id; rows equal in full count once."""
+    gone = jaccard_links(docs).where("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").dropDuplicates().select(*docs.columns)
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Mask every secret; all documents stay, and ``n_chars`` follows the text."""
+    return redact_secrets(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeat or leave out documents so that sources weigh as the square root of their size, in random order."""
+    return mix_sources(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cut texts into pieces of the context length and form batches in optimal length buckets."""
+    return pack(docs, word_count())
+
+
+STAGES = [("language_id", language_id), ("jaccard_dedup", jaccard_dedup), ("secret_scan", secret_scan), ("source_mix", source_mix), ("packing", packing)]
 
-STAGES: list = []
+#: The language model and the optimal boundaries have no SQL form; tests/llm holds the stages against plain versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = cut(docs, name)
     return docs

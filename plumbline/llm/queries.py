@@ -3,12 +3,23 @@
 from __future__ import annotations
 
 from .jaccard_join import op1_jaccard_join
+from .language import op10_language_id
+from .mixing import OP8_SQL, op8_source_mix
+from .packing import op2_packing
+from .pii import op7_pii
+from .secrets import op3_secret_scan
 
 QUERIES = {
     "op1_jaccard_join": op1_jaccard_join,
+    "op2_packing": op2_packing,
+    "op3_secret_scan": op3_secret_scan,
+    "op7_pii": op7_pii,
+    "op8_source_mix": op8_source_mix,
+    "op10_language_id": op10_language_id,
 }
 
 ORACLE_SQL = {
+    "op8_source_mix": OP8_SQL,
     "op1_jaccard_join": """
 WITH RECURSIVE t AS (
   SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w

@@ -15,12 +15,14 @@ import base64
 import binascii
 import json
 import re
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .spans import digest, scan
+from .spans import digest, masked, scan
 
 BASE_KINDS = ["assign", "access", "hex"]
 KINDS = [*BASE_KINDS, "pem", "jwt", "der", "ssh"]
@@ -162,6 +164,29 @@ def scan_secrets(docs: DataFrame, text_col: str = "text", out_col: str = "spans"
     return scan(docs, _find, text_col, out_col)
 
 
+def redact_secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``docs`` with every span of its texts replaced by ``[SECRET]``; a text without one, null or empty stays as it is.
+
+    All rows and columns are kept; see ``scan_secrets`` for nulls, repeats and empty tables.
+    """
+    names = docs.columns
+    at = names.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            col = b.column(at).cast(pa.string()) if not pa.types.is_string(b.column(at).type) else b.column(at)
+            found = _find(col)
+            hit = [i for i, f in enumerate(found) if f]
+            if hit:
+                new = pa.array([masked(col[i].as_py(), [(s, e, "[SECRET]") for _, s, e, _ in found[i]]) for i in hit], pa.string())
+                mask = np.zeros(len(col), bool)
+                mask[hit] = True
+                col = pc.replace_with_mask(col, pa.array(mask), new)
+            yield pa.RecordBatch.from_arrays([*b.columns[:at], col, *b.columns[at + 1 :]], names)
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op3_secret_scan(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return digest(scan_secrets(docs), "doc_id", BASE_KINDS)
