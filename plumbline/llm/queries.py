@@ -7,18 +7,24 @@ from .language import op10_language_id
 from .mixing import OP8_SQL, op8_source_mix
 from .packing import op2_packing
 from .pii import op7_pii
+from .pivot_index import OP6_SQL, op6_pivot_dedup
 from .secrets import op3_secret_scan
+from .vp_tree import OP9_SQL, op9_vp_tree_search
 
 QUERIES = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_packing": op2_packing,
     "op3_secret_scan": op3_secret_scan,
+    "op6_pivot_dedup": op6_pivot_dedup,
     "op7_pii": op7_pii,
     "op8_source_mix": op8_source_mix,
+    "op9_vp_tree_search": op9_vp_tree_search,
     "op10_language_id": op10_language_id,
 }
 
 ORACLE_SQL = {
+    "op6_pivot_dedup": OP6_SQL,
+    "op9_vp_tree_search": OP9_SQL,
     "op8_source_mix": OP8_SQL,
     "op1_jaccard_join": """
 WITH RECURSIVE t AS (
