@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -12,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 _CHECKPOINT = "spark.checkpoint.dir"
 
@@ -47,8 +49,33 @@ def deal(df: DataFrame, key: str) -> DataFrame:
     return df.repartitionById(partitions(df.sparkSession), F.col(key).cast("int"))
 
 
-def arrow_map(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(f, schema)
+#: Rows of an Arrow batch of texts, where the session has not chosen its own number.
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def trim() -> None:
+    """Give freed memory back: workers outlive their tasks and share an executor's memory with its heap."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def arrow_map(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """``df.mapInArrow`` in batches small enough for long texts, giving memory back after each task."""
+    spark = df.sparkSession
+    if spark.conf.get(_BATCH) == "10000":
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from f(batches)
+        finally:
+            trim()
+
+    return df.mapInArrow(run, schema)
 
 
 def batch(**cols: pa.Array | np.ndarray | list) -> pa.RecordBatch:
@@ -99,7 +126,7 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """
     schema = "a long, b long"
     e = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a is not null and b is not null and a <> b")
-    e = cut(e.mapInArrow(_contract, schema).distinct(), "edges")
+    e = cut(arrow_map(e, _contract, schema).distinct(), "edges")
     before = None
     for _ in range(rounds):
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import batch, blobs, connected_components, cut, deal, local_roots, partitions
+from .common import arrow_map, batch, blobs, connected_components, cut, deal, local_roots, partitions
 
 #: Share of the hash space whose shingles are counted and come first in the global order.
 ORDER_SHARE = 0.4
@@ -52,7 +52,7 @@ def shingle_nodes(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFr
             yield batch(doc_id=b.column(0), n=pa.array([g[0] for g in got], pa.int64()), node=pa.array([g[1] for g in got], pa.int64()))
 
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return src.mapInArrow(run, "doc_id long, n long, node long")
+    return arrow_map(src, run, "doc_id long, n long, node long")
 
 
 def _post(k: int, width: int, num: int, den: int):
@@ -88,7 +88,7 @@ def _post(k: int, width: int, num: int, den: int):
                 m = max(int(_prefix(np.int64(len(x)), num, den)), int(np.searchsorted(x, top)))
                 nodes.append(key), sizes.append(len(x)), toks.append(x[:m].copy())
                 held += m
-                if held >= 1 << 21:
+                if held >= 1 << 20:
                     yield flush(nodes, sizes, toks)
                     nodes, sizes, toks, held = [], [], [], 0
         if held:
@@ -299,10 +299,10 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(text_col).cast("string").alias("text"))
     packed = "p int, node binary, n binary, posted binary, runs binary, tok binary"
-    posts = deal(texts.mapInArrow(_post(shingle, width, num, den), packed), "p")
-    shared = deal(posts.mapInArrow(_shared(width), packed + ", df binary"), "p")
-    prefix = shared.mapInArrow(_prefixes(num, den), "tok long, node long")
-    graph = prefix.repartition(width, "tok").mapInArrow(_stars, "a long, b long")
+    posts = deal(arrow_map(texts, _post(shingle, width, num, den), packed), "p")
+    shared = deal(arrow_map(posts, _shared(width), packed + ", df binary"), "p")
+    prefix = arrow_map(shared, _prefixes(num, den), "tok long, node long")
+    graph = arrow_map(prefix.repartition(width, "tok"), _stars, "a long, b long")
     comps = cut(connected_components(graph), "candidates")
 
     members = comps.join(classes, "node")
@@ -312,7 +312,7 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     want = blocks.select("node", "doc_id").distinct()
     held = _held_sets(docs, want, id_col, text_col, shingle)
     tiles = blocks.join(held, "node").repartition(width, "comp", "i", "j")
-    found = cut(tiles.select("comp", "i", "j", "side", "node", "weight", "tok").mapInArrow(_tiles(num, den), "node long, root long, links long"), "links")
+    found = cut(arrow_map(tiles.select("comp", "i", "j", "side", "node", "weight", "tok"), _tiles(num, den), "node long, root long, links long"), "links")
 
     linked = found.groupBy("node").agg(F.sum("links").alias("links"))
     whole = connected_components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
@@ -365,7 +365,7 @@ def _held_sets(docs: DataFrame, want: DataFrame, id_col: str, text_col: str, k:
                 yield batch(node=pa.array(rows, pa.int64()), tok=pa.array(toks, pa.binary()))
 
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return src.join(want, "doc_id").select("node", "text").mapInArrow(run, "node long, tok binary").dropDuplicates(["node"])
+    return arrow_map(src.join(want, "doc_id").select("node", "text"), run, "node long, tok binary").dropDuplicates(["node"])
 
 
 def op1_jaccard_join(spark, sf_dir: str) -> DataFrame:

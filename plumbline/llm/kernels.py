@@ -55,7 +55,7 @@ def text_buffer(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def row_blocks(offsets: np.ndarray, most: int = 4 << 20) -> Iterator[tuple[int, int]]:
+def row_blocks(offsets: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Runs of rows of about ``most`` bytes; a longer text stands alone."""
     i, n = 0, len(offsets) - 1
     while i < n:

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import batch
+from .common import arrow_map, batch
 
 #: Hashed trigram buckets of the model, and the weight of one unseen observation spread over them.
 BUCKETS, SMOOTHING = 1 << 14, 0.5
@@ -87,7 +87,7 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", part: C
     shuffled and collected is bounded by languages times ``BUCKETS``."""
     rows = docs.where(part) if part is not None else docs
     rows = rows.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
-    sums = rows.mapInArrow(_counts, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    sums = arrow_map(rows, _counts, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     table = sums.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("bucket", "n"))).alias("c")).orderBy("lang").collect()
     logp = np.empty((BUCKETS, len(table)), np.float32)
     for k, r in enumerate(table):
@@ -184,7 +184,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", lang_col: st
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(labels[lang], pa.string()), pa.array(share, pa.float64()), pa.array(size, pa.int32())], [*names, lang_col, score_col, "n_langs"])
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields]
-    return docs.mapInArrow(run, ", ".join([*fields, f"`{lang_col}` string", f"`{score_col}` double", "n_langs int"]))
+    return arrow_map(docs, run, ", ".join([*fields, f"`{lang_col}` string", f"`{score_col}` double", "n_langs int"]))
 
 
 def held_out(id_col: str = "doc_id") -> Column:

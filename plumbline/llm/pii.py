@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch
+from .common import arrow_map, batch
 from .spans import digest, scan
 
 BASE_KINDS = ["email", "ip", "card", "phone"]
@@ -284,7 +284,7 @@ def fit_field(docs: DataFrame, text_col: str = "text") -> Weights:
     """Train on the ``SAMPLE_DOCS`` documents with nodes whose text hash is smallest, ``SAMPLE_NODES`` nodes of each at most."""
     import ast
 
-    rows = docs.select(F.col(text_col).cast("string")).where(F.col(text_col).rlike(_ANY)).mapInArrow(_train_rows, "rank long, graph string")
+    rows = arrow_map(docs.select(F.col(text_col).cast("string")).where(F.col(text_col).rlike(_ANY)), _train_rows, "rank long, graph string")
     found = rows.orderBy("rank", "graph").limit(SAMPLE_DOCS).collect()
     return train([Graph(*ast.literal_eval(r.graph)) for r in {r.rank: r for r in found}.values()])
 

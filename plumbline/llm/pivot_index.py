@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, connected_components, cut, local_roots, partitions
+from .common import arrow_map, batch, connected_components, cut, local_roots, partitions
 from .vectors import matrix, usable
 
 #: The sample that pivots are chosen from, pivots, pivots that describe a vector, and how many two candidates share.
@@ -112,7 +112,7 @@ def pivot_links(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embe
 
     kind = reps.schema["label"].dataType.simpleString()
     element = reps.schema["v"].dataType.simpleString()
-    index = reps.select("v", "label", "node", "weight").mapInArrow(describe, f"v {element}, label {kind}, node long, weight long, perm array<int>")
+    index = arrow_map(reps.select("v", "label", "node", "weight"), describe, f"v {element}, label {kind}, node long, weight long, perm array<int>")
     lists = index.withColumn("dim", F.size("v")).withColumn("pivot", F.explode("perm"))
     sizes = lists.groupBy("label", "dim", "pivot").agg(F.count("*").alias("size")).where("size > 1")
     lists = lists.join(sizes, ["label", "dim", "pivot"]).withColumn("cuts", F.ceil(F.col("size") / BLOCK).cast("int"))

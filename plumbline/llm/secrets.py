@@ -22,6 +22,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+from .common import arrow_map
 from .spans import digest, masked, scan
 
 BASE_KINDS = ["assign", "access", "hex"]
@@ -184,7 +185,7 @@ def redact_secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:
                 col = pc.replace_with_mask(col, pa.array(mask), new)
             yield pa.RecordBatch.from_arrays([*b.columns[:at], col, *b.columns[at + 1 :]], names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return arrow_map(docs, run, docs.schema)
 
 
 def op3_secret_scan(spark, sf_dir: str) -> DataFrame:

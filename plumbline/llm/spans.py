@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import arrow_map
+
 SPAN_TYPE = "array<struct<kind:string,start:int,end:int,base:boolean>>"
 _ARROW = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("base", pa.bool_())]))
 
@@ -37,7 +39,7 @@ def scan(docs: DataFrame, find: Callable[[pa.Array], list[list[tuple[str, int, i
             yield pa.RecordBatch.from_arrays([*b.columns, found], [*names, out_col])
 
     schema = docs.schema
-    return docs.mapInArrow(run, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields] + [f"`{out_col}` {SPAN_TYPE}"]))
+    return arrow_map(docs, run, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields] + [f"`{out_col}` {SPAN_TYPE}"]))
 
 
 def joined(spans: Column) -> Column:
