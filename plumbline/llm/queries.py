@@ -9,12 +9,16 @@ from .packing import op2_packing
 from .pii import op7_pii
 from .pivot_index import OP6_SQL, op6_pivot_dedup
 from .secrets import op3_secret_scan
+from .substring_dedup import op4_substring_dedup
+from .token_counts import op5_token_counts
 from .vp_tree import OP9_SQL, op9_vp_tree_search
 
 QUERIES = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_packing": op2_packing,
     "op3_secret_scan": op3_secret_scan,
+    "op4_substring_dedup": op4_substring_dedup,
+    "op5_token_counts": op5_token_counts,
     "op6_pivot_dedup": op6_pivot_dedup,
     "op7_pii": op7_pii,
     "op8_source_mix": op8_source_mix,
