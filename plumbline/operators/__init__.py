@@ -1 +1 @@
-
+"""The relational, order-based and array operators."""

@@ -1,4 +1,6 @@
 """The registered queries over the driver's tables, and the same queries as DuckDB SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import ranking, sequences, tables
+
+QUERIES: dict = {**ranking.QUERIES, **tables.QUERIES, **sequences.QUERIES}
+ORACLE_SQL: dict = {**ranking.ORACLE_SQL, **tables.ORACLE_SQL, **sequences.ORACLE_SQL}

@@ -1 +1,155 @@
+"""Scans and sinks.  Every text source takes a schema: none is inferred."""
 
+from __future__ import annotations
+
+import json
+import struct
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def register(spark: SparkSession, sf_dir: str, names: list[str] | None = None) -> None:
+    """Views of the driver's tables, for ``spark.sql``."""
+    for n in names or TABLES:
+        table(spark, sf_dir, n).createOrReplaceTempView(n)
+
+
+def csv(spark: SparkSession, path: str, schema: str | StructType, strict: bool = False, optional: bool = False) -> DataFrame:
+    """Rows of a CSV file with header; ``strict`` fails on a bad row; an ``optional`` file that is absent has no rows."""
+    try:
+        df = spark.read.option("header", True).option("mode", "FAILFAST" if strict else "PERMISSIVE").schema(schema).csv(path)
+        df.schema  # noqa: B018
+        return df
+    except AnalysisException as e:
+        if optional and "PATH_NOT_FOUND" in str(e):
+            return spark.createDataFrame([], schema)
+        raise
+
+
+def text_rows(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+    """All columns as text, as they stand in the file."""
+    return csv(spark, path, ", ".join(f"`{c}` string" for c in columns))
+
+
+def json_documents(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
+    """Whole-file JSON objects, with their path; anything else fails."""
+    return spark.read.option("multiLine", True).option("mode", "FAILFAST").schema(schema).json(path).withColumn("path", F.col("_metadata.file_path")).orderBy("path")
+
+
+def nonempty_lines(spark: SparkSession, path: str) -> int:
+    return spark.read.text(path).where(F.trim("value") != "").count()
+
+
+def unpivot(df: DataFrame, ids: list[str], mapping: dict[str, tuple[str, str]]) -> DataFrame:
+    """Wide rows as ``(ids, observable, unit, value)``: mapping ``column -> (observable, unit)``; what is no finite number is dropped."""
+    cells = F.explode(F.array(*[F.struct(F.lit(o).alias("observable"), F.lit(u).alias("unit"), F.col(c).try_cast("double").alias("value")) for c, (o, u) in mapping.items()])).alias("c")
+    out = df.select(*ids, cells).select(*ids, "c.*")
+    return out.where(F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") < F.lit(float("inf"))))
+
+
+_DTYPES = {"<f4": np.float32, "<f8": np.float64, "|b1": np.bool_, "<c8": np.complex64}
+
+
+def tensors(spark: SparkSession, root: str) -> DataFrame:
+    """Single-chunk tensor folders (``.zarray`` beside ``0.raw``) as ``name, shape, dtype, values``; complex values as re, im pairs.
+    A chunk whose length does not fit its shape fails."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    name = F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("name")
+    folder = F.regexp_extract("path", r"^(.*)/[^/]+$", 1).alias("folder")
+    meta = files.where(F.col("path").endswith("/.zarray")).select(folder, name, F.decode("content", "UTF-8").alias("meta"))
+    raw = files.where(F.col("path").endswith("/0.raw")).select(folder, "content")
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in it:
+            rows = []
+            for n, m, c in zip(b["name"], b["meta"], b["content"]):
+                m = json.loads(m)
+                kind, shape = _DTYPES[m["dtype"]], [int(x) for x in m["shape"]]
+                if len(c) != int(np.prod(shape)) * np.dtype(kind).itemsize:
+                    raise ValueError(f"tensor {n}: {len(c)} bytes do not fit shape {shape}")
+                x = np.frombuffer(c, kind)
+                x = x.view(np.float32) if kind is np.complex64 else x
+                rows.append((n, shape, m["dtype"], x.astype(float).tolist()))
+            yield pd.DataFrame(rows, columns=["name", "shape", "dtype", "values"])
+
+    return meta.join(raw, "folder").select("name", "meta", "content").mapInPandas(run, "name string, shape array<int>, dtype string, values array<double>")
+
+
+# sinks ------------------------------------------------------------------------------------------------------------------
+
+
+def guard_path(path: str, reserved: tuple[str, ...] = ("/etc", "/usr", "/bin")) -> str:
+    """Refuse reserved prefixes; writers below never overwrite unless told to."""
+    if any(path == r or path.startswith(f"{r}/") for r in reserved):
+        raise ValueError(f"reserved path {path}")
+    return path
+
+
+def write_csv(df: DataFrame, path: str, columns: list[str] | None = None) -> None:
+    (df.select(*columns) if columns else df).write.mode("errorifexists").option("header", True).csv(guard_path(path))
+
+
+def write_jsonl(df: DataFrame, path: str) -> None:
+    df.write.mode("errorifexists").json(guard_path(path))
+
+
+def write_partitioned(df: DataFrame, path: str, by: list[str], rows_per_file: int) -> None:
+    df.write.mode("errorifexists").option("maxRecordsPerFile", rows_per_file).partitionBy(*by).parquet(guard_path(path))
+
+
+def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """``old`` without the keys of ``new``, then ``new``."""
+    return old.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new, allowMissingColumns=True)
+
+
+def markdown(df: DataFrame, columns: list[str], most: int = 1000) -> str:
+    """A padded table of a report's rows, which are few; more than ``most`` is an error."""
+    rows = df.select(*columns).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows are no report")
+    cells = [columns, *[["" if v is None else str(v) for v in r] for r in rows]]
+    wide = [max(len(r[i]) for r in cells) for i in range(len(columns))]
+    line = lambda r: "| " + " | ".join(v.ljust(w) for v, w in zip(r, wide)) + " |"
+    return "\n".join([line(cells[0]), "| " + " | ".join("-" * w for w in wide) + " |", *map(line, cells[1:])]) + "\n"
+
+
+def report_json(df: DataFrame) -> str:
+    """One row as JSON with sorted keys and two spaces."""
+    (row,) = df.limit(2).collect()
+    return json.dumps(row.asDict(True), indent=2, sort_keys=True, default=str) + "\n"
+
+
+_MAGIC = b"PLF1"
+
+
+def encode_frames(df: DataFrame, header: list[str], cells: str) -> DataFrame:
+    """``frame`` binary: magic, length of a JSON header, the header, then one byte per cell."""
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in it:
+            out = []
+            for r in b.itertuples(index=False):
+                h = json.dumps({k: getattr(r, k) for k in header}, default=str).encode()
+                out.append(_MAGIC + struct.pack("<I", len(h)) + h + bytes(int(x) & 255 for x in getattr(r, cells)))
+            yield pd.DataFrame({"frame": out})
+
+    return df.select(*header, cells).mapInPandas(run, "frame binary")
+
+
+def decode_frame(data: bytes) -> tuple[dict, bytes]:
+    if data[:4] != _MAGIC:
+        raise ValueError("not a frame")
+    n = struct.unpack("<I", data[4:8])[0]
+    return json.loads(data[8 : 8 + n]), data[8 + n :]
