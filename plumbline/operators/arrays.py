@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import components
+
 
 def cell_average_alpha(cells: int, pfa: float) -> float:
     """The factor for ``cells`` training cells (of one side) and a false-alarm rate."""
@@ -56,35 +58,24 @@ def local_peaks(grid: DataFrame, keys: list[str], x: str, y: str, value: str, th
     return at.where((F.col("_n") == 9) & (F.col(value) > threshold) & (F.col(value) >= F.col("_top"))).select(*keys, x, y, value)
 
 
-def blobs(grid: DataFrame, keys: list[str], x: str, y: str, value: str, threshold: float, least: int = 1, rounds: int = 64) -> DataFrame:
-    """Four-connected components of cells above the threshold: label, size, weighted centroid, peak.  Labels spread to neighbours
-    by minimum, cell by cell and then label by label, until nothing changes; each round is aggregations and joins on the grid."""
-    spark = grid.sparkSession
-    cells = grid.where(F.col(value) > threshold).select(*keys, x, y, value).withColumn("label", F.concat_ws(",", F.lpad(F.col(x).cast("string"), 12, "0"), F.lpad(F.col(y).cast("string"), 12, "0")))
-    cells = _keep(spark, cells)
-    around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in ((0, 0), (0, 1), (1, 0), (0, -1), (-1, 0))])).alias("d")
-    for _ in range(rounds):
-        sent = cells.select(*keys, "label", x, y, around).groupBy(*keys, (F.col(x) + F.col("d.i")).alias(x), (F.col(y) + F.col("d.j")).alias(y)).agg(F.min("label").alias("_l"))
-        low = cells.join(sent, [*keys, x, y]).groupBy(*keys, "label").agg(F.min("_l").alias("_l"))
-        new = _keep(spark, cells.join(low, [*keys, "label"]).select(*keys, x, y, value, F.col("_l").alias("label"), (F.col("_l") != F.col("label")).alias("_moved")))
-        moved = new.where("_moved").limit(1).count()
-        cells = new.drop("_moved")
-        if not moved:
-            break
+def blobs(grid: DataFrame, keys: list[str], x: str, y: str, value: str, threshold: float, least: int = 1) -> DataFrame:
+    """Four-connected components of cells above the threshold: label, size, weighted centroid, peak.  Cells are joined with their
+    right and lower neighbours; the rest is the components of that graph."""
+    label = F.concat_ws(",", F.lpad(F.col(x).cast("string"), 12, "0"), F.lpad(F.col(y).cast("string"), 12, "0"))
+    cells = grid.where(F.col(value) > threshold).select(*keys, x, y, value, label.alias("label"))
+    cells = cells.withColumn("_id", F.concat_ws("|", *[F.col(k).cast("string") for k in keys], "label"))
+    edges = None
+    for dx, dy in ((1, 0), (0, 1)):
+        other = cells.select(*keys, (F.col(x) - dx).alias(x), (F.col(y) - dy).alias(y), F.col("_id").alias("b"))
+        e = cells.select(*keys, x, y, F.col("_id").alias("a")).join(other, [*keys, x, y]).select("a", "b")
+        edges = e if edges is None else edges.unionByName(e)
+    comp = components(edges).select(F.col("node").alias("_id"), F.substring_index("comp", "|", -1).alias("_comp"))
+    cells = cells.join(comp, "_id", "left").withColumn("label", F.coalesce("_comp", "label"))
     total = F.sum(value)
     out = cells.groupBy(*keys, "label").agg(F.count("*").alias("size"), (F.sum(F.col(x) * F.col(value)) / total).alias("cx"), (F.sum(F.col(y) * F.col(value)) / total).alias("cy"), F.max(value).alias("peak"))
     return out.where(F.col("size") >= least)
 
 
-def _keep(spark, df: DataFrame) -> DataFrame:
-    """Cut the lineage of an iteration: a reliable checkpoint, in a folder of our own only where the session names none."""
-    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="plumbline-"))
-    return df.checkpoint()
-
-
 def hough_tracks(cells: DataFrame, keys: list[str], time: str, pos: str, value: str, gradients: list[float], threshold: float, least: int) -> DataFrame:
     """Straight tracks: every cell above the threshold votes for the start ``pos - gradient * time`` of each gradient; lines with
     at least ``least`` distinct times, with their summed power."""

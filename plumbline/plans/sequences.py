@@ -58,6 +58,11 @@ def _semi(s, d):
     return J.range_semi(p.where("event_type = 'click'").select("frame_id", "phase_id", "value"), p.where("event_type = 'purchase' and frame_id % 10 = 0").select("phase_id", "value"), ["phase_id"], "value", floor=0.5, share=0.01, width=1.0)
 
 
+def _bright(s, d):
+    g = grid(s, d)
+    return g.crossJoin(F.broadcast(g.agg(F.avg("v").alias("m")))).select("g", "x", "y", (F.col("v") / F.col("m")).alias("v"))
+
+
 def _fused(s, d):
     p = _points(s, d).withColumn("cell", F.floor("value").cast("long"))
     parts = [p.where(F.col("event_type") == k).select("phase_id", "cell", F.lit(k).alias("kind"), F.col("value").alias("magnitude"), F.col("frame_id").alias("ord")) for k in ("click", "view", "purchase")]
@@ -91,21 +96,21 @@ QUERIES = {
     "frame_feature_bank": lambda s, d: (lambda x: _r(x, *[c for c in x.columns if c != "record_id"], digits=6))(G.feature_bank(frames(s, d), KEYS, ["value"], "time_s")),
     "run_summary": lambda s, d: _r(W.run_summary(frames(s, d), KEYS, ORDER, _hit(), "time_s"), "first_true", digits=6),
     "two_consecutive_trigger": lambda s, d: W.first_trigger(frames(s, d).select("record_id", "frame_id", "time_s", "value"), KEYS, ORDER, _hit()).select("record_id", "frame_id", F.round("value", 6).alias("value")),
-    "rolling16_blend": lambda s, d: _r(W.rolling_blend(frames(s, d).withColumn("x", F.least(F.col("value") / 100, F.lit(1.0))), KEYS, ORDER, "x").select("frame_id", "blend"), "blend", digits=5),
+    "rolling16_blend": lambda s, d: _r(W.rolling_blend(frames(s, d).withColumn("x", F.least(F.col("value") / 100, F.lit(1.0))), KEYS, ORDER, "x").select("frame_id", "blend"), "blend", digits=12),
     "saturating_persistence": lambda s, d: W.persistence(frames(s, d), KEYS, ORDER, _hit()).select("frame_id", "persistence"),
     "m_of_n_gate": lambda s, d: W.m_of_n(frames(s, d), KEYS, ORDER, _hit()).select("frame_id", "m_of_n"),
     "finite_difference": lambda s, d: _r(W.finite_difference(frames(s, d), KEYS, ORDER, "value", "time_s").select("frame_id", "rate"), "rate", digits=6),
     "pulse_canceller": lambda s, d: _r(W.pulse_canceller(frames(s, d), KEYS, ORDER, "value", 3).select("frame_id", "cancelled"), "cancelled", digits=6),
     "track_gap_fraction": lambda s, d: _r(W.gap_fraction(frames(s, d), KEYS, ORDER, "time_s"), "gap_fraction"),
     "sliding_windows_half_overlap": lambda s, d: W.sliding_windows(frames(s, d), KEYS, ORDER, "frame_id", 8).select("record_id", "window", F.array_join(F.transform("values", lambda v: v.cast("string")), ",").alias("values")),
-    "track_lifecycle": lambda s, d: _r(_lifecycle(s, d), "first_hit", "track_init", "max_score", "mean_score", "confidence", digits=6),
+    "track_lifecycle": lambda s, d: _r(_r(_lifecycle(s, d), "max_score", "mean_score", "confidence", digits=9), "first_hit", "track_init", digits=6),
     "phase_metrics": lambda s, d: _r(W.phase_rates(_lifecycle(s, d), "phase_id"), "pd", "pfa", "mean_first_hit", "mean_fragments", digits=5),
     "ca_cfar": _cfar("ca"),
     "go_cfar": _cfar("go"),
     "so_cfar": _cfar("so"),
     "os_cfar": _cfar("os"),
     "local_peaks": lambda s, d: A.local_peaks(grid(s, d), ["g"], "x", "y", "v", 20.0),
-    "connected_components": lambda s, d: _r(A.blobs(grid(s, d), ["g"], "x", "y", "v", 60.0), "cx", "cy", digits=6),
+    "connected_components": lambda s, d: _r(A.blobs(_bright(s, d), ["g"], "x", "y", "v", 1.3), "cx", "cy", "peak", digits=6),
     "hough_tracks": lambda s, d: A.hough_tracks(grid(s, d), ["g"], "x", "y", "v", [-1.0, -0.5, 0.0, 0.5, 1.0], 40.0, 3),
     "pooled_bytes": lambda s, d: A.pooled_bytes(grid(s, d), ["g"], "x", "v", 8, 40),
     "fused_dedupe": _fused,
@@ -154,21 +159,21 @@ ORACLE_SQL = {
     "frame_feature_bank": f"WITH {FRAMES} SELECT record_id, round(avg(value), 6) AS value_mean, round(stddev_pop(value), 6) AS value_std, round(min(value), 6) AS value_min, round(max(value), 6) AS value_max, round(arg_max(value, time_s), 6) AS value_last, round(quantile_cont(value, 0.25), 6) AS value_q25, round(quantile_cont(value, 0.75), 6) AS value_q75, round(arg_max(value, time_s) - arg_min(value, time_s), 6) AS value_trend FROM frames GROUP BY 1",
     "run_summary": _RUNS + "SELECT record_id, round(min(time_s) FILTER (flag), 6) AS first_true, CAST(max(streak) AS INTEGER) AS longest_run, count(*) FILTER (rise) AS fragments FROM r GROUP BY 1",
     "two_consecutive_trigger": _RUNS + "SELECT record_id, arg_min(frame_id, (time_s, frame_id)) AS frame_id, round(arg_min(value, (time_s, frame_id)), 6) AS value FROM r WHERE streak = 2 GROUP BY 1",
-    "rolling16_blend": f"WITH {FRAMES}, x AS (SELECT *, least(value / 100, 1) AS x FROM frames) SELECT frame_id, round(least(greatest(CAST(0.25 AS DOUBLE) * x + CAST(0.75 AS DOUBLE) * avg(x) OVER (PARTITION BY record_id ORDER BY time_s, frame_id ROWS BETWEEN 15 PRECEDING AND CURRENT ROW), 0), 1), 5) AS blend FROM x",
+    "rolling16_blend": f"WITH {FRAMES}, x AS (SELECT *, least(value / 100, 1) AS x FROM frames) SELECT frame_id, round(least(greatest(CAST(0.25 AS DOUBLE) * x + CAST(0.75 AS DOUBLE) * avg(x) OVER (PARTITION BY record_id ORDER BY time_s, frame_id ROWS BETWEEN 15 PRECEDING AND CURRENT ROW), 0), 1), 12) AS blend FROM x",
     "saturating_persistence": f"WITH {FRAMES}, s AS (SELECT *, sum(CASE WHEN value > 50 THEN 1 ELSE -1 END) OVER w AS s FROM frames {_W}) SELECT frame_id, CAST(s - least(0, min(s) OVER w) AS BIGINT) AS persistence FROM s {_W}",
     "m_of_n_gate": f"WITH {FRAMES} SELECT frame_id, sum(CASE WHEN value > 50 THEN 1 ELSE 0 END) OVER (PARTITION BY record_id ORDER BY time_s, frame_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) >= 3 AS m_of_n FROM frames",
     "finite_difference": f"WITH {FRAMES} SELECT frame_id, round(CASE WHEN time_s - lag(time_s) OVER w > 0 THEN (value - lag(value) OVER w) / (time_s - lag(time_s) OVER w) END, 6) AS rate FROM frames {_W}",
     "pulse_canceller": f"WITH {FRAMES} SELECT frame_id, round(coalesce(value - 2 * lag(value) OVER w + lag(value, 2) OVER w, 0), 6) AS cancelled FROM frames {_W}",
     "track_gap_fraction": f"WITH {FRAMES}, d AS (SELECT record_id, time_s - lag(time_s) OVER w AS d FROM frames {_W}), m AS (SELECT record_id, quantile_cont(d, 0.5) AS m, count(d) AS n FROM d GROUP BY 1) SELECT record_id, round(CASE WHEN max(n) >= 2 THEN avg(CASE WHEN d > CAST(2.5 AS DOUBLE) * m THEN 1.0 ELSE 0.0 END) FILTER (d IS NOT NULL) ELSE 0 END, 9) AS gap_fraction FROM d JOIN m USING (record_id) GROUP BY 1",
     "sliding_windows_half_overlap": f"WITH {FRAMES}, l AS (SELECT record_id, list(frame_id ORDER BY time_s, frame_id) AS v FROM frames GROUP BY 1), w AS (SELECT *, unnest(range(0, CAST(greatest(0, floor((len(v) - 8) / 4)) AS BIGINT) + 1)) AS win FROM l) SELECT record_id, CAST(win AS INTEGER) AS \"window\", array_to_string(list_concat(v[win * 4 + 1:win * 4 + 8], list_transform(range(0, greatest(0, 8 - len(v))), lambda i: v[len(v)])), ',') AS \"values\" FROM w",
-    "track_lifecycle": _LIFE + 'SELECT record_id, phase_id, label_id, round(first_hit, 6) AS first_hit, round(track_init, 6) AS track_init, fragments, hits, frames, round(max_score, 6) AS max_score, round(mean_score, 6) AS mean_score, round(confidence, 6) AS confidence, "end" FROM life',
+    "track_lifecycle": _LIFE + 'SELECT record_id, phase_id, label_id, round(first_hit, 6) AS first_hit, round(track_init, 6) AS track_init, fragments, hits, frames, round(max_score, 9) AS max_score, round(mean_score, 9) AS mean_score, round(confidence, 9) AS confidence, "end" FROM life',
     "phase_metrics": _LIFE + "SELECT phase_id, round(coalesce(avg(CAST(hits > 0 AS INTEGER)) FILTER (label_id = 1), 0), 5) AS pd, round(coalesce(avg(CAST(hits > 0 AS INTEGER)) FILTER (label_id = 0), 0), 5) AS pfa, round(avg(first_hit) FILTER (label_id = 1), 5) AS mean_first_hit, round(avg(fragments) FILTER (label_id = 1 AND hits > 0), 5) AS mean_fragments, count(*) AS records FROM life GROUP BY 1",
     **{f"{k}_cfar": _cfar_sql(k) for k in ("ca", "go", "so", "os")},
     "local_peaks": f"WITH {GRID} SELECT c.g, c.x, c.y, c.v FROM grid c JOIN grid n ON n.g = c.g AND n.x BETWEEN c.x - 1 AND c.x + 1 AND n.y BETWEEN c.y - 1 AND c.y + 1 GROUP BY ALL HAVING count(*) = 9 AND c.v > 20 AND c.v >= max(n.v)",
-    "connected_components": f"""WITH RECURSIVE {GRID}, c AS (SELECT g, x, y, v, lpad(CAST(x AS VARCHAR), 12, '0') || ',' || lpad(CAST(y AS VARCHAR), 12, '0') AS id FROM grid WHERE v > 60),
+    "connected_components": f"""WITH RECURSIVE {GRID}, c AS (SELECT g, x, y, v, lpad(CAST(x AS VARCHAR), 12, '0') || ',' || lpad(CAST(y AS VARCHAR), 12, '0') AS id FROM (SELECT g, x, y, v / avg(v) OVER () AS v FROM grid) WHERE v > 1.3),
 r AS (SELECT g, x, y, id FROM c UNION SELECT c.g, c.x, c.y, r.id FROM r JOIN c ON c.g = r.g AND abs(c.x - r.x) + abs(c.y - r.y) = 1),
 l AS (SELECT g, x, y, min(id) AS label FROM r GROUP BY 1, 2, 3)
-SELECT g, label, count(*) AS size, round(sum(x * v) / sum(v), 6) AS cx, round(sum(y * v) / sum(v), 6) AS cy, max(v) AS peak FROM l JOIN c USING (g, x, y) GROUP BY 1, 2""",
+SELECT g, label, count(*) AS size, round(sum(x * v) / sum(v), 6) AS cx, round(sum(y * v) / sum(v), 6) AS cy, round(max(v), 6) AS peak FROM l JOIN c USING (g, x, y) GROUP BY 1, 2""",
     "hough_tracks": f"WITH {GRID}, v AS (SELECT g, CAST(k AS DOUBLE) AS gradient, CAST(round(y - CAST(k AS DOUBLE) * x) AS BIGINT) AS start, x, max(v) AS v FROM grid CROSS JOIN (VALUES (-1.0), (-0.5), (0.0), (0.5), (1.0)) t(k) WHERE v > 40 GROUP BY ALL) SELECT g, gradient, start, count(*) AS hits, sum(v) AS power FROM v GROUP BY 1, 2, 3 HAVING count(*) >= 3",
     "pooled_bytes": f"WITH {GRID}, p AS (SELECT g, CAST(floor(x * 8 / 40) AS INTEGER) AS bucket, 10 * log10(greatest(max(v), 1e-12)) AS db FROM grid GROUP BY 1, 2), q AS (SELECT *, min(db) OVER (PARTITION BY g) AS lo, max(db) OVER (PARTITION BY g) AS hi FROM p) SELECT g, bucket, CAST(CASE WHEN hi > lo THEN round((db - lo) / (hi - lo) * 255) ELSE 0 END AS INTEGER) AS level FROM q",
     "fused_dedupe": f"WITH {FRAMES} SELECT phase_id, CAST(floor(value) AS BIGINT) AS cell, arg_min(event_type, frame_id) AS kind, max(value) AS magnitude, count(*) AS events FROM frames WHERE event_type IN ('click', 'view', 'purchase') GROUP BY 1, 2",
