@@ -74,7 +74,7 @@ SELECT method, split_role, phase, round(threshold, 9) AS threshold, tp, fp, tn,
     "roc_auc_midrank": SWEEP + "SELECT method, round(sum(p * (neg - fp + n / 2)) / (max(pos) * max(neg)), 9) AS roc_auc FROM f GROUP BY 1",
     "roc_auc_ordinal": f"WITH {SCORED}, o AS (SELECT *, row_number() OVER (PARTITION BY method ORDER BY score, ord) AS r, sum(label_id) OVER (PARTITION BY method ORDER BY score, ord) AS h FROM scored) SELECT method, round(sum(label_id * (r - h)) / (sum(label_id) * sum(1 - label_id)), 9) AS roc_auc FROM o GROUP BY 1",
     "average_precision": ROWS + "SELECT method, round(sum(CASE WHEN label_id = 1 THEN hits / seen ELSE 0 END) / sum(label_id), 9) AS average_precision FROM o GROUP BY 1",
-    "roc_curve": SWEEP + ", e AS (SELECT method, max(score) AS hi, min(score) AS lo FROM scored GROUP BY 1) SELECT method, round(fpr, 9) AS fpr, round(recall, 9) AS tpr, round(score, 9) AS threshold FROM f UNION ALL SELECT method, 0, 0, round(hi + 1e-12, 9) FROM e UNION ALL SELECT method, 1, 1, round(lo - 1e-12, 9) FROM e",
+    "roc_curve": SWEEP + ", e AS (SELECT method, max(score) AS hi, min(score) AS lo FROM scored GROUP BY 1) SELECT method, round(fpr, 9) AS fpr, round(recall, 9) AS tpr, round(score, 9) AS threshold FROM f UNION ALL SELECT method, 0, 0, round(hi + 1e-12, 9) FROM e UNION ALL SELECT method, 1, 1, round(lo - 1e-12, 9) + 0 FROM e",
     "pr_curve": SWEEP + "SELECT method, round(recall, 9) AS recall, round(precision, 9) AS precision, round(score, 9) AS threshold FROM f",
     "recall_at_fpr": SWEEP + "SELECT method, round(coalesce(max(recall) FILTER (fpr <= 0.1), 0), 9) AS recall FROM f GROUP BY 1",
     "threshold_at_precision": ROWS + "SELECT method, round(coalesce(min(score) FILTER (hits / seen >= 0.87), 1), 9) AS threshold FROM o GROUP BY 1",

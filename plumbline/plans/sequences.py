@@ -162,7 +162,7 @@ ORACLE_SQL = {
     "rolling16_blend": f"WITH {FRAMES}, x AS (SELECT *, least(value / 100, 1) AS x FROM frames) SELECT frame_id, round(least(greatest(CAST(0.25 AS DOUBLE) * x + CAST(0.75 AS DOUBLE) * avg(x) OVER (PARTITION BY record_id ORDER BY time_s, frame_id ROWS BETWEEN 15 PRECEDING AND CURRENT ROW), 0), 1), 12) AS blend FROM x",
     "saturating_persistence": f"WITH {FRAMES}, s AS (SELECT *, sum(CASE WHEN value > 50 THEN 1 ELSE -1 END) OVER w AS s FROM frames {_W}) SELECT frame_id, CAST(s - least(0, min(s) OVER w) AS BIGINT) AS persistence FROM s {_W}",
     "m_of_n_gate": f"WITH {FRAMES} SELECT frame_id, sum(CASE WHEN value > 50 THEN 1 ELSE 0 END) OVER (PARTITION BY record_id ORDER BY time_s, frame_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) >= 3 AS m_of_n FROM frames",
-    "finite_difference": f"WITH {FRAMES} SELECT frame_id, round(CASE WHEN time_s - lag(time_s) OVER w > 0 THEN (value - lag(value) OVER w) / (time_s - lag(time_s) OVER w) END, 6) AS rate FROM frames {_W}",
+    "finite_difference": f"WITH {FRAMES} SELECT frame_id, round(CASE WHEN time_s - lag(time_s) OVER w > 0 THEN (value - lag(value) OVER w) / (time_s - lag(time_s) OVER w) END, 6) + 0 AS rate FROM frames {_W}",
     "pulse_canceller": f"WITH {FRAMES} SELECT frame_id, round(coalesce(value - 2 * lag(value) OVER w + lag(value, 2) OVER w, 0), 6) AS cancelled FROM frames {_W}",
     "track_gap_fraction": f"WITH {FRAMES}, d AS (SELECT record_id, time_s - lag(time_s) OVER w AS d FROM frames {_W}), m AS (SELECT record_id, quantile_cont(d, 0.5) AS m, count(d) AS n FROM d GROUP BY 1) SELECT record_id, round(CASE WHEN max(n) >= 2 THEN avg(CASE WHEN d > CAST(2.5 AS DOUBLE) * m THEN 1.0 ELSE 0.0 END) FILTER (d IS NOT NULL) ELSE 0 END, 9) AS gap_fraction FROM d JOIN m USING (record_id) GROUP BY 1",
     "sliding_windows_half_overlap": f"WITH {FRAMES}, l AS (SELECT record_id, list(frame_id ORDER BY time_s, frame_id) AS v FROM frames GROUP BY 1), w AS (SELECT *, unnest(range(0, CAST(greatest(0, floor((len(v) - 8) / 4)) AS BIGINT) + 1)) AS win FROM l) SELECT record_id, CAST(win AS INTEGER) AS \"window\", array_to_string(list_concat(v[win * 4 + 1:win * 4 + 8], list_transform(range(0, greatest(0, 8 - len(v))), lambda i: v[len(v)])), ',') AS \"values\" FROM w",

@@ -62,14 +62,33 @@ def unpivot(df: DataFrame, ids: list[str], mapping: dict[str, tuple[str, str]])
 _DTYPES = {"<f4": np.float32, "<f8": np.float64, "|b1": np.bool_, "<c8": np.complex64}
 
 
+#: Tensors of one bundle: their headers are listed on the driver, as Spark's readers pass over names with a leading dot.
+MOST_TENSORS = 10_000
+
+
+def _headers(spark: SparkSession, root: str) -> list[tuple[str, str, str]]:
+    """``(folder, name, text of .zarray)`` of all tensor folders below ``root``, by the file system that the path names."""
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    found, files = [], fs.listFiles(path, True)
+    while files.hasNext():
+        p = files.next().getPath()
+        if p.getName() == ".zarray":
+            if len(found) == MOST_TENSORS:
+                raise ValueError(f"more than {MOST_TENSORS} tensors below {root}")
+            stream = fs.open(p)
+            found.append((p.getParent().toString(), p.getParent().getName(), jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")))
+            stream.close()
+    return found
+
+
 def tensors(spark: SparkSession, root: str) -> DataFrame:
     """Single-chunk tensor folders (``.zarray`` beside ``0.raw``) as ``name, shape, dtype, values``; complex values as re, im pairs.
     A chunk whose length does not fit its shape fails."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    name = F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("name")
-    folder = F.regexp_extract("path", r"^(.*)/[^/]+$", 1).alias("folder")
-    meta = files.where(F.col("path").endswith("/.zarray")).select(folder, name, F.decode("content", "UTF-8").alias("meta"))
-    raw = files.where(F.col("path").endswith("/0.raw")).select(folder, "content")
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "0.raw").load(root)
+    raw = raw.select(F.regexp_extract("path", r"^(.*)/[^/]+$", 1).alias("folder"), "content")
+    meta = spark.createDataFrame(_headers(spark, root), "folder string, name string, meta string")
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in it:
