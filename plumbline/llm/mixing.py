@@ -50,10 +50,14 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, power:
 
     The draw depends on seed and id alone, so it is the same on any cluster; rows that repeat an id repeat its draw, and a null
     id draws as the empty string.  A null source is a source of its own.  Without weights above zero nothing is kept.  Other
-    columns are kept under their names.  An empty table gives an empty result.
+    columns are kept under their names; names that begin with ``_mix_`` are reserved, and with ``keep_key`` an input column of one
+    of the three names is an error.  An empty table gives an empty result.
     """
     names = docs.columns
-    table = poisson_table(target_rates(docs, source_col, weights, power)).select(F.col("source").alias("_mix_source"), "cdf")
+    clash = {"n_copies", "copy", "shuffle_key"} & set(names)
+    if keep_key and clash:
+        raise ValueError(f"the input already has columns {sorted(clash)}")
+    table = poisson_table(target_rates(docs, source_col, weights, power)).select(F.col("source").alias("_mix_source"), F.col("cdf").alias("_mix_cdf"))
     src = docs
     if table.count() <= BROADCAST_SOURCES:
         joined = src.join(F.broadcast(table), F.col(source_col).eqNullSafe(F.col("_mix_source")))
@@ -62,10 +66,11 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, power:
         table = table.withColumn("_mix_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         joined = src.join(table, F.col(source_col).eqNullSafe(F.col("_mix_source")) & (F.col("_mix_salt") == F.col("_mix_s")))
     u = (F.conv(F.substring(_hash(seed, "copies", F.col(id_col)), 1, 13), 16, 10).cast("long") + F.lit(0.5)) / F.lit(float(1 << 52))
-    drawn = joined.withColumn("_mix_u", u).withColumn("n_copies", F.size(F.filter("cdf", lambda c: c < F.col("_mix_u")))).where("n_copies > 0")
-    out = drawn.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n_copies")))).withColumn("shuffle_key", _hash(seed, "order", F.col(id_col), F.col("copy")))
-    out = out.repartition(partitions(docs.sparkSession), "shuffle_key").sortWithinPartitions("shuffle_key")
-    return out.select(*names, *(["n_copies", "copy", "shuffle_key"] if keep_key else []))
+    drawn = joined.withColumn("_mix_u", u).withColumn("_mix_n", F.size(F.filter("_mix_cdf", lambda c: c < F.col("_mix_u")))).where("_mix_n > 0")
+    out = drawn.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_n")))).withColumn("_mix_key", _hash(seed, "order", F.col(id_col), F.col("_mix_copy")))
+    out = out.repartition(partitions(docs.sparkSession), "_mix_key").sortWithinPartitions("_mix_key")
+    keys = [F.col("_mix_n").alias("n_copies"), F.col("_mix_copy").alias("copy"), F.col("_mix_key").alias("shuffle_key")]
+    return out.select(*[F.col(f"`{c}`") for c in names], *(keys if keep_key else []))
 
 
 def op8_source_mix(spark, sf_dir: str) -> DataFrame:

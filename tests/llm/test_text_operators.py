@@ -1,0 +1,299 @@
+"""Operators on texts against brute force: Jaccard join, secrets, personal data, passages, token counts, language."""
+
+from __future__ import annotations
+
+import base64
+import hashlib
+import json
+import random
+import re
+
+import pytest
+
+from oracle import DATA, difference
+from plumbline.llm import jaccard_join, kernels, language, pii, queries, secrets, substring_dedup, token_counts
+
+DOCS = "doc_id long, text string, lang string, source string, node string, n string, comp string"
+
+
+def frame(spark, texts, first=0):
+    """Documents with columns whose names clash with those the operators use inside."""
+    return spark.createDataFrame([(i + first, t, None, None, "x", None, "y") for i, t in enumerate(texts)], DOCS)
+
+
+def texts_with_copies(seed=1, groups=12, per=5):
+    rng = random.Random(seed)
+    out = []
+    for _ in range(groups):
+        w = [f"w{rng.randrange(400)}" for _ in range(rng.randrange(20, 120))]
+        for _ in range(per):
+            v = list(w)
+            for _ in range(rng.randrange(0, 4)):
+                v[rng.randrange(len(v))] = f"w{rng.randrange(400)}"
+            out.append(" ".join(v).upper() if rng.random() < 0.3 else "\t".join(v))
+    return out + [None, "", "   ", "one two", "one  two", "One two", "one two three four five", "one two three four five"]
+
+
+def plain_components(texts):
+    sets = []
+    for t in texts:
+        low = re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
+        w = re.findall(r"[^\x20\x09-\x0D]+", low)
+        sets.append({tuple(w)} if 0 < len(w) < 5 else {tuple(w[i : i + 5]) for i in range(len(w) - 4)})
+    n = len(sets)
+    link = [[j for j in range(n) if j != i and sets[i] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])] for i in range(n)]
+    comp = []
+    for i in range(n):
+        seen, todo = {i}, [i]
+        while todo:
+            for j in link[todo.pop()]:
+                if j not in seen:
+                    seen.add(j), todo.append(j)
+        comp.append(min(seen))
+    return [(i, len(sets[i]), comp[i], len(link[i])) for i in range(n)]
+
+
+@pytest.mark.parametrize("block", [512, 3])
+def test_jaccard_join_equals_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)  # 3: graphs are cut into many tiles
+    texts = texts_with_copies(per=9 if block == 3 else 5)
+    got = sorted(tuple(r)[:4] for r in jaccard_join.jaccard_links(frame(spark, texts)).select("doc_id", "n_shingles", "component_id", "n_links").collect())
+    assert got == plain_components(texts)
+
+
+def test_jaccard_join_of_nulls_repeats_and_nothing(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (2, None)], "doc_id long, text string")
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in jaccard_join.jaccard_links(docs).collect()), key=str)
+    assert got == sorted([(1, 2, 1, 1), (1, 2, 1, 1), (None, 2, None, 0), (2, 0, 2, 0)], key=str)
+    assert jaccard_join.jaccard_links(docs.limit(0)).count() == 0
+
+
+def test_signatures_never_undercount_overlap():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    pool = rng.integers(0, 2**63, 300).astype(np.uint64)
+    left = sorted((np.sort(rng.choice(pool, rng.integers(5, 60), False)) for _ in range(40)), key=len)
+    left += [x[:-1] for x in left if len(x) > 20]
+    left.sort(key=len)
+    got = {(i, int(j)) for i, hit in jaccard_join.tile_links(left, None, 80, 100) for j in hit}
+    want = {(i, j) for i in range(len(left)) for j in range(i + 1, len(left)) if 100 * len(np.intersect1d(left[i], left[j])) >= 80 * len(np.union1d(left[i], left[j]))}
+    assert got == want and want
+
+
+def test_word_hashes_of_very_long_words():
+    import pyarrow as pa
+
+    long = "x" * ((1 << 20) + 7)
+    (_, a), (_, b) = kernels.shingle_sets(pa.array([f"{long} B c d e", f"{long.upper()} b C d e"]))
+    assert len(a) == 1 and (a == b).all()
+
+
+# secrets ----------------------------------------------------------------------------------------------------------------
+
+ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+
+
+def plain_secrets(t):
+    out = [("assign", *m.span()) for m in ASSIGN.finditer(t) if len(m[2]) >= 6]
+    out += [("access", *m.span()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
+    out += [("hex", *m.span()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24]
+    return sorted(out, key=lambda x: (x[1], ["assign", "access", "hex"].index(x[0])))
+
+
+def b64(data):
+    return base64.urlsafe_b64encode(data).rstrip(b"=").decode()
+
+
+def der(tag, *parts):
+    body = b"".join(parts)
+    size = bytes([len(body)]) if len(body) < 128 else b"\x82" + len(body).to_bytes(2, "big")
+    return bytes([tag]) + size + body
+
+
+def number(n):
+    return der(2, n.to_bytes(n.bit_length() // 8 + 1, "big"))
+
+
+JWT = f'{b64(json.dumps({"alg": "HS256"}).encode())}.{b64(b"{}" if 0 else json.dumps({"sub": "a"}).encode())}.{b64(b"signature")}'
+KEY = der(0x30, *[number(x) for x in (0, 12345678901234567890, 65537, 987654321, 11, 13, 7, 5, 3)])
+
+
+def test_secret_scan_base_equals_patterns(spark):
+    rng = random.Random(2)
+    bits = ["password", "PassWd", "API_KEY", "apikey", '"', "'", " ", "  ", ":", "=", "abc123", "AKIA", "ABCDEFGHIJKLMNOP12", "0123456789abcdef" * 2, "deadbeef", "é", "漢", "\n", "-", "Token"]
+    texts = ["".join(rng.choices(bits, k=rng.randrange(1, 40))) for _ in range(300)] + [None, "", "secret: " + "z" * 50_000]
+    docs = frame(spark, texts)
+    for r in secrets.scan_secrets(docs).collect():
+        assert [(s.kind, s.start, s.end) for s in r.spans if s.base] == plain_secrets(texts[r.doc_id] or "")
+
+
+def test_secrets_are_confirmed_by_structure():
+    kinds = lambda t: [x[0] for x in secrets.find_secrets(t) if not x[3]]
+    body = base64.b64encode(KEY).decode()
+    assert kinds(f"see {JWT} end") == ["jwt"] and kinds("eyJub3BlIjoxfQ.eyJhIjoxfQ.x") == []
+    assert kinds(f"k {body} k") == ["der"] and kinds(f"k {base64.b64encode(KEY[:-1]).decode()} k") == []
+    assert kinds(f"-----BEGIN PRIVATE KEY-----\n{body}\n-----END PRIVATE KEY-----") == ["pem"]
+    assert kinds("-----BEGIN PRIVATE KEY-----\nnot a key at all\n-----END PRIVATE KEY-----") == []
+    assert "der" in kinds(f"hex {KEY.hex()} x")
+
+
+def test_redaction_keeps_rows_and_columns(spark):
+    docs = frame(spark, ["a password=hunter22 b", None, "clean"])
+    out = secrets.redact_secrets(docs).orderBy("doc_id").collect()
+    assert [r.text for r in out] == ["a [SECRET] b", None, "clean"] and out[0].node == "x"
+    with pytest.raises(ValueError):
+        secrets.scan_secrets(docs, out_col="node")
+
+
+@pytest.mark.parametrize("name, kinds, plain", [("op3_secret_scan", ["assign", "access", "hex"], plain_secrets), ("op7_pii", ["email", "ip", "card", "phone"], None)])
+def test_digests_over_the_whole_table(spark, name, kinds, plain):
+    plain = plain or plain_pii
+    text = {r.doc_id: r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect()}
+    rows = queries.QUERIES[name](spark, DATA).collect()
+    assert len(rows) == len(text)
+    for r in rows:
+        want = plain(text[r.doc_id] or "")
+        assert [r[f"n_{k}"] for k in kinds] == [sum(x[0] == k for x in want) for k in kinds]
+        assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{s}:{e}" for k, s, e in want).encode()).hexdigest()
+        assert {f"{k}:{s}:{e}" for k, s, e in want} <= set(r.spans.split(","))
+
+
+# personal data ----------------------------------------------------------------------------------------------------------
+
+
+def plain_pii(t):
+    digits = lambda s: re.sub("[^0-9]", "", s)
+
+    def luhn(d):
+        return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
+
+    out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(p) <= 255 for p in m[0].split("."))]
+    out += [("card", *m.span()) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t) if 14 <= len(digits(m[0])) <= 19 and luhn(digits(m[0]))]
+    out += [("phone", *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 10 <= len(digits(m[0])) <= 15]
+    return sorted(out, key=lambda x: (x[1], ["email", "ip", "card", "phone"].index(x[0])))
+
+
+def test_pii_base_equals_patterns():
+    rng = random.Random(3)
+    bits = ["a.b", "@", "x-y", ".", "com", " ", "+", "49", "(0)", "-", "4111 1111 1111 1111", "10.0.0.1", "300", "1", "é", "%", "\n", "5555-5555-5555-4444", "@@", ".."]
+    for _ in range(2000):
+        t = "".join(rng.choices(bits, k=rng.randrange(1, 30)))
+        assert pii.base_spans(t) == plain_pii(t), t
+
+
+def test_skip_edges_join_distant_equal_tokens_and_label_them(spark):
+    text = "write to anna.berg@example.org today . " + "plain words go on " * 200 + " and anna.berg answers"
+    base = pii.base_spans(text)
+    g = pii.document_graph(text, base)
+    assert any(t == 1 for _, _, t in g.edges)
+    rng = random.Random(5)
+    train = [f"{'word ' * rng.randrange(3, 9)}user{i}@mail{i}.org and {rng.randrange(10**4)} items of {rng.randrange(99)}" for i in range(80)] + [f"{i} trees and {i * 7} birds" for i in range(80)]
+    w = pii.fit_field(frame(spark, train))
+    assert w.edge[1][1, 1] > w.edge[1][0, 1]  # repeats of an address want its label
+    (p,) = pii.marginals(w, [g])
+    assert p.shape == (len(g.spans), pii.N_LABELS) and abs(p.sum(1) - 1).max() < 1e-9
+    rows = pii.scan_pii(frame(spark, [text, None, "", "no data here"]), w).orderBy("doc_id").collect()
+    assert [(s.kind, s.start, s.end) for s in rows[0].spans if s.base] == base and [len(r.spans) for r in rows[1:]] == [0, 0, 0]
+
+
+# passages ---------------------------------------------------------------------------------------------------------------
+
+
+def test_planted_passages_are_found_and_clean_documents_left_alone(spark):
+    rng = random.Random(6)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    passage = [word() for _ in range(80)]
+    texts, where = [], {}
+    for i in range(30):
+        body = [word() for _ in range(200)]
+        if i % 3 == 0:
+            p = list(passage)
+            for _ in range(3):
+                p[rng.randrange(80)] = word()
+            at = rng.randrange(200)
+            body[at:at] = p
+            where[i] = at
+        texts.append(" ".join(body))
+    texts += [texts[1], None, "", "short"]
+    rows = substring_dedup.shared_passages(frame(spark, texts)).collect()
+    hit = {}
+    for r in rows:
+        hit.setdefault(r.doc_id, []).append((r.start_word, r.end_word))
+        hit.setdefault(r.ref_doc_id, []).append((r.ref_start, r.ref_end))
+    assert set(hit) == set(where) | {1, 30}
+    for i, at in where.items():
+        assert max(min(e, at + 80) - max(s, at) for s, e in hit[i]) >= 70
+    assert substring_dedup.shared_passages(frame(spark, [])).count() == 0
+
+
+def test_chain_score_equals_quadratic_programming():
+    import numpy as np
+
+    rng = np.random.default_rng(7)
+    for _ in range(40):
+        n = int(rng.integers(1, 14))
+        x, y = rng.integers(0, 30, n), rng.integers(0, 30, n)
+        order = np.lexsort((x, y))
+        best = {}
+        for i in order:
+            before = [best[j] + 0 - substring_dedup.GAP * (x[i] + y[i] - x[j] - y[j]) for j in best if x[j] < x[i] and y[j] < y[i]]
+            best[i] = substring_dedup.GAIN + max([0.0, *before])
+        (first, *_) = substring_dedup.chains(x, y, least=1)
+        got = len(first) * substring_dedup.GAIN - substring_dedup.GAP * (x[first[-1]] + y[first[-1]] - x[first[0]] - y[first[0]])
+        assert got == pytest.approx(max(best.values()))
+
+
+# tokens -----------------------------------------------------------------------------------------------------------------
+
+
+def test_token_counts_equal_a_unigram_tokenizer(spark):
+    tk = pytest.importorskip("tokenizers")
+    pieces = token_counts.load_pieces(token_counts.VOCABULARY)
+    vocab = [("<unk>", 0.0), *[(f"<0x{b:02X}>", -1e9) for b in range(256)]]
+    least = min(s for _, s in pieces)
+    vocab = [(p, least) for p, _ in vocab] + pieces  # the least score must stay that of the pieces
+    t = tk.Tokenizer(tk.models.Unigram(vocab, 0, True))
+    t.pre_tokenizer = tk.pre_tokenizers.Metaspace(replacement=token_counts.SPACE, prepend_scheme="always", split=True)
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").limit(60)
+    texts = [r.text for r in docs.collect() if r.text] + ["ab☃☃c", "x\n\ny", "漢字 test"]
+    c = token_counts.Counter(pieces)
+    wrong = [(x[:40], c.text(x)[0], len(t.encode(x).ids)) for x in texts if not x.startswith(" ") and c.text(x)[0] != len(t.encode(x).ids)]
+    assert not wrong
+    rows = token_counts.count_tokens(frame(spark, [None, "", "a"])).orderBy("doc_id").collect()
+    assert [(r.n_tokens, r.n_words) for r in rows] == [(0, 0), (0, 0), (1, 1)]
+
+
+# language ---------------------------------------------------------------------------------------------------------------
+
+
+def test_held_out_accuracy(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    truth = {r.doc_id: r.lang for r in docs.select("doc_id", "lang").collect()}
+    rows = queries.QUERIES["op10_language_id"](spark, "/root/testdata/sf0.01").collect()
+    held = [r for r in rows if r.held_out and truth[r.doc_id] and r.lang_pred != language.UNKNOWN]
+    assert len(rows) == len(truth) and len(held) > 200
+    assert sum(r.lang_pred == truth[r.doc_id] for r in held) / len(held) > 0.95
+    assert all(0 <= r.score <= 1 for r in rows)
+
+
+def test_language_of_odd_texts_and_mixtures(spark):
+    rng = random.Random(8)
+    a, b = [f"{x}{y}ka" for x in "ptk" for y in "aeiou"], [f"sch{x}{y}ng" for x in "rlw" for y in "aeiou"]
+    say = lambda v, n: " ".join(rng.choices(v, k=n))
+    rows = [(i, say(a, 40), "aa", "s") for i in range(20)] + [(i + 20, say(b, 40), "bb", "s") for i in range(20)] + [(98, None, "aa", "s"), (99, say(a, 9), None, "s")]
+    train = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    model = language.fit(train)
+    assert model.langs == ["aa", "bb"]
+    tests = [say(a, 30), say(b, 30), say(a, 40) + " " + say(b, 25), None, "", "123 456 !", "7"]
+    got = language.identify(frame(spark, tests), model).orderBy("doc_id").collect()
+    assert [r.lang_pred for r in got] == ["aa", "bb", "aa", "und", "und", "und", "und"] and got[2].n_langs == 2
+    assert got[2].score == pytest.approx(40 / 65, abs=0.05) and [r.score for r in got[3:]] == [0.0] * 4
+    empty = language.fit(train.limit(0))
+    assert language.identify(frame(spark, ["text"]), empty).first().lang_pred == "und"
+
+
+@pytest.mark.parametrize("name", ["op1_jaccard_join", "op6_pivot_dedup", "op8_source_mix", "op9_vp_tree_search"])
+def test_query_equals_sql(spark, name):
+    assert difference(spark, queries.QUERIES[name], queries.ORACLE_SQL[name]) is None
