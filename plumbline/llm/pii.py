@@ -267,26 +267,41 @@ def added_spans(text: str, base: list[tuple[str, int, int]], g: Graph, p: np.nda
 def _train_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rank, graph = [], []
-        hit = pc.match_substring_regex(b.column(0), _ANY).to_pylist()
-        for i, h in enumerate(hit):
-            if h:
-                text = b.column(0)[i].as_py()
-                g = document_graph(text, base_spans(text))
-                k = min(len(g.spans), SAMPLE_NODES)
-                if k:
-                    rank.append(xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) >> 1)
-                    graph.append(repr(([(0, 0)] * k, g.feats[:k], g.label[:k], [e for e in g.edges if e[1] < k])))
+        for r, text in zip(b.column(0).to_pylist(), b.column(1)):
+            text = text.as_py()
+            g = document_graph(text, base_spans(text))
+            k = min(len(g.spans), SAMPLE_NODES)
+            if k:
+                rank.append(r)
+                graph.append(repr(([(0, 0)] * k, g.feats[:k], g.label[:k], [e for e in g.edges if e[1] < k])))
         if rank:
             yield batch(rank=pa.array(rank, pa.int64()), graph=graph)
 
 
+def smallest_ranks(ranked: DataFrame, wanted: int) -> DataFrame:
+    """The rows of ``ranked(rank, ..)`` whose rank, a hash that is not negative, is below a power of two under which there are at
+    least ``wanted`` different ranks (all rows, if there are fewer), one row of each rank: some ``4 * wanted`` at any size of the
+    table.  Ranks are counted by their bit length, so 64 counts go to the driver.  Null ranks are left out."""
+    bits = F.length(F.bin("rank"))
+    per = {r.bits: r.n for r in ranked.where("rank is not null").groupBy(bits.alias("bits")).agg(F.approx_count_distinct("rank").alias("n")).collect()}
+    below = 0
+    for k in range(1, 64):
+        below += per.get(k, 0)
+        if below >= 1.25 * wanted:  # the counts are approximate
+            ranked = ranked.where(bits <= k)
+            break
+    return ranked.where("rank is not null").dropDuplicates(["rank"])
+
+
 def fit_field(docs: DataFrame, text_col: str = "text") -> Weights:
-    """Train on the ``SAMPLE_DOCS`` documents with nodes whose text hash is smallest, ``SAMPLE_NODES`` nodes of each at most."""
+    """Train on the ``SAMPLE_DOCS`` documents with a digit or ``@`` whose text hash is smallest, ``SAMPLE_NODES`` nodes of each at
+    most; copies count once.  Null and empty texts take no part; without any node the weights are zero."""
     import ast
 
-    rows = arrow_map(docs.select(F.col(text_col).cast("string")).where(F.col(text_col).rlike(_ANY)), _train_rows, "rank long, graph string")
-    found = rows.orderBy("rank", "graph").limit(SAMPLE_DOCS).collect()
-    return train([Graph(*ast.literal_eval(r.graph)) for r in {r.rank: r for r in found}.values()])
+    text = F.col(text_col).cast("string")
+    ranked = docs.select(F.shiftrightunsigned(F.xxhash64(text), 1).alias("rank"), text.alias("text")).where(F.col("text").rlike(_ANY))
+    rows = arrow_map(smallest_ranks(ranked, SAMPLE_DOCS), _train_rows, "rank long, graph string")
+    return train([Graph(*ast.literal_eval(r.graph)) for r in rows.orderBy("rank").limit(SAMPLE_DOCS).collect()])
 
 
 def scan_pii(docs: DataFrame, weights: Weights, text_col: str = "text", out_col: str = "spans") -> DataFrame:

@@ -9,6 +9,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from oracle import DATA, difference
 from plumbline.llm import jaccard_join, kernels, language, pii, queries, secrets, substring_dedup, token_counts
@@ -297,3 +298,13 @@ def test_language_of_odd_texts_and_mixtures(spark):
 @pytest.mark.parametrize("name", ["op1_jaccard_join", "op6_pivot_dedup", "op8_source_mix", "op9_vp_tree_search"])
 def test_query_equals_sql(spark, name):
     assert difference(spark, queries.QUERIES[name], queries.ORACLE_SQL[name]) is None
+
+
+def test_smallest_ranks_holds_enough_and_counts_copies_once(spark):
+    ids = spark.range(20_000).select(F.shiftrightunsigned(F.xxhash64("id"), 1).alias("rank"))
+    copies = ids.unionByName(ids.where("rank % 3 = 0")).unionByName(spark.sql("select cast(null as bigint) as rank"))
+    whole = sorted(r.rank for r in ids.collect())
+    got = sorted(r.rank for r in pii.smallest_ranks(copies, 100).collect())
+    assert got == whole[: len(got)] and 100 <= len(got) <= 800
+    assert sorted(r.rank for r in pii.smallest_ranks(copies, 50_000).collect()) == whole
+    assert pii.smallest_ranks(ids.limit(0), 5).count() == 0
