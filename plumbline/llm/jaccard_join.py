@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -139,7 +140,7 @@ def _shared(width: int):
 
 
 def _prefixes(num: int, den: int):
-    """Each set's shingles that are both in its prefix and in another set: ``(tok, node)``."""
+    """Each set's shingles that are both in its prefix and in another set, joined as far as one task knows (see ``_joined``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [[blobs(b.column(i), t) for i, t in ((1, np.int64), (2, np.int32), (3, np.int32), (4, np.int32), (5, np.uint64), (6, np.int32))] for b in batches if b.num_rows]
@@ -155,27 +156,42 @@ def _prefixes(num: int, den: int):
         need = _prefix(n, num, den) - (posted - k)
         rank = np.arange(len(own)) - np.repeat(np.cumsum(k) - k, k)
         keep = rank < need[own]
-        tok, own = tok[keep], own[keep]
-        for i in range(0, len(tok), 1 << 20):
-            yield batch(tok=tok[i : i + (1 << 20)].view(np.int64), node=key[own[i : i + (1 << 20)]])
+        if keep.any():
+            yield from _joined(tok[keep].view(np.int64), key[own[keep]], None, None)
 
     return run
 
 
+def _joined(tok: np.ndarray, node: np.ndarray, a: np.ndarray | None, b: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    """Contract what one task knows, the sets of each shingle and edges ``a``-``b`` between sets: a row ``(null, set, root)`` for
+    each set that is not its own root, and ``(shingle, root, null)`` once for each shingle, however many sets hold it."""
+    ends = [node] if a is None else [node, a, b]
+    key, at = np.unique(np.concatenate(ends), return_inverse=True)
+    own, x, y = (at, at[:0], at[:0]) if a is None else np.split(at, np.cumsum([len(node), len(a)]))
+    name, t = np.unique(tok, return_inverse=True)
+    low = np.full(len(name), len(key))
+    np.minimum.at(low, t, own)
+    root = local_roots(np.concatenate([own, x]), np.concatenate([low[t], y]), len(key))
+    moved = np.flatnonzero(root != np.arange(len(key)))
+    for i in range(0, len(moved), 1 << 20):
+        m = moved[i : i + (1 << 20)]
+        yield batch(tok=pa.nulls(len(m), pa.int64()), node=key[m], root=key[root[m]])
+    for i in range(0, len(name), 1 << 20):
+        m = low[i : i + (1 << 20)]
+        yield batch(tok=name[i : i + (1 << 20)], node=key[root[m]], root=pa.nulls(len(m), pa.int64()))
+
+
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One task's shingles and sets as a graph: an edge from each set to the smallest set, and from each shingle's hash to it,
-    so that a shingle dealt to several tasks still joins what it joins."""
-    got = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+    """All rows of some shingles and some edges as a graph: an edge from each set to the smallest one it is joined to here."""
+    got = [pa.Table.from_batches([b]) for b in batches if b.num_rows]
     if not got:
         return
-    tok, node = (np.concatenate(x) for x in zip(*got))
-    key, own = np.unique(node, return_inverse=True)
-    _, t = np.unique(tok, return_inverse=True)
-    low = np.full(int(t.max()) + 1, len(key))
-    np.minimum.at(low, t, own)
-    root = local_roots(own, low[t], len(key))
-    keep = root != np.arange(len(key))
-    yield batch(a=key[keep], b=key[root[keep]])
+    tab = pa.concat_tables(got)
+    edge = tab.column("tok").is_null()
+    sets, edges = tab.filter(pc.invert(edge)), tab.filter(edge)
+    for b in _joined(*(x.column(c).to_numpy() for x, c in ((sets, "tok"), (sets, "node"), (edges, "node"), (edges, "root")))):
+        if b.column("tok").null_count:
+            yield batch(a=b.column("node"), b=b.column("root"))
 
 
 def signature(x: np.ndarray, words: int) -> np.ndarray:
@@ -301,8 +317,8 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     packed = "p int, node binary, n binary, posted binary, runs binary, tok binary"
     posts = deal(arrow_map(texts, _post(shingle, width, num, den), packed), "p")
     shared = deal(arrow_map(posts, _shared(width), packed + ", df binary"), "p")
-    prefix = arrow_map(shared, _prefixes(num, den), "tok long, node long")
-    graph = arrow_map(prefix.repartition(width, "tok"), _stars, "a long, b long")
+    prefix = arrow_map(shared, _prefixes(num, den), "tok long, node long, root long")
+    graph = arrow_map(prefix.repartition(width, F.coalesce("tok", "node")), _stars, "a long, b long")
     comps = cut(connected_components(graph), "candidates")
 
     members = comps.join(classes, "node")
