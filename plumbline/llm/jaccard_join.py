@@ -335,7 +335,7 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     low = whole.join(classes, "node").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     of = classes.join(linked, "node", "left").join(whole.join(low, "comp"), "node", "left").select("node", "weight", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("links", F.lit(0)).alias("links"))
     own = F.col("doc_id").isNotNull() & F.col("component_id").isNotNull()
-    return sets.join(of, "node", "left").select(
+    return _with_class(sets, cut(of, "classes"), width).select(
         "doc_id",
         F.col("n").alias("n_shingles"),
         F.when(own, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
@@ -344,6 +344,16 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     )
 
 
+def _with_class(sets: DataFrame, of: DataFrame, width: int) -> DataFrame:
+    """Every row of ``sets`` with the columns of its class.  Classes of more than a share ``1 / (4 width)`` of all rows, of which
+    there are fewer than ``4 width``, are broadcast, so that no task gets all copies of one text; the others meet by key."""
+    most = sets.count() // (4 * width)
+    hot = F.broadcast(of.where(F.col("weight") > most))
+    rest = sets.join(hot.select("node"), "node", "left_anti").where("node is not null")
+    met = sets.join(hot, "node").unionByName(rest.join(of.where(F.col("weight") <= most), "node", "left"))
+    return met.unionByName(sets.where("node is null"), allowMissingColumns=True)
+
+
 def _blocks(members: DataFrame, num: int, den: int) -> DataFrame:
     """Cut each candidate graph, in order of size, into blocks, and give each pair of blocks that may link its rows.
 
