@@ -120,9 +120,9 @@ def find_secrets(text: str) -> list[tuple[str, int, int, bool]]:
     out = [("assign", *m.span(), True) for m in _ASSIGN.finditer(text) if len(m[2]) >= 6]
     out += [("access", *m.span(), True) for m in _ACCESS.finditer(text) if m.end() - m.start() >= 20]
     out += [("hex", *m.span(), True) for m in _HEX.finditer(text)]
-    stop = -1
+    blocks: list[tuple[int, int]] = []
     for m in _BEGIN.finditer(text):
-        if m.start() < stop:
+        if blocks and m.start() < blocks[-1][1]:
             continue
         tail = f"-----END {m[1]}-----"
         end = text.find(tail, m.end(), m.end() + 20_000)  # no key is longer
@@ -131,13 +131,16 @@ def find_secrets(text: str) -> list[tuple[str, int, int, bool]]:
         lines = text[m.end() : end].replace("\\n", "\n").split("\n")
         raw = unbase64("".join(x.strip() for x in lines if ":" not in x)) or b""
         if is_private_der(raw) or is_private_ssh(raw) or (any("ENCRYPTED" in x for x in lines) and len(raw) >= 32 and len(raw) % 8 == 0):
-            stop = end + len(tail)
-            out.append(("pem", m.start(), stop, False))
+            blocks.append((m.start(), end + len(tail)))
+    out += [("pem", *x, False) for x in blocks]
     out += [("jwt", *m.span(), False) for m in _TOKEN.finditer(text) if is_token(m[1], m[2])]
+    b = 0
     for m in _RUN.finditer(text):
         s = m[0]
-        if not s.startswith(("MI", "MC", "MD", "ME", "MF", "MG", "MH", "b3BlbnNzaC1rZXk", "30")) or m.start() < stop:
-            continue  # the first bytes of a sequence of 32 bytes or more, or of the magic
+        while b < len(blocks) and blocks[b][1] <= m.start():
+            b += 1
+        if not s.startswith(("MI", "MC", "MD", "ME", "MF", "MG", "MH", "b3BlbnNzaC1rZXk", "30")) or (b < len(blocks) and blocks[b][0] <= m.start()):
+            continue  # not the first bytes of a sequence of 32 bytes or more, or of the magic; or inside a confirmed block
         raws = [unbase64(s)] + ([bytes.fromhex(s)] if len(s) % 2 == 0 and re.fullmatch("[0-9A-Fa-f]+", s) else [])
         if any(r and is_private_der(r) for r in raws):
             out.append(("der", *m.span(), False))

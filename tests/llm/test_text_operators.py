@@ -139,6 +139,16 @@ def test_secrets_are_confirmed_by_structure():
     assert "der" in kinds(f"hex {KEY.hex()} x")
 
 
+def test_keys_before_between_and_after_armoured_blocks_are_found(spark):
+    body = base64.b64encode(KEY).decode()
+    ssh = "b3BlbnNzaC1rZXktdjEA" + base64.b64encode(b"".join(len(x).to_bytes(4, "big") + x for x in (b"none", b"none", b"")) + b"\0\0\0\1" + b"".join(len(x).to_bytes(4, "big") + x for x in (b"public" * 5, b"private" * 9))).decode()
+    pem = f"-----BEGIN PRIVATE KEY-----\n{body}\n-----END PRIVATE KEY-----"
+    text = f"a {body} b {KEY.hex()} c {ssh} d {pem} e {body} f {pem} g {ssh} h {body}"
+    assert [x[0] for x in secrets.find_secrets(text) if not x[3]] == ["der", "der", "ssh", "pem", "der", "pem", "ssh", "der"]
+    (row,) = secrets.redact_secrets(frame(spark, [text])).collect()
+    assert re.sub(r" . ", " ", " " + row.text).split() == ["[SECRET]"] * 8
+
+
 def test_redaction_keeps_rows_and_columns(spark):
     docs = frame(spark, ["a password=hunter22 b", None, "clean"])
     out = secrets.redact_secrets(docs).orderBy("doc_id").collect()
