@@ -3,8 +3,8 @@
 Base kinds are patterns (``email``, ``ip``, ``card``, ``phone``).  The field adds mentions that patterns miss, above all those
 that repeat or resemble a certain one elsewhere in the same document.  Its nodes are the tokens of a document that hold a
 digit or ``@``, or that repeat the local part of an address; neighbouring nodes are joined by chain edges, equal or similar
-ones, however far apart, by skip edges.  Nodes inside base spans are evidence; loopy sum-product message passing infers the
-others.  Weights are trained by pseudo-likelihood on a bounded sample of documents whose labels are the base spans, to which
+ones, however far apart, by skip edges to one centre, the evidence among them if there is any.  Nodes inside base spans are
+evidence; loopy sum-product message passing, until it settles, infers the others.  Weights are trained by pseudo-likelihood on a bounded sample of documents whose labels are the base spans, to which
 weakened repeats of each positive token are added, so that skip potentials have something to carry.
 """
 
@@ -34,8 +34,9 @@ N_LABELS = 1 + len(BASE_KINDS)  # 0: none
 SAMPLE_DOCS, SAMPLE_NODES = 2000, 200
 #: Hashed unary features.
 WIDTH = 1 << 12
-#: Rounds of message passing; least probability of a label that is reported.
-ROUNDS, LEAST = 12, 0.9
+#: Messages of a document settle when none changes by ``SETTLED``; damping grows, and only a field that would swing forever is
+#: read as it stands after ``ROUNDS``.  Least probability of a label that is reported.
+SETTLED, ROUNDS, LEAST = 1e-4, 2000, 0.9
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -118,10 +119,11 @@ def _keys(w: str) -> list[str]:
 
 
 def document_graph(text: str, base: list[tuple[str, int, int]]) -> Graph:
-    """The field of one document; linear in its length, as each node links to the last one before it of each key."""
+    """The field of one document; linear in its length, as each node links, for each key, to the first evidence of each label
+    that has the key, wherever it is, or without evidence to the first node that has it: repeats are two skips apart at most."""
     locals_ = {text[s:e].split("@")[0].lower() for k, s, e in base if k == "email"}
     g = Graph([], [], [], [])
-    last: dict[str, int] = {}
+    keys: list[list[str]] = []
     b, prev_word, prev_node, pending = 0, "", -2, None
     tokens = _WORD.finditer(text)
     word = next(tokens, None)
@@ -139,13 +141,19 @@ def document_graph(text: str, base: list[tuple[str, int, int]]) -> Graph:
             g.feats.append(_features(w[:512], prev_word[:64], nxt[0][:64] if nxt else ""))
             if prev_node == number - 1:
                 g.edges.append((i - 1, i, 0))
-            for key in _keys(w[:512]):
-                if key in last and last[key] != i:
-                    g.edges.append((last[key], i, 1))
-                last[key] = i
+            keys.append(_keys(w[:512]))
             prev_node = number
         number += 1
         prev_word, word = w, nxt
+    evidence: dict[str, dict[int, int]] = {}
+    for i, x in enumerate(g.label):
+        for key in keys[i] if x > 0 else ():
+            evidence.setdefault(key, {}).setdefault(x, i)
+    first: dict[str, int] = {}
+    for i, own in enumerate(keys):
+        for key in own:
+            centres = evidence[key].values() if key in evidence else [first.setdefault(key, i)]
+            g.edges += [(min(i, j), max(i, j), 1) for j in centres if j != i]
     return g
 
 
@@ -209,7 +217,8 @@ def _lse(x: np.ndarray, axis: int) -> np.ndarray:
 
 
 def marginals(w: Weights, graphs: list[Graph], rounds: int = ROUNDS) -> list[np.ndarray]:
-    """Label probabilities of every node: loopy sum-product with damping, all documents of a batch at once."""
+    """Label probabilities of every node: loopy sum-product with damping, all documents of a batch at once, each until its own
+    messages settle."""
     size = [len(g.spans) for g in graphs]
     at = np.r_[0, np.cumsum(size)]
     n = int(at[-1])
@@ -227,15 +236,21 @@ def marginals(w: Weights, graphs: list[Graph], rounds: int = ROUNDS) -> list[np.
     pair = np.concatenate([w.edge[e[:, 2]], w.edge[e[:, 2]].transpose(0, 2, 1)]) if len(e) else np.zeros((0, N_LABELS, N_LABELS))
     back = np.r_[np.arange(len(e), 2 * len(e)), np.arange(len(e))]
     msg = np.zeros((2 * len(e), N_LABELS))
-    for _ in range(rounds if len(e) else 0):
+    own = np.repeat(np.arange(len(graphs)), [len(g.edges) for g in graphs])
+    own = np.r_[own, own]
+    live = np.arange(len(msg))  # messages of documents that have not settled
+    for r in range(rounds):
+        if not len(live):
+            break
         belief = z.copy()
-        np.add.at(belief, dst, msg)
-        new = _lse((belief[src] - msg[back])[:, :, None] + pair, 1)
+        np.add.at(belief, dst[live], msg[live])
+        new = _lse((belief[src[live]] - msg[back[live]])[:, :, None] + pair[live], 1)
         new -= _lse(new, 1)[:, None]
-        step = np.abs(new - msg).max()
-        msg = 0.5 * msg + 0.5 * new
-        if step < 1e-4:
-            break
+        step = new - msg[live]
+        msg[live] += 0.5 / (1 + r / 100) * step
+        worst = np.zeros(len(graphs))
+        np.maximum.at(worst, own[live], np.abs(step).max(1))
+        live = live[worst[own[live]] >= SETTLED]
     np.add.at(z, dst, msg)
     p = np.exp(z - _lse(z, 1)[:, None])
     return [p[at[k] : at[k + 1]] for k in range(len(graphs))]

@@ -209,6 +209,25 @@ def test_skip_edges_join_distant_equal_tokens_and_label_them(spark):
     assert [(s.kind, s.start, s.end) for s in rows[0].spans if s.base] == base and [len(r.spans) for r in rows[1:]] == [0, 0, 0]
 
 
+def test_all_repeats_of_an_address_get_the_evidence_and_one_label(spark):
+    rng = random.Random(5)
+    train = [f"{'word ' * rng.randrange(3, 9)}user{i}@mail{i}.org and {rng.randrange(10**4)} items of {rng.randrange(99)}" for i in range(80)] + [f"{i} trees and {i * 7} birds" for i in range(80)]
+    w = pii.fit_field(frame(spark, train))
+    text = "write to anna.berg@example.org today . " + "then plain words go on and anna.berg answers " * 120
+    base = pii.base_spans(text)
+    g = pii.document_graph(text, base)
+    (p,) = pii.marginals(w, [g])
+    assert len(p) == 121 and abs(p[1:] - p[100]).max() < 1e-2 and set(p.argmax(1)) == {1}
+    (row,) = pii.scan_pii(frame(spark, [text]), w).collect()
+    assert [text[s.start : s.end] for s in row.spans if not s.base] == ["anna.berg"] * 120
+    late = "then anna.berg answers " * 60 + "anna.berg@example.org"  # evidence after its repeats
+    (row,) = pii.scan_pii(frame(spark, [late]), w).collect()
+    assert sum(s.kind == "crf_email" for s in row.spans) == 60
+    loop = pii.Graph([(0, 0)] * 40, [[0]] * 40, [1] + [-1] * 39, [(i, i + 1, 1) for i in range(39)])  # 39 hops
+    strong = pii.Weights(w.unary * 0, pii.np.array([w.edge[0] * 0, pii.np.eye(pii.N_LABELS) * 9]))
+    assert pii.marginals(strong, [loop])[0][39, 1] > 0.9
+
+
 # passages ---------------------------------------------------------------------------------------------------------------
 
 
