@@ -258,6 +258,33 @@ def test_planted_passages_are_found_and_clean_documents_left_alone(spark):
     assert substring_dedup.shared_passages(frame(spark, [])).count() == 0
 
 
+def test_every_holder_of_a_passage_meets_another_though_its_parts_are_common(spark):
+    rng = random.Random(9)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    pool = [[word() for _ in range(30)] for _ in range(12)]
+    texts, order = [], []
+    for _ in range(600):
+        a, b = rng.randrange(12), rng.randrange(12)
+        order.append((a, b))
+        texts.append(" ".join([word() for _ in range(20)] + pool[a] + pool[b] + [word() for _ in range(20)]))
+    rows = substring_dedup.shared_passages(frame(spark, texts)).collect()
+    hit = {}
+    for r in rows:
+        if min(r.end_word, 80) - max(r.start_word, 20) >= 50:
+            hit.setdefault(r.doc_id, set()).add(r.ref_doc_id)
+            hit.setdefault(r.ref_doc_id, set()).add(r.doc_id)
+    assert {i for i, x in enumerate(order) if order.count(x) > 1} <= set(hit)
+
+
+def test_an_exact_passage_is_kept_though_a_far_seed_joins_its_chain(spark):
+    rng = random.Random(10)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    p, q = [word() for _ in range(50)], [word() for _ in range(24)]
+    texts = [" ".join([*p, *(word() for _ in range(70)), *q]) for _ in range(2)] + [" ".join([*p, *(word() for _ in range(300)), *p])]
+    rows = {(r.doc_id, r.ref_doc_id) for r in substring_dedup.shared_passages(frame(spark, texts)).collect() if r.end_word - r.start_word >= 50}
+    assert {(1, 0), (2, 2)} <= {(max(x), min(x)) for x in rows}
+
+
 def test_chain_score_equals_quadratic_programming():
     import numpy as np
 
