@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import re
 import shutil
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,12 +17,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 _CHECKPOINT = "spark.checkpoint.dir"
+_TABLE = "_plumbline_table"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from ``spark.checkpoint.dir``; only where that is unset, one of our own (tests, one machine)."""
+    """The folder that driver and executors share, from ``spark.checkpoint.dir``.  Where that is unset, a folder of our own if all
+    runs on this machine (tests), else an error: a cluster's machines do not see each other's folders."""
     found = spark.conf.get(_CHECKPOINT, None) or spark.sparkContext.getConf().get(_CHECKPOINT)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError(f"set {_CHECKPOINT} to a folder that all executors share")
         own = tempfile.mkdtemp(prefix="plumbline-")
         atexit.register(shutil.rmtree, own, True)
         found = f"file://{own}"
@@ -31,12 +36,59 @@ def shared_dir(spark: SparkSession) -> str:
 
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back, so that later work does not redo it
-    and lost executors cost nothing but their running tasks."""
+    and lost executors cost nothing but their running tasks.  ``discard`` deletes the table; else it goes when Python ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/plumbline/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    setattr(out, _TABLE, (where, spark._jsc.hadoopConfiguration()))
+    atexit.register(_delete, *getattr(out, _TABLE))
+    return out
+
+
+def _delete(where: object, conf: object) -> None:
+    try:
+        where.getFileSystem(conf).delete(where, True)
+    except Exception:  # noqa: BLE001 - the JVM may be gone, and with it all that could delete
+        pass
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table of ``cut`` that nothing will read again."""
+    _delete(*getattr(df, _TABLE))
+
+
+def without(df: DataFrame, names: Iterable[str]) -> DataFrame:
+    """``df`` without its columns of these names, whatever their case: outputs replace them."""
+    gone = {n.lower() for n in names}
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in gone])
+
+
+def extended(df: DataFrame, ddl: str) -> StructType:
+    """The schema of ``df`` with further columns."""
+    return StructType([*df.schema.fields, *StructType.fromDDL(ddl).fields])
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column of ``df`` has it."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name = f"_{name}"
+    return name
+
+
+def with_weighted(left: DataFrame, right: DataFrame, on: list[str], weight: str, total: int, how: str = "left") -> DataFrame:
+    """``left`` joined with ``right``, one row per key, whose ``weight`` is at least the number of rows of that key in ``left``.
+
+    Keys with more than a share ``1 / (4 width)`` of the ``total`` weight, of which there are fewer than ``4 width``, are
+    broadcast, so that no task gets all rows of one; the others meet by key.  The result has no column ``weight``."""
+    most = total // (4 * partitions(left.sparkSession))
+    hot = F.broadcast(right.where(F.col(weight) > most).drop(weight))
+    cold = right.where(F.col(weight) <= most).drop(weight)
+    rest = left.join(F.broadcast(right.where(F.col(weight) > most).select(*on)), on, "left_anti")
+    return left.join(hot, on).unionByName(rest.join(cold, on, how))
 
 
 def partitions(spark: SparkSession) -> int:
@@ -49,9 +101,8 @@ def deal(df: DataFrame, key: str) -> DataFrame:
     return df.repartitionById(partitions(df.sparkSession), F.col(key).cast("int"))
 
 
-#: Rows of an Arrow batch of texts, where the session has not chosen its own number.
+#: Rows of a batch that Python works on at a time; the bytes that reach it at once are bounded by the session.
 BATCH_ROWS = 1000
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def trim() -> None:
@@ -65,13 +116,10 @@ def trim() -> None:
 
 def arrow_map(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """``df.mapInArrow`` in batches small enough for long texts, giving memory back after each task."""
-    spark = df.sparkSession
-    if spark.conf.get(_BATCH) == "10000":
-        spark.conf.set(_BATCH, str(BATCH_ROWS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
-            yield from f(batches)
+            yield from f(b.slice(i, BATCH_ROWS) for b in batches for i in range(0, b.num_rows, BATCH_ROWS))
         finally:
             trim()
 
@@ -134,7 +182,8 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        e = cut(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        old, e = e, cut(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        discard(old)
         now = e.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))")).first()
         if now == before:
             break

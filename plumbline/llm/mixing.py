@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import partitions
+from .common import partitions, without
 
 #: Sources up to this number are broadcast (a row has some tens of doubles); beyond it the join is salted instead.
 BROADCAST_SOURCES = 10_000
@@ -50,13 +50,11 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, power:
 
     The draw depends on seed and id alone, so it is the same on any cluster; rows that repeat an id repeat its draw, and a null
     id draws as the empty string.  A null source is a source of its own.  Without weights above zero nothing is kept.  Other
-    columns are kept under their names; names that begin with ``_mix_`` are reserved, and with ``keep_key`` an input column of one
-    of the three names is an error.  An empty table gives an empty result.
+    columns are kept under their names; names that begin with ``_mix_`` are reserved, and with ``keep_key`` input columns of the
+    three names are replaced.  An empty table gives an empty result.
     """
+    docs = without(docs, ["n_copies", "copy", "shuffle_key"]) if keep_key else docs
     names = docs.columns
-    clash = {"n_copies", "copy", "shuffle_key"} & set(names)
-    if keep_key and clash:
-        raise ValueError(f"the input already has columns {sorted(clash)}")
     table = poisson_table(target_rates(docs, source_col, weights, power)).select(F.col("source").alias("_mix_source"), F.col("cdf").alias("_mix_cdf"))
     src = docs
     if table.count() <= BROADCAST_SOURCES:

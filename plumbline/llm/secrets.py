@@ -32,11 +32,15 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,}+={0,2}")
-_TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]*+)\.([A-Za-z0-9_-]++)(?:\.([A-Za-z0-9_-]*+))?")
+#: The next line of a run that is wrapped, with real or written-out line ends.
+_NEXT = re.compile(r"(?:\r?\n[\x20\t>]*|\\r?\\n)([A-Za-z0-9+/_-]++={0,2})")
+#: Where a key may begin in a run: base64 of a sequence of 32 bytes or more, of the container's magic or of armour, or these in hex.
+_HEAD = re.compile(r"(?:^|(?<=[/+_-]))(?:M[C-I]|b3BlbnNzaC1rZXktdjE|LS0tLS1CRUdJTi|30(?=[2-8])|6[fF]70656[eE]7373682[dD])")
+_TOKEN = re.compile(r"(?<![A-Za-z0-9_-])((?:e[wy]|I[A-P]|[CD][Q-Zg-v])[A-Za-z0-9_-]*+)\.([A-Za-z0-9_-]++)(?:\.([A-Za-z0-9_-]*+))?")
 _BEGIN = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}PRIVATE KEY)-----")
 
 #: A text that this does not match holds neither base nor added spans.
-_ANY = r"""(?i:password|passwd|secret|token|api_?key)["']? *[:=] *["']?[A-Za-z0-9+/_.=-]{6}|AKIA[A-Z0-9]{16}|[A-Za-z0-9+/_-]{24}|-----BEGIN |eyJ[A-Za-z0-9_-]*\."""
+_ANY = r"""(?i:password|passwd|secret|token|api_?key)["']? *[:=] *["']?[A-Za-z0-9+/_.=-]{6}|AKIA[A-Z0-9]{16}|[A-Za-z0-9+/_-]{24}|-----BEGIN |(?:e[wy]|I[A-P]|[CD][Q-Zg-v])[A-Za-z0-9_-]{9}[A-Za-z0-9_-]*\."""
 
 
 def unbase64(s: str) -> bytes | None:
@@ -50,23 +54,37 @@ def unbase64(s: str) -> bytes | None:
         return None
 
 
-def tlv(data: bytes, at: int, end: int, depth: int = 0) -> list[tuple[int, int, int]] | None:
-    """The ASN.1 elements that fill ``data[at:end]`` exactly, as ``(tag, start, end)`` of their contents; None if they don't."""
-    out = []
-    while at < end:
-        if end - at < 2:
+def _length(data: bytes, at: int) -> tuple[int, int] | None:
+    """The length of the ASN.1 element whose length bytes begin at ``at``, and where its contents do."""
+    if at >= len(data):
+        return None
+    n, at = data[at], at + 1
+    if n & 0x80:
+        k = n & 0x7F
+        if not 1 <= k <= 4 or at + k > len(data):
             return None
-        tag, n, at = data[at], data[at + 1], at + 2
-        if n & 0x80:
-            k = n & 0x7F
-            if not 1 <= k <= 4 or at + k > end:
+        n, at = int.from_bytes(data[at : at + k], "big"), at + k
+    return n, at
+
+
+def tlv(data: bytes, at: int, end: int) -> list[tuple[int, int, int]] | None:
+    """The ASN.1 elements that fill ``data[at:end]`` exactly, as ``(tag, start, end)`` of their contents; None if they, or those
+    nested in them at any depth, don't."""
+    top = []
+    todo = [(at, end)]
+    while todo:
+        i, stop = todo.pop()
+        first = not top
+        while i < stop:
+            got = _length(data, i + 1)
+            if not got or got[0] + got[1] > stop:
                 return None
-            n, at = int.from_bytes(data[at : at + k], "big"), at + k
-        if at + n > end or (tag & 0x20 and depth < 8 and tlv(data, at, at + n, depth + 1) is None):
-            return None
-        out.append((tag, at, at + n))
-        at += n
-    return out
+            if first:
+                top.append((data[i], got[1], got[0] + got[1]))
+            if data[i] & 0x20 and got[0]:
+                todo.append((got[1], got[0] + got[1]))
+            i = got[0] + got[1]
+    return top
 
 
 def is_private_der(data: bytes) -> bool:
@@ -86,12 +104,14 @@ def is_private_der(data: bytes) -> bool:
     return tags == [0x30, 0x04] and inner[0][2] > inner[0][1] and data[inner[0][1]] == 0x06 and inner[1][2] - inner[1][1] >= 32
 
 
+_MAGIC = b"openssh-key-v1\0"
+
+
 def is_private_ssh(data: bytes) -> bool:
     """The private-key container: its magic, then cipher, kdf, options, count and fields by length prefix."""
-    magic = b"openssh-key-v1\0"
-    if not data.startswith(magic):
+    if not data.startswith(_MAGIC):
         return False
-    at, fields = len(magic), 0
+    at, fields = len(_MAGIC), 0
     while at + 4 <= len(data):
         n = int.from_bytes(data[at : at + 4], "big")
         at += 4
@@ -115,37 +135,90 @@ def is_token(head: str, body: str) -> bool:
         return False
 
 
+def _pem(text: str) -> list[tuple[int, int]]:
+    """Bounds of the armoured blocks whose body proves to be a key.  A block ends before the next begins, however long it is."""
+    begins = list(_BEGIN.finditer(text))
+    out = []
+    for m, stop in zip(begins, [*(x.start() for x in begins[1:]), len(text)]):
+        tail = f"-----END {m[1]}-----"
+        end = text.find(tail, m.end(), stop)
+        if end < 0:
+            continue
+        lines = text[m.end() : end].replace("\\r", "").replace("\\n", "\n").split("\n")
+        raw = unbase64("".join(x.strip(" \t\r>") for x in lines if ":" not in x)) or b""
+        if is_private_der(raw) or is_private_ssh(raw) or (any("ENCRYPTED" in x for x in lines) and len(raw) >= 32 and len(raw) % 8 == 0):
+            out.append((m.start(), end + len(tail)))
+    return out
+
+
+def _key(text: str, start: int, end: int) -> tuple[str, int] | None:
+    """Kind and end of the key that begins at ``start`` in a run that ends at ``end``: in it alone, or with the lines after it, of
+    which all but the last are equally long.  A sequence tells its length and a container its cipher, so what does not fit is
+    never decoded."""
+    is_hex = text[start] in "36"
+    if is_hex:
+        decode = lambda x: bytes.fromhex(x) if len(x) % 2 == 0 and re.fullmatch("[0-9A-Fa-f]+", x) else None
+    else:
+        decode = unbase64
+    size = end - start
+    while text[start + size - 1] == "=":
+        size -= 1
+    head = decode(text[start : min(end, start + 48)]) or b""
+    whole = None  # characters of the key, without padding
+    if head[:1] == b"\x30":
+        got = _length(head, 1)
+        whole = 2 * sum(got) if got and is_hex else -(-4 * sum(got) // 3) if got else 0
+        if size > whole:
+            return None
+    elif not head.startswith(b"-----BEGIN ") and not (head.startswith(_MAGIC) and len(head) > 20 and int.from_bytes(head[15:19], "big") < 64 and head[19:20].isalpha()):
+        return None
+
+    def kind(raw: bytes | None) -> str | None:
+        if not raw:
+            return None
+        if whole is not None:
+            return "der" if is_private_der(raw) else None
+        return "ssh" if is_private_ssh(raw) else "pem" if raw.startswith(b"-----BEGIN") and _pem(raw.decode("utf-8", "replace")) else None
+
+    lines, width, before = [text[start:end]], 0, end
+    if whole is None and (k := kind(decode(lines[0]))):
+        return k, end
+    while whole is None or size < whole:
+        m = _NEXT.match(text, end) if "=" not in lines[-1] else None
+        if not m or (width and len(m[1]) > width) or (len(lines) > 1 and len(lines[-1]) < width):
+            break
+        width = width or len(m[1])
+        lines.append(m[1])
+        size, before, end = size + len(m[1].rstrip("=")), end, m.end()
+    if whole is not None:
+        k = kind(decode("".join(lines))) if size == whole else None
+        return (k, end) if k else None
+    for n, at in ((len(lines), end), (len(lines) - 1, before)):  # a last word may be no part of it
+        if n > 1 and (k := kind(decode("".join(lines[:n])))):
+            return k, at
+    return None
+
+
 def find_secrets(text: str) -> list[tuple[str, int, int, bool]]:
     """All spans of one text, by start and then kind as in ``KINDS``."""
     out = [("assign", *m.span(), True) for m in _ASSIGN.finditer(text) if len(m[2]) >= 6]
     out += [("access", *m.span(), True) for m in _ACCESS.finditer(text) if m.end() - m.start() >= 20]
     out += [("hex", *m.span(), True) for m in _HEX.finditer(text)]
-    blocks: list[tuple[int, int]] = []
-    for m in _BEGIN.finditer(text):
-        if blocks and m.start() < blocks[-1][1]:
-            continue
-        tail = f"-----END {m[1]}-----"
-        end = text.find(tail, m.end(), m.end() + 20_000)  # no key is longer
-        if end < 0:
-            continue
-        lines = text[m.end() : end].replace("\\n", "\n").split("\n")
-        raw = unbase64("".join(x.strip() for x in lines if ":" not in x)) or b""
-        if is_private_der(raw) or is_private_ssh(raw) or (any("ENCRYPTED" in x for x in lines) and len(raw) >= 32 and len(raw) % 8 == 0):
-            blocks.append((m.start(), end + len(tail)))
+    blocks = _pem(text)
     out += [("pem", *x, False) for x in blocks]
     out += [("jwt", *m.span(), False) for m in _TOKEN.finditer(text) if is_token(m[1], m[2])]
-    b = 0
+    b = done = 0
     for m in _RUN.finditer(text):
-        s = m[0]
         while b < len(blocks) and blocks[b][1] <= m.start():
             b += 1
-        if not s.startswith(("MI", "MC", "MD", "ME", "MF", "MG", "MH", "b3BlbnNzaC1rZXk", "30")) or (b < len(blocks) and blocks[b][0] <= m.start()):
-            continue  # not the first bytes of a sequence of 32 bytes or more, or of the magic; or inside a confirmed block
-        raws = [unbase64(s)] + ([bytes.fromhex(s)] if len(s) % 2 == 0 and re.fullmatch("[0-9A-Fa-f]+", s) else [])
-        if any(r and is_private_der(r) for r in raws):
-            out.append(("der", *m.span(), False))
-        elif raws[0] and is_private_ssh(raws[0]):
-            out.append(("ssh", *m.span(), False))
+        if (b < len(blocks) and blocks[b][0] <= m.start()) or m.start() < done:
+            continue  # inside a confirmed block, or a line of a key that is found
+        for h in _HEAD.finditer(m[0]):
+            got = _key(text, m.start() + h.start(), m.end())
+            if got:
+                out.append((got[0], m.start() + h.start(), got[1], False))
+                done = got[1]
+                break
     return sorted(out, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
 
@@ -162,8 +235,8 @@ def scan_secrets(docs: DataFrame, text_col: str = "text", out_col: str = "spans"
     """``docs`` with ``out_col``, an array of ``(kind, start, end, base)``: code points, end exclusive, by start and then kind.
 
     Every text is scanned whole, however long; a null or empty one has no spans.  Each row stands alone, so nulls, ties and
-    repeats in other columns change nothing, and those columns are kept under their names; only a column already called
-    ``out_col`` is an error.  An empty table gives an empty result.
+    repeats in other columns change nothing, and those columns are kept under their names, but for one called ``out_col``, which
+    is replaced.  An empty table gives an empty result.
     """
     return scan(docs, _find, text_col, out_col)
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map
+from .common import arrow_map, extended, without
 
 SPAN_TYPE = "array<struct<kind:string,start:int,end:int,base:boolean>>"
 _ARROW = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("base", pa.bool_())]))
@@ -26,10 +26,10 @@ def span_array(rows: list[list[tuple[str, int, int, bool]]]) -> pa.Array:
 
 
 def scan(docs: DataFrame, find: Callable[[pa.Array], list[list[tuple[str, int, int, bool]]]], text_col: str, out_col: str = "spans") -> DataFrame:
-    """``docs`` with a column of spans; every other column is kept.  ``find`` maps a text column to sorted spans per row."""
+    """``docs`` with a column of spans, which replaces one of the same name; every other column is kept.  ``find`` maps a text
+    column to sorted spans per row."""
+    docs = without(docs, [out_col])
     names = docs.columns
-    if out_col in names:
-        raise ValueError(f"the input already has a column {out_col}")
     at = names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -38,8 +38,7 @@ def scan(docs: DataFrame, find: Callable[[pa.Array], list[list[tuple[str, int, i
             found = span_array(find(col.cast(pa.string()) if not pa.types.is_string(col.type) else col))
             yield pa.RecordBatch.from_arrays([*b.columns, found], [*names, out_col])
 
-    schema = docs.schema
-    return arrow_map(docs, run, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields] + [f"`{out_col}` {SPAN_TYPE}"]))
+    return arrow_map(docs, run, extended(docs, f"`{out_col}` {SPAN_TYPE}"))
 
 
 def joined(spans: Column) -> Column:

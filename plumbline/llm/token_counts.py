@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import arrow_map
+from .common import arrow_map, extended, without
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 #: Words whose counts a worker remembers; beyond it the memory is emptied and fills anew.
@@ -111,12 +111,10 @@ def count_tokens(docs: DataFrame, text_col: str = "text", vocabulary: str = VOCA
     """``docs`` with the number of tokens and of words of its texts; other columns are kept.
 
     Every text is counted whole, however long; a null or empty one counts 0.  Rows stand alone, so ties, repeats and nulls in
-    other columns change nothing; an output name that is already taken is an error.  An empty table gives an empty result.
-    The vocabulary file must lie at the same path on every executor.
+    other columns change nothing; columns of an output's name are replaced.  An empty table gives an empty result.  The vocabulary file must lie at the same path on every executor.
     """
+    docs = without(docs, [out_col, words_col])
     names = docs.columns
-    if {out_col, words_col} & set(names):
-        raise ValueError(f"the input already has a column {out_col} or {words_col}")
     at = names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,8 +123,7 @@ def count_tokens(docs: DataFrame, text_col: str = "text", vocabulary: str = VOCA
             got = np.array([c.text(t or "") for t in b.column(at).to_pylist()], np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got[:, 0]), pa.array(got[:, 1])], [*names, out_col, words_col])
 
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields]
-    return arrow_map(docs, run, ", ".join([*fields, f"`{out_col}` long", f"`{words_col}` long"]))
+    return arrow_map(docs, run, extended(docs, f"`{out_col}` long, `{words_col}` long"))
 
 
 def op5_token_counts(spark, sf_dir: str) -> DataFrame:
