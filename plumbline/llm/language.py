@@ -18,12 +18,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import arrow_map, batch
+from .common import arrow_map, batch, extended, without
 
 #: Hashed trigram buckets of the model, and the weight of one unseen observation spread over them.
 BUCKETS, SMOOTHING = 1 << 14, 0.5
-#: A document is taken to hold this many languages at most.
-MOST_LANGUAGES = 4
 ROUNDS = 12
 #: Log-likelihood that one more language must gain, per log of the number of words.
 PENALTY = 3.0
@@ -132,7 +130,7 @@ def infer(model: Model, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarr
     out_share, out_size, out_top = np.ones(len(has)), np.ones(len(has), np.int64), top.copy()
     price = PENALTY * np.log(np.maximum(count[has], 2))
     todo = cols
-    for k in range(2, min(L, MOST_LANGUAGES) + 1):
+    for k in range(2, L + 1):
         # the mixture over all languages bounds what any set can reach: a document it cannot help is finished
         todo = todo[full[todo] + 1e-3 - (k - 1) * price[todo] > best[todo]]
         if not len(todo):
@@ -158,17 +156,15 @@ def _no_letter(texts: pa.Array) -> np.ndarray:
     return ~np.asarray(pc.fill_null(pc.match_substring_regex(texts, r"\p{L}"), False))
 
 
-def identify(docs: DataFrame, model: Model, text_col: str = "text", lang_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
-    """``docs`` with its language, the share of its words that the language explains (0 to 1), and ``n_langs`` of the set taken.
+def identify(docs: DataFrame, model: Model, text_col: str = "text", lang_col: str = "lang_pred", score_col: str = "score", size_col: str = "n_langs") -> DataFrame:
+    """``docs`` with its language, the share of its words that the language explains (0 to 1), and the size of the set taken.
 
     Every text is read whole.  A null text, one without a letter, and any text under a model without languages is ``und`` with
-    score 0.  Ties go to the language first in order of name.  Other columns are kept; an output name that is already taken is
-    an error.  Rows stand alone, so repeats and nulls elsewhere change nothing; an empty table gives an empty result.
+    score 0.  Ties go to the language first in order of name.  Other columns are kept, but for those of an output's name, which
+    are replaced.  Rows stand alone, so repeats and nulls elsewhere change nothing; an empty table gives an empty result.
     """
+    docs = without(docs, [lang_col, score_col, size_col])
     names = docs.columns
-    clash = {lang_col, score_col, "n_langs"} & set(names)
-    if clash:
-        raise ValueError(f"the input already has columns {sorted(clash)}")
     at = names.index(text_col)
     labels = np.array([*model.langs, UNKNOWN], object)
 
@@ -181,10 +177,9 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", lang_col: st
             lang, share, size = (np.concatenate(x) for x in zip(*got)) if got else (np.zeros(0, int), np.zeros(0), np.zeros(0, int))
             none = _no_letter(col) | (lang < 0)
             lang, share, size = np.where(none, -1, lang), np.where(none, 0.0, share), np.where(none, 0, size)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(labels[lang], pa.string()), pa.array(share, pa.float64()), pa.array(size, pa.int32())], [*names, lang_col, score_col, "n_langs"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(labels[lang], pa.string()), pa.array(share, pa.float64()), pa.array(size, pa.int32())], [*names, lang_col, score_col, size_col])
 
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields]
-    return arrow_map(docs, run, ", ".join([*fields, f"`{lang_col}` string", f"`{score_col}` double", "n_langs int"]))
+    return arrow_map(docs, run, extended(docs, f"`{lang_col}` string, `{score_col}` double, `{size_col}` int"))
 
 
 def held_out(id_col: str = "doc_id") -> Column:
