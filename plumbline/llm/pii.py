@@ -43,7 +43,8 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+#: Tokens: words, cut at quotes, brackets and other marks that hold records together, but not at a comma inside a number.
+_WORD = re.compile(r"""(?:[^\x20\x09-\x0D"'<>{}\[\]|;,=]|(?<=[0-9]),(?=[0-9]))+""")
 _TRIM = " \t\r\n.,;:!?\"'()[]{}<>"
 _ANY = r"@|[0-9]"
 
@@ -88,7 +89,7 @@ class Graph:
 
 
 def _shape(w: str) -> str:
-    s = re.sub(r"[a-z]+", "a", re.sub(r"[A-Z]+", "A", w[:64]))
+    s = re.sub(r"[a-z]+", "a", re.sub(r"[A-Z]+", "A", w))
     return re.sub(r"[^\x00-\x7f]+", "u", re.sub(r"[0-9]+", lambda m: f"9{min(len(m[0]), 9)}" if len(m[0]) < 4 else "9N", s))
 
 
@@ -115,7 +116,7 @@ def _keys(w: str) -> list[str]:
         keys += ["#" + d, "~" + d[-7:]]
     if "@" in core:
         keys.append("=" + core.split("@")[0])
-    return keys
+    return [k if len(k) <= 64 else xxhash.xxh128_hexdigest(k.encode("utf-8", "surrogatepass")) for k in keys]
 
 
 def document_graph(text: str, base: list[tuple[str, int, int]]) -> Graph:
@@ -124,27 +125,41 @@ def document_graph(text: str, base: list[tuple[str, int, int]]) -> Graph:
     locals_ = {text[s:e].split("@")[0].lower() for k, s, e in base if k == "email"}
     g = Graph([], [], [], [])
     keys: list[list[str]] = []
-    b, prev_word, prev_node, pending = 0, "", -2, None
-    tokens = _WORD.finditer(text)
-    word = next(tokens, None)
-    number = 0
-    while word is not None:
-        nxt = next(tokens, None)
-        w = word[0]
-        if any(c in "0123456789@" for c in w[:512]) or (locals_ and w.strip(_TRIM).lower() in locals_):
-            s, e = word.span()
-            while b < len(base) and base[b][2] <= s:
+    b, number, prev_node = 0, -1, -2
+    before, pending = "", None
+
+    def add(after: str) -> None:
+        w, s, e, label, before, number = pending
+        g.spans.append((s, e)), g.label.append(label)
+        g.feats.append(_features(w, before, after))
+        keys.append(_keys(w))
+        if number:
+            g.edges.append((len(g.spans) - 2, len(g.spans) - 1, 0))
+
+    for m in _WORD.finditer(text):
+        at, end = m.span()
+        while at < end:  # parts of the token: inside a base span, and between them
+            while b < len(base) and base[b][2] <= at:
                 b += 1
-            label = next((1 + BASE_KINDS.index(k) for k, x, y in base[b : b + 8] if x < e and y > s), -1)
-            i = len(g.spans)
-            g.spans.append((s, e)), g.label.append(label)
-            g.feats.append(_features(w[:512], prev_word[:64], nxt[0][:64] if nxt else ""))
-            if prev_node == number - 1:
-                g.edges.append((i - 1, i, 0))
-            keys.append(_keys(w[:512]))
-            prev_node = number
-        number += 1
-        prev_word, word = w, nxt
+            j, stop, label = b, end, -1
+            while j < len(base) and base[j][1] < end:
+                if base[j][2] > at:
+                    if base[j][1] <= at:
+                        label, stop = 1 + BASE_KINDS.index(base[j][0]), min(end, base[j][2])
+                        break
+                    stop = min(stop, base[j][1])
+                j += 1
+            w = text[at:stop]
+            number += 1
+            if pending:
+                add(w)
+                pending = None
+            if label > 0 or any(c in "0123456789@" for c in w) or (locals_ and w.strip(_TRIM).lower() in locals_):
+                pending = (w, at, stop, label, before, prev_node == number - 1)
+                prev_node = number
+            before, at = w, stop
+    if pending:
+        add("")
     evidence: dict[str, dict[int, int]] = {}
     for i, x in enumerate(g.label):
         for key in keys[i] if x > 0 else ():
@@ -323,8 +338,8 @@ def scan_pii(docs: DataFrame, weights: Weights, text_col: str = "text", out_col:
     """``docs`` with ``out_col``, an array of ``(kind, start, end, base)``: code points, end exclusive, by start and then kind.
 
     Every text is scanned whole, however long; a null or empty one has no spans.  Each row stands alone, so nulls, ties and
-    repeats in other columns change nothing, and those columns are kept under their names; only a column already called
-    ``out_col`` is an error.  An empty table gives an empty result.
+    repeats in other columns change nothing, and those columns are kept under their names, but for one called ``out_col``, which
+    is replaced.  An empty table gives an empty result.
     """
 
     def find(col: pa.Array) -> list[list[tuple[str, int, int, bool]]]:
