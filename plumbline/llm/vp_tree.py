@@ -1,23 +1,32 @@
 """Nearest neighbours by largest inner product: a vantage-point tree per shard.
 
-Vectors get one more coordinate, ``sqrt(M^2 - |x|^2)`` with M the largest norm of their shard, queries a zero: then the largest
-inner product is the smallest Euclidean distance, and the triangle inequality prunes.  ``factor`` multiplies a subtree's lower
-bound before it is held against the k-th distance so far: above 1 the search is faster and approximate, at 1 it is exact.  All
-queries of a block go down the tree together, so the work is in matrix products.
+Vectors are dealt by region, the nearest of some centres of a bounded sample, and regions are cut into shards.  A query first
+searches a shard of its own region; the k-th score it finds there is a floor for all others, and only shards whose region, a ball
+around its centre, may hold a better one are searched.  In a shard, vectors get one more coordinate, ``sqrt(M^2 - |x|^2)`` with M
+their largest norm, queries a zero: then the largest inner product is the smallest Euclidean distance, and the triangle
+inequality prunes the tree.  ``factor`` multiplies a lower bound, of a region or a subtree, before it is held against the k-th
+distance so far: above 1 the search is faster and approximate, at 1 it is exact.  All queries of a block go down the tree
+together, so the work is in matrix products.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch
+from .common import arrow_map, batch, cut, discard, partitions
 from .vectors import matrix, usable
 
 #: Vectors of a shard, queries of a block, vectors of a leaf.
-SHARD_ROWS, QUERY_ROWS, LEAF = 4096, 4096, 256
+SHARD_ROWS, QUERY_ROWS, LEAF = 4096, 4096, 64
+#: Most regions, and the vectors of the sample that their centres come from for each of them.
+MOST_REGIONS, PER_REGION = 1024, 8
+#: Lists of results that are merged at once.
+MERGE = 64
 #: Relaxation in production: exact.
 FACTOR = 1.0
 
@@ -52,9 +61,11 @@ class Search:
         self.root = _Node(self.wide, np.arange(len(x)), leaf)
         self.visited = 0
 
-    def query(self, qid: np.ndarray, q: np.ndarray, k: int, factor: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
-        """Ids (-1: none) and scores, best first, ties to the smaller id; a candidate with the query's own id takes no part."""
+    def query(self, qid: np.ndarray, q: np.ndarray, k: int, factor: float = 1.0, floor: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids (-1: none) and scores, best first, ties to the smaller id; a candidate with the query's own id takes no part.
+        Candidates below a query's ``floor`` may be left out."""
         self.qid, self.q, self.k, self.factor = qid, q, k, factor
+        self.floor = np.full(len(q), -np.inf) if floor is None else floor
         self.qn = (q**2).sum(1)
         self.slack = 1e-12 * np.sqrt(self.qn * max(self.top, 1e-300))
         self.best = np.full((len(q), k), -np.inf)
@@ -70,14 +81,14 @@ class Search:
         return np.add.accumulate(self.q[rows] * self.x[points], axis=1)[:, -1]
 
     def _far(self) -> np.ndarray:
-        return np.sqrt(np.maximum(self.qn + self.top - 2 * self.best.min(1), 0))
+        return np.sqrt(np.maximum(self.qn + self.top - 2 * np.maximum(self.best.min(1), self.floor), 0))
 
     def _down(self, node: _Node, rows: np.ndarray) -> None:
         if not len(rows):
             return
         if not node.kids:
-            for lo in range(0, len(node.points), 4 * LEAF):
-                self._score(node.points[lo : lo + 4 * LEAF], rows)
+            for lo in range(0, len(node.points), 1024):
+                self._score(node.points[lo : lo + 1024], rows)
             return
         c = node.center
         d = np.sqrt(np.maximum(self.qn[rows] + (c**2).sum() - 2 * self.q[rows] @ c[:-1], 0))
@@ -93,7 +104,7 @@ class Search:
         s = self.q[rows] @ self.x[points].T
         self.visited += s.size
         s[self.qid[rows][:, None] == self.ids[points][None, :]] = -np.inf
-        better = s.max(1) >= self.best[rows].min(1) - self.slack[rows]
+        better = s.max(1) >= np.maximum(self.best[rows].min(1), self.floor[rows]) - self.slack[rows]
         rows, s = rows[better], s[better]
         if not len(rows):
             return
@@ -111,52 +122,155 @@ class Search:
         self.at[rows] = np.where(np.isneginf(self.best[rows]), -1, self.at[rows])
 
 
-def _distinct(ids: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """One row per id, in order of id: of several the least vector."""
-    order = np.lexsort((*x.T[::-1], ids)) if len(x) else np.zeros(0, int)
-    ids, x = ids[order], x[order]
-    keep = np.r_[True, ids[1:] != ids[:-1]] if len(ids) else np.zeros(0, bool)
-    return ids[keep], x[keep]
+def centres(x: np.ndarray, n: int, rounds: int = 6) -> np.ndarray:
+    """``n`` means of a sample's rows by a few rounds of nearest assignment, starting at evenly spaced rows."""
+    c = x[np.linspace(0, len(x) - 1, n).astype(int)]
+    for _ in range(rounds if n > 1 else 1):
+        near = ((c**2).sum(1)[None, :] / 2 - x @ c.T).argmin(1)
+        c = np.stack([x[near == i].mean(0) if (near == i).any() else c[i] for i in range(n)])
+    return c
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", factor: float = FACTOR, shard_rows: int = SHARD_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
-    """The ``k`` vectors of largest inner product for each query: ``query_id, rank, vec_id, score``.
+def _regions(vectors: DataFrame, points: dict[int, np.ndarray]) -> DataFrame:
+    """``(id, v, dim)`` with the region of each vector, its distance from the centre and its norm; lengths without centres have one."""
 
-    Both tables are cut into shards and blocks by a hash of the id, and each pair of them is one group; from it comes one row
-    per query, and a query's rows are merged.  A query's own id is no candidate for it; ties go to the smaller id; with fewer
-    candidates than ``k`` all are returned.  Only vectors of a query's length are candidates for it.  Vectors or ids that are
-    null, and vectors that are empty, zero or hold null or non-finite components, take no part.  Rows that repeat an id count
-    once (the least vector).  Other columns are not read.  Empty tables give an empty result.
-    """
-    pick = lambda df: df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v")).where(usable("v") & F.col("id").isNotNull())
-    x, q = pick(vectors), pick(queries)
-    shards = max(1, -(-x.count() // shard_rows))
-    blocks = max(1, -(-q.count() // query_rows))
-    part = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    x = x.select("id", "v", part(shards).alias("shard"), each(blocks).alias("block"), F.lit(False).alias("ask"))
-    q = q.select("id", "v", each(shards).alias("shard"), part(blocks).alias("block"), F.lit(True).alias("ask"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            v, dim = b.column("v"), b.column("dim").to_numpy()
+            region, away, norm = np.zeros(len(v), np.int32), np.zeros(len(v)), np.zeros(len(v))
+            for d in np.unique(dim):
+                rows = np.flatnonzero(dim == d)
+                x = matrix(v.take(pa.array(rows)))
+                c = points.get(int(d), np.zeros((1, int(d))))
+                region[rows] = ((c**2).sum(1)[None, :] / 2 - x @ c.T).argmin(1)
+                away[rows] = np.sqrt(((x - c[region[rows]]) ** 2).sum(1))
+                norm[rows] = np.sqrt((x**2).sum(1))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(region), pa.array(away), pa.array(norm)], [*b.schema.names, "region", "away", "norm"])
+
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in vectors.schema.fields)
+    return arrow_map(vectors, run, ddl + ", region int, away double, norm double")
+
+
+_FOUND = "query_id long, dim int, shard long, found array<struct<s:double,id:long>>"
+
+
+def _search(x: DataFrame, q: DataFrame, k: int, factor: float) -> DataFrame:
+    """The best ``k`` of each pair of a query and a shard: ``q`` is ``(dim, shard, block, id, v, floor)``, ``x`` is ``(dim, shard, id,
+    v)``.  A shard goes to the blocks that visit it, and each shard and block is one group."""
+    none = pa.Table.from_batches([batch(query_id=pa.array([], pa.int64()), dim=pa.array([], pa.int32()), shard=pa.array([], pa.int64()), found=pa.array([], pa.list_(pa.struct([("s", pa.float64()), ("id", pa.int64())]))))])
 
     def run(t: pa.Table) -> pa.Table:
         ask = t.column("ask").to_numpy()
-        ids, v = t.column("id").to_numpy(), t.column("v").combine_chunks()
-        qi, qv = _distinct(ids[ask], matrix(v.filter(pa.array(ask))))
-        xi, xv = _distinct(ids[~ask], matrix(v.filter(pa.array(~ask))))
+        ids, v, floor = t.column("id").to_numpy(), t.column("v").combine_chunks(), t.column("floor").to_numpy()
+        xi, xv, qi, qv = ids[~ask], matrix(v.filter(pa.array(~ask))), ids[ask], matrix(v.filter(pa.array(ask)))
         if not len(qi) or not len(xi):
-            return pa.Table.from_batches([batch(query_id=pa.array([], pa.int64()), found=pa.array([], pa.list_(pa.struct([("s", pa.float64()), ("id", pa.int64())])))) ])
-        got, score = Search(xi, xv).query(qi, qv, min(k, len(xi)), factor)
-        n = (got >= 0).sum(1)
-        keep = got >= 0
+            return none
+        got, score = Search(xi, xv).query(qi, qv, min(k, len(xi)), factor, floor[ask])
+        keep = (got >= 0) & (score >= floor[ask][:, None])
+        n = keep.sum(1)
         flat = pa.StructArray.from_arrays([pa.array(-score[keep]), pa.array(got[keep])], ["s", "id"])
         found = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)].astype(np.int32)), flat)
-        return pa.Table.from_batches([batch(query_id=qi, found=found)])
+        dim, shard = t.column("dim")[0].as_py(), t.column("shard")[0].as_py()
+        out = batch(query_id=qi, dim=pa.array([dim] * len(qi), pa.int32()), shard=pa.array([shard] * len(qi), pa.int64()), found=found)
+        return pa.Table.from_batches([out.filter(pa.array(n > 0))])
+
+    tile = ["dim", "shard", "block"]
+    both = x.select("dim", "shard", "id", "v").join(q.select(*tile).distinct(), ["dim", "shard"]).withColumn("floor", F.lit(0.0)).withColumn("ask", F.lit(False))
+    both = both.unionByName(q.select(*tile, "id", "v", "floor").withColumn("ask", F.lit(True)))
+    return both.repartition(partitions(x.sparkSession), *tile).groupBy(*tile).applyInArrow(run, _FOUND)
+
 
-    both = x.unionByName(q).withColumn("dim", F.size("v"))
-    parts = both.groupBy("shard", "block", "dim").applyInArrow(run, "query_id long, found array<struct<s:double,id:long>>")
-    merged = parts.groupBy("query_id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("found"))), 1, k).alias("found"))
+def _merged(found: DataFrame, by: list[str | Column], k: int) -> DataFrame:
+    best = F.slice(F.array_sort(F.flatten(F.collect_list("found"))), 1, k).alias("found")
+    return found.groupBy(*by).agg(best)
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", factor: float = FACTOR, shard_rows: int = SHARD_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
+    """The ``k`` vectors of largest inner product for each query: ``query_id, rank, vec_id, score``.
+
+    A query's own id is no candidate for it; ties go to the smaller id; with fewer candidates than ``k`` all are returned.  Only
+    vectors of a query's length are candidates for it.  Vectors or ids that are null, and vectors that are empty, zero or hold
+    null or non-finite components, take no part.  Rows that repeat an id and a length count once (the least vector).  Other
+    columns are not read.  Empty tables give an empty result.
+    """
+    pick = lambda df: df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v"), F.size(vec_col).alias("dim")).where(usable("v") & F.col("id").isNotNull()).groupBy("id", "dim").agg(F.min("v").alias("v"))
+    x = cut(pick(vectors), "vectors")
+    q = pick(queries)
+    n = x.count()
+    regions = min(MOST_REGIONS, max(1, n // shard_rows))
+    points: dict[int, np.ndarray] = {}
+    if regions > 1:
+        by_dim: dict[int, list] = {}
+        for r in x.orderBy(F.xxhash64("id"), "id").limit(PER_REGION * regions).select("v").collect():
+            by_dim.setdefault(len(r.v), []).append(r.v)
+        points = {d: centres(np.array(v, np.float64), min(regions, len(v))) for d, v in by_dim.items()}
+    x, old = cut(_regions(x, points), "regions"), x
+    discard(old)
+    # at most MOST_REGIONS rows for each length of vectors
+    ball = x.groupBy("dim", "region").agg(F.count("*").alias("n"), F.max("away").alias("radius"), F.max("norm").alias("top"))
+    ball = cut(ball.withColumn("shards", F.ceil(F.col("n") / shard_rows).cast("long")), "balls")
+    most = ball.agg(F.coalesce(F.sum("shards"), F.lit(0))).first()[0]
+    code = lambda region, part: region.cast("long") * F.lit(1 << 32) + part
+    x = x.join(F.broadcast(ball.select("dim", "region", "shards")) if ball.count() <= 2 * MOST_REGIONS else ball.select("dim", "region", "shards"), ["dim", "region"])
+    x = x.withColumn("shard", code(F.col("region"), F.pmod(F.xxhash64("id"), F.col("shards"))))
+    blocks = max(1, -(-q.count() // query_rows))
+    q = q.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    if most > 1:
+        q = cut(_regions(q, points), "queries")
+        part = F.pmod(F.xxhash64("id"), F.col("shards"))
+        home = q.join(ball.select("dim", "region", "shards"), ["dim", "region"]).withColumn("shard", code(F.col("region"), part)).withColumn("floor", F.lit(float("-inf")))
+    else:
+        home = q.join(x.select("dim", "shard").distinct(), "dim").withColumn("floor", F.lit(float("-inf")))
+    found = _search(x, home, k, factor)
+    if most > 1:
+        found = cut(found, "home")
+        floor = found.select(F.col("query_id").alias("id"), "dim", F.col("shard").alias("done"), F.when(F.size("found") == k, -F.element_at("found", -1)["s"]).alias("floor"))
+        q = q.join(floor, ["id", "dim"], "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
+        visits = _visits(q.drop("region", "away"), ball, points, factor)
+        found = found.unionByName(_search(x, visits, k, factor))
+        if most > MERGE:
+            found = _merged(found, ["query_id", "dim", F.pmod(F.xxhash64("shard"), F.lit(-(-most // MERGE))).alias("part")], k)
+    merged = _merged(found, ["query_id"], k)
     return merged.select("query_id", F.posexplode("found").alias("p", "f")).select("query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("f.id").alias("vec_id"), (-F.col("f.s")).alias("score"))
 
 
+def _visits(q: DataFrame, ball: DataFrame, points: dict[int, np.ndarray], factor: float) -> DataFrame:
+    """A row per query and shard that may hold a better candidate than the query's floor, but for the shard that is ``done``.
+
+    No vector of a region has an inner product above the query's with the centre plus its norm times the radius, nor above the
+    product of the norms; both bounds are held, as distances, against the floor's."""
+    balls = ball.groupBy("dim").agg(F.collect_list(F.struct("region", "radius", "top", "shards")).alias("balls"))
+    rows = q.join(balls, "dim")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            v, dim, floor, norm = b.column("v"), b.column("dim").to_numpy(), b.column("floor").to_numpy(), b.column("norm").to_numpy()
+            row, region, shards = [], [], []
+            for d in np.unique(dim):
+                at = np.flatnonzero(dim == d)
+                ball = b.column("balls")[int(at[0])].as_py()
+                r, radius, top, count = (np.array([x[c] for x in ball]) for c in ("region", "radius", "top", "shards"))
+                c = points.get(int(d), np.zeros((1, int(d))))[r]
+                qn = norm[at][:, None]
+                best = np.minimum(matrix(v.take(pa.array(at))) @ c.T + qn * radius, qn * top)
+                m2 = top.max() ** 2
+                far = lambda s: np.sqrt(np.maximum(qn**2 + m2 - 2 * s, 0))  # noqa: B023,E731
+                keep = far(best) * factor <= far(np.maximum(floor[at][:, None], -1e300)) * (1 + 1e-9) + 1e-9
+                keep |= np.isneginf(floor[at])[:, None]
+                i, j = np.nonzero(keep)
+                row.append(at[i]), region.append(r[j]), shards.append(count[j])
+            row, region, shards = (np.concatenate(x) for x in (row, region, shards))
+            for lo in range(0, len(row), 4096):
+                part = b.select(["id", "dim", "v", "block", "floor", "done"]).take(pa.array(row[lo : lo + 4096]))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(region[lo : lo + 4096], pa.int32()), pa.array(shards[lo : lo + 4096], pa.int64())], [*part.schema.names, "region", "shards"])
+
+    element = q.schema["v"].dataType.simpleString()
+    out = arrow_map(rows.select("id", "dim", "v", "block", "floor", "done", "norm", "balls"), run, f"id long, dim int, v {element}, block int, floor double, done long, region int, shards long")
+    out = out.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)))
+    out = out.withColumn("shard", F.col("region").cast("long") * F.lit(1 << 32) + F.col("part"))
+    return out.select("id", "dim", "v", "block", "floor", "done", "shard").where("done is null or shard <> done")
+
+
 def op9_vp_tree_search(spark, sf_dir: str) -> DataFrame:
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
     return nearest(vectors, vectors.where("vec_id % 20 = 0"))
