@@ -5,7 +5,7 @@ from __future__ import annotations
 from .jaccard_join import op1_jaccard_join
 from .language import op10_language_id
 from .mixing import OP8_SQL, op8_source_mix
-from .packing import op2_packing
+from .packing import OP2_SQL, op2_packing
 from .pii import op7_pii
 from .pivot_index import OP6_SQL, op6_pivot_dedup
 from .secrets import op3_secret_scan
@@ -27,6 +27,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op2_packing": OP2_SQL,
     "op6_pivot_dedup": OP6_SQL,
     "op9_vp_tree_search": OP9_SQL,
     "op8_source_mix": OP8_SQL,

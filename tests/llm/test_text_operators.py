@@ -351,7 +351,7 @@ def test_language_of_odd_texts_and_mixtures(spark):
     assert language.identify(frame(spark, ["text"]), empty).first().lang_pred == "und"
 
 
-@pytest.mark.parametrize("name", ["op1_jaccard_join", "op6_pivot_dedup", "op8_source_mix", "op9_vp_tree_search"])
+@pytest.mark.parametrize("name", ["op1_jaccard_join", "op2_packing", "op6_pivot_dedup", "op8_source_mix", "op9_vp_tree_search"])
 def test_query_equals_sql(spark, name):
     assert difference(spark, queries.QUERIES[name], queries.ORACLE_SQL[name]) is None
 
