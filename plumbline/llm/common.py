@@ -91,6 +91,25 @@ def with_weighted(left: DataFrame, right: DataFrame, on: list[str], weight: str,
     return left.join(hot, on).unionByName(rest.join(cold, on, how))
 
 
+#: Rows of two integers up to which a table is broadcast (16 MB).
+BROADCAST_IDS = 1_000_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """``df``, a table of ids, marked for broadcast if it has no more than ``BROADCAST_IDS`` rows."""
+    return F.broadcast(df) if df.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else df
+
+
+def salted(left: DataFrame, right: DataFrame, on: str, per: int) -> DataFrame:
+    """The inner join of ``left`` with ``right``, which has wide rows and each key once: a key with more than ``per`` rows in ``left``
+    is dealt over as many salts as keep it below, and its row of ``right`` goes to each."""
+    many = cut(left.groupBy(on).agg(F.count("*").alias("_n")).where(F.col("_n") > per), "salts")
+    many = small(many.select(on, F.ceil(F.col("_n") / per).cast("int").alias("_salts")))
+    a = left.join(many, on, "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(*[c for c in left.columns if c != on]), F.col("_salts")).cast("int"), F.lit(0)))
+    b = right.join(many, on, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1)))
+    return a.drop("_salts").join(b.drop("_salts"), [on, "_salt"]).drop("_salt")
+
+
 def partitions(spark: SparkSession) -> int:
     """The session's shuffle width; it is to grow with the input, and what one task holds is a share of this size."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
