@@ -18,16 +18,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import arrow_map, batch, blobs, connected_components, cut, deal, local_roots, partitions
+from .common import arrow_map, batch, blobs, connected_components, cut, deal, discard, local_roots, partitions, small, with_weighted
 
 #: Share of the hash space whose shingles are counted and come first in the global order.
 ORDER_SHARE = 0.4
 #: Sets in a block; a tile holds two blocks.
 BLOCK = 512
+#: Distinct sets of one task's million postings in which a shingle is frequent: it then comes last in the global order, and its
+#: sets learn that at once, so that no task gathers them.
+FREQUENT = 64
+_OFTEN = 2**31 - 1
 _MOST_WORDS = 256  # of 64 bits in a signature
 
 
@@ -44,39 +48,54 @@ def _node(x: np.ndarray) -> int:
     return int(h.view(np.int64)[0])
 
 
+def text_key(text_col: str) -> Column:
+    """What tells the texts of one id apart."""
+    return F.xxhash64(F.col(text_col).cast("string"))
+
+
 def shingle_nodes(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
-    """``(doc_id, n, node)`` for every row: size and key of its shingle set; an empty set has no node."""
+    """``(doc_id, text_key, n, node)`` for every row: size and key of its shingle set; an empty set has no node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [(len(x), _node(x) if len(x) else None) for _, x in K.shingle_sets(b.column(1), k)]
-            yield batch(doc_id=b.column(0), n=pa.array([g[0] for g in got], pa.int64()), node=pa.array([g[1] for g in got], pa.int64()))
+            got = [(len(x), _node(x) if len(x) else None) for _, x in K.shingle_sets(b.column(2), k)]
+            yield batch(doc_id=b.column(0), text_key=b.column(1), n=pa.array([g[0] for g in got], pa.int64()), node=pa.array([g[1] for g in got], pa.int64()))
 
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return arrow_map(src, run, "doc_id long, n long, node long")
+    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_key(text_col).alias("text_key"), F.col(text_col).cast("string").alias("text"))
+    return arrow_map(src, run, "doc_id long, text_key long, n long, node long")
+
+
+def _spread(x: np.ndarray, width: int) -> np.ndarray:
+    return ((K.mix64(x) >> np.uint64(20)) % np.uint64(width)).astype(np.int64)
 
 
 def _post(k: int, width: int, num: int, den: int):
-    """Postings of the counted part of each distinct set, packed by target partition."""
+    """Postings of the counted part of each distinct set, packed by target partition: ``kind`` 0 to the partition of the shingle;
+    1, those of shingles frequent here, to that of the set; 2, the names of these shingles, to their own partition."""
     top = np.uint64(int(ORDER_SHARE * 2**64))
 
     def flush(nodes, sizes, toks):
         counts = np.fromiter(map(len, toks), np.int64, len(toks))
         tok = np.concatenate(toks)
-        to = ((K.mix64(tok) >> np.uint64(20)) % np.uint64(width)).astype(np.int64)
-        owner = np.repeat(np.arange(len(toks), dtype=np.int64), counts)
-        order = np.argsort(to * len(toks) + owner, kind="stable")
-        to, owner, tok = to[order], owner[order], tok[order]
-        cuts = np.searchsorted(to, np.arange(width + 1))
         node, n = np.array(nodes, np.int64), np.array(sizes, np.int32)
+        owner = np.repeat(np.arange(len(toks), dtype=np.int64), counts)
+        name, at, df = np.unique(tok, return_inverse=True, return_counts=True)
+        hot = name[df >= FREQUENT]
+        often = (df >= FREQUENT)[at]
         rows: list[tuple] = []
-        for p in range(width):
-            i, j = cuts[p], cuts[p + 1]
-            if i < j:
-                own, runs = np.unique(owner[i:j], return_counts=True)
-                rows.append((p, node[own].tobytes(), n[own].tobytes(), counts[own].astype(np.int32).tobytes(), runs.astype(np.int32).tobytes(), tok[i:j].tobytes()))
+        for mine, to, kind in ((~often, _spread(tok, width), 0), (often, _spread(node.view(np.uint64)[owner], width), 1)):
+            t, o, x = to[mine], owner[mine], tok[mine]
+            order = np.argsort(t * len(toks) + o, kind="stable")
+            t, o, x = t[order], o[order], x[order]
+            cuts = np.searchsorted(t, np.arange(width + 1))
+            for p in np.flatnonzero(np.diff(cuts)):
+                i, j = cuts[p], cuts[p + 1]
+                own, runs = np.unique(o[i:j], return_counts=True)
+                rows.append((p, node[own].tobytes(), n[own].tobytes(), counts[own].astype(np.int32).tobytes(), runs.astype(np.int32).tobytes(), x[i:j].tobytes(), kind))
+        to = _spread(hot, width)
+        rows += [(p, b"", b"", b"", b"", hot[to == p].tobytes(), 2) for p in np.unique(to)]
         cols = list(zip(*rows))
-        return batch(p=pa.array(cols[0], pa.int32()), **{c: pa.array(v, pa.binary()) for c, v in zip(("node", "n", "posted", "runs", "tok"), cols[1:])})
+        return batch(p=pa.array(cols[0], pa.int32()), **{c: pa.array(v, pa.binary()) for c, v in zip(("node", "n", "posted", "runs", "tok"), cols[1:6])}, kind=pa.array(cols[6], pa.int32()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nodes, sizes, toks, held, seen = [], [], [], 0, set()
@@ -102,10 +121,21 @@ def _shared(width: int):
     """From all postings of some shingles: those that several sets hold, packed by the partition of the set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [[blobs(b.column(i), t) for i, t in ((1, np.int64), (2, np.int32), (3, np.int32), (4, np.int32), (5, np.uint64))] for b in batches if b.num_rows]
+        got, hot = [], [np.zeros(0, np.uint64)]
+        for b in batches:
+            kind = b.column(6).to_numpy()
+            direct = b.filter(pa.array(kind == 1))
+            if direct.num_rows:  # on to the set, frequent as they are
+                df = [np.full(len(x) // 8, _OFTEN, np.int32).tobytes() for x in direct.column(5).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*direct.columns[:6], pa.array(df, pa.binary())], [*direct.schema.names[:6], "df"])
+            hot.append(blobs(b.column(5).filter(pa.array(kind == 2)), np.uint64))
+            b = b.filter(pa.array(kind == 0))
+            if b.num_rows:
+                got.append([blobs(b.column(i), t) for i, t in ((1, np.int64), (2, np.int32), (3, np.int32), (4, np.int32), (5, np.uint64))])
         if not got:
             return
         node, n, posted, runs, tok = (np.concatenate(x) for x in zip(*got))
+        hot = np.unique(np.concatenate(hot))
         del got
         key, first, own = np.unique(node, return_index=True, return_inverse=True)
         own = np.repeat(own, runs)
@@ -116,14 +146,18 @@ def _shared(width: int):
         tok, own = tok[keep], own[keep]
         head = np.flatnonzero(np.r_[True, tok[1:] != tok[:-1]])
         df = np.diff(np.r_[head, len(tok)])
-        df = np.repeat(df, df)
+        many = df
+        if len(hot):  # frequent anywhere is frequent everywhere, so that all sets have one order
+            at = np.minimum(np.searchsorted(hot, tok[head]), len(hot) - 1)
+            many = np.where(hot[at] == tok[head], _OFTEN, df)
+        df = np.repeat(many, df)
         tok, own, df = tok[df > 1], own[df > 1], df[df > 1]
         if not len(tok):
             return
         order = np.argsort(own, kind="stable")
         tok, own, df = tok[order], own[order], df[order]
         ids, runs = np.unique(own, return_counts=True)
-        to = (K.mix64(key[ids].view(np.uint64)) % np.uint64(width)).astype(np.int64)
+        to = _spread(key[ids].view(np.uint64), width)
         each = np.repeat(to, runs)
         o1, o2 = np.argsort(to, kind="stable"), np.argsort(each, kind="stable")
         ids, runs, to, tok, df, each = ids[o1], runs[o1], to[o1], tok[o2], df[o2], each[o2]
@@ -132,7 +166,7 @@ def _shared(width: int):
         for p in np.flatnonzero(np.diff(c1)):
             a, t = slice(c1[p], c1[p + 1]), slice(c2[p], c2[p + 1])
             f = first[ids[a]]
-            rows.append((p, key[ids[a]].tobytes(), n[f].tobytes(), posted[f].tobytes(), runs[a].astype(np.int32).tobytes(), tok[t].tobytes(), np.minimum(df[t], 2**31 - 1).astype(np.int32).tobytes()))
+            rows.append((p, key[ids[a]].tobytes(), n[f].tobytes(), posted[f].tobytes(), runs[a].astype(np.int32).tobytes(), tok[t].tobytes(), np.minimum(df[t], _OFTEN).astype(np.int32).tobytes()))
         cols = list(zip(*rows))
         yield batch(p=pa.array(cols[0], pa.int32()), **{c: pa.array(v, pa.binary()) for c, v in zip(("node", "n", "posted", "runs", "tok", "df"), cols[1:])})
 
@@ -300,8 +334,8 @@ def _tiles(num: int, den: int):
 def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """Link documents whose sets of ``shingle``-word shingles have Jaccard similarity >= ``num / den``.
 
-    Returns one row per input row: ``doc_id, n_shingles, component_id, n_links, node`` - the set's size, the smallest doc_id
-    reachable by links (itself included), how many other rows it links with directly, and the 64-bit key of its set.
+    Returns one row per input row: ``doc_id, n_shingles, component_id, n_links, node, text_key`` - the set's size, the smallest
+    doc_id reachable by links (itself included), how many other rows it links with directly, and 64-bit keys of its set and text.
 
     Null or empty texts have 0 shingles, no links and their own doc_id as component; texts with fewer words than ``shingle``
     have their whole sequence as one shingle.  Rows without a doc_id keep their n_shingles, get a null component_id and link
@@ -311,54 +345,49 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     spark = docs.sparkSession
     width = partitions(spark)
     sets = cut(shingle_nodes(docs, id_col, text_col, shingle), "sets")
-    classes = sets.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("weight"), F.first("n").alias("n"))
+    whose = F.col("node").isNotNull() & F.col("doc_id").isNotNull()
+    classes = cut(sets.where(whose).groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("weight"), F.first("n").alias("n")), "sizes")
+    total = classes.agg(F.coalesce(F.sum("weight"), F.lit(0))).first()[0]
 
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(text_col).cast("string").alias("text"))
     packed = "p int, node binary, n binary, posted binary, runs binary, tok binary"
-    posts = deal(arrow_map(texts, _post(shingle, width, num, den), packed), "p")
+    posts = deal(arrow_map(texts, _post(shingle, width, num, den), packed + ", kind int"), "p")
     shared = deal(arrow_map(posts, _shared(width), packed + ", df binary"), "p")
     prefix = arrow_map(shared, _prefixes(num, den), "tok long, node long, root long")
     graph = arrow_map(prefix.repartition(width, F.coalesce("tok", "node")), _stars, "a long, b long")
-    comps = cut(connected_components(graph), "candidates")
-
-    members = comps.join(classes, "node")
-    sizes = members.groupBy("comp").agg(F.count("*").alias("size"))
-    members = cut(members.join(sizes, "comp").where("size > 1"), "members")
-    blocks = _blocks(members, num, den)
-    want = blocks.select("node", "doc_id").distinct()
-    held = _held_sets(docs, want, id_col, text_col, shingle)
+    members = cut(connected_components(graph).join(classes, "node"), "members")
+    sizes = cut(members.groupBy("comp").agg(F.count("*").alias("size")).where("size > 1").withColumn("w", F.col("size")), "graphs")
+    blocks = cut(_blocks(with_weighted(members, sizes, ["comp"], "w", members.count(), "inner"), num, den), "blocks")
+    discard(members), discard(sizes)
+    want = cut(blocks.select("node", "doc_id").distinct(), "wanted")
+    held = cut(_held_sets(docs, want, id_col, text_col, shingle), "held")
     tiles = blocks.join(held, "node").repartition(width, "comp", "i", "j")
     found = cut(arrow_map(tiles.select("comp", "i", "j", "side", "node", "weight", "tok"), _tiles(num, den), "node long, root long, links long"), "links")
+    discard(blocks), discard(held), discard(want)
 
     linked = found.groupBy("node").agg(F.sum("links").alias("links"))
-    whole = connected_components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
-    low = whole.join(classes, "node").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    of = classes.join(linked, "node", "left").join(whole.join(low, "comp"), "node", "left").select("node", "weight", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("links", F.lit(0)).alias("links"))
+    whole = cut(connected_components(found.select(F.col("node").alias("a"), F.col("root").alias("b"))).join(classes.select("node", "doc_id"), "node"), "groups")
+    low = cut(whole.groupBy("comp").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("w")), "lowest")
+    named = with_weighted(whole.select("node", "comp"), low, ["comp"], "w", whole.count(), "inner").select("node", "component_id")
+    of = classes.join(linked, "node", "left").join(named, "node", "left").select("node", "weight", F.coalesce("component_id", "doc_id").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("links"))
+    of = cut(of, "classes")
+    discard(found), discard(whole), discard(low), discard(classes)
     own = F.col("doc_id").isNotNull() & F.col("component_id").isNotNull()
-    return _with_class(sets, cut(of, "classes"), width).select(
+    return with_weighted(sets, of, ["node"], "weight", total).select(
         "doc_id",
         F.col("n").alias("n_shingles"),
         F.when(own, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
-        F.when(own, F.col("links") + F.col("weight") - 1).otherwise(F.lit(0)).cast("long").alias("n_links"),
+        F.when(own, F.col("links")).otherwise(F.lit(0)).cast("long").alias("n_links"),
         "node",
+        "text_key",
     )
 
 
-def _with_class(sets: DataFrame, of: DataFrame, width: int) -> DataFrame:
-    """Every row of ``sets`` with the columns of its class.  Classes of more than a share ``1 / (4 width)`` of all rows, of which
-    there are fewer than ``4 width``, are broadcast, so that no task gets all copies of one text; the others meet by key."""
-    most = sets.count() // (4 * width)
-    hot = F.broadcast(of.where(F.col("weight") > most))
-    rest = sets.join(hot.select("node"), "node", "left_anti").where("node is not null")
-    met = sets.join(hot, "node").unionByName(rest.join(of.where(F.col("weight") <= most), "node", "left"))
-    return met.unionByName(sets.where("node is null"), allowMissingColumns=True)
-
-
 def _blocks(members: DataFrame, num: int, den: int) -> DataFrame:
     """Cut each candidate graph, in order of size, into blocks, and give each pair of blocks that may link its rows.
 
-    A graph of up to ``BLOCK`` sets is one tile.  A larger one is cut at size quantiles of a fixed number of blocks, so no
-    task orders a whole graph; a block pair is kept if the smaller block's largest set can reach the larger one's smallest.
+    A graph of up to ``BLOCK`` sets is one tile.  A larger one is cut into geometric bands of size, and each band by hash into
+    blocks of about ``BLOCK`` sets, so no task orders a whole graph; blocks of one band and of neighbouring ones are paired.
     """
     small = members.where(F.col("size") <= BLOCK).select("comp", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"), "node", "doc_id", "weight")
     big = members.where(F.col("size") > BLOCK)
@@ -368,7 +397,9 @@ def _blocks(members: DataFrame, num: int, den: int) -> DataFrame:
     nxt = per.select("comp", (F.col("band") - 1).alias("band"), F.col("cuts").alias("above"))
     prv = per.select("comp", (F.col("band") + 1).alias("band"), F.col("cuts").alias("below"))
     per = per.join(nxt, ["comp", "band"], "left").join(prv, ["comp", "band"], "left").na.fill(0, ["above", "below"])
-    big = big.join(per, ["comp", "band"]).withColumn("b", F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int"))
+    per = cut(per.withColumn("w", F.col("cuts").cast("long") * BLOCK), "bands")
+    weight = per.agg(F.coalesce(F.sum("w"), F.lit(0))).first()[0]
+    big = with_weighted(big, per, ["comp", "band"], "w", weight, "inner").withColumn("b", F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int"))
     code = lambda band, b: (band.cast("long") * F.lit(1 << 20) + b).alias("code")
     me = code(F.col("band"), F.col("b"))
     seq = lambda n, band: F.when(F.col(n) > 0, F.transform(F.sequence(F.lit(0), F.col(n) - 1), lambda x: code(F.col("band") + band, x))).otherwise(F.array().cast("array<long>"))
@@ -391,7 +422,7 @@ def _held_sets(docs: DataFrame, want: DataFrame, id_col: str, text_col: str, k:
                 yield batch(node=pa.array(rows, pa.int64()), tok=pa.array(toks, pa.binary()))
 
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return arrow_map(src.join(want, "doc_id").select("node", "text"), run, "node long, tok binary").dropDuplicates(["node"])
+    return arrow_map(src.join(small(want), "doc_id").select("node", "text"), run, "node long, tok binary").dropDuplicates(["node"])
 
 
 def op1_jaccard_join(spark, sf_dir: str) -> DataFrame:
