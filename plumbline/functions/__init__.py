@@ -147,7 +147,11 @@ def gaussian_log_density(x: Column, mean: Column | float, sigma: Column | float)
 # buckets ----------------------------------------------------------------------------------------------------------------
 
 
-def phase_of(time_s: Column, positive: Column, cuts: tuple[float, ...] = (8.0, 18.0, 72.0), names: tuple[str, ...] = ("boost", "climb", "cruise", "terminal"), other: str = "background") -> Column:
+# The cuts of phases (seconds) and of ranges (metres).
+PHASE_CUTS, RANGE_CUTS = (8.0, 18.0, 72.0), (2500.0, 6000.0, 11000.0)
+
+
+def phase_of(time_s: Column, positive: Column, cuts: tuple[float, ...] = PHASE_CUTS, names: tuple[str, ...] = ("boost", "climb", "cruise", "terminal"), other: str = "background") -> Column:
     """Half-open time buckets of positives; one constant for the rest."""
     out = F.lit(names[-1])
     for cut, name in reversed(list(zip(cuts, names))):
@@ -155,7 +159,7 @@ def phase_of(time_s: Column, positive: Column, cuts: tuple[float, ...] = (8.0, 1
     return F.when(positive, out).otherwise(other)
 
 
-def range_band(x: Column, cuts: tuple[float, ...] = (2500.0, 6000.0, 11000.0), names: tuple[str, ...] = ("near", "mid", "far", "edge")) -> Column:
+def range_band(x: Column, cuts: tuple[float, ...] = RANGE_CUTS, names: tuple[str, ...] = ("near", "mid", "far", "edge")) -> Column:
     out = F.lit(names[-1])
     for cut, name in reversed(list(zip(cuts, names))):
         out = F.when(x < cut, name).otherwise(out)
@@ -193,6 +197,60 @@ def bound_distance(x: Column, low: Column, high: Column) -> Column:
     return F.when(x.between(low, high), 0.0).otherwise(F.least(F.abs(x - low), F.abs(x - high)))
 
 
+# Acceleration bands of the boost sub-states, in the order in which they are tried.
+BOOST_STATES = (("boost_burn", 10.0, 30.0, True), ("sustain", 0.0, 1.0, False), ("separation", -2.0, 5.0, False))
+# Fixed values of ducts: trapping gradient, least effective-Earth factor, humidity range, depth of a surface duct at two gradients.
+DUCT_GRADIENT, DUCT_FACTOR, DUCT_HUMIDITY, DUCT_DEPTH = -157.0, 2.0, (0.7, 0.95), ((-157.0, 25.0), (-400.0, 100.0))
+
+
+def boost_state(accel: Column) -> Column:
+    """The first band that holds the acceleration; sustain outside all."""
+    out = F.lit("sustain")
+    for name, low, high, closed in reversed(BOOST_STATES):
+        out = F.when((accel >= low) & ((accel <= high) if closed else (accel < high)), name).otherwise(out)
+    return out
+
+
+def duct_regime(gradient: Column, factor: Column, humidity: Column) -> Column:
+    """``(regime, height_m)``: a surface duct where the gradient traps, else an evaporation duct in its humidity range, else none."""
+    (g0, h0), (g1, h1) = DUCT_DEPTH
+    depth = h0 + (g0 - clamp(gradient, g1, g0)) / (g0 - g1) * (h1 - h0)
+    low, high = DUCT_HUMIDITY
+    height = clamp(5.0 + 35.0 * (0.85 - clamp(humidity, low, high)), 5.0, 40.0)
+    pick = lambda name, h: F.struct(F.lit(name).alias("regime"), h.cast("double").alias("height_m"))
+    return F.when((gradient < DUCT_GRADIENT) & (factor > DUCT_FACTOR), pick("surface", depth)).when((humidity > low) & (humidity < high), pick("evaporation", height)).otherwise(pick("none", F.lit(None)))
+
+
+def blended(a: Column, b: Column, share: float = 0.55) -> Column:
+    return share * a + (1 - share) * b
+
+
+def derived_features(cfar: Column, threshold: Column, snr: Column, noise: Column, tbd: Column, energies: tuple[Column, Column, Column]) -> dict[str, Column]:
+    """Margin, signal over noise, evidence (margin, not below 0, plus track score) and the share of the joint energy."""
+    joint, first, second = energies
+    return {"cfar_margin": cfar - threshold, "snr_minus_noise": snr - noise, "track_evidence": F.greatest(cfar - threshold, F.lit(0.0)) + tbd, "energy_ratio": joint / (1.0 + first + second)}
+
+
+def valid_probability(c: Column) -> Column:
+    return F.coalesce(c.between(0.0, 1.0) & ~F.isnan(c), F.lit(False))
+
+
+def valid_slug(c: Column) -> Column:
+    return F.coalesce(c.rlike("^[a-z0-9]+(-[a-z0-9]+)*$"), F.lit(False))
+
+
+def filled(c: Column) -> Column:
+    return F.coalesce(F.trim(c) != "", F.lit(False))
+
+
+def glob_regex(pattern: str) -> str:
+    """A path pattern as an anchored regular expression: ``*`` and ``?`` stay within a folder, ``**`` does not."""
+    import re
+
+    part = {"**/": "(?:.*/)?", "**": ".*", "*": "[^/]*", "?": "[^/]"}
+    return "^" + "".join(part.get(x) or re.escape(x) for x in re.findall(r"\*\*/|\*\*|\*|\?|[^*?]+", pattern)) + "$"
+
+
 # identity ---------------------------------------------------------------------------------------------------------------
 
 
@@ -242,3 +300,36 @@ def stable_order(seed: int, tag: str, *cols: Column) -> Column:
 def u64_mod(c: Column, modulus: int) -> Column:
     """Modulo of an unsigned 64-bit number given as text or decimal."""
     return (c.cast("decimal(20,0)") % F.lit(modulus).cast("decimal(20,0)")).cast("bigint")
+
+
+def canonical_json(fields: dict[str, Column]) -> Column:
+    """A JSON object with its keys in order, without blanks; null fields are left out."""
+    return F.to_json(F.struct(*[fields[k].alias(k) for k in sorted(fields)]))
+
+
+def map_json(c: Column) -> Column:
+    """A map as a JSON object with its keys in order."""
+    return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(c))))
+
+
+def fingerprint(json: Column) -> Column:
+    return F.sha2(json, 256)
+
+
+def deterministic_id(kind: str, proxy: Column, json: Column, version: int = 1, prefix: str = "id") -> Column:
+    """``prefix:kind:proxy:hash:version`` with 16 digits of a hash of kind, proxy, version and fingerprint."""
+    digest = F.sha2(F.concat_ws("|", F.lit(kind), proxy, F.lit(str(version)), fingerprint(json)), 256)
+    return F.concat_ws(":", F.lit(prefix), F.lit(kind), proxy, F.substring(digest, 1, 16), F.lit(str(version)))
+
+
+def stable_seed(*parts: Column) -> Column:
+    """63 bits of the 8-byte BLAKE2b of ``a|b|..``; Spark has no such hash, so batches of texts go through Arrow."""
+    import hashlib
+
+    import pandas as pd
+
+    @F.pandas_udf("long")
+    def seed(text: pd.Series) -> pd.Series:
+        return text.map(lambda t: int.from_bytes(hashlib.blake2b(t.encode(), digest_size=8).digest(), "big") & ((1 << 63) - 1))
+
+    return seed(F.concat_ws("|", *[p.cast("string") for p in parts]))

@@ -1,10 +1,13 @@
-"""Operators on frame sequences: rows of a record in order.  A record's frames are one window, so work is per record."""
+"""Operators on frame sequences: rows of a record in order.  A record's frames are one window, so work is per record, and a record
+must fit a task (some 10^7 frames)."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .prefix import quantiles
+
 
 def _w(keys: list[str], order: list[str]) -> Window:
     return Window.partitionBy(*keys).orderBy(*order)
@@ -97,7 +100,7 @@ def pulse_canceller(frames: DataFrame, keys: list[str], order: list[str], value:
 
 def learned_threshold(frames: DataFrame, phase: str, score: str, train: Column, q: float = 0.64) -> DataFrame:
     """The ``q`` quantile of the training frames' scores per phase; 0 for a phase without any."""
-    t = frames.where(train).groupBy(phase).agg(F.percentile(score, q).alias("threshold"))
+    t = quantiles(frames.where(train), [phase], score, [q]).select(phase, F.col("q")[0].alias("threshold"))
     return frames.select(phase).distinct().join(t, phase, "left").na.fill(0.0, ["threshold"])
 
 

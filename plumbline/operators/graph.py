@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame
@@ -9,10 +10,13 @@ from pyspark.sql import functions as F
 
 
 def keep(df: DataFrame) -> DataFrame:
-    """Cut the lineage of an iteration by a reliable checkpoint, in a folder of our own only where the session names none."""
-    spark = df.sparkSession
-    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="plumbline-"))
+    """Cut the lineage by a reliable checkpoint, in the folder that ``spark.checkpoint.dir`` names; where it names none, in one of
+    our own if all runs on this machine, else it is an error: a cluster's machines do not see each other's folders."""
+    context = df.sparkSession.sparkContext
+    if not (df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()):
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="plumbline-"))
     return df.checkpoint()
 
 

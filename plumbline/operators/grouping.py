@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .prefix import quantiles
+
 
 def counts_by(df: DataFrame, keys: list[str]) -> DataFrame:
     """``COUNT(*)`` per key tuple; a missing key is the empty string."""
@@ -21,10 +23,9 @@ def marginals(df: DataFrame, by: list[str], dimensions: list[str], units: dict[s
 def balance_cube(df: DataFrame, keys: list[str]) -> DataFrame:
     """Joint and single counts of the keys by grouping sets; ``level`` names the set."""
     sets = ", ".join([f"({', '.join(keys)})", *[f"({k})" for k in keys]])
-    view = "_balance_rows"
-    df.select(*[F.coalesce(F.col(k).cast("string"), F.lit("")).alias(k) for k in keys]).createOrReplaceTempView(view)
+    rows = df.select(*[F.coalesce(F.col(k).cast("string"), F.lit("")).alias(k) for k in keys])
     case = "CASE " + " ".join(f"WHEN grouping_id() = {sum(1 << (len(keys) - 1 - j) for j in range(len(keys)) if j != i)} THEN '{k}'" for i, k in enumerate(keys)) + " ELSE 'joint' END"
-    return df.sparkSession.sql(f"SELECT {', '.join(keys)}, {case} AS level, count(*) AS n FROM {view} GROUP BY GROUPING SETS ({sets})")
+    return df.sparkSession.sql(f"SELECT {', '.join(keys)}, {case} AS level, count(*) AS n FROM {{rows}} GROUP BY GROUPING SETS ({sets})", rows=rows)
 
 
 def normalised_entropy(df: DataFrame, by: list[str], value: str, single: float = 0.0) -> DataFrame:
@@ -40,7 +41,7 @@ def normalised_entropy(df: DataFrame, by: list[str], value: str, single: float =
 
 
 def feature_bank(frames: DataFrame, keys: list[str], columns: list[str], order: str) -> DataFrame:
-    """Per record and column: mean, population deviation, least, greatest, last, quartiles, trend; NaN counts as missing and a
+    """Per record, whose frames are few enough for one task, and column: mean, population deviation, least, greatest, last, quartiles, trend; NaN counts as missing and a
     statistic without values is 0."""
     out = []
     for c in columns:
@@ -71,7 +72,9 @@ def false_alarms(df: DataFrame, family: str, threshold: float, near: float = 0.0
     """Negatives per family: count, false positives, near misses below the threshold, mean, 95th percentile, greatest score."""
     s = F.col("score")
     neg = df.where("label_id = 0")
-    return neg.groupBy(family).agg(F.count("*").alias("n"), F.count_if(s >= threshold).alias("fp"), F.count_if((s >= threshold - near) & (s < threshold)).alias("near_threshold"), F.avg(s).alias("mean_score"), F.percentile(s, 0.95).alias("p95_score"), F.max(s).alias("max_score"))
+    out = neg.groupBy(family).agg(F.count("*").alias("n"), F.count_if(s >= threshold).alias("fp"), F.count_if((s >= threshold - near) & (s < threshold)).alias("near_threshold"), F.avg(s).alias("mean_score"), F.max(s).alias("max_score"))
+    q = quantiles(neg, [family], "score", [0.95]).select(F.col(family).alias("_family"), F.col("q")[0].alias("p95_score"))
+    return out.join(q, F.col(family).eqNullSafe(F.col("_family")), "left").select(family, "n", "fp", "near_threshold", "mean_score", "p95_score", "max_score")
 
 
 def failure_clusters(rollups: DataFrame, threshold: float) -> DataFrame:
@@ -106,6 +109,6 @@ def circular_mean(deg: Column) -> Column:
 
 def distribution_summary(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     v = F.when(~F.isnan(value) & (F.abs(value) < F.lit(float("inf"))), F.col(value))
-    q = F.percentile(v, F.array(*[F.lit(x) for x in (0.1, 0.25, 0.5, 0.75, 0.9)]))
-    out = df.groupBy(*keys).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.min(v).alias("min"), q.alias("_q"), F.max(v).alias("max"))
-    return out.select(*keys, "n", "mean", "std", "min", *[F.col("_q")[i].alias(n) for i, n in enumerate(("q10", "q25", "q50", "q75", "q90"))], "max")
+    out = df.groupBy(*keys).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"))
+    out = out.join(quantiles(df.withColumn("_v", v), keys, "_v", [0.1, 0.25, 0.5, 0.75, 0.9]), keys, "left")
+    return out.select(*keys, "n", "mean", "std", "min", *[F.col("q")[i].alias(n) for i, n in enumerate(("q10", "q25", "q50", "q75", "q90"))], "max")

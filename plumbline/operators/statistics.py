@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .prefix import prefix_sums, row_numbers, with_buckets
+from .graph import keep
+from .prefix import prefix_sums, quantiles, row_numbers, with_buckets
 from .ranking import ratio
 
 
@@ -36,8 +40,9 @@ def wasserstein(df: DataFrame, keys: list[str], side: Column, value: str) -> Dat
 
 def wasserstein_grid(df: DataFrame, keys: list[str], side: Column, value: str, points: int = 101) -> DataFrame:
     """Mean distance of quantiles on an even grid."""
-    grid = F.array(*[F.lit(i / (points - 1)) for i in range(points)])
-    q = df.groupBy(*keys).agg(F.percentile(F.when(side, F.col(value)), grid).alias("a"), F.percentile(F.when(~side, F.col(value)), grid).alias("b"))
+    grid = [i / (points - 1) for i in range(points)]
+    a, b = (quantiles(df.where(x), keys, value, grid).withColumnRenamed("q", n) for x, n in ((side, "a"), (~side, "b")))
+    q = a.join(b, keys) if keys else a.crossJoin(b)
     return q.select(*keys, (F.aggregate(F.zip_with("a", "b", lambda x, y: F.abs(x - y)), F.lit(0.0), lambda s, x: s + x) / points).alias("w1_grid"))
 
 
@@ -56,39 +61,136 @@ def overlap_coefficient(df: DataFrame, keys: list[str], side: Column, value: str
 
 
 def robust_peak(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """(greatest - median) / (median absolute deviation + 1e-6), in two passes."""
+    """(greatest - median) / (median absolute deviation + 1e-6), in two passes; a key's values are few enough for one task."""
     m = df.groupBy(*keys).agg(F.percentile(value, 0.5).alias("_m"), F.max(value).alias("_x"))
     d = df.join(m, keys).groupBy(*keys).agg(F.percentile(F.abs(F.col(value) - F.col("_m")), 0.5).alias("_mad"), F.first("_m").alias("_m"), F.first("_x").alias("_x"))
     return d.select(*keys, ((F.col("_x") - F.col("_m")) / (F.col("_mad") + 1e-6)).alias("peak_score"))
 
 
-def hashed_draw(seed: int, *cols: Column) -> Column:
-    """A 32-bit number from seed and columns, the same in any engine with MD5."""
-    return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), *[c.cast("string") for c in cols])), 1, 8), 16, 10).cast("bigint")
-
-
-def group_draws(scored: DataFrame, group: str, rounds: int, seed: int) -> DataFrame:
-    """``(round, group, w)``: how often each group is drawn, of as many draws with replacement as there are groups.  Groups are
-    numbered by id in distributed order, and each draw is a row: rounds x groups of them, never rounds x rows."""
-    g = row_numbers(scored.select(group).distinct(), [], group, "_no")
-    n = g.agg(F.count("*").alias("_n"))
-    draws = g.select((F.col("_no") - 1).alias("_i")).crossJoin(F.broadcast(n)).withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
-    draws = draws.select("round", (hashed_draw(seed, F.col("round"), F.col("_i")) % F.col("_n") + 1).alias("_no"))
-    w = draws.groupBy("round", "_no").agg(F.count("*").alias("w"))
-    return w.join(g, "_no").select("round", group, "w")
-
-
-def bootstrap_ci(scored: DataFrame, group: str = "group_id", rounds: int = 200, seed: int = 5, low: float = 0.025, high: float = 0.975) -> DataFrame:
-    """Group-block bootstrap: percentile interval of AUC and Brier score over rounds of resampled groups, by weights."""
-    per = scored.groupBy(group, "score").agg(F.sum("label_id").alias("p"), F.sum(1 - F.col("label_id")).alias("n"))
-    rows = per.join(group_draws(scored, group, rounds, seed), group)
-    by = rows.groupBy("round", "score").agg(F.sum(F.col("p") * F.col("w")).alias("p"), F.sum(F.col("n") * F.col("w")).alias("n"))
-    run = prefix_sums(by, ["round"], "score", {"_nb": "n"})
-    won = F.sum(F.col("p") * (F.col("_nb") - F.col("n") / 2))
-    brier = F.sum(F.col("p") * F.pow(F.col("score") - 1, 2) + F.col("n") * F.pow(F.col("score"), 2)) / (F.sum("p") + F.sum("n"))
-    m = run.groupBy("round").agg(ratio(won, F.sum("p") * F.sum("n"), None).alias("roc_auc"), brier.alias("brier"))
-    long = m.select(F.explode(F.array(*[F.struct(F.lit(k).alias("metric"), F.col(k).alias("v")) for k in ("roc_auc", "brier")])).alias("m")).select("m.metric", "m.v")
-    return long.groupBy("metric").agg(F.percentile("v", low).alias("low"), F.percentile("v", 0.5).alias("median"), F.percentile("v", high).alias("high"), F.count("v").alias("rounds"))
+#: A prime below 2^31 and multipliers of the draws: integer steps that any engine repeats.
+_PRIME, _MIX = 2147483647, (1103515245, 1640531527, 1181783497, 668265263)
+
+
+def _draws(seed: int, rounds: np.ndarray, index: np.ndarray, n: int) -> np.ndarray:
+    """A number below ``n`` from seed, round and index."""
+    z = ((index % _PRIME) * _MIX[0] + (rounds * _MIX[1] + seed) % _PRIME) % _PRIME
+    for m in _MIX[2:]:
+        z = ((z ^ (z >> 15)) * m) % _PRIME
+    return z % n
+
+
+def group_weights(scored: DataFrame, group: str, rounds: int, seed: int) -> DataFrame:
+    """``(group, w)``: how often each group is drawn in each round, as many draws with replacement as there are groups; 16-bit
+    counts, packed.  Groups are numbered by id in distributed order; tasks draw for slices of the numbers and deal what they
+    drew, packed, to the partitions that count."""
+    spark = scored.sparkSession
+    g = keep(row_numbers(scored.select(group).distinct(), [], group, "_no").withColumn("_no", F.col("_no") - 1))
+    n, width = max(1, g.count()), int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        r = np.arange(rounds, dtype=np.int64)[None, :]
+        for b in batches:
+            for lo in range(0, b.num_rows, 2000):
+                z = _draws(seed, r, b.column(0).to_numpy()[lo : lo + 2000][:, None], n)
+                of = np.broadcast_to(r, z.shape).ravel().astype(np.int16)
+                z = z.ravel()
+                order = np.argsort(z % width, kind="stable")
+                cuts = np.searchsorted((z % width)[order], np.arange(width + 1))
+                used = np.flatnonzero(np.diff(cuts))
+                cols = [pa.array([x[order[cuts[p] : cuts[p + 1]]].tobytes() for p in used], pa.binary()) for x in (z // width, of)]
+                yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), *cols], ["p", "no", "round"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[int, np.ndarray] = {}
+        for b in batches:
+            for p, no, r in zip(*(c.to_pylist() for c in b.columns)):
+                w = counts.setdefault(p, np.zeros((-(-(n - p) // width), rounds), np.uint16))
+                np.add.at(w, (np.frombuffer(no, np.int64), np.frombuffer(r, np.int16)), 1)
+        for p, w in counts.items():
+            for lo in range(0, len(w), 1000):
+                part = w[lo : lo + 1000]
+                no = np.arange(lo, lo + len(part), dtype=np.int64) * width + p
+                yield pa.RecordBatch.from_arrays([pa.array(no), pa.array([x.tobytes() for x in part], pa.binary())], ["_no", "w"])
+
+    dealt = spark.range(n).mapInArrow(draw, "p int, no binary, round binary").repartitionById(width, F.col("p"))
+    return g.join(dealt.mapInArrow(count, "_no long, w binary"), "_no").select(group, "w")
+
+
+METRICS = ["roc_auc", "average_precision", "brier", "ece", "recall_at_fpr"]
+
+
+def bootstrap_ci(scored: DataFrame, group: str = "group_id", rounds: int = 200, seed: int = 5, low: float = 0.025, high: float = 0.975, fpr: float = 0.01, bins: int = 10) -> DataFrame:
+    """Group-block bootstrap: percentile interval and mean of five metrics over rounds of resampled groups: ROC AUC, average
+    precision (tied scores are one step), Brier score, calibration error over equal bins, recall at a false-positive rate.
+
+    A row is never repeated by round: each group carries its packed weights, tasks add them up by score, and buckets of
+    the score order, each a task, take running sums on matrices of scores x rounds from the totals of the buckets above.
+    A metric without positives or negatives in a round leaves the round out."""
+    per = keep(with_buckets(scored.groupBy(group, "score").agg(F.sum("label_id").cast("double").alias("p"), F.sum(1 - F.col("label_id")).cast("double").alias("n")), "score"))
+    rows = per.join(group_weights(scored, group, rounds, seed), group).select("_bucket", "score", "p", "n", "w")
+
+    def by_score(s: np.ndarray, p: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        order = np.argsort(s, kind="stable")
+        s = s[order]
+        at = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
+        return s[at], np.add.reduceat(p[order], at), np.add.reduceat(n[order], at)
+
+    def combine(batches):  # before the shuffle: one row per bucket and score
+        for b in batches:
+            if not b.num_rows:
+                continue
+            bucket, s = b.column(0).to_numpy(), b.column(1).to_numpy()
+            w = np.frombuffer(b"".join(b.column(4).to_pylist()), np.uint16).reshape(-1, rounds).astype(float)
+            p, n = b.column(2).to_numpy()[:, None] * w, b.column(3).to_numpy()[:, None] * w
+            for k in np.unique(bucket):
+                mine = bucket == k
+                s1, p1, n1 = by_score(s[mine], p[mine], n[mine])
+                arrays = [pa.array([y.tobytes() for y in x], pa.binary()) for x in (p1, n1)]
+                yield pa.RecordBatch.from_arrays([pa.array([k] * len(s1), pa.int32()), pa.array(s1), *arrays], ["_bucket", "score", "p", "n"])
+
+    sums = keep(rows.mapInArrow(combine, "_bucket int, score double, p binary, n binary"))
+
+    def matrix(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        p, n = (np.frombuffer(b"".join(t.column(c).to_pylist())).reshape(-1, rounds) for c in ("p", "n"))
+        return by_score(t.column("score").to_numpy(), p, n)
+
+    def total(t: pa.Table) -> pa.Table:
+        _, p, n = matrix(t)
+        return pa.table({"_bucket": pa.array([t.column("_bucket")[0].as_py()], pa.int32()), "tp": pa.array([p.sum(0).tolist()]), "fp": pa.array([n.sum(0).tolist()])})
+
+    # one row per bucket: the totals of the buckets above and of all
+    totals = sums.groupBy("_bucket").applyInArrow(total, "_bucket int, tp array<double>, fp array<double>")
+    long = totals.select("_bucket", F.posexplode(F.arrays_zip("tp", "fp")).alias("round", "x"))
+    above, whole = Window.partitionBy("round").orderBy(F.desc("_bucket")).rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("round")
+    long = long.select("_bucket", "round", *[F.coalesce(F.sum(f"x.{c}").over(above), F.lit(0.0)).alias(c) for c in ("tp", "fp")], F.sum("x.tp").over(whole).alias("pos"), F.sum("x.fp").over(whole).alias("neg"))
+    entry = F.sort_array(F.collect_list(F.struct("round", "tp", "fp", "pos", "neg")))
+    long = long.groupBy("_bucket").agg(entry.alias("t")).select("_bucket", *[F.col(f"t.{c}").alias(c) for c in ("tp", "fp", "pos", "neg")])
+
+    def measure(key: tuple, t: pa.Table, before: pa.Table) -> pa.Table:
+        s, p, n = matrix(t)
+        tp0, fp0, pos, neg = (np.array(before.column(c)[0].as_py()) for c in ("tp", "fp", "pos", "neg"))
+        p, n = p[::-1], n[::-1]  # from the top
+        s = s[::-1][:, None]
+        tp, fp = tp0 + p.cumsum(0), fp0 + n.cumsum(0)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            won = (p * (neg - fp + n / 2)).sum(0) / (pos * neg)
+            ap = np.where(p > 0, p * tp / (tp + fp), 0.0).sum(0) / pos
+            brier = (p * (s - 1) ** 2 + n * s**2).sum(0) / (pos + neg)
+            reach = np.where((pos > 0) & (neg > 0), np.where(fp / neg <= fpr, tp / pos, 0.0).max(0), np.nan)
+        out = [(m, r, -1, float(x), 0.0) for m, v in (("roc_auc", won), ("average_precision", ap), ("brier", brier), ("recall_at_fpr", reach)) for r, x in enumerate(v)]
+        at = np.minimum(np.floor(s[:, 0] * bins), bins - 1).astype(int)
+        for k in np.unique(at[(s[:, 0] >= 0) & (s[:, 0] <= 1)]):
+            mine = at == k
+            gap = p[mine].sum(0) - ((p + n)[mine] * s[mine]).sum(0)
+            out += [("ece", r, int(k), float(x), float(y)) for r, (x, y) in enumerate(zip(gap, pos + neg))]
+        c = list(zip(*out))
+        return pa.table({"metric": pa.array(c[0], pa.string()), "round": pa.array(c[1], pa.int32()), "bin": pa.array(c[2], pa.int32()), "v": pa.array(c[3], pa.float64()), "size": pa.array(c[4], pa.float64())})
+
+    parts = sums.groupBy("_bucket").cogroup(long.groupBy("_bucket")).applyInArrow(measure, "metric string, round int, bin int, v double, size double")
+    per_bin = parts.groupBy("metric", "round", "bin").agg(F.sum("v").alias("v"), F.max("v").alias("top"), F.max("size").alias("size"))
+    v = F.when(F.col("metric") == "recall_at_fpr", F.col("top")).when(F.col("metric") == "ece", F.abs("v") / F.col("size")).otherwise(F.col("v"))
+    one = per_bin.groupBy("metric", "round").agg(F.sum(v).alias("v")).where(~F.isnan("v") & F.col("v").isNotNull())
+    return one.groupBy("metric").agg(F.percentile("v", low).alias("low"), F.avg("v").alias("mean"), F.percentile("v", high).alias("high"), F.count("v").alias("rounds"))
 
 
 def log_odds_weights(train: DataFrame, keys: list[str], features: list[str], label: str = "label_id") -> DataFrame:
@@ -98,25 +200,39 @@ def log_odds_weights(train: DataFrame, keys: list[str], features: list[str], lab
     aggs = [F.count_if(y).alias("_p"), F.count_if(~y).alias("_n")]
     for f in features:
         aggs += [F.avg(F.when(y, F.col(f))).alias(f"_m1_{f}"), F.avg(F.when(~y, F.col(f))).alias(f"_m0_{f}"), F.var_pop(f).alias(f"_v_{f}")]
-    a = train.groupBy(*keys).agg(*aggs)
-    both = (F.col("_p") > 0) & (F.col("_n") > 0)
-    w = {f: F.when(both, (F.col(f"_m1_{f}") - F.col(f"_m0_{f}")) / (F.col(f"_v_{f}") + 1e-3)).otherwise(0.1) for f in features}
-    mid = sum((w[f] * (F.col(f"_m1_{f}") + F.col(f"_m0_{f}")) / 2 for f in features), F.lit(0.0))
-    b = F.when(both, F.log((F.col("_p") + 1) / (F.col("_n") + 1)) - mid).otherwise(0.0)
+    return _weights(train.groupBy(*keys).agg(*aggs), keys, features, "_p", "_n", lambda f, k: F.col(f"_m{k}_{f}"), lambda f: F.col(f"_v_{f}"))
+
+
+def _weights(a: DataFrame, keys: list[str], features: list[str], pos: str, neg: str, mean, var) -> DataFrame:
+    both = (F.col(pos) > 0) & (F.col(neg) > 0)
+    w = {f: F.when(both, (mean(f, 1) - mean(f, 0)) / (var(f) + 1e-3)).otherwise(0.1) for f in features}
+    mid = sum((w[f] * (mean(f, 1) + mean(f, 0)) / 2 for f in features), F.lit(0.0))
+    b = F.when(both, F.log((F.col(pos) + 1) / (F.col(neg) + 1)) - mid).otherwise(0.0)
     return a.select(*keys, *[w[f].alias(f"w_{f}") for f in features], b.alias("intercept"))
 
 
 def cross_fit(df: DataFrame, features: list[str], fold: str = "cv_fold", train: Column | None = None) -> DataFrame:
-    """Log-odds of every row: training rows by the weights of the other folds, holdout rows by those of all training rows."""
+    """Log-odds of every row: training rows by the weights of the other folds, holdout rows by those of all training rows.
+
+    The training rows are read once, into counts, means and squared deviations of each fold and label; a fold's fit joins those
+    of the others, of which there are as many as folds."""
     train = F.col("split_role") == "train" if train is None else train
-    folds = df.where(train).select(F.col(fold).alias("_fold")).distinct()
-    fits = df.where(train).join(F.broadcast(folds), F.col(fold) != F.col("_fold"))
-    per = log_odds_weights(fits, ["_fold"], features)
-    whole = log_odds_weights(df.where(train), [], features).withColumn("_fold", F.lit(-1).cast(dict(per.dtypes)["_fold"]))
-    table = per.unionByName(whole)
-    rows = df.withColumn("_fold", F.when(train, F.col(fold)).otherwise(F.lit(-1)))
+    y = F.col("label_id") == 1
+    cells = df.where(train).groupBy(F.col(fold).alias("_f"), y.cast("int").alias("_y")).agg(F.count("*").alias("_c"), *[F.avg(f).alias(f"_m_{f}") for f in features], *[F.var_pop(f).alias(f"_v_{f}") for f in features])
+    cells = F.broadcast(cells)  # two rows per fold
+    folds = cells.select(F.col("_f").alias("_fold")).distinct().unionByName(df.sparkSession.range(1).select(F.lit(None).cast(dict(df.dtypes)[fold]).alias("_fold")))
+    t = folds.join(cells, F.col("_fold").isNull() | (F.col("_fold") != F.col("_f")))
+    n = F.sum("_c")
+    aggs = [F.coalesce(F.sum(F.when(F.col("_y") == k, F.col("_c"))), F.lit(0)).alias(f"_n{k}") for k in (1, 0)]
+    for f in features:
+        m, v = F.col(f"_m_{f}"), F.col(f"_v_{f}")
+        mean = F.sum(F.col("_c") * m) / n
+        aggs += [(F.sum(F.when(F.col("_y") == k, F.col("_c") * m)) / F.sum(F.when(F.col("_y") == k, F.col("_c")))).alias(f"_m{k}_{f}") for k in (1, 0)]
+        aggs += [(F.sum(F.col("_c") * (v + m * m)) / n - mean * mean).alias(f"_var_{f}")]
+    table = _weights(t.groupBy("_fold").agg(*aggs), ["_fold"], features, "_n1", "_n0", lambda f, k: F.col(f"_m{k}_{f}"), lambda f: F.col(f"_var_{f}"))
+    rows = df.withColumn("_own", F.when(train, F.col(fold)))
     z = sum((F.col(f) * F.col(f"w_{f}") for f in features), F.col("intercept"))
-    return rows.join(F.broadcast(table), "_fold").withColumn("log_odds", z).drop("_fold", "intercept", *[f"w_{f}" for f in features])
+    return rows.join(F.broadcast(table), F.col("_own").eqNullSafe(F.col("_fold"))).withColumn("log_odds", z).drop("_own", "_fold", "intercept", *[f"w_{f}" for f in features])
 
 
 def class_log_likelihoods(df: DataFrame, id_col: str, library: dict[str, dict[str, tuple[float, float]]]) -> DataFrame:

@@ -1,11 +1,12 @@
 """Fusion, association and the tier state machine.
 
-What one frame decides depends on the frames before it, so a record or session is processed in order by a small state step.
-The same steps serve batch (a grouped map) and streams (``plumbline.streaming``).
+What one frame decides depends on the frames before it, so a record or session is streamed in order through a small state step.
+The same steps serve batch and streams (``plumbline.streaming``).
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -70,6 +71,7 @@ class TierState:
     steady: int = 0
     misses: int = 0
     recent: list[bool] = field(default_factory=list)  # boost-like steps between the last six frames
+    last: tuple | None = None
 
     def step(self, speed: float, accel: float, altitude_rate: float, boost_pair: bool | None) -> str:
         """The tier that owns this frame.  Counts change after the decision, so a cruise can end on a frame that is in band."""
@@ -102,66 +104,91 @@ class TierState:
         return 1.0 if sure else 0.5
 
 
-def tier_frames(pdf: pd.DataFrame, time: str, speed: str, altitude: str) -> pd.DataFrame:
-    """The tier of every frame of one record, in order of time."""
-    pdf = pdf.sort_values(time, kind="stable")
-    state, tiers, conf = TierState(), [], []
-    last = None
-    for t, radial, h in zip(pdf[time], pdf[speed], pdf[altitude]):
-        v = abs(radial)
-        accel = climb = 0.0
-        pair = None
-        if last is not None and t > last[0]:
-            accel, climb = abs(radial - last[1]) / (t - last[0]), abs(h - last[2]) / (t - last[0])
-            pair = SPEED_BOOST[0] <= v <= SPEED_BOOST[1] and ACCEL_BOOST[0] <= accel <= ACCEL_BOOST[1] and ALTITUDE_BOOST[0] <= h <= ALTITUDE_BOOST[1]
-        tiers.append(state.step(v, accel, climb, pair))
-        conf.append(state.confidence(v, accel))
-        last = (t, radial, h)
-    return pdf.assign(tier=tiers, tier_confidence=conf)
+def in_order(df: DataFrame, key: str, order: list[str], start: Callable[[], object], step: Callable[[object, dict], list[tuple]], end: Callable[[object], list[tuple]], schema: str) -> DataFrame:
+    """Feed each key's rows in order to a small state.  Rows are dealt by key and sorted, and a task streams them, so a key's rows
+    are never held together; ``step`` gives the rows that a row completes, ``end`` those that the key's end does."""
+    names = [x.split(" ")[0].strip("`") for x in schema.split(", ")]
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, state = None, None
+        for pdf in parts:
+            out: list[tuple] = []
+            for row in pdf.to_dict("records"):
+                if state is None or row[key] != at:
+                    out += end(state) if state is not None else []
+                    at, state = row[key], start()
+                out += step(state, row)
+            yield pd.DataFrame(out, columns=names)
+        if state is not None:
+            yield pd.DataFrame(end(state), columns=names)
+
+    return df.repartition(F.col(key)).sortWithinPartitions(key, *order).mapInPandas(run, schema)
 
 
 def assign_tiers(frames: DataFrame, record: str, time: str, speed: str, altitude: str) -> DataFrame:
+    """``frames`` with the tier of each and its confidence, by record and in order of time."""
+    names = frames.columns
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in frames.schema.fields], "tier string", "tier_confidence double"])
-    return frames.groupBy(record).applyInPandas(lambda pdf: tier_frames(pdf, time, speed, altitude), schema)
+
+    def step(s: TierState, row: dict) -> list[tuple]:
+        t, radial, h = row[time], row[speed], row[altitude]
+        v, accel, climb, pair = abs(radial), 0.0, 0.0, None
+        if s.last is not None and t > s.last[0]:
+            accel, climb = abs(radial - s.last[1]) / (t - s.last[0]), abs(h - s.last[2]) / (t - s.last[0])
+            pair = SPEED_BOOST[0] <= v <= SPEED_BOOST[1] and ACCEL_BOOST[0] <= accel <= ACCEL_BOOST[1] and ALTITUDE_BOOST[0] <= h <= ALTITUDE_BOOST[1]
+        s.last = (t, radial, h)
+        return [(*(row[c] for c in names), s.step(v, accel, climb, pair), s.confidence(v, accel))]
+
+    return in_order(frames, record, [time], TierState, step, lambda s: [], schema)
 
 
 @dataclass
-class TrackBook:
-    """Live tracks of one session: ``[id, range, velocity, age, misses]``."""
+class LiveTracks:
+    """The tracks of one session: ``[id, range, velocity, snr, confidence, age, misses]``; ids count from 1."""
 
     tracks: list[list] = field(default_factory=list)
-    next_id: int = 0
+    next_id: int = 1
+    frame: object = None
+    waiting: list[tuple] = field(default_factory=list)
 
-    def update(self, detections: list[tuple[float, float]]) -> list[list]:
-        """Each detection in turn takes the nearest track not yet taken within the gate, which moves towards it; tracks that are
-        missed too often end; what is left over starts new ones."""
+    def update(self, detections: list[tuple]) -> list[list]:
+        """Detections ``(range, velocity, snr, confidence)``, each in turn, take the nearest track not yet taken within the gate: it
+        moves towards them and has their snr and confidence.  Tracks that are missed too often end; what is left over starts new ones."""
         free = set(range(len(self.tracks)))
         new = []
-        for r, v in detections:
+        for r, v, snr, sure in detections:
             near = min(((abs(self.tracks[i][1] - r), i) for i in free), default=None)
             if near is None or near[0] >= RANGE_GATE:
-                new.append([self.next_id + len(new), r, v, 1, 0])
+                new.append([self.next_id + len(new), r, v, snr, sure, 1, 0])
                 continue
             t = self.tracks[near[1]]
             free.discard(near[1])
             t[1] += SMOOTHING * (r - t[1])
             t[2] += SMOOTHING * (v - t[2])
-            t[3], t[4] = t[3] + 1, 0
+            t[3], t[4], t[5], t[6] = snr, sure, t[5] + 1, 0
         for i in free:
-            self.tracks[i][4] += 1
-        self.tracks = [t for t in self.tracks if t[4] <= MOST_MISSES] + new
+            self.tracks[i][6] += 1
+        self.tracks = [t for t in self.tracks if t[6] <= MOST_MISSES] + new
         self.next_id += len(new)
         return self.tracks
 
 
-def associate(detections: DataFrame, session: str, frame: str, pos: str, velocity: str, ord: str) -> DataFrame:
-    """Track rows after every frame of every session."""
-    schema = f"`{session}` {dict(detections.dtypes)[session]}, `{frame}` {dict(detections.dtypes)[frame]}, track_id long, range_m double, velocity_mps double, age_frames long, misses long"
+TRACK_FIELDS = "track_id long, range_m double, velocity_mps double, snr_db double, confidence double, age_frames long, misses long"
+
+
+def associate(detections: DataFrame, session: str, frame: str, ord: str, pos: str = "range_m", velocity: str = "velocity_mps", snr: str = "snr_db", confidence: str = "confidence") -> DataFrame:
+    """Track rows after every frame of every session; detections of a frame count in order of ``ord``."""
+    types = dict(detections.dtypes)
+    schema = f"`{session}` {types[session]}, `{frame}` {types[frame]}, {TRACK_FIELDS}"
+
+    def close(s: LiveTracks) -> list[tuple]:
+        key, s.waiting, got = s.waiting[0][0], [], [x[1:] for x in s.waiting]
+        return [(key, s.frame, *t) for t in s.update(got)]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        book, out = TrackBook(), []
-        for f, g in pdf.sort_values([frame, ord]).groupby(frame, sort=True):
-            out += [(pdf[session].iloc[0], f, *t) for t in book.update(list(zip(g[pos], g[velocity])))]
-        return pd.DataFrame(out, columns=[session, frame, "track_id", "range_m", "velocity_mps", "age_frames", "misses"])
+    def step(s: LiveTracks, row: dict) -> list[tuple]:
+        out = close(s) if s.waiting and row[frame] != s.frame else []
+        s.frame = row[frame]
+        s.waiting.append((row[session], row[pos], row[velocity], row[snr], row[confidence]))
+        return out
 
-    return detections.groupBy(session).applyInPandas(run, schema)
+    return in_order(detections.select(session, frame, ord, pos, velocity, snr, confidence), session, [frame, ord], LiveTracks, step, lambda s: close(s) if s.waiting else [], schema)

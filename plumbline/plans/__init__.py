@@ -1,6 +1,7 @@
 """The registered queries over the driver's tables, and the same queries as DuckDB SQL."""
 
-from . import ranking, sequences, tables
+from . import ranking, scalars, sequences, tables
 
-QUERIES: dict = {**ranking.QUERIES, **tables.QUERIES, **sequences.QUERIES}
-ORACLE_SQL: dict = {**ranking.ORACLE_SQL, **tables.ORACLE_SQL, **sequences.ORACLE_SQL}
+_PARTS = (ranking, tables, sequences, scalars)
+QUERIES: dict = {k: v for m in _PARTS for k, v in m.QUERIES.items()}
+ORACLE_SQL: dict = {k: v for m in _PARTS for k, v in m.ORACLE_SQL.items()}

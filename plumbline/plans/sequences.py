@@ -55,7 +55,7 @@ def _tolerance(s, d):
 
 def _semi(s, d):
     p = _points(s, d)
-    return J.range_semi(p.where("event_type = 'click'").select("frame_id", "phase_id", "value"), p.where("event_type = 'purchase' and frame_id % 10 = 0").select("phase_id", "value"), ["phase_id"], "value", floor=0.5, share=0.01, width=1.0)
+    return J.range_semi(p.where("event_type = 'click'").select("frame_id", "phase_id", "value"), p.where("event_type = 'purchase'").select("phase_id", "value"), ["phase_id"], "value", floor=0.5, share=0.01, width=1.0)
 
 
 def _bright(s, d):
@@ -82,8 +82,8 @@ def _tiers(s, d):
 
 
 def _tracks(s, d):
-    f = frames(s, d).select(F.col("phase_id").alias("session"), F.floor(F.col("time_s") / 3600).cast("long").alias("frame"), (F.col("value") * 20).alias("range"), F.col("value").alias("velocity"), F.col("frame_id").alias("ord"))
-    return T.associate(f, "session", "frame", "range", "velocity", "ord")
+    f = frames(s, d).select("record_id", F.floor(F.col("time_s") / 86400).cast("long").alias("frame"), (F.col("value") * 20).alias("range_m"), F.col("value").alias("velocity_mps"), (F.col("value") / 10).alias("snr_db"), F.lit(0.5).alias("confidence"), F.col("frame_id").alias("ord"))
+    return T.associate(f, "record_id", "frame", "ord")
 
 
 def _classes(s, d):
@@ -182,7 +182,7 @@ st AS (SELECT i, avg(x) AS m, stddev_pop(x) + 1e-6 AS s FROM u WHERE vec_id % 5
 d AS (SELECT q.vec_id, t.vec_id AS near, sqrt(sum(pow(q.z - t.z, 2))) AS d FROM z q JOIN z t ON q.i = t.i WHERE q.vec_id % 5 = 0 AND t.vec_id % 5 <> 0 GROUP BY 1, 2)
 SELECT vec_id, arg_min(near, (round(d, 9), near)) AS nearest_id, round(min(d), 6) AS distance FROM d GROUP BY 1""",
     "nearest_with_tolerance": f"WITH {FRAMES}, d AS (SELECT frame_id, 's' || s_suppkey AS entity, abs(abs(value) - s_suppkey * CAST(7.5 AS DOUBLE)) AS d FROM frames JOIN supplier ON abs(abs(value) - s_suppkey * CAST(7.5 AS DOUBLE)) < 2), b AS (SELECT frame_id, arg_min(entity, (d, entity)) AS e, min(d) AS d FROM d GROUP BY 1) SELECT frame_id, coalesce(e, 'unresolved') AS matched, round(d, 9) AS distance FROM frames LEFT JOIN b USING (frame_id)",
-    "range_semijoin": f"WITH {FRAMES} SELECT frame_id, phase_id, value FROM frames l WHERE event_type = 'click' AND EXISTS (SELECT 1 FROM frames r WHERE r.event_type = 'purchase' AND r.frame_id % 10 = 0 AND r.phase_id = l.phase_id AND abs(l.value - r.value) < greatest(CAST(0.5 AS DOUBLE), CAST(0.01 AS DOUBLE) * abs(l.value)))",
+    "range_semijoin": f"WITH {FRAMES} SELECT frame_id, phase_id, value FROM frames l WHERE event_type = 'click' AND EXISTS (SELECT 1 FROM frames r WHERE r.event_type = 'purchase' AND r.phase_id = l.phase_id AND abs(l.value - r.value) < greatest(CAST(0.5 AS DOUBLE), CAST(0.01 AS DOUBLE) * abs(l.value)))",
     "wasserstein_ecdf": _ECDF + "SELECT event_type, round(sum(abs(fa - fb) * (nxt - value)), 6) AS w1 FROM e GROUP BY 1",
     "wasserstein_quantile": f"WITH {FRAMES}, g AS (SELECT unnest(range(101)) / CAST(100 AS DOUBLE) AS q), q AS (SELECT event_type, quantile_cont(value, [{', '.join(repr(i / 100) for i in range(101))}]) FILTER (record_id % 2 = 0) AS a, quantile_cont(value, [{', '.join(repr(i / 100) for i in range(101))}]) FILTER (record_id % 2 <> 0) AS b FROM frames GROUP BY 1) SELECT event_type, round(list_sum(list_transform(list_zip(a, b), lambda p: abs(p[1] - p[2]))) / 101, 6) AS w1_grid FROM q",
     "ks_distance": _ECDF + "SELECT event_type, round(max(abs(fa - fb)), 9) AS ks FROM e GROUP BY 1",

@@ -49,7 +49,7 @@ def _lines(s, d):
 
 def _draws_auc(s, d):
     rows = groups(s, d).where("label_id is not null").select("group_id", "label_id", "score")
-    return _r(S.bootstrap_ci(rows, rounds=20), "low", "median", "high", digits=6)
+    return _r(S.bootstrap_ci(rows), "low", "mean", "high")
 
 
 def _docs(s, d):
@@ -133,13 +133,19 @@ SELECT o_orderkey, round(coalesce(a, (SELECT avg(y) FROM t), 0), 9) AS encoded F
     "distribution_summary": "WITH u AS (" + " UNION ALL ".join(f"SELECT l_returnflag, '{o}' AS observable, {c} AS v FROM lineitem" for c, o in (("l_quantity", "quantity"), ("l_discount", "discount"), ("l_tax", "tax"))) + ") SELECT observable, l_returnflag, count(v) AS n, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std, round(min(v), 6) AS min, " + ", ".join(f"round(quantile_cont(v, {q}), 6) AS q{int(q * 100)}" for q in (0.1, 0.25, 0.5, 0.75, 0.9)) + ", round(max(v), 6) AS max FROM u GROUP BY 1, 2",
     "bootstrap_group_ci": f"""WITH {GROUPS},
 gs AS (SELECT group_id, row_number() OVER (ORDER BY group_id) AS no, count(*) OVER () AS n FROM (SELECT DISTINCT group_id FROM grp)),
-dr AS (SELECT CAST(r AS INTEGER) AS round, CAST(('0x' || substr(md5('5|' || r || '|' || (no - 1)), 1, 8)) AS BIGINT) % n + 1 AS no FROM gs CROSS JOIN range(20) x(r)),
+d0 AS (SELECT r AS round, n, ((no - 1) % 2147483647 * 1103515245 + (r * 1640531527 + 5) % 2147483647) % 2147483647 AS z FROM gs CROSS JOIN range(200) x(r)),
+d1 AS (SELECT round, n, xor(z, z >> 15) * 1181783497 % 2147483647 AS z FROM d0),
+dr AS (SELECT round, xor(z, z >> 15) * 668265263 % 2147483647 % n + 1 AS no FROM d1),
 w AS (SELECT round, group_id, count(*) AS w FROM dr JOIN gs USING (no) GROUP BY 1, 2),
-b AS (SELECT round, score, sum(label_id * w) AS p, sum((1 - label_id) * w) AS n FROM grp JOIN w USING (group_id) GROUP BY 1, 2),
-c AS (SELECT *, sum(n) OVER (PARTITION BY round ORDER BY score) - n AS nb FROM b),
-m AS (SELECT round, CASE WHEN sum(p) * sum(n) > 0 THEN sum(p * (nb + n / 2)) / (sum(p) * sum(n)) END AS roc_auc, sum(p * pow(score - 1, 2) + n * pow(score, 2)) / sum(p + n) AS brier FROM c GROUP BY 1),
-l AS (SELECT 'roc_auc' AS metric, roc_auc AS v FROM m UNION ALL SELECT 'brier', brier FROM m)
-SELECT metric, round(quantile_cont(v, 0.025), 6) AS low, round(quantile_cont(v, 0.5), 6) AS median, round(quantile_cont(v, 0.975), 6) AS high, count(v) AS rounds FROM l GROUP BY 1""",
+per AS (SELECT group_id, score, sum(label_id) AS p, count(*) - sum(label_id) AS n FROM grp GROUP BY 1, 2),
+b AS (SELECT round, score, CAST(sum(p * w) AS DOUBLE) AS p, CAST(sum(n * w) AS DOUBLE) AS n FROM per JOIN w USING (group_id) GROUP BY 1, 2),
+c AS (SELECT *, sum(p) OVER w AS tp, sum(n) OVER w AS fp, sum(p) OVER (PARTITION BY round) AS pos, sum(n) OVER (PARTITION BY round) AS neg FROM b WINDOW w AS (PARTITION BY round ORDER BY score DESC)),
+m AS (SELECT round, sum(p * (neg - fp + n / 2)) / (max(pos) * max(neg)) AS roc_auc, sum(CASE WHEN p > 0 THEN p * tp / (tp + fp) ELSE 0 END) / max(pos) AS ap, sum(p * pow(score - 1, 2) + n * pow(score, 2)) / (max(pos) + max(neg)) AS brier,
+  max(CASE WHEN fp / neg <= 0.01 THEN tp / pos ELSE 0 END) AS reach FROM c WHERE pos > 0 AND neg > 0 GROUP BY 1),
+k AS (SELECT round, least(floor(score * 10), 9) AS bin, sum(p) - sum(score * (p + n)) AS gap, max(pos + neg) AS size FROM c GROUP BY 1, 2),
+e AS (SELECT round, sum(abs(gap)) / max(size) AS ece FROM k GROUP BY 1),
+l AS (SELECT 'roc_auc' AS metric, roc_auc AS v FROM m UNION ALL SELECT 'average_precision', ap FROM m UNION ALL SELECT 'brier', brier FROM m UNION ALL SELECT 'recall_at_fpr', reach FROM m UNION ALL SELECT 'ece', ece FROM e)
+SELECT metric, round(quantile_cont(v, 0.025), 9) AS low, round(avg(v), 9) AS mean, round(quantile_cont(v, 0.975), 9) AS high, count(v) AS rounds FROM l GROUP BY 1""",
     "sha_split": "WITH b AS (SELECT doc_id, coalesce(lang, '') AS lang, CAST(('0x' || substr(sha256(CAST(doc_id AS VARCHAR)), 1, 8)) AS BIGINT) % 10 AS b FROM documents) SELECT doc_id, CASE WHEN b < 6 THEN 'train' WHEN b < 8 THEN 'validation' ELSE 'test' END AS split, substr(sha256(lang || '|' || doc_id), 1, 24) AS sample_id FROM b",
     "leakage_report": """WITH b AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') || '-' || (doc_id % 50) AS family, CAST(('0x' || substr(sha256(CAST(doc_id AS VARCHAR)), 1, 8)) AS BIGINT) % 10 AS b FROM documents),
 s AS (SELECT *, CASE WHEN b < 6 THEN 0 WHEN b < 8 THEN 1 ELSE 2 END AS r FROM b),

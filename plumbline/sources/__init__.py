@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import io
 import json
+import re
 import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyarrow import fs as pafs
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,40 +65,23 @@ def unpivot(df: DataFrame, ids: list[str], mapping: dict[str, tuple[str, str]])
 _DTYPES = {"<f4": np.float32, "<f8": np.float64, "|b1": np.bool_, "<c8": np.complex64}
 
 
-#: Tensors of one bundle: their headers are listed on the driver, as Spark's readers pass over names with a leading dot.
-MOST_TENSORS = 10_000
-
-
-def _headers(spark: SparkSession, root: str) -> list[tuple[str, str, str]]:
-    """``(folder, name, text of .zarray)`` of all tensor folders below ``root``, by the file system that the path names."""
-    jvm = spark._jvm
-    path = jvm.org.apache.hadoop.fs.Path(root)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    found, files = [], fs.listFiles(path, True)
-    while files.hasNext():
-        p = files.next().getPath()
-        if p.getName() == ".zarray":
-            if len(found) == MOST_TENSORS:
-                raise ValueError(f"more than {MOST_TENSORS} tensors below {root}")
-            stream = fs.open(p)
-            found.append((p.getParent().toString(), p.getParent().getName(), jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")))
-            stream.close()
-    return found
-
-
 def tensors(spark: SparkSession, root: str) -> DataFrame:
     """Single-chunk tensor folders (``.zarray`` beside ``0.raw``) as ``name, shape, dtype, values``; complex values as re, im pairs.
-    A chunk whose length does not fit its shape fails."""
+    A chunk whose length does not fit its shape fails.
+
+    Spark's readers pass over names with a leading dot, so each task opens the headers of its own chunks, by the file system that
+    the path names."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "0.raw").load(root)
     raw = raw.select(F.regexp_extract("path", r"^(.*)/[^/]+$", 1).alias("folder"), "content")
-    meta = spark.createDataFrame(_headers(spark, root), "folder string, name string, meta string")
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in it:
             rows = []
-            for n, m, c in zip(b["name"], b["meta"], b["content"]):
-                m = json.loads(m)
-                kind, shape = _DTYPES[m["dtype"]], [int(x) for x in m["shape"]]
+            for folder, c in zip(b["folder"], b["content"]):
+                fs, path = pafs.FileSystem.from_uri(re.sub("^file:/*", "file:///", folder))
+                with fs.open_input_stream(f"{path}/.zarray") as f:
+                    m = json.loads(f.read())
+                n, kind, shape = path.rsplit("/", 1)[-1], _DTYPES[m["dtype"]], [int(x) for x in m["shape"]]
                 if len(c) != int(np.prod(shape)) * np.dtype(kind).itemsize:
                     raise ValueError(f"tensor {n}: {len(c)} bytes do not fit shape {shape}")
                 x = np.frombuffer(c, kind)
@@ -103,7 +89,85 @@ def tensors(spark: SparkSession, root: str) -> DataFrame:
                 rows.append((n, shape, m["dtype"], x.astype(float).tolist()))
             yield pd.DataFrame(rows, columns=["name", "shape", "dtype", "values"])
 
-    return meta.join(raw, "folder").select("name", "meta", "content").mapInPandas(run, "name string, shape array<int>, dtype string, values array<double>")
+    return raw.mapInPandas(run, "name string, shape array<int>, dtype string, values array<double>")
+
+
+def write_tensors(df: DataFrame, root: str, dtype: str = "<f4") -> None:
+    """One single-chunk tensor folder for each row ``(name, shape, values)``, in C order; values of complex tensors are re, im pairs.
+    Every task writes its own rows; a tensor that is there already, or whose values do not fit its shape, fails."""
+    kind = _DTYPES[dtype]
+    guard_path(root)
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in it:
+            for n, shape, v in zip(b["name"], b["shape"], b["values"]):
+                x = np.asarray(v, np.float32).view(np.complex64) if kind is np.complex64 else np.asarray(v).astype(kind)
+                if x.size != int(np.prod(shape)):
+                    raise ValueError(f"tensor {n}: {x.size} values do not fit shape {list(shape)}")
+                fs, path = pafs.FileSystem.from_uri(re.sub("^file:/*", "file:///", f"{root}/{n}") if root.startswith("file:") else f"{root}/{n}")
+                if fs.get_file_info(f"{path}/0.raw").type != pafs.FileType.NotFound:
+                    raise FileExistsError(path)
+                fs.create_dir(path, recursive=True)
+                head = {"zarr_format": 2, "shape": [int(s) for s in shape], "chunks": [int(s) for s in shape], "dtype": dtype, "order": "C", "compressor": None, "filters": None, "fill_value": 0}
+                for name, data in ((".zarray", json.dumps(head, sort_keys=True).encode()), ("0.raw", x.tobytes())):
+                    with fs.open_output_stream(f"{path}/{name}") as f:
+                        f.write(data)
+            yield pd.DataFrame({"n": [len(b)]})
+
+    df.select("name", "shape", "values").mapInPandas(run, "n long").agg(F.sum("n")).collect()
+
+
+def npz_frames(spark: SparkSession, path: str, array: str, ids: str, columns: str | None = None) -> DataFrame:
+    """Frame stores (``.npz`` files of one 3-D array, record ids and column names) as ``shard_path, row_offset, record_id, time_index,
+    values, columns``: a row per record and step.  A store whose ids do not fit its array fails.  Each file is read by one task."""
+    raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.npz").option("recursiveFileLookup", True).load(path).select("path", "content")
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in it:
+            for p, c in zip(b["path"], b["content"]):
+                with np.load(io.BytesIO(c), allow_pickle=False) as z:
+                    x, names = z[array], z[ids].astype(str)
+                    cols = z[columns].astype(str).tolist() if columns else None
+                if x.ndim != 3 or len(names) != len(x):
+                    raise ValueError(f"{p}: {len(names)} ids do not fit an array of shape {x.shape}")
+                for r in range(len(x)):
+                    yield pd.DataFrame({"shard_path": p, "row_offset": r, "record_id": names[r], "time_index": np.arange(x.shape[1]), "values": list(x[r].astype(float)), "columns": [cols] * x.shape[1]})
+
+    return raw.mapInPandas(run, "shard_path string, row_offset long, record_id string, time_index int, values array<double>, columns array<string>")
+
+
+def gather(records: DataFrame, store: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """The rows of a store that each record points to (by shard and offset, or by id), with the record's own place ``order``; a record
+    without a row fails."""
+    lost = records.join(store, keys, "left_anti").limit(1).collect()
+    if lost:
+        raise KeyError(f"no row for {[lost[0][k] for k in keys]}")
+    return store.join(records.select(*keys, order), keys)
+
+
+def assert_aligned(left: DataFrame, right: DataFrame, place: str, key: str) -> None:
+    """Fail unless both relations have the same key at every place."""
+    bad = left.select(place, F.col(key).alias("_a")).join(right.select(place, F.col(key).alias("_b")), place, "full").where(~F.col("_a").eqNullSafe(F.col("_b"))).limit(1).collect()
+    if bad:
+        raise ValueError(f"place {bad[0][place]}: {bad[0]['_a']} is not {bad[0]['_b']}")
+
+
+def discover(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """Folders one level below ``root`` that hold a file ``name``, as ``folder, path``."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", name).load(f"{root}/*").select("path")
+    return found.select(F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("folder"), "path")
+
+
+def cards(spark: SparkSession, root: str, schema: str = "kind string, public_proxy_id string") -> DataFrame:
+    """JSON cards below ``root`` as ``kind, slug, path``: the kind of the card, else the folder's name; the slug of its id, else the file's
+    name.  Two cards of one kind and slug fail."""
+    raw = spark.read.option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").schema(schema).json(root).withColumn("path", F.col("_metadata.file_path"))
+    kind = F.coalesce("kind", F.regexp_extract("path", r"([^/]+)/[^/]+$", 1))
+    out = raw.select(kind.alias("kind"), F.coalesce("public_proxy_id", F.regexp_extract("path", r"([^/]+)\.json$", 1)).alias("slug"), "path")
+    twice = out.groupBy("kind", "slug").agg(F.count("*").alias("n")).where("n > 1").limit(1).collect()
+    if twice:
+        raise ValueError(f"card {twice[0]['kind']}/{twice[0]['slug']} is there twice")
+    return out
 
 
 # sinks ------------------------------------------------------------------------------------------------------------------
@@ -117,6 +181,9 @@ def guard_path(path: str, reserved: tuple[str, ...] = ("/etc", "/usr", "/bin"))
 
 
 def write_csv(df: DataFrame, path: str, columns: list[str] | None = None) -> None:
+    """A CSV table with header; with ``columns`` in their order, and a column of ``df`` that is none of them fails."""
+    if columns and set(df.columns) - set(columns):
+        raise ValueError(f"columns {sorted(set(df.columns) - set(columns))} are not written")
     (df.select(*columns) if columns else df).write.mode("errorifexists").option("header", True).csv(guard_path(path))
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.tracking import TrackBook
+from ..operators.tracking import TRACK_FIELDS, LiveTracks
 
 
 def replay(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:
@@ -46,23 +46,24 @@ def trigger_stream(frames: DataFrame, record: str, order: str, score: str, thres
     return frames.select(record, order, F.col(score).cast("double").alias(score)).groupBy(record).applyInPandasWithState(step, out, "streak int, done boolean", "append", GroupStateTimeout.NoTimeout)
 
 
-def track_stream(detections: DataFrame, session: str, frame: str, pos: str, velocity: str) -> DataFrame:
+def track_stream(detections: DataFrame, session: str, frame: str, pos: str = "range_m", velocity: str = "velocity_mps", snr: str = "snr_db", confidence: str = "confidence") -> DataFrame:
     """Track rows after each frame; state holds the live tracks of a session, a handful of numbers each."""
     types = dict(detections.dtypes)
-    out = f"`{session}` {types[session]}, `{frame}` {types[frame]}, track_id long, range_m double, velocity_mps double, age_frames long"
-    kept = "next_id long, ids array<long>, ranges array<double>, velocities array<double>, ages array<long>, misses array<long>"
+    out = f"`{session}` {types[session]}, `{frame}` {types[frame]}, {TRACK_FIELDS}"
+    names = [x.split(" ")[0] for x in TRACK_FIELDS.split(", ")]
+    kept = "next_id long, ids array<long>, ranges array<double>, velocities array<double>, snrs array<double>, confidences array<double>, ages array<long>, misses array<long>"
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterable[pd.DataFrame]:
-        book = TrackBook()
+        live = LiveTracks()
         if state.exists:
             next_id, *cols = state.get
-            book = TrackBook([list(t) for t in zip(*cols)], next_id)
+            live = LiveTracks([list(t) for t in zip(*cols)], next_id)
         rows = []
         for f, g in pd.concat(list(parts)).groupby(frame, sort=True):
-            rows += [(key[0], f, *t[:4]) for t in book.update(list(zip(g[pos].astype(float), g[velocity].astype(float))))]
-        cols = [list(c) for c in zip(*book.tracks)] or [[], [], [], [], []]
-        state.update((book.next_id, *cols))
-        yield pd.DataFrame(rows, columns=[session, frame, "track_id", "range_m", "velocity_mps", "age_frames"])
+            rows += [(key[0], f, *t) for t in live.update(list(zip(*(g[c].astype(float) for c in (pos, velocity, snr, confidence)))))]
+        cols = [list(c) for c in zip(*live.tracks)] or [[] for _ in names]
+        state.update((live.next_id, *cols))
+        yield pd.DataFrame(rows, columns=[session, frame, *names])
 
     return detections.groupBy(session).applyInPandasWithState(step, out, kept, "append", GroupStateTimeout.NoTimeout)
 

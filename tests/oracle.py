@@ -25,7 +25,7 @@ def _norm(df: pd.DataFrame) -> list[tuple]:
             v = v.tolist()
         if isinstance(v, list):
             return repr([cell(x) for x in v])
-        if v is None or v is pd.NaT or (isinstance(v, float) and v != v):
+        if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and v != v):
             return "null"
         if isinstance(v, float):
             return repr(round(v, 9) + 0.0)
