@@ -38,7 +38,9 @@ def flag(c: Column) -> Column:
 
 
 def metric_text(c: Column) -> Column:
-    return F.coalesce(F.format_string("%.6f", c), F.lit(""))
+    """Six decimals, or nothing for a value that is null or not finite."""
+    d = finite(c)
+    return F.when(d.isNotNull(), F.format_string("%.6f", d)).otherwise("")
 
 
 def number_list(c: Column, kind: str = "bigint") -> Column:

@@ -192,26 +192,90 @@ def capon(df: DataFrame, col: str, sensors: int, steering: list[complex], loadin
     return _each(df, col, f, "capon_power double")
 
 
-def cfar_2d(df: DataFrame, col: str, width: int, train: int = 3, guard: int = 1, pfa: float = 1e-3) -> DataFrame:
-    """Row-major grids of ``width`` columns: cells above the mean of a square ring, by summed areas, as flat indices; a ragged grid
-    has none."""
+def ring_cfar(cells: DataFrame, keys: list[str], x: str, y: str, value: str, train: int = 3, guard: int = 1, pfa: float = 1e-3, kind: str = "ca", index: int = 0) -> DataFrame:
+    """Cells strictly above ``alpha`` times a statistic of the square ring around them, beyond the guard cells: its mean (``ca``), or
+    its ``index``-th smallest value, from 0 (``os``).  Only cells with a full ring are evaluated; a grid that lacks cells has fewer.
+
+    A square is a window along one axis over windows along the other, so cells are sorted twice and never multiplied.  A row or
+    column of a grid is one window."""
+    outer, n = train + guard, (2 * (train + guard) + 1) ** 2 - (2 * guard + 1) ** 2
+    near = lambda by, along, r: Window.partitionBy(*keys, by).orderBy(along).rangeBetween(-r, r)
+
+    def square(r: int, name: str) -> dict[str, Column]:
+        return {f"_s{name}": F.sum(f"_x{name}").over(near(x, y, r)), f"_n{name}": F.sum(f"_c{name}").over(near(x, y, r))}
+
+    rows = cells
+    for r, name in ((outer, "o"), (guard, "g")):
+        rows = rows.withColumns({f"_x{name}": F.sum(value).over(near(y, x, r)), f"_c{name}": F.count(value).over(near(y, x, r))})
+    rows = rows.withColumns({**square(outer, "o"), **square(guard, "g")})
+    rows = rows.where((F.col("_no") == (2 * outer + 1) ** 2) & (F.col("_ng") == (2 * guard + 1) ** 2))
+    if kind == "ca":
+        stat, alpha = (F.col("_so") - F.col("_sg")) / n, cell_average_alpha(n, pfa)
+    else:
+        alpha = order_statistic_alpha(n, min(index, n - 1) + 1, pfa)
+        part = F.collect_list(F.struct(F.col(x).alias("x"), F.col(value).alias("v")))
+        lists = cells.withColumn("_l", part.over(near(y, x, outer)))
+        lists = lists.withColumn("_ring", F.collect_list(F.struct(F.col(y).alias("y"), F.col("_l").alias("l"))).over(near(x, y, outer)))
+        inside = lambda r, c: (F.abs(r["y"] - F.col(y)) <= guard) & (F.abs(c["x"] - F.col(x)) <= guard)
+        ring = F.flatten(F.transform("_ring", lambda r: F.transform(F.filter(r["l"], lambda c: ~inside(r, c)), lambda c: c["v"])))
+        rows = rows.join(lists.select(*keys, x, y, F.get(F.array_sort(ring), F.lit(min(index, n - 1))).alias("_stat")), [*keys, x, y])
+        stat = F.col("_stat")
+    return rows.select(*keys, x, y, value, (alpha * stat).alias("threshold")).where(F.col(value) > F.col("threshold"))
 
-    def f(x: np.ndarray):
-        if not width or len(x) % width or not len(x):
-            return ([],)
-        g = x.reshape(-1, width)
-        s = np.pad(g.cumsum(0).cumsum(1), ((1, 0), (1, 0)))
-        r = train + guard
-        out = []
-        for i in range(r, g.shape[0] - r):
-            for j in range(r, width - r):
-                box = lambda k: s[i + k + 1, j + k + 1] - s[i - k, j + k + 1] - s[i + k + 1, j - k] + s[i - k, j - k]  # noqa: B023,E731
-                n = (2 * r + 1) ** 2 - (2 * guard + 1) ** 2
-                if g[i, j] > cell_average_alpha(n, pfa) * (box(r) - box(guard)) / n:
-                    out.append(i * width + j)
-        return (out,)
-
-    return _each(df, col, f, "detections array<bigint>")
+
+def cube_reduce(cube: DataFrame, keys: list[str], value: str, how: str = "sum") -> DataFrame:
+    """Collapse the axes of a cube of cells that are not keys: ``sum``, ``max`` or ``mean``."""
+    return cube.groupBy(*keys).agg({"sum": F.sum, "max": F.max, "mean": F.avg}[how](value).alias(value))
+
+
+def cube_peak(cube: DataFrame, keys: list[str], axes: list[str], value: str) -> DataFrame:
+    """The cell of the greatest value of each cube, the first along the axes among equals."""
+    top = F.max_by(F.struct(*axes, F.col(value).alias("peak")), F.struct(F.col(value), *[(-F.col(a)).alias(a) for a in axes]))
+    return cube.groupBy(*keys).agg(top.alias("t")).select(*keys, "t.*")
+
+
+def spectrum(cells: DataFrame, keys: list[str], index: str, re: str, im: str, length: int, taper: str = "none") -> DataFrame:
+    """Discrete Fourier transform along an axis of ``length`` cells: ``bin, re, im``.  Every cell goes to each bin with its phase and the
+    bins are sums, so it combines before the shuffle; ``taper`` is ``none``, ``hann`` or ``hamming``."""
+    i = F.col(index)
+    w = {"none": F.lit(1.0), "hann": 0.5 - 0.5 * F.cos(2 * np.pi * i / max(1, length - 1)), "hamming": 0.54 - 0.46 * F.cos(2 * np.pi * i / max(1, length - 1))}[taper]
+    turn = -2 * np.pi / length * F.pmod(F.col("bin") * i, F.lit(length))
+    rows = cells.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(length - 1))))
+    return rows.groupBy(*keys, "bin").agg(F.sum(w * (F.col(re) * F.cos(turn) - F.col(im) * F.sin(turn))).alias("re"), F.sum(w * (F.col(re) * F.sin(turn) + F.col(im) * F.cos(turn))).alias("im"))
+
+
+def greatest_of_alpha(cells: int, pfa: float) -> float:
+    """The factor on the greater side's sum of ``cells`` exponential cells a side for a false-alarm rate, by bisection on the exact series."""
+    def rate(a: float) -> float:
+        k = np.arange(cells)
+        log_binom = np.r_[0.0, np.cumsum(np.log((cells + k[:-1]) / (k[:-1] + 1)))]
+        return 2 * float((1 + a) ** -cells - np.exp(log_binom - (cells + k) * np.log(2 + a)).sum())
+
+    return _bisect(rate, pfa)
+
+
+def smallest_of_alpha(cells: int, pfa: float) -> float:
+    """The same for the smaller side's sum."""
+    k = np.arange(cells)
+    log_binom = np.r_[0.0, np.cumsum(np.log((cells + k[:-1]) / (k[:-1] + 1)))]
+    return _bisect(lambda a: 2 * float(np.exp(log_binom - (cells + k) * np.log(2 + a)).sum()), pfa)
+
+
+def weibull_alpha(cells: int, pfa: float, shape: float) -> float:
+    """The factor on the mean in Weibull noise of a shape; 0 for no cells or no shape."""
+    from math import gamma
+
+    return 0.0 if cells <= 0 or shape <= 0 else cells * (pfa ** (-shape / cells) - 1) ** (1 / shape) / gamma(1 + 1 / shape)
+
+
+def _bisect(rate, pfa: float) -> float:
+    lo, hi = 0.0, 1.0
+    while rate(hi) > pfa:
+        hi *= 2
+    for _ in range(200):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if rate(mid) > pfa else (lo, mid)
+    return (lo + hi) / 2
 
 
 def resample(col: Column, n: int) -> Column:

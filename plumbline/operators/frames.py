@@ -124,3 +124,25 @@ def phase_rates(tracks: DataFrame, phase: str) -> DataFrame:
         F.coalesce(F.avg(F.when(y, (F.col("hits") > 0).cast("double"))), F.lit(0.0)).alias("pd"), F.coalesce(F.avg(F.when(~y, (F.col("hits") > 0).cast("double"))), F.lit(0.0)).alias("pfa"),
         F.avg(F.when(y, F.col("first_hit"))).alias("mean_first_hit"), F.avg(F.when(y & (F.col("hits") > 0), F.col("fragments"))).alias("mean_fragments"), F.count("*").alias("records"),
     )
+
+
+def horizon(frames: DataFrame, time: str, seconds: float) -> DataFrame:
+    """Frames up to a horizon; none at all is an error."""
+    out = frames.where(F.col(time) <= seconds + 1e-6)
+    if out.isEmpty():
+        raise ValueError(f"no frames up to {seconds} s")
+    return out
+
+
+def padded(frames: DataFrame, keys: list[str], order: list[str], value: str, length: int) -> DataFrame:
+    """Each record as arrays of one length: its values, then zeros, and a mask of which are real; longer records are an error."""
+    v = frames.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct(*order, F.col(value).alias("_v")))), lambda s: s["_v"]).alias("_a"))
+    n = F.size("_a")
+    fits = F.when(n <= length, n).otherwise(F.raise_error(F.lit(f"a record has more than {length} frames")).cast("int"))
+    return v.select(*keys, F.concat("_a", F.array_repeat(F.lit(0.0), F.lit(length) - fits)).alias("values"), F.concat(F.array_repeat(F.lit(True), n), F.array_repeat(F.lit(False), F.lit(length) - n)).alias("mask"))
+
+
+def in_phase_order(rows: DataFrame, phase: str, order: list[str], then: list[str]) -> DataFrame:
+    """Rows by an explicit order of phases, unknown ones last, then by name and ``then``."""
+    rank = F.coalesce(F.nullif(F.array_position(F.lit(order), F.col(phase)), F.lit(0)), F.lit(99))
+    return rows.withColumn("phase_rank", rank.cast("int")).orderBy("phase_rank", phase, *then)

@@ -2,21 +2,32 @@
 
 from __future__ import annotations
 
+import atexit
 import re
+import shutil
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def keep(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a reliable checkpoint, in the folder that ``spark.checkpoint.dir`` names; where it names none, in one of
-    our own if all runs on this machine, else it is an error: a cluster's machines do not see each other's folders."""
-    context = df.sparkSession.sparkContext
-    if not (df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()):
-        if not re.fullmatch(r"local(\[.*\])?", context.master):
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names; where it names none, one of our own if all runs on this machine, else it is an
+    error: a cluster's machines do not see each other's folders."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="plumbline-"))
+        own = tempfile.mkdtemp(prefix="plumbline-")
+        atexit.register(shutil.rmtree, own, True)
+        found = f"file://{own}"
+        spark.sparkContext.setCheckpointDir(found)
+    return found
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """Cut the lineage by a reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

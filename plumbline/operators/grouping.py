@@ -112,3 +112,52 @@ def distribution_summary(df: DataFrame, keys: list[str], value: str) -> DataFram
     out = df.groupBy(*keys).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"))
     out = out.join(quantiles(df.withColumn("_v", v), keys, "_v", [0.1, 0.25, 0.5, 0.75, 0.9]), keys, "left")
     return out.select(*keys, "n", "mean", "std", "min", *[F.col("q")[i].alias(n) for i, n in enumerate(("q10", "q25", "q50", "q75", "q90"))], "max")
+
+
+def group_counts(df: DataFrame, group: str, by: list[str], positive: Column) -> DataFrame:
+    """Distinct groups and distinct groups with a positive row; blank groups are left out.  One row per group first, so no set of
+    ids is gathered."""
+    g = df.where(F.coalesce(F.col(group).cast("string"), F.lit("")) != "").groupBy(*by, group).agg(F.bool_or(positive).alias("_p"))
+    return g.groupBy(*by).agg(F.count("*").alias("groups"), F.count_if("_p").alias("positive_groups"))
+
+
+def record_summary(frames: DataFrame, keys: list[str], means: list[str], tops: list[str], shares: dict[str, Column]) -> DataFrame:
+    """Per record the means of some columns, the greatest of others (0 at least), and the share of frames of each condition."""
+    return frames.groupBy(*keys).agg(
+        *[F.avg(c).alias(f"mean_{c}") for c in means], *[F.greatest(F.max(c), F.lit(0.0)).alias(f"max_{c}") for c in tops],
+        *[F.avg(F.coalesce(x, F.lit(False)).cast("double")).alias(n) for n, x in shares.items()], F.count("*").alias("frames"),
+    )
+
+
+def status_counts(df: DataFrame, conditions: dict[str, Column], newest: str, tier: str) -> DataFrame:
+    """One row: how many rows meet each condition, the newest, and the distinct tiers in order."""
+    return df.agg(F.count("*").alias("total"), *[F.count_if(c).alias(n) for n, c in conditions.items()], F.max(newest).alias("newest"), F.array_join(F.array_sort(F.collect_set(tier)), ",").alias("tiers"))
+
+
+def class_rollup(df: DataFrame, tier: str, kind: str) -> DataFrame:
+    """Counts per class and per tier and class in one pass; rows without a class are counted apart."""
+    named = F.coalesce(F.col(kind), F.lit("(none)"))
+    sets = F.explode(F.array(F.struct(F.lit("class").alias("level"), F.lit("").alias("tier"), named.alias("class")), F.struct(F.lit("tier_class").alias("level"), F.col(tier).alias("tier"), named.alias("class")))).alias("x")
+    return df.select(F.col(kind).isNull().alias("_none"), sets).where("not _none or x.level = 'class'").groupBy("x.level", "x.tier", "x.class").agg(F.count("*").alias("n"))
+
+
+def model_rollup(records: DataFrame, model: str = "model_id") -> DataFrame:
+    """From rows ``(model, record_id, positive, family, trigger_frame, detectable_frame)``, one per model and record: rates, missed
+    positives, false alarms per family, mean latency of triggers not before the frame is detectable."""
+    pos, hit = F.col("positive"), F.col("trigger_frame").isNotNull()
+    late = F.when(pos & hit & (F.col("trigger_frame") >= F.col("detectable_frame")), (F.col("trigger_frame") - F.col("detectable_frame")).cast("double"))
+    out = records.groupBy(model).agg(F.count_if(pos).alias("positive_records"), F.count_if(~pos).alias("negative_records"), F.count_if(pos & hit).alias("_tp"), F.count_if(~pos & hit).alias("_fp"), F.count_if(pos & ~hit).alias("missed"), F.avg(late).alias("mean_latency"))
+    fams = records.where(~pos & hit).groupBy(model, "family").agg(F.count("*").alias("n")).groupBy(model).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("family", "n")))).alias("false_alarms"))
+    share = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
+    return out.join(fams, model, "left").select(model, "positive_records", "negative_records", share("_tp", "positive_records").alias("pd"), share("_fp", "negative_records").alias("pfa"), "missed", "mean_latency", "false_alarms")
+
+
+def component_means(rows: DataFrame, record: str, component: str, score: str, chosen: list[str]) -> DataFrame:
+    """Mean score per record over some components; a blank score counts as 0, a blank record is left out."""
+    keep = rows.where(F.col(component).isin(chosen) & (F.coalesce(F.col(record).cast("string"), F.lit("")) != ""))
+    return keep.groupBy(record).agg(F.avg(F.coalesce(F.col(score).try_cast("double"), F.lit(0.0))).alias("score"))
+
+
+def track_products(rows: DataFrame, track: str, order: list[str], confidence: str, pos: str) -> DataFrame:
+    by = F.struct(*order)
+    return rows.groupBy(track).agg(F.count("*").alias("detections"), F.avg(confidence).alias("mean_confidence"), F.min_by(pos, by).alias("range_start"), F.max_by(pos, by).alias("range_end"))

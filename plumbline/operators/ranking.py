@@ -59,6 +59,29 @@ def average_precision(scored: DataFrame, keys: list[str], empty: float | None =
     return s.groupBy(*keys).agg(ratio(F.sum(F.when(F.col("label_id") == 1, F.col("hits") / F.col("seen")).otherwise(0.0)), F.sum("label_id"), empty).alias("average_precision"))
 
 
+def pr_auc(scored: DataFrame, keys: list[str]) -> DataFrame:
+    """Area under precision over recall by steps, row by row from the top (tied scores keep the order of ``ord``); 0 without positives.
+    A step has the precision at its row, and only positives step, so it is the sum of average precision."""
+    return average_precision(scored, keys, 0.0).withColumnRenamed("average_precision", "pr_auc")
+
+
+def best_of_group(rows: DataFrame, groups: list[str], by: str, name: str, n: int = 1) -> DataFrame:
+    """The ``n`` rows of each group with the greatest ``by``, ties by ``name``, NaN and null last; an aggregate of ``n`` rows a group."""
+    low = F.when(F.col(by).isNull() | F.isnan(by), F.lit(float("-inf"))).otherwise(F.col(by))
+    rest = [c for c in rows.columns if c not in groups]
+    top = F.slice(F.array_sort(F.collect_list(F.struct((-low).alias("_k"), F.col(name).alias("_n"), F.struct(*rest).alias("r")))), 1, n)
+    return rows.groupBy(*groups).agg(F.explode(top).alias("x")).select(*groups, *[F.col(f"x.r.{c}").alias(c) for c in rest])
+
+
+def method_summary(perf: DataFrame) -> DataFrame:
+    """Rows ``(method, positives, negatives, recall, fpr, average_precision, tp, fp)`` with the counts that are missing derived from the
+    rates, in order of average precision, greatest first, NaN last."""
+    tp = F.coalesce("tp", F.bround(F.col("positives") * F.col("recall")).cast("long"))
+    fp = F.coalesce("fp", F.bround(F.col("negatives") * F.col("fpr")).cast("long"))
+    out = perf.withColumns({"tp": tp, "fp": fp}).withColumns({"fn": F.col("positives") - F.col("tp"), "tn": F.col("negatives") - F.col("fp")})
+    return out.orderBy(F.desc_nulls_last(F.nanvl(F.col("average_precision"), F.lit(None).cast("double"))), "method")
+
+
 def roc_curve(scored: DataFrame, keys: list[str]) -> DataFrame:
     """``fpr, tpr, threshold``: from (0, 0) above the top score, a point per distinct score, to (1, 1) below the least."""
     s = sweep(scored, keys)

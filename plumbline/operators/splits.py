@@ -72,3 +72,53 @@ def expand_phases(groups: DataFrame, group: str, phases: list[tuple[str, float,
     out = g.crossJoin(F.broadcast(p)).withColumn("record_index", (F.col("_g") - 1) * len(phases) + F.col("phase_index"))
     ns = lambda c: F.round(F.col(c) * 1e9).cast("bigint")
     return out.withColumns({"shard_index": F.floor(F.col("record_index") / shard), "row_offset": F.col("record_index") % shard, "timestamp_start_ns": ns("phase_start_s"), "timestamp_end_ns": ns("phase_end_s")}).drop("_g", "phase_index")
+
+
+def holdout_quota(groups: int, positives: int, folds: int = 5, share: float = 0.15) -> tuple[int, int, int, int]:
+    """Holdout and training groups, and the positives of each: the share of groups, at least ``folds`` on either side, and of the positives
+    rounded up."""
+    if not 0 < positives < groups:
+        raise ValueError("there must be fewer positive groups than groups, and one at least")
+    hold = min(max(folds, round(groups * share)), groups - folds)
+    hold_pos = min(-(-hold * positives // groups), positives, hold)
+    if positives - hold_pos <= 0:
+        raise ValueError("no positive group is left to train on")
+    return hold, groups - hold, hold_pos, positives - hold_pos
+
+
+def group_manifest(groups: DataFrame, group: str, positive: str, folds: int = 5, seed: int = 1) -> DataFrame:
+    """Every group with ``split_role`` and ``cv_fold``: positives and negatives each in hash order, the first of them held out by
+    quota, the others dealt to folds by rank."""
+    n = groups.agg(F.count("*").alias("n"), F.sum(F.col(positive).cast("long")).alias("p")).first()
+    hold, _, hold_pos, _ = holdout_quota(n.n, n.p, folds)
+    key = F.conv(F.substring(stable_order(seed, "manifest", F.col(group)), 1, 13), 16, 10).cast("bigint")
+    r = row_numbers(groups.withColumn("_k", key), [positive], "_k", "_rank", then=[F.col(group)])
+    quota = F.when(F.col(positive).cast("int") == 1, hold_pos).otherwise(hold - hold_pos)
+    out = r.withColumn("split_role", F.when(F.col("_rank") <= quota, "holdout").otherwise("train"))
+    return out.withColumn("cv_fold", F.when(F.col("split_role") == "train", F.pmod(F.col("_rank") - quota - 1, F.lit(folds))).otherwise(F.lit(-1)).cast("int")).drop("_k", "_rank")
+
+
+def strata_split(df: DataFrame, id_col: str, stratum: Column, held: list, seed: int = 1, train: float = 0.70, validation: float = 0.15) -> DataFrame:
+    """Rows of held-out strata are ``test``; the others, in hash order, fill validation, what is left of test, and train."""
+    rows = df.withColumn("_held", stratum.isin(held)).withColumn("_k", F.conv(F.substring(stable_order(seed, "strata", F.col(id_col)), 1, 13), 16, 10).cast("bigint"))
+    r = row_numbers(rows, ["_held"], "_k", "_rank", then=[F.col(id_col)])
+    n = rows.agg(F.count("*").alias("_n"), F.count_if("_held").alias("_h"))
+    r = r.crossJoin(F.broadcast(n))
+    a, b = F.bround(F.col("_n") * train), F.bround(F.col("_n") * validation)
+    rest = F.greatest(F.col("_n") - a - b - F.col("_h"), F.lit(0))
+    return r.withColumn("split", F.when(F.col("_held"), "test").when(F.col("_rank") <= b, "validation").when(F.col("_rank") <= b + rest, "test").otherwise("train")).drop("_held", "_k", "_rank", "_n", "_h")
+
+
+def round_robin(plan: DataFrame, index: str, positive: Column, positives: list[str], negatives: list[str]) -> DataFrame:
+    """A class for each row of a plan: positives and negatives in turn, by the row's index."""
+    pick = lambda names: F.element_at(F.array(*[F.lit(n) for n in names]), (F.col(index) % len(names) + 1).cast("int"))
+    return plan.withColumn("class_label", F.when(positive, pick(positives)).otherwise(pick(negatives)))
+
+
+def campaign_plan(spark, total: int, weights: dict[str, int], seed: int = 1) -> DataFrame:
+    """``(slot, bucket, index)``: buckets by weighted quota, slots in hash order."""
+    quota = weighted_remainder(total, weights)
+    rows = [(b, n) for b, n in quota.items() if n]
+    b = spark.createDataFrame(rows, "bucket string, n int").select("bucket", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("index"))
+    b = b.withColumn("_k", F.conv(F.substring(stable_order(seed, "plan", F.col("bucket"), F.col("index")), 1, 13), 16, 10).cast("bigint"))
+    return row_numbers(b, [], "_k", "slot", then=[F.col("bucket"), F.col("index")]).withColumn("slot", F.col("slot") - 1).drop("_k")

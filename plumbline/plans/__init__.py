@@ -1,7 +1,7 @@
 """The registered queries over the driver's tables, and the same queries as DuckDB SQL."""
 
-from . import ranking, scalars, sequences, tables
+from . import audits, ranking, scalars, sequences, stores, tables
 
-_PARTS = (ranking, tables, sequences, scalars)
+_PARTS = (ranking, tables, sequences, scalars, audits, stores)
 QUERIES: dict = {k: v for m in _PARTS for k, v in m.QUERIES.items()}
 ORACLE_SQL: dict = {k: v for m in _PARTS for k, v in m.ORACLE_SQL.items()}

@@ -165,9 +165,9 @@ CASE WHEN event_type LIKE 'cl%' THEN 'touch' WHEN event_type LIKE 'vi%' THEN 'si
 CASE WHEN -v * 3 < -157 AND v / 20 > 2 THEN 'surface' WHEN v / 100 > 0.7e0 AND v / 100 < 0.95e0 THEN 'evaporation' ELSE 'none' END AS duct,
 round(CASE WHEN -v * 3 < -157 AND v / 20 > 2 THEN 25 + (-157 - greatest(-400, least(-157, -v * 3))) / 243e0 * 75 WHEN v / 100 > 0.7e0 AND v / 100 < 0.95e0 THEN greatest(5, least(40, 5 + 35 * (0.85e0 - v / 100))) END, 9) AS height,
 v BETWEEN 0 AND 90 AND frame_id % 11 > 0 AND v * 3 BETWEEN 0 AND 200 AND (frame_id % 3 = 0 OR v / 10 BETWEEN 0 AND 5) AS gate, CAST(CASE WHEN frame_id % 8 < 6 THEN frame_id % 8 ELSE -1 END AS INTEGER) AS fidelity FROM x""",
-    "scalar_parsing": f"""WITH x AS (SELECT *, {_TEXT} AS t FROM orders) SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN o_orderkey WHEN 1 THEN o_orderkey % 9 ELSE -1 END AS whole, round(coalesce(try_cast(t AS DOUBLE), -1), 6) AS number, round(try_cast(t AS DOUBLE), 6) AS finite,
+    "scalar_parsing": f"""WITH x AS (SELECT *, {_TEXT} AS t FROM orders) SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN o_orderkey ELSE -1 END AS whole, round(coalesce(try_cast(t AS DOUBLE), -1), 6) AS number, round(try_cast(t AS DOUBLE), 6) AS finite,
 round(coalesce(try_cast(nullif(trim(t), '') AS DOUBLE), o_totalprice), 6) AS filled, CASE WHEN o_orderkey % 3 = 0 THEN 1e0 ELSE 0e0 END AS flag, CASE WHEN o_orderkey % 4 > 0 THEN printf('%.6f', o_totalprice) ELSE '' END AS metric,
-CASE o_orderkey % 5 WHEN 0 THEN o_orderkey || ';7' WHEN 1 THEN (o_orderkey % 9) || ';7' ELSE '7' END AS numbers, o_orderpriority || '.' || o_orderkey AS segments, CASE WHEN o_orderkey % 2 = 0 THEN 'm' END AS model, CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey % 30 ELSE -1 END AS frame,
+CASE o_orderkey % 5 WHEN 0 THEN o_orderkey || ';7' ELSE '7' END AS numbers, o_orderpriority || '.' || o_orderkey AS segments, CASE WHEN o_orderkey % 2 = 0 THEN 'm' END AS model, CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey % 30 ELSE -1 END AS frame,
 o_totalprice / 300000 BETWEEN 0 AND 1 AS probability, regexp_full_match(lower(o_orderpriority), '[a-z0-9]+(-[a-z0-9]+)*') AS slug, coalesce(trim(t) <> '', false) AS any_text, CAST((18446744073709551557::HUGEINT - o_orderkey) % 1000 AS BIGINT) AS u64 FROM x""",
     "canonical_identity": """WITH j AS (SELECT *, '{"brand":"' || p_brand || '","key":' || p_partkey || ',"size":' || p_size || '}' AS json FROM part), f AS (SELECT *, sha256(json) AS fp FROM j)
 SELECT p_partkey, json, fp AS fingerprint, 'id:part:' || lower(p_brand) || ':' || substr(sha256('part|' || lower(p_brand) || '|1|' || fp), 1, 16) || ':1' AS id, '{"a":1,"z":' || p_size || '}' AS map FROM f""",

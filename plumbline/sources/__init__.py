@@ -104,7 +104,7 @@ def write_tensors(df: DataFrame, root: str, dtype: str = "<f4") -> None:
                 x = np.asarray(v, np.float32).view(np.complex64) if kind is np.complex64 else np.asarray(v).astype(kind)
                 if x.size != int(np.prod(shape)):
                     raise ValueError(f"tensor {n}: {x.size} values do not fit shape {list(shape)}")
-                fs, path = pafs.FileSystem.from_uri(re.sub("^file:/*", "file:///", f"{root}/{n}") if root.startswith("file:") else f"{root}/{n}")
+                fs, path = pafs.FileSystem.from_uri(f"{re.sub('^file:/*', 'file:///', root)}/{n}")
                 if fs.get_file_info(f"{path}/0.raw").type != pafs.FileType.NotFound:
                     raise FileExistsError(path)
                 fs.create_dir(path, recursive=True)
@@ -136,6 +136,33 @@ def npz_frames(spark: SparkSession, path: str, array: str, ids: str, columns: st
     return raw.mapInPandas(run, "shard_path string, row_offset long, record_id string, time_index int, values array<double>, columns array<string>")
 
 
+def write_npz(df: DataFrame, root: str, shard: str, record: str, value: str, shape: tuple[int, int], columns: list[str]) -> None:
+    """A frame store for each shard: its records in order of id, each ``shape`` of values.  A shard is one file, so one task holds it;
+    one that is there already fails."""
+    guard_path(root)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(record)
+        body = io.BytesIO()
+        np.savez(body, frames=np.stack([np.asarray(v, np.float32).reshape(shape) for v in pdf[value]]), record_ids=pdf[record].to_numpy(str), columns=np.array(columns))
+        fs, path = pafs.FileSystem.from_uri(re.sub("^file:/*", "file:///", root))
+        name = f"{path}/shard-{pdf[shard].iloc[0]:06d}.npz"
+        if fs.get_file_info(name).type != pafs.FileType.NotFound:
+            raise FileExistsError(name)
+        fs.create_dir(path, recursive=True)
+        with fs.open_output_stream(name) as f:
+            f.write(body.getvalue())
+        return pd.DataFrame({"n": [len(pdf)]})
+
+    df.select(shard, record, value).groupBy(shard).applyInPandas(run, "n long").agg(F.sum("n")).collect()
+
+
+def write_sequence(df: DataFrame, path: str) -> None:
+    """Columns of doubles with 17 digits after the point, which read back bit for bit; a null fails."""
+    lossless = lambda c: F.when(F.col(c).isNull(), F.raise_error(F.lit(f"column {c} has a null"))).otherwise(F.format_string("%.17e", F.col(c).cast("double")))
+    write_csv(df.select(*[lossless(c).alias(c) for c in df.columns]), path)
+
+
 def gather(records: DataFrame, store: DataFrame, keys: list[str], order: str) -> DataFrame:
     """The rows of a store that each record points to (by shard and offset, or by id), with the record's own place ``order``; a record
     without a row fails."""
