@@ -4,7 +4,7 @@ Vectors are dealt by region, the nearest of some centres of a bounded sample, an
 searches a shard of its own region; the k-th score it finds there is a floor for all others, and only shards whose region, a ball
 around its centre, may hold a better one are searched.  In a shard, vectors get one more coordinate, ``sqrt(M^2 - |x|^2)`` with M
 their largest norm, queries a zero: then the largest inner product is the smallest Euclidean distance, and the triangle
-inequality prunes the tree.  ``factor`` multiplies a lower bound, of a region or a subtree, before it is held against the k-th
+inequality prunes the tree, by the distances from a vantage point and by the ball around the middle of a subtree.  ``factor`` multiplies a lower bound, of a region or a subtree, before it is held against the k-th
 distance so far: above 1 the search is faster and approximate, at 1 it is exact.  All queries of a block go down the tree
 together, so the work is in matrix products.
 """
@@ -22,7 +22,7 @@ from .common import arrow_map, batch, cut, discard, partitions
 from .vectors import matrix, usable
 
 #: Vectors of a shard, queries of a block, vectors of a leaf.
-SHARD_ROWS, QUERY_ROWS, LEAF = 4096, 4096, 64
+SHARD_ROWS, QUERY_ROWS, LEAF = 4096, 4096, 32
 #: Most regions, and the vectors of the sample that their centres come from for each of them.
 MOST_REGIONS, PER_REGION = 1024, 8
 #: Lists of results that are merged at once.
@@ -32,13 +32,15 @@ FACTOR = 1.0
 
 
 class _Node:
-    __slots__ = ("center", "ranges", "kids", "points")
+    __slots__ = ("center", "ranges", "kids", "points", "middle", "radius")
 
     def __init__(self, x: np.ndarray, points: np.ndarray, leaf: int):
         self.points, self.kids = points, ()
+        mean = x[points].mean(0) if len(points) else x.sum(0)
+        self.middle = mean[:-1]
+        self.radius = np.sqrt(((x[points, :-1] - self.middle) ** 2).sum(1).max()) if len(points) else 0.0
         if len(points) <= leaf:
             return
-        mean = x[points].mean(0)
         self.center = x[points[((x[points] - mean) ** 2).sum(1).argmax()]]  # the farthest point sees the others at most different distances
         d = np.sqrt(((x[points] - self.center) ** 2).sum(1))
         order = np.argsort(d, kind="stable")
@@ -92,7 +94,11 @@ class Search:
             return
         c = node.center
         d = np.sqrt(np.maximum(self.qn[rows] + (c**2).sum() - 2 * self.q[rows] @ c[:-1], 0))
-        bound = [np.maximum(np.maximum(d - hi, lo - d), 0) * self.factor for lo, hi in node.ranges]
+        bound = []
+        for (lo, hi), kid in zip(node.ranges, node.kids):
+            best = self.q[rows] @ kid.middle + np.sqrt(self.qn[rows]) * kid.radius  # no point of the kid's ball has a larger product
+            ball = np.sqrt(np.maximum(self.qn[rows] + self.top - 2 * best, 0))
+            bound.append(np.maximum(np.maximum(np.maximum(d - hi, lo - d), 0) * self.factor, ball))
         first = (bound[1] < bound[0]).astype(int)
         for near in (0, 1):
             mine = first == near
@@ -226,7 +232,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
         found = cut(found, "home")
         floor = found.select(F.col("query_id").alias("id"), "dim", F.col("shard").alias("done"), F.when(F.size("found") == k, -F.element_at("found", -1)["s"]).alias("floor"))
         q = q.join(floor, ["id", "dim"], "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
-        visits = _visits(q.drop("region", "away"), ball, points, factor)
+        visits = _visits(q.drop("region", "away"), ball, points)
         found = found.unionByName(_search(x, visits, k, factor))
         if most > MERGE:
             found = _merged(found, ["query_id", "dim", F.pmod(F.xxhash64("shard"), F.lit(-(-most // MERGE))).alias("part")], k)
@@ -234,7 +240,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
     return merged.select("query_id", F.posexplode("found").alias("p", "f")).select("query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("f.id").alias("vec_id"), (-F.col("f.s")).alias("score"))
 
 
-def _visits(q: DataFrame, ball: DataFrame, points: dict[int, np.ndarray], factor: float) -> DataFrame:
+def _visits(q: DataFrame, ball: DataFrame, points: dict[int, np.ndarray]) -> DataFrame:
     """A row per query and shard that may hold a better candidate than the query's floor, but for the shard that is ``done``.
 
     No vector of a region has an inner product above the query's with the centre plus its norm times the radius, nor above the
@@ -255,7 +261,7 @@ def _visits(q: DataFrame, ball: DataFrame, points: dict[int, np.ndarray], factor
                 best = np.minimum(matrix(v.take(pa.array(at))) @ c.T + qn * radius, qn * top)
                 m2 = top.max() ** 2
                 far = lambda s: np.sqrt(np.maximum(qn**2 + m2 - 2 * s, 0))  # noqa: B023,E731
-                keep = far(best) * factor <= far(np.maximum(floor[at][:, None], -1e300)) * (1 + 1e-9) + 1e-9
+                keep = far(best) <= far(np.maximum(floor[at][:, None], -1e300)) * (1 + 1e-9) + 1e-9
                 keep |= np.isneginf(floor[at])[:, None]
                 i, j = np.nonzero(keep)
                 row.append(at[i]), region.append(r[j]), shards.append(count[j])
