@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -326,10 +328,6 @@ def deterministic_id(kind: str, proxy: Column, json: Column, version: int = 1, p
 
 def stable_seed(*parts: Column) -> Column:
     """63 bits of the 8-byte BLAKE2b of ``a|b|..``; Spark has no such hash, so batches of texts go through Arrow."""
-    import hashlib
-
-    import pandas as pd
-
     @F.pandas_udf("long")
     def seed(text: pd.Series) -> pd.Series:
         return text.map(lambda t: int.from_bytes(hashlib.blake2b(t.encode(), digest_size=8).digest(), "big") & ((1 << 63) - 1))
