@@ -1,15 +1,12 @@
-"""Adaptive thresholds, peaks and spectra, on cells (windows, joins) and on array columns (Arrow tasks)."""
+"""Adaptive thresholds, peaks, tracks and spectra on cells: windows, joins and sums."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .graph import components
+from .graph import components, keep
 
 
 def cell_average_alpha(cells: int, pfa: float) -> float:
@@ -85,113 +82,36 @@ def hough_tracks(cells: DataFrame, keys: list[str], time: str, pos: str, value:
     return per.groupBy(*keys, "gradient", "start").agg(F.count("*").alias("hits"), F.sum("_v").alias("power")).where(F.col("hits") >= least)
 
 
-def suppress(candidates: DataFrame, keys: list[str], bin_col: str = "start", grad: str = "gradient", power: str = "power", near_bin: int = 3, near_grad: float = 0.5) -> DataFrame:
-    """Greedy by power: a candidate near a kept one in both start and gradient is dropped.  The order decides, so a key's
-    candidates, which are few after voting, are one group."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([power, bin_col, grad], ascending=[False, True, True])
-        kept: list[int] = []
-        b, g = pdf[bin_col].to_numpy(), pdf[grad].to_numpy()
-        for i in range(len(pdf)):
-            if not any(abs(b[i] - b[j]) < near_bin and abs(g[i] - g[j]) < near_grad for j in kept):
-                kept.append(i)
-        return pdf.iloc[kept]
-
-    return candidates.groupBy(*keys).applyInPandas(run, candidates.schema)
+def suppress(candidates: DataFrame, keys: list[str], bin_col: str = "start", grad: str = "gradient", power: str = "power", near_bin: int = 3, near_grad: float = 0.5, rounds: int = 60) -> DataFrame:
+    """Greedy by power (then bin, then gradient): a candidate near a kept one in both start and gradient is dropped.
+
+    In each round those candidates are kept that no stronger neighbour is left of, and their neighbours go; so a round is one join
+    of neighbours on bins of ``near_bin``, and there are as many rounds as the longest chain of ever stronger neighbours."""
+    order = F.struct(F.col(power), -F.col(bin_col), -F.col(grad))
+    left = keep(candidates.withColumn("_o", order))
+    kept = None
+    for _ in range(rounds):
+        a = left.select(*keys, F.col(bin_col).alias("_b"), F.col(grad).alias("_g"), F.col("_o").alias("_q"), F.explode(F.array(*[F.floor(F.col(bin_col) / near_bin) + d for d in (-1, 0, 1)])).alias("_cell"))
+        j = left.withColumn("_cell", F.floor(F.col(bin_col) / near_bin)).join(a, [*keys, "_cell"]).where((F.abs(F.col(bin_col) - F.col("_b")) < near_bin) & (F.abs(F.col(grad) - F.col("_g")) < near_grad))
+        top = j.groupBy(*keys, bin_col, grad).agg(F.max("_q").alias("_top"), F.max("_o").alias("_mine"))
+        won = keep(top.where(F.col("_top") == F.col("_mine")).select(*keys, bin_col, grad))
+        if won.isEmpty():
+            break
+        kept = won if kept is None else kept.unionByName(won)
+        w = won.select(*keys, F.col(bin_col).alias("_b"), F.col(grad).alias("_g"), F.explode(F.array(*[F.floor(F.col(bin_col) / near_bin) + d for d in (-1, 0, 1)])).alias("_cell"))
+        gone = left.withColumn("_cell", F.floor(F.col(bin_col) / near_bin)).join(w, [*keys, "_cell"]).where((F.abs(F.col(bin_col) - F.col("_b")) < near_bin) & (F.abs(F.col(grad) - F.col("_g")) < near_grad)).select(*keys, bin_col, grad).distinct()
+        left = keep(left.join(gone, [*keys, bin_col, grad], "left_anti"))
+        if left.isEmpty():
+            break
+    else:
+        raise RuntimeError(f"suppression did not settle in {rounds} rounds")
+    return candidates if kept is None else candidates.join(kept, [*keys, bin_col, grad])
 
 
 def hann(n: int) -> np.ndarray:
     return np.ones(max(n, 0)) if n <= 1 else 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n) / (n - 1))
 
 
-def _each(df: DataFrame, col: str, f, fields: str) -> DataFrame:
-    """``df`` with struct fields computed from an array column, batch by batch."""
-    names = [x.split(" ")[0] for x in fields.split(", ")]
-    schema = ", ".join([*[f"`{x.name}` {x.dataType.simpleString()}" for x in df.schema.fields], fields])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            got = [f(np.asarray(x, float)) if x is not None else None for x in b[col]]
-            for i, n in enumerate(names):
-                b[n] = [None if g is None else g[i] for g in got]
-            yield b
-
-    return df.mapInPandas(run, schema)
-
-
-def spectral_features(df: DataFrame, col: str) -> DataFrame:
-    """Peak bin, bins that hold 90 % of the power, normalised entropy and total power of the spectrum without its mean; null for
-    under 8 samples."""
-
-    def f(x: np.ndarray):
-        if len(x) < 8:
-            return None
-        p = np.abs(np.fft.rfft(x - x.mean())) ** 2
-        total = p.sum()
-        if total <= 0:
-            return 0, 0, 0.0, 0.0
-        q = p / total
-        width = int(np.searchsorted(np.cumsum(np.sort(q)[::-1]), 0.9)) + 1
-        nz = q[q > 0]
-        return int(p.argmax()), width, float(-(nz * np.log(nz)).sum() / np.log(max(len(q), 2))), float(total)
-
-    return _each(df, col, f, "peak_bin int, bandwidth_bins int, spectral_entropy double, power double")
-
-
-def periodicity(df: DataFrame, col: str, low: int, high: int, threshold: float = 0.5) -> DataFrame:
-    """Best normalised autocorrelation over lags ``low`` to ``high`` of the series without its mean, its lag, and whether it
-    reaches the threshold; null for under 4 samples."""
-
-    def f(x: np.ndarray):
-        if len(x) < 4:
-            return None
-        x = x - x.mean()
-        e = (x * x).sum()
-        lags = range(low, min(high, len(x) - 1) + 1)
-        r = [(x[:-k] * x[k:]).sum() / e if e > 0 else 0.0 for k in lags]
-        i = int(np.argmax(r)) if r else 0
-        return (lags[i], float(r[i]), bool(r[i] >= threshold)) if r else (0, 0.0, False)
-
-    return _each(df, col, f, "lag int, periodicity double, periodic boolean")
-
-
-def spectrogram(df: DataFrame, col: str, size: int, hop: int) -> DataFrame:
-    """Magnitudes of tapered windows every ``hop`` samples; the last sample fills a short tail."""
-    taper = hann(size)
-
-    def f(x: np.ndarray):
-        if not len(x):
-            return ([],)
-        starts = range(0, max(1, len(x) - size + 1), hop)
-        pad = np.concatenate([x, np.full(size, x[-1])])
-        return ([np.abs(np.fft.rfft(pad[s : s + size] * taper)).tolist() for s in starts],)
-
-    return _each(df, col, f, "spectrogram array<array<double>>")
-
-
-def cepstrum(df: DataFrame, col: str) -> DataFrame:
-    return _each(df, col, lambda x: (np.abs(np.fft.rfft(np.log(np.abs(np.fft.rfft(x * hann(len(x)))) + 1e-12))).tolist() if len(x) else [],), "cepstrum array<double>")
-
-
-def matched_filter(df: DataFrame, col: str, template: list[float]) -> DataFrame:
-    t = np.asarray(template, float)[::-1]
-    return _each(df, col, lambda x: (np.convolve(x, t, "valid").tolist() if len(x) >= len(t) else [],), "compressed array<double>")
-
-
-def capon(df: DataFrame, col: str, sensors: int, steering: list[complex], loading: float = 1e-3) -> DataFrame:
-    """Minimum-variance power of one steering vector from snapshots stored sensor by sensor as re, im pairs."""
-    a = np.asarray(steering)
-
-    def f(x: np.ndarray):
-        z = (x[0::2] + 1j * x[1::2]).reshape(sensors, -1)
-        r = z @ z.conj().T / max(1, z.shape[1])
-        r += loading * np.trace(r).real / sensors * np.eye(sensors) + 1e-15 * np.eye(sensors)
-        return (float(1.0 / (a.conj() @ np.linalg.solve(r, a)).real),)
-
-    return _each(df, col, f, "capon_power double")
-
-
 def ring_cfar(cells: DataFrame, keys: list[str], x: str, y: str, value: str, train: int = 3, guard: int = 1, pfa: float = 1e-3, kind: str = "ca", index: int = 0) -> DataFrame:
     """Cells strictly above ``alpha`` times a statistic of the square ring around them, beyond the guard cells: its mean (``ca``), or
     its ``index``-th smallest value, from 0 (``os``).  Only cells with a full ring are evaluated; a grid that lacks cells has fewer.
@@ -307,3 +227,68 @@ def pooled_bytes(cells: DataFrame, keys: list[str], index: str, value: str, buck
     r = p.groupBy(*keys).agg(F.min("_db").alias("_lo"), F.max("_db").alias("_hi"))
     q = F.when(F.col("_hi") > F.col("_lo"), F.round((F.col("_db") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * 255)).otherwise(0)
     return p.join(r, keys).select(*keys, "bucket", q.cast("int").alias("level"))
+
+
+def power_spectrum(cells: DataFrame, keys: list[str], index: str, value: str, length: int, taper: str = "none") -> DataFrame:
+    """``bin, power`` of a real series of ``length`` cells without its mean, for the bins up to half of it."""
+    mean = cells.groupBy(*keys).agg(F.avg(value).alias("_mean"))
+    x = cells.join(mean, keys).withColumn("_x", F.col(value) - F.col("_mean")).withColumn("_zero", F.lit(0.0))
+    s = spectrum(x, keys, index, "_x", "_zero", length, taper).where(F.col("bin") <= length // 2)
+    return s.select(*keys, "bin", (F.col("re") * F.col("re") + F.col("im") * F.col("im")).alias("power"))
+
+
+def spectral_summary(power: DataFrame, keys: list[str], share: float = 0.9) -> DataFrame:
+    """From ``bin, power``: the peak bin (the first of equals), total power, entropy over its largest possible value, and how many of the
+    strongest bins hold ``share`` of the power."""
+    w = Window.partitionBy(*keys).orderBy(F.desc("power"), "bin")
+    all_ = Window.partitionBy(*keys)
+    p = power.withColumns({"_total": F.sum("power").over(all_), "_before": F.sum("power").over(w) - F.col("power")})
+    q = F.when(F.col("_total") > 0, F.col("power") / F.col("_total")).otherwise(0.0)
+    ent = F.sum(F.when(q > 0, -q * F.log(q)).otherwise(0.0)) / F.log(F.greatest(F.count("*"), F.lit(2)).cast("double"))
+    return p.groupBy(*keys).agg(F.max_by("bin", F.struct("power", -F.col("bin"))).alias("peak_bin"), F.first("_total").alias("power"), ent.alias("entropy"), F.count_if(F.col("_before") < share * F.col("_total")).cast("int").alias("bandwidth_bins"))
+
+
+def autocorrelation(cells: DataFrame, keys: list[str], order: list[str], value: str, low: int, high: int, threshold: float = 0.5) -> DataFrame:
+    """The lag in ``low .. high`` of greatest autocorrelation of a series without its mean, over that at lag 0 (the least lag among
+    equals), and whether it reaches the threshold; series of under 4 cells are left out.  One sort serves all lags."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    mean = F.avg(value).over(Window.partitionBy(*keys))
+    x = cells.withColumn("_x", F.col(value) - mean)
+    x = x.withColumns({f"_p{k}": F.col("_x") * F.lag("_x", k).over(w) for k in range(low, high + 1)})
+    energy = F.sum(F.col("_x") * F.col("_x"))
+    a = x.groupBy(*keys).agg(F.count("*").alias("_n"), energy.alias("_e"), *[F.coalesce(F.sum(f"_p{k}"), F.lit(0.0)).alias(f"_a{k}") for k in range(low, high + 1)])
+    r = lambda k: F.when((F.col("_e") > 0) & (F.lit(k) < F.col("_n")), F.col(f"_a{k}") / F.col("_e")).otherwise(0.0)
+    best = F.array_max(F.array(*[F.struct(F.round(r(k), 12).alias("r"), F.lit(-k).alias("k")) for k in range(low, high + 1)]))
+    return a.where("_n >= 4").select(*keys, best.alias("b")).select(*keys, (-F.col("b.k")).alias("lag"), F.col("b.r").alias("periodicity"), (F.col("b.r") >= threshold).alias("periodic"))
+
+
+def correlate(cells: DataFrame, keys: list[str], order: list[str], value: str, template: list[float]) -> DataFrame:
+    """The matched filter: at each cell that a whole template follows, the sum of its products with the cells from there on."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    out = sum((F.lead(value, j).over(w) * float(t) for j, t in enumerate(template)), F.lit(0.0))
+    return cells.withColumn("compressed", out).where(F.col("compressed").isNotNull())
+
+
+def window_spectra(cells: DataFrame, keys: list[str], index: str, value: str, size: int, hop: int, length: int) -> DataFrame:
+    """Magnitudes of Hann-tapered windows of ``size`` cells every ``hop`` cells of series of ``length``: ``window, bin, magnitude``.  Each
+    cell goes to the windows that hold it, so no series is gathered."""
+    last = max(0, (length - size) // hop)
+    i = F.col(index)
+    lo, hi = F.greatest(F.lit(0), F.ceil((i - size + 1) / hop)).cast("int"), F.least(F.floor(i / hop), F.lit(last)).cast("int")
+    x = cells.where(lo <= hi).withColumn("window", F.explode(F.sequence(lo, hi))).withColumn("_at", (i - F.col("window") * hop).cast("int")).withColumn("_zero", F.lit(0.0))
+    s = spectrum(x, [*keys, "window"], "_at", value, "_zero", size, "hann").where(F.col("bin") <= size // 2)
+    return s.select(*keys, "window", "bin", F.sqrt(F.col("re") * F.col("re") + F.col("im") * F.col("im")).alias("magnitude"))
+
+
+def spread_at_drop(spectra: DataFrame, keys: list[str], drop_db: float, width: float = 1.0) -> DataFrame:
+    """Extent of the bins whose mean magnitude in decibels over all windows is within ``drop_db`` of the greatest."""
+    m = spectra.groupBy(*keys, "bin").agg(F.avg(20 * F.log10(F.greatest("magnitude", F.lit(1e-12)))).alias("_db"))
+    m = m.withColumn("_top", F.max("_db").over(Window.partitionBy(*keys)))
+    return m.where(F.col("_db") >= F.col("_top") - drop_db).groupBy(*keys).agg(((F.max("bin") - F.min("bin")) * width).alias("spread"))
+
+
+def interference(power: DataFrame, keys: list[str]) -> DataFrame:
+    """Flatness of a power spectrum (geometric over arithmetic mean) and the share of power in its lowest quarter of bins."""
+    low = F.when(F.col("bin") * 4 < F.col("_n"), F.col("power")).otherwise(0.0)
+    p = power.withColumn("_n", F.count("*").over(Window.partitionBy(*keys)))
+    return p.groupBy(*keys).agg((F.exp(F.avg(F.log(F.greatest("power", F.lit(1e-12))))) / F.greatest(F.avg("power"), F.lit(1e-12))).alias("flatness"), (F.sum(low) / F.greatest(F.sum("power"), F.lit(1e-12))).alias("low_mass"), (F.max("power") / F.greatest(F.avg("power"), F.lit(1e-12))).alias("peak_to_mean"))

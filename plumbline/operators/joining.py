@@ -140,12 +140,19 @@ def nearest_train(rows: DataFrame, holdout: Column, id_col: str, vec_col: str, b
         if not len(qi) or not len(ti):
             return pa.table({"id": pa.array([], pa.int64()), "d": pa.array([], pa.float64()), "near": pa.array([], pa.int64())})
         ti = ti[np.argsort(ids[ti], kind="stable")]
-        near, dist = [], []
-        for i in qi:
-            d = np.sqrt(((z[ti] - z[i]) ** 2).sum(1))
-            j = int(d.argmin())
-            near.append(ids[ti[j]]), dist.append(d[j])
-        return pa.table({"id": ids[qi], "d": np.array(dist), "near": np.array(near)})
+        norm = (z[ti] ** 2).sum(1)
+        rows, near, dist = [], [], []
+        for lo in range(0, len(qi), 256):
+            x = z[qi[lo : lo + 256]]
+            d = (x**2).sum(1)[:, None] + norm[None, :] - 2 * x @ z[ti].T
+            i, j = np.nonzero(d <= d.min(1, keepdims=True) + 1e-9 * (1 + norm.max()))  # the nearest, and what rounding may hide
+            e = np.sqrt(((x[i] - z[ti[j]]) ** 2).sum(1))
+            order = np.lexsort((j, e, i))
+            i, j, e = i[order], j[order], e[order]
+            first = np.r_[True, i[1:] != i[:-1]]
+            rows.append(qi[lo + i[first]]), near.append(ids[ti[j[first]]]), dist.append(e[first])
+        rows = np.concatenate(rows)
+        return pa.table({"id": ids[rows], "d": np.concatenate(dist), "near": np.concatenate(near)})
 
     found = q.unionByName(t).groupBy("a", "b").applyInArrow(run, "id long, d double, near long")
     return found.groupBy("id").agg(F.min(F.struct("d", "near")).alias("m")).select(F.col("id").alias(id_col), F.col("m.near").alias("nearest_id"), F.col("m.d").alias("distance"))

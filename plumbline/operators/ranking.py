@@ -181,4 +181,4 @@ def method_performance(scored: DataFrame) -> DataFrame:
     parts = scored.where("split_role = 'holdout'").withColumn("phase", F.col("phase_id"))
     rows = whole.unionByName(parts)
     keys = ["method", "split_role", "phase"]
-    return confusion(rows.join(F.broadcast(thr), "method"), [*keys, "threshold"]).join(roc_auc(rows, keys), keys)
+    return confusion(rows.join(thr, "method"), [*keys, "threshold"]).join(roc_auc(rows, keys), keys)

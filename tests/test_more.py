@@ -170,3 +170,19 @@ def test_nearest_train_beyond_a_block(spark):
     train = np.array([i for i in range(90) if i % 3])
     z = (x - x[train].mean(0)) / (x[train].std(0) + 1e-6)
     assert got == {i: int(train[((z[train] - z[i]) ** 2).sum(1).argmin()]) for i in range(0, 90, 3)}
+
+
+def test_suppression_equals_greedy_order(spark):
+    rng = np.random.default_rng(6)
+    rows = [(k, int(rng.integers(0, 25)), float(rng.integers(0, 5)) / 2, float(rng.integers(1, 9))) for k in ("a", "b") for _ in range(25)]
+    rows = sorted({r[:3]: r for r in rows}.values())
+    want = []
+    for k in ("a", "b"):
+        kept = []
+        for r in sorted((r for r in rows if r[0] == k), key=lambda r: (-r[3], r[1], r[2])):
+            if not any(abs(r[1] - q[1]) < 3 and abs(r[2] - q[2]) < 0.5 for q in kept):
+                kept.append(r)
+        want += kept
+    got = arrays.suppress(spark.createDataFrame(rows, "g string, start int, gradient double, power double"), ["g"])
+    assert sorted((r.g, r.start, r.gradient, r.power) for r in got.collect()) == sorted(want)
+    assert arrays.suppress(spark.createDataFrame([], "g string, start int, gradient double, power double"), ["g"]).count() == 0
