@@ -177,6 +177,8 @@ SELECT g, label, count(*) AS size, round(sum(x * v) / sum(v), 6) AS cx, round(su
     "hough_tracks": f"WITH {GRID}, v AS (SELECT g, CAST(k AS DOUBLE) AS gradient, CAST(round(y - CAST(k AS DOUBLE) * x) AS BIGINT) AS start, x, max(v) AS v FROM grid CROSS JOIN (VALUES (-1.0), (-0.5), (0.0), (0.5), (1.0)) t(k) WHERE v > 40 GROUP BY ALL) SELECT g, gradient, start, count(*) AS hits, sum(v) AS power FROM v GROUP BY 1, 2, 3 HAVING count(*) >= 3",
     "pooled_bytes": f"WITH {GRID}, p AS (SELECT g, CAST(floor(x * 8 / 40) AS INTEGER) AS bucket, 10 * log10(greatest(max(v), 1e-12)) AS db FROM grid GROUP BY 1, 2), q AS (SELECT *, min(db) OVER (PARTITION BY g) AS lo, max(db) OVER (PARTITION BY g) AS hi FROM p) SELECT g, bucket, CAST(CASE WHEN hi > lo THEN round((db - lo) / (hi - lo) * 255) ELSE 0 END AS INTEGER) AS level FROM q",
     "fused_dedupe": f"WITH {FRAMES} SELECT phase_id, CAST(floor(value) AS BIGINT) AS cell, arg_min(event_type, frame_id) AS kind, max(value) AS magnitude, count(*) AS events FROM frames WHERE event_type IN ('click', 'view', 'purchase') GROUP BY 1, 2",
+    "bearing_fusion": f"""WITH {FRAMES}, p AS (SELECT frame_id, (value * 7 % 360 + 360) % 360 AS az, ((value * 7 + frame_id % 40) % 360 + 360) % 360 AS b FROM frames), d AS (SELECT *, ((b - az + 180) % 360 + 360) % 360 - 180 AS d FROM p), g AS (SELECT *, exp(-d * d / 58) AS agree, ln(0.7e0 / (1 - 0.7e0)) AS raw FROM d)
+SELECT frame_id, round(((az + d * (4 / 29)) % 360 + 360) % 360, 6) AS azimuth, round(sqrt(100 / 29), 6) AS sigma, round(agree, 6) AS agreement, round(1 / (1 + exp(-(ln(0.6e0 / (1 - 0.6e0)) + exp(-0.3e0) * (raw * agree - abs(raw) * (1 - agree))))), 6) AS confidence FROM g""",
     "nearest_neighbour_l2": """WITH v AS (SELECT vec_id, embedding, generate_subscripts(embedding, 1) AS i FROM embeddings), u AS (SELECT vec_id, i, CAST(embedding[i] AS DOUBLE) AS x FROM v),
 st AS (SELECT i, avg(x) AS m, stddev_pop(x) + 1e-6 AS s FROM u WHERE vec_id % 5 <> 0 GROUP BY 1), z AS (SELECT vec_id, i, (x - m) / s AS z FROM u JOIN st USING (i)),
 d AS (SELECT q.vec_id, t.vec_id AS near, sqrt(sum(pow(q.z - t.z, 2))) AS d FROM z q JOIN z t ON q.i = t.i WHERE q.vec_id % 5 = 0 AND t.vec_id % 5 <> 0 GROUP BY 1, 2)

@@ -147,6 +147,9 @@ e AS (SELECT round, sum(abs(gap)) / max(size) AS ece FROM k GROUP BY 1),
 l AS (SELECT 'roc_auc' AS metric, roc_auc AS v FROM m UNION ALL SELECT 'average_precision', ap FROM m UNION ALL SELECT 'brier', brier FROM m UNION ALL SELECT 'recall_at_fpr', reach FROM m UNION ALL SELECT 'ece', ece FROM e)
 SELECT metric, round(quantile_cont(v, 0.025), 9) AS low, round(avg(v), 9) AS mean, round(quantile_cont(v, 0.975), 9) AS high, count(v) AS rounds FROM l GROUP BY 1""",
     "sha_split": "WITH b AS (SELECT doc_id, coalesce(lang, '') AS lang, CAST(('0x' || substr(sha256(CAST(doc_id AS VARCHAR)), 1, 8)) AS BIGINT) % 10 AS b FROM documents) SELECT doc_id, CASE WHEN b < 6 THEN 'train' WHEN b < 8 THEN 'validation' ELSE 'test' END AS split, substr(sha256(lang || '|' || doc_id), 1, 24) AS sample_id FROM b",
+    "hash_split": """WITH k AS (SELECT doc_id, 'lang=' || coalesce(lang, '') || '|source=' || coalesce(source, '') AS t FROM documents),
+h AS (SELECT doc_id, list_reduce(list_prepend(14695981039346656037::HUGEINT, list_transform(range(1, len(t) + 1), lambda i: ascii(t[i])::HUGEINT)), lambda a, b: xor(a, b) * 1099511628211::HUGEINT % 18446744073709551616::HUGEINT) % 10000 AS h FROM k)
+SELECT doc_id, CASE WHEN h < 7000 THEN 'train' WHEN h < 8500 THEN 'validation' ELSE 'test' END AS split, CAST(h AS BIGINT) AS bucket FROM h""",
     "leakage_report": """WITH b AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') || '-' || (doc_id % 50) AS family, CAST(('0x' || substr(sha256(CAST(doc_id AS VARCHAR)), 1, 8)) AS BIGINT) % 10 AS b FROM documents),
 s AS (SELECT *, CASE WHEN b < 6 THEN 0 WHEN b < 8 THEN 1 ELSE 2 END AS r FROM b),
 l AS (SELECT 'source' AS key, source AS value, r, doc_id FROM s UNION ALL SELECT 'family', family, r, doc_id FROM s),
