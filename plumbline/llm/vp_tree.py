@@ -23,6 +23,8 @@ from .vectors import matrix, usable
 
 #: Vectors of a shard, queries of a block, vectors of a leaf.
 SHARD_ROWS, QUERY_ROWS, LEAF = 4096, 4096, 64
+#: A subtree of so many vectors is scored whole where the balls of its leaves would prune less than this share of it.
+WHOLE, WORTH = 256, 0.05
 #: Most regions, and the vectors of the sample that their centres come from for each of them.
 MOST_REGIONS, PER_REGION = 1024, 8
 #: Lists of results that are merged at once.
@@ -32,7 +34,7 @@ FACTOR = 1.0
 
 
 class _Node:
-    __slots__ = ("center", "ranges", "kids", "points", "middle", "radius")
+    __slots__ = ("center", "ranges", "kids", "points", "middle", "radius", "leaves")
 
     def __init__(self, x: np.ndarray, points: np.ndarray, leaf: int):
         self.points, self.kids = points, ()
@@ -50,6 +52,12 @@ class _Node:
         inner, outer = order[:half], order[half:]
         self.ranges = [(d[inner].min(), d[inner].max()), (d[outer].min(), d[outer].max())]
         self.kids = (_Node(x, points[inner], leaf), _Node(x, points[outer], leaf))
+        if len(points) <= WHOLE:
+            ends = self._ends()
+            self.leaves = np.stack([n.middle for n in ends]), np.array([n.radius for n in ends]), np.array([len(n.points) for n in ends])
+
+    def _ends(self) -> list[_Node]:
+        return [n for k in self.kids for n in k._ends()] if self.kids else [self]
 
 
 class Search:
@@ -92,6 +100,13 @@ class Search:
             for lo in range(0, len(node.points), 1024):
                 self._score(node.points[lo : lo + 1024], rows)
             return
+        if len(node.points) <= WHOLE and self.factor <= 1:
+            middle, radius, size = node.leaves
+            most = self.q[rows] @ middle.T + np.sqrt(self.qn[rows])[:, None] * radius
+            floor = np.maximum(self.best.min(1), self.floor)[rows][:, None]
+            if ((most < floor) @ size).mean() < WORTH * len(node.points):
+                self._score(node.points, rows)
+                return
         c = node.center
         d = np.sqrt(np.maximum(self.qn[rows] + (c**2).sum() - 2 * self.q[rows] @ c[:-1], 0))
         bound = []
