@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+from .fingerprints import OP11_SQL, op11_imatch
 from .jaccard_join import op1_jaccard_join
 from .language import op10_language_id
 from .mixing import OP8_SQL, op8_source_mix
 from .packing import OP2_SQL, op2_packing
 from .pii import op7_pii
 from .pivot_index import OP6_SQL, op6_pivot_dedup
+from .prefix_trie import OP12_SQL, op12_prefix_trie
 from .secrets import op3_secret_scan
 from .substring_dedup import op4_substring_dedup
 from .token_counts import op5_token_counts
 from .vp_tree import OP9_SQL, op9_vp_tree_search
+from .whitening import op13_whitening
 
 QUERIES = {
     "op1_jaccard_join": op1_jaccard_join,
@@ -24,6 +27,9 @@ QUERIES = {
     "op8_source_mix": op8_source_mix,
     "op9_vp_tree_search": op9_vp_tree_search,
     "op10_language_id": op10_language_id,
+    "op11_imatch": op11_imatch,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_whitening": op13_whitening,
 }
 
 ORACLE_SQL = {
@@ -31,6 +37,8 @@ ORACLE_SQL = {
     "op6_pivot_dedup": OP6_SQL,
     "op9_vp_tree_search": OP9_SQL,
     "op8_source_mix": OP8_SQL,
+    "op11_imatch": OP11_SQL,
+    "op12_prefix_trie": OP12_SQL,
     "op1_jaccard_join": """
 WITH RECURSIVE t AS (
   SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w
