@@ -154,14 +154,38 @@ def cube_peak(cube: DataFrame, keys: list[str], axes: list[str], value: str) ->
     return cube.groupBy(*keys).agg(top.alias("t")).select(*keys, "t.*")
 
 
-def spectrum(cells: DataFrame, keys: list[str], index: str, re: str, im: str, length: int, taper: str = "none") -> DataFrame:
-    """Discrete Fourier transform along an axis of ``length`` cells: ``bin, re, im``.  Every cell goes to each bin with its phase and the
-    bins are sums, so it combines before the shuffle; ``taper`` is ``none``, ``hann`` or ``hamming``."""
-    i = F.col(index)
-    w = {"none": F.lit(1.0), "hann": 0.5 - 0.5 * F.cos(2 * np.pi * i / max(1, length - 1)), "hamming": 0.54 - 0.46 * F.cos(2 * np.pi * i / max(1, length - 1))}[taper]
-    turn = -2 * np.pi / length * F.pmod(F.col("bin") * i, F.lit(length))
-    rows = cells.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(length - 1))))
-    return rows.groupBy(*keys, "bin").agg(F.sum(w * (F.col(re) * F.cos(turn) - F.col(im) * F.sin(turn))).alias("re"), F.sum(w * (F.col(re) * F.sin(turn) + F.col(im) * F.cos(turn))).alias("im"))
+def spectrum(cells: DataFrame, keys: list[str], index: str, re: str, im: str, length: int | str, taper: str = "none") -> DataFrame:
+    """Discrete Fourier transform along an axis of ``length`` cells, a number or a column that is one per key: ``bin, re, im``.
+
+    In two steps for a length of ``a * b``, ``a`` its greatest divisor up to the root: cells ``b`` apart are transformed to ``a``
+    sums, and these, turned, to ``b`` bins.  So a cell becomes ``a + b`` rows (128 at a length of 4,096), which combine before each
+    shuffle; only a prime length takes as many rows as bins.  Cells that are missing count as zero; cells beyond the length are
+    left out.  ``taper`` is ``none``, ``hann`` or ``hamming``."""
+    n = F.lit(length) if isinstance(length, int) else F.col(length).cast("int")
+    wave = F.cos(2 * np.pi * F.col(index) / F.greatest(n - 1, F.lit(1)))
+    w = {"none": F.lit(1.0), "hann": 0.5 - 0.5 * wave, "hamming": 0.54 - 0.46 * wave}[taper]
+    a = F.aggregate(F.sequence(F.lit(1), F.floor(F.sqrt("_n")).cast("int")), F.lit(1), lambda best, d: F.when(F.col("_n") % d == 0, d).otherwise(best))
+    x = cells.where((F.col(index) >= 0) & (F.col(index) < n)).select(*keys, n.alias("_n"), F.col(index).cast("long").alias("_i"), (w * F.col(re)).alias("_re"), (w * F.col(im)).alias("_im"))
+    x = x.withColumn("_a", a).withColumn("_b", (F.col("_n") / F.col("_a")).cast("int"))
+    x = x.withColumns({"_far": F.floor(F.col("_i") / F.col("_b")), "_near": F.col("_i") % F.col("_b"), "_k": F.explode(F.sequence(F.lit(0), F.col("_a") - 1))})
+    x = _turned(x, F.col("_far") * F.col("_k"), F.col("_a"), [*keys, "_n", "_a", "_b", "_near", "_k"])
+    x = x.withColumn("_l", F.explode(F.sequence(F.lit(0), F.col("_b") - 1))).withColumn("bin", F.col("_k") + F.col("_a") * F.col("_l"))
+    x = _turned(x, F.col("_near") * F.col("bin"), F.col("_n"), [*keys, "bin"])
+    return x.select(*keys, F.col("bin").cast("int").alias("bin"), F.col("_re").alias("re"), F.col("_im").alias("im"))
+
+
+def _turned(x: DataFrame, steps: Column, of: Column, by: list[str]) -> DataFrame:
+    """Sums of complex values turned back by ``steps`` of ``of`` steps of a circle."""
+    x = x.withColumn("_t", -2 * np.pi * F.pmod(steps, of.cast("long")) / of)
+    re = F.col("_re") * F.cos("_t") - F.col("_im") * F.sin("_t")
+    im = F.col("_re") * F.sin("_t") + F.col("_im") * F.cos("_t")
+    return x.groupBy(*by).agg(F.sum(re).alias("_re"), F.sum(im).alias("_im"))
+
+
+def own_length(cells: DataFrame, keys: list[str], out: str = "_length", value: str | None = None) -> DataFrame:
+    """``cells`` with the number of cells of their keys, and with ``_mean``, the mean of ``value``, if one is named."""
+    per = cells.groupBy(*keys).agg(F.count("*").cast("int").alias(out), *([F.avg(value).alias("_mean")] if value else []))
+    return cells.join(per, keys)
 
 
 def greatest_of_alpha(cells: int, pfa: float) -> float:
@@ -229,14 +253,46 @@ def pooled_bytes(cells: DataFrame, keys: list[str], index: str, value: str, buck
     return p.join(r, keys).select(*keys, "bucket", q.cast("int").alias("level"))
 
 
-def power_spectrum(cells: DataFrame, keys: list[str], index: str, value: str, length: int, taper: str = "none") -> DataFrame:
-    """``bin, power`` of a real series of ``length`` cells without its mean, for the bins up to half of it."""
-    mean = cells.groupBy(*keys).agg(F.avg(value).alias("_mean"))
-    x = cells.join(mean, keys).withColumn("_x", F.col(value) - F.col("_mean")).withColumn("_zero", F.lit(0.0))
-    s = spectrum(x, keys, index, "_x", "_zero", length, taper).where(F.col("bin") <= length // 2)
+def power_spectrum(cells: DataFrame, keys: list[str], index: str, value: str, taper: str = "none") -> DataFrame:
+    """``bin, power`` of a real series without its mean, for the bins up to half of its own length."""
+    x = own_length(cells, keys, value=value).withColumn("_x", F.col(value) - F.col("_mean")).withColumn("_zero", F.lit(0.0))
+    s = spectrum(x, [*keys, "_length"], index, "_x", "_zero", "_length", taper).where(F.col("bin") <= F.floor(F.col("_length") / 2))
     return s.select(*keys, "bin", (F.col("re") * F.col("re") + F.col("im") * F.col("im")).alias("power"))
 
 
+def cepstrum(spectra: DataFrame, keys: list[str], value: str, quefrencies: int, floor: float = 1e-6) -> DataFrame:
+    """``quefrency, magnitude``: magnitudes of the transform of the logarithm of a spectrum, over its number of bins; quefrencies beyond
+    that number repeat and are left out."""
+    x = own_length(spectra, keys).withColumn("_x", F.log(F.greatest(F.col(value), F.lit(floor)))).withColumn("_zero", F.lit(0.0))
+    s = spectrum(x, [*keys, "_length"], "bin", "_x", "_zero", "_length").where(F.col("bin") < quefrencies)
+    return s.select(*keys, F.col("bin").alias("quefrency"), (F.sqrt(F.col("re") * F.col("re") + F.col("im") * F.col("im")) / F.col("_length")).alias("magnitude"))
+
+
+def modulation_features(cells: DataFrame, keys: list[str], index: str, re: str, im: str, bin_hz: float, least: int = 8) -> DataFrame:
+    """Per key, of the magnitude of a complex slow-time series without its mean, padded with zeros to a power of two, 16 at least:
+    ``fundamental_hz``, that of the first greatest bin beyond 0; ``depth_db``, greatest over mean magnitude; ``harmonic_ratio``, the
+    second harmonic over the fundamental, 0 to 10; ``harmonic_share``, the share of power (without bin 0) at multiples of the
+    fundamental; ``entropy_bits`` and ``centroid_hz``.  Series of fewer than ``least`` cells have nulls."""
+    x = own_length(cells.withColumn("_m", F.hypot(re, im)), keys, value="_m").withColumn("_x", F.col("_m") - F.col("_mean")).withColumn("_zero", F.lit(0.0))
+    bins = F.greatest(F.lit(16), F.pow(F.lit(2.0), F.ceil(F.log2(F.col("_length").cast("double")) - 1e-9)).cast("int"))
+    s = spectrum(x.where(F.col("_length") >= least).withColumn("_bins", bins), [*keys, "_length", "_bins"], index, "_x", "_zero", "_bins").where(F.col("bin") < F.col("_bins") / 2)
+    s = s.withColumn("v", F.sqrt(F.col("re") * F.col("re") + F.col("im") * F.col("im"))).withColumn("_hz", F.col("_bins") / F.col("_length") * bin_hz)
+    top = F.max_by("bin", F.when(F.col("bin") > 0, F.struct("v", -F.col("bin"))))
+    mean, total = F.avg("v"), F.sum("v")
+    per = s.groupBy(*keys).agg(top.alias("_f"), F.max(F.when(F.col("bin") > 0, F.col("v"))).alias("_top"), F.max("v").alias("_peak"), mean.alias("_avg"), total.alias("_sum"), F.sum(F.when(F.col("v") > 0, F.col("v") * F.log2("v")).otherwise(0.0)).alias("_vlog"), F.sum(F.col("bin") * F.col("_hz") * F.col("v")).alias("_moment"), F.first("_hz").alias("_hz"))
+    per = per.withColumn("_f", F.when(F.col("_top") > 0, F.col("_f")).otherwise(1))
+    at = s.select(*keys, "bin", "v").join(per.select(*keys, "_f"), keys).where("bin > 0")
+    power = F.col("v") * F.col("v")
+    multiples = at.groupBy(*keys).agg(F.max(F.when(F.col("bin") == 2 * F.col("_f"), F.col("v"))).alias("_second"), (F.sum(F.when(F.col("bin") % F.col("_f") == 0, power).otherwise(0.0)) / F.sum(power)).alias("_share"))
+    sound = F.col("_sum") > 0
+    out = per.join(multiples, keys).select(
+        *keys, (F.col("_f") * F.col("_hz")).alias("fundamental_hz"), F.when(sound & (F.col("_peak") > 0), 10 * F.log10(F.col("_peak") / F.col("_avg"))).otherwise(0.0).alias("depth_db"),
+        F.when(F.col("_top") > 0, F.least(F.coalesce(F.col("_second") / F.col("_top"), F.lit(0.0)), F.lit(10.0))).otherwise(0.0).alias("harmonic_ratio"), F.when(F.col("_top") > 0, F.col("_share")).otherwise(0.0).alias("harmonic_share"),
+        F.when(sound, F.log2("_sum") - F.col("_vlog") / F.col("_sum")).otherwise(0.0).alias("entropy_bits"), F.when(sound, F.col("_moment") / F.col("_sum")).otherwise(0.0).alias("centroid_hz"),
+    )
+    return cells.select(*keys).distinct().join(out, keys, "left")
+
+
 def spectral_summary(power: DataFrame, keys: list[str], share: float = 0.9) -> DataFrame:
     """From ``bin, power``: the peak bin (the first of equals), total power, entropy over its largest possible value, and how many of the
     strongest bins hold ``share`` of the power."""
@@ -269,13 +325,14 @@ def correlate(cells: DataFrame, keys: list[str], order: list[str], value: str, t
     return cells.withColumn("compressed", out).where(F.col("compressed").isNotNull())
 
 
-def window_spectra(cells: DataFrame, keys: list[str], index: str, value: str, size: int, hop: int, length: int) -> DataFrame:
-    """Magnitudes of Hann-tapered windows of ``size`` cells every ``hop`` cells of series of ``length``: ``window, bin, magnitude``.  Each
-    cell goes to the windows that hold it, so no series is gathered."""
-    last = max(0, (length - size) // hop)
+def window_spectra(cells: DataFrame, keys: list[str], index: str, value: str, size: int, hop: int) -> DataFrame:
+    """Magnitudes of Hann-tapered windows of ``size`` cells every ``hop`` cells of series of any length: ``window, bin, magnitude``.  Each
+    cell goes to the windows that hold it, so no series is gathered; a series shorter than a window is one window, filled with zeros."""
+    x = own_length(cells, keys)
+    last = F.greatest(F.lit(0), F.floor((F.col("_length") - size) / hop))
     i = F.col(index)
-    lo, hi = F.greatest(F.lit(0), F.ceil((i - size + 1) / hop)).cast("int"), F.least(F.floor(i / hop), F.lit(last)).cast("int")
-    x = cells.where(lo <= hi).withColumn("window", F.explode(F.sequence(lo, hi))).withColumn("_at", (i - F.col("window") * hop).cast("int")).withColumn("_zero", F.lit(0.0))
+    lo, hi = F.greatest(F.lit(0), F.ceil((i - size + 1) / hop)).cast("int"), F.least(F.floor(i / hop), last).cast("int")
+    x = x.where(lo <= hi).withColumn("window", F.explode(F.sequence(lo, hi))).withColumn("_at", (i - F.col("window") * hop).cast("int")).withColumn("_zero", F.lit(0.0))
     s = spectrum(x, [*keys, "window"], "_at", value, "_zero", size, "hann").where(F.col("bin") <= size // 2)
     return s.select(*keys, "window", "bin", F.sqrt(F.col("re") * F.col("re") + F.col("im") * F.col("im")).alias("magnitude"))
 

@@ -49,13 +49,13 @@ def row_numbers(df: DataFrame, keys: list[str], order: str, out: str = "row", de
     return prefix_sums(df.withColumn("_one", F.lit(1)), keys, order, {out: "_one"}, descending, then).drop("_one")
 
 
-def quantiles(df: DataFrame, keys: list[str], value: str, points: list[float]) -> DataFrame:
+def quantiles(df: DataFrame, keys: list[str], value: str, points: list[float], weight: str | None = None) -> DataFrame:
     """Per key ``q``, the array of exact quantiles at the ascending ``points`` with linear interpolation; nulls are left out, and keys without
-    a value are absent.
+    a value are absent.  A row counts ``weight`` times, if that is named.
 
     Distinct values are counted and ranked by prefix sums; each point takes the values that hold its two ranks, so no task has
     all values of a key."""
-    per = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
+    per = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg((F.sum(weight) if weight else F.count("*")).alias("_n"))
     all_ = per.groupBy(*keys).agg(F.sum("_n").alias("_all"))
     run = prefix_sums(per, keys, value, {"_to": "_n"})
     run = run.join(all_, keys) if keys else run.crossJoin(F.broadcast(all_))

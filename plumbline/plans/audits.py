@@ -146,10 +146,8 @@ def _spectrum(s, d):
 
 
 def _series(s, d):
-    """The first 32 frames of each record that has as many, numbered from 0."""
-    f = frames(s, d).withColumn("i", F.row_number().over(W._w(KEYS, ORDER)) - 1).where("i < 32")
-    full = f.groupBy("record_id").agg(F.count("*").alias("n")).where("n = 32").select("record_id")
-    return f.join(full, "record_id").select("record_id", "i", "value")
+    """The frames of each record, numbered from 0."""
+    return frames(s, d).withColumn("i", F.row_number().over(W._w(KEYS, ORDER)) - 1).select("record_id", "i", "value")
 
 
 def _ring(kind):
@@ -199,12 +197,12 @@ QUERIES = {
     "doppler_spectrum": _spectrum,
     "ring_cfar_mean": _ring("ca"),
     "ring_cfar_order": _ring("os"),
-    "spectral_summary": lambda s, d: _r(A.spectral_summary(A.power_spectrum(_series(s, d), KEYS, "i", "value", 32), KEYS), "power", "entropy", digits=6),
+    "spectral_summary": lambda s, d: _r(_r(A.spectral_summary(A.power_spectrum(_series(s, d), KEYS, "i", "value"), KEYS), "entropy", digits=6), "power", digits=2),
     "periodicity": lambda s, d: _r(A.autocorrelation(_series(s, d), KEYS, ["i"], "value", 2, 8, 0.2), "periodicity", digits=6),
     "matched_filter": lambda s, d: _r(A.correlate(_series(s, d), KEYS, ["i"], "value", [1.0, -2.0, 0.5]).select("record_id", "i", "compressed"), "compressed", digits=6),
-    "window_spectra": lambda s, d: _r(A.window_spectra(_series(s, d), KEYS, "i", "value", 8, 4, 32), "magnitude", digits=6),
-    "spread_at_drop": lambda s, d: _r(A.spread_at_drop(A.window_spectra(_series(s, d), KEYS, "i", "value", 8, 4, 32), KEYS, 6.0), "spread"),
-    "interference": lambda s, d: _r(A.interference(A.power_spectrum(_series(s, d), KEYS, "i", "value", 32), KEYS), "flatness", "low_mass", "peak_to_mean", digits=6),
+    "window_spectra": lambda s, d: _r(A.window_spectra(_series(s, d), KEYS, "i", "value", 8, 4), "magnitude", digits=6),
+    "spread_at_drop": lambda s, d: _r(A.spread_at_drop(A.window_spectra(_series(s, d), KEYS, "i", "value", 8, 4), KEYS, 6.0), "spread"),
+    "interference": lambda s, d: _r(A.interference(A.power_spectrum(_series(s, d), KEYS, "i", "value"), KEYS), "flatness", "low_mass", "peak_to_mean", digits=6),
     "metric_dispatch": lambda s, d: _r(S.wasserstein(frames(s, d), ["event_type"], F.col("record_id") % 2 == 0, "value").select("event_type", F.lit("w1").alias("metric"), F.col("w1").alias("v")).unionByName(S.kolmogorov_smirnov(frames(s, d), ["event_type"], F.col("record_id") % 2 == 0, "value").select("event_type", F.lit("ks").alias("metric"), F.col("ks").alias("v"))), "v", digits=6),
 }
 
@@ -234,17 +232,17 @@ def _violations() -> str:
     return f"WITH n AS (SELECT DISTINCT ({names})[n_nationkey % {len(NAMES)} + 1] AS name FROM nation), s(r, stem) AS (VALUES {pairs}) SELECT name, string_agg(DISTINCT r, ',' ORDER BY r) AS matches FROM n JOIN s ON lower(name) = stem OR lower(name) LIKE stem || '\\_%' ESCAPE '\\' OR lower(name) LIKE '%\\_' || stem ESCAPE '\\' OR lower(name) LIKE '%\\_' || stem || '\\_%' ESCAPE '\\' GROUP BY 1".replace("LIKE stem", "LIKE replace(stem, '_', '\\_')").replace("|| stem", "|| replace(stem, '_', '\\_')")
 
 
-_SERIES = f"""WITH {FRAMES}, n AS (SELECT record_id, value, row_number() OVER (PARTITION BY record_id ORDER BY time_s, frame_id) - 1 AS i FROM frames), s AS (SELECT record_id, i, value FROM n WHERE i < 32 AND record_id IN (SELECT record_id FROM n GROUP BY 1 HAVING count(*) >= 32))"""
-_POWER = _SERIES + """, x AS (SELECT *, value - avg(value) OVER (PARTITION BY record_id) AS x FROM s), p AS (SELECT record_id, b, pow(sum(x * cos(-2 * pi() / 32 * (b * i % 32))), 2) + pow(sum(x * sin(-2 * pi() / 32 * (b * i % 32))), 2) AS p FROM x CROSS JOIN range(17) t(b) GROUP BY 1, 2)"""
-_STFT = _SERIES + """, w AS (SELECT record_id, k, i - k * 4 AS a, value * (0.5e0 - 0.5e0 * cos(2 * pi() * (i - k * 4) / 7)) AS v FROM s CROSS JOIN range(7) t(k) WHERE i BETWEEN k * 4 AND k * 4 + 7), m AS (SELECT record_id, k, b, sqrt(pow(sum(v * cos(-2 * pi() / 8 * (b * a % 8))), 2) + pow(sum(v * sin(-2 * pi() / 8 * (b * a % 8))), 2)) AS m FROM w CROSS JOIN range(5) u(b) GROUP BY 1, 2, 3)"""
+_SERIES = f"""WITH {FRAMES}, s AS (SELECT record_id, value, row_number() OVER (PARTITION BY record_id ORDER BY time_s, frame_id) - 1 AS i, count(*) OVER (PARTITION BY record_id) AS n FROM frames)"""
+_POWER = _SERIES + """, x AS (SELECT *, value - avg(value) OVER (PARTITION BY record_id) AS x FROM s), p AS (SELECT record_id, n, b, pow(sum(x * cos(-2 * pi() / n * (b * i % n))), 2) + pow(sum(x * sin(-2 * pi() / n * (b * i % n))), 2) AS p FROM (SELECT *, unnest(range(0, n // 2 + 1)) AS b FROM x) GROUP BY 1, 2, 3)"""
+_STFT = _SERIES + """, w AS (SELECT record_id, k, i - k * 4 AS a, value * (0.5e0 - 0.5e0 * cos(2 * pi() * (i - k * 4) / 7)) AS v FROM (SELECT *, unnest(range(greatest(0, CAST(ceil((i - 7) / 4) AS BIGINT)), least(i // 4, greatest(0, (n - 8) // 4)) + 1)) AS k FROM s)), m AS (SELECT record_id, k, b, sqrt(pow(sum(v * cos(-2 * pi() / 8 * (b * a % 8))), 2) + pow(sum(v * sin(-2 * pi() / 8 * (b * a % 8))), 2)) AS m FROM w CROSS JOIN range(5) u(b) GROUP BY 1, 2, 3)"""
 
 ORACLE_SQL = {
-    "spectral_summary": _POWER + ", q AS (SELECT *, sum(p) OVER (PARTITION BY record_id) AS t, sum(p) OVER (PARTITION BY record_id ORDER BY p DESC, b) - p AS c FROM p) SELECT record_id, CAST(arg_max(b, (p, -b)) AS INTEGER) AS peak_bin, round(max(t), 6) AS power, round(sum(CASE WHEN p > 0 THEN -p / t * ln(p / t) ELSE 0 END) / ln(17), 6) AS entropy, CAST(count(*) FILTER (c < 0.9e0 * t) AS INTEGER) AS bandwidth_bins FROM q GROUP BY 1",
+    "spectral_summary": _POWER + ", q AS (SELECT *, sum(p) OVER (PARTITION BY record_id) AS t, sum(p) OVER (PARTITION BY record_id ORDER BY p DESC, b) - p AS c FROM p) SELECT record_id, CAST(arg_max(b, (p, -b)) AS INTEGER) AS peak_bin, round(max(t), 2) AS power, round(sum(CASE WHEN p > 0 THEN -p / t * ln(p / t) ELSE 0 END) / ln(greatest(count(*), 2)), 6) AS entropy, CAST(count(*) FILTER (c < 0.9e0 * t) AS INTEGER) AS bandwidth_bins FROM q GROUP BY 1",
     "periodicity": _SERIES + ", x AS (SELECT *, value - avg(value) OVER (PARTITION BY record_id) AS x FROM s), e AS (SELECT record_id, sum(x * x) AS e FROM x GROUP BY 1), a AS (SELECT a.record_id, b.i - a.i AS k, round(sum(a.x * b.x) / max(e), 12) AS r FROM x a JOIN x b ON a.record_id = b.record_id AND b.i - a.i BETWEEN 2 AND 8 JOIN e ON e.record_id = a.record_id GROUP BY 1, 2) SELECT record_id, CAST(arg_max(k, (r, -k)) AS INTEGER) AS lag, round(max(r), 6) AS periodicity, max(r) >= 0.2e0 AS periodic FROM a GROUP BY 1",
     "matched_filter": _SERIES + ", l AS (SELECT record_id, i, value - 2 * lead(value) OVER w + 0.5e0 * lead(value, 2) OVER w AS c FROM s WINDOW w AS (PARTITION BY record_id ORDER BY i)) SELECT record_id, CAST(i AS INTEGER) AS i, round(c, 6) + 0 AS compressed FROM l WHERE c IS NOT NULL",
     "window_spectra": _STFT + 'SELECT record_id, CAST(k AS INTEGER) AS "window", CAST(b AS INTEGER) AS bin, round(m, 6) AS magnitude FROM m',
     "spread_at_drop": _STFT + ", d AS (SELECT record_id, b, avg(20 * log10(greatest(m, 1e-12))) AS db FROM m GROUP BY 1, 2), t AS (SELECT *, max(db) OVER (PARTITION BY record_id) AS top FROM d) SELECT record_id, CAST(max(b) - min(b) AS DOUBLE) AS spread FROM t WHERE db >= top - 6 GROUP BY 1",
-    "interference": _POWER + " SELECT record_id, round(exp(avg(ln(greatest(p, 1e-12)))) / greatest(avg(p), 1e-12), 6) AS flatness, round(sum(CASE WHEN b * 4 < 17 THEN p ELSE 0 END) / greatest(sum(p), 1e-12), 6) AS low_mass, round(max(p) / greatest(avg(p), 1e-12), 6) AS peak_to_mean FROM p GROUP BY 1",
+    "interference": _POWER + " SELECT record_id, round(exp(avg(ln(greatest(p, 1e-12)))) / greatest(avg(p), 1e-12), 6) AS flatness, round(sum(CASE WHEN b * 4 < n // 2 + 1 THEN p ELSE 0 END) / greatest(sum(p), 1e-12), 6) AS low_mass, round(max(p) / greatest(avg(p), 1e-12), 6) AS peak_to_mean FROM p GROUP BY 1",
     "policy_violations": _violations(),
     "schema_evidence": """WITH n AS (SELECT CAST(n_regionkey % 3 AS VARCHAR) AS v, CASE n_nationkey % 3 WHEN 0 THEN 'range_' WHEN 1 THEN 'bearing_' ELSE 'x_' END || n_nationkey AS name FROM nation), f AS (SELECT *, name IN ('range_0', 'x_5', 'bearing_7') AS bad, CASE WHEN name LIKE '%range%' THEN 'radar' WHEN name LIKE '%bearing%' THEN 'sound' ELSE 'summary' END AS fam FROM n)
 SELECT v AS "view", count(*) AS columns, coalesce(string_agg(DISTINCT name, '|' ORDER BY name) FILTER (bad), '') AS denied, coalesce(string_agg(DISTINCT fam, '|' ORDER BY fam) FILTER (NOT bad), '') AS families FROM f GROUP BY 1""",
