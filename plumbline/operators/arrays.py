@@ -283,11 +283,11 @@ def modulation_features(cells: DataFrame, keys: list[str], index: str, re: str,
     per = per.withColumn("_f", F.when(F.col("_top") > 0, F.col("_f")).otherwise(1))
     at = s.select(*keys, "bin", "v").join(per.select(*keys, "_f"), keys).where("bin > 0")
     power = F.col("v") * F.col("v")
-    multiples = at.groupBy(*keys).agg(F.max(F.when(F.col("bin") == 2 * F.col("_f"), F.col("v"))).alias("_second"), (F.sum(F.when(F.col("bin") % F.col("_f") == 0, power).otherwise(0.0)) / F.sum(power)).alias("_share"))
+    multiples = at.groupBy(*keys).agg(F.max(F.when(F.col("bin") == 2 * F.col("_f"), F.col("v"))).alias("_second"), F.when(F.sum(power) > 0, F.sum(F.when(F.col("bin") % F.col("_f") == 0, power).otherwise(0.0)) / F.sum(power)).otherwise(0.0).alias("_share"))
     sound = F.col("_sum") > 0
     out = per.join(multiples, keys).select(
         *keys, (F.col("_f") * F.col("_hz")).alias("fundamental_hz"), F.when(sound & (F.col("_peak") > 0), 10 * F.log10(F.col("_peak") / F.col("_avg"))).otherwise(0.0).alias("depth_db"),
-        F.when(F.col("_top") > 0, F.least(F.coalesce(F.col("_second") / F.col("_top"), F.lit(0.0)), F.lit(10.0))).otherwise(0.0).alias("harmonic_ratio"), F.when(F.col("_top") > 0, F.col("_share")).otherwise(0.0).alias("harmonic_share"),
+        F.when(F.col("_top") > 0, F.least(F.coalesce(F.try_divide("_second", "_top"), F.lit(0.0)), F.lit(10.0))).otherwise(0.0).alias("harmonic_ratio"), F.when(F.col("_top") > 0, F.col("_share")).otherwise(0.0).alias("harmonic_share"),
         F.when(sound, F.log2("_sum") - F.col("_vlog") / F.col("_sum")).otherwise(0.0).alias("entropy_bits"), F.when(sound, F.col("_moment") / F.col("_sum")).otherwise(0.0).alias("centroid_hz"),
     )
     return cells.select(*keys).distinct().join(out, keys, "left")
@@ -349,3 +349,40 @@ def interference(power: DataFrame, keys: list[str]) -> DataFrame:
     low = F.when(F.col("bin") * 4 < F.col("_n"), F.col("power")).otherwise(0.0)
     p = power.withColumn("_n", F.count("*").over(Window.partitionBy(*keys)))
     return p.groupBy(*keys).agg((F.exp(F.avg(F.log(F.greatest("power", F.lit(1e-12))))) / F.greatest(F.avg("power"), F.lit(1e-12))).alias("flatness"), (F.sum(low) / F.greatest(F.sum("power"), F.lit(1e-12))).alias("low_mass"), (F.max("power") / F.greatest(F.avg("power"), F.lit(1e-12))).alias("peak_to_mean"))
+
+
+def k_alpha(cells: int, pfa: float, shape: float) -> float:
+    """The factor on the mean of ``cells`` cells in K noise of a shape: that of exponential noise, stretched by the cube-root
+    approximation; 0 for no cells or no shape."""
+    return 0.0 if cells <= 0 or shape <= 0 else cell_average_alpha(cells, pfa) * (1 + 2 / (9 * shape)) ** 3
+
+
+def log_normal_alpha(pfa: float, sigma: float) -> float:
+    """How far above the median, in medians, log-normal noise of a log deviation stays but for the false-alarm rate; 0 for no deviation."""
+    from statistics import NormalDist
+
+    return 0.0 if sigma <= 0 else float(np.exp(-sigma * NormalDist().inv_cdf(pfa))) - 1
+
+
+def k_tail(level: float, shape: float, points: int = 4000) -> float:
+    """Share of K noise of mean 1 above a level: exponential noise whose mean is gamma distributed, by quadrature over the mean's logarithm."""
+    from math import lgamma
+
+    u = np.linspace(-60 / max(shape, 0.2), np.log(1 + 200 / shape), points)
+    density = np.exp(shape * np.log(shape) - lgamma(shape) + shape * u - shape * np.exp(u))
+    return float(np.trapezoid(density * np.exp(-level * np.exp(-u)), u))
+
+
+def k_threshold(pfa: float, shape: float) -> float:
+    """The level that K noise of mean 1 exceeds at a rate, by root search on ``k_tail``."""
+    return _bisect(lambda a: k_tail(a, shape), pfa)
+
+
+def alpha(kind: str, noise: str, cells: int, pfa: float, shape: float = 0.0, rank: int = 0) -> float:
+    """The factor of a threshold kind (``ca``, ``go``, ``so``, ``os``) in a noise (``exponential``, ``weibull``, ``k``, ``log_normal``); an
+    unknown pair is an error."""
+    if noise == "exponential":
+        return {"ca": cell_average_alpha, "go": greatest_of_alpha, "so": smallest_of_alpha}[kind](cells, pfa) if kind != "os" else order_statistic_alpha(cells, rank, pfa)
+    if kind != "ca":
+        raise ValueError(f"no factor of {kind} in {noise} noise")
+    return {"weibull": lambda: weibull_alpha(cells, pfa, shape), "k": lambda: k_alpha(cells, pfa, shape), "log_normal": lambda: log_normal_alpha(pfa, shape)}[noise]()

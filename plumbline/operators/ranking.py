@@ -182,3 +182,20 @@ def method_performance(scored: DataFrame) -> DataFrame:
     rows = whole.unionByName(parts)
     keys = ["method", "split_role", "phase"]
     return confusion(rows.join(thr, "method"), [*keys, "threshold"]).join(roc_auc(rows, keys), keys)
+
+
+def metric_bundle(scored: DataFrame, keys: list[str], threshold: float) -> DataFrame:
+    """One row per key: rows, positives, counts and rates at a threshold, balanced accuracy, Brier score, ROC AUC and average
+    precision (both null where a class is missing)."""
+    hit, pos = F.col("score") >= threshold, F.col("label_id") == 1
+    err = F.col("score") - F.col("label_id")
+    c = scored.groupBy(*keys).agg(F.count("*").alias("n"), F.sum("label_id").cast("bigint").alias("positives"), F.avg(err * err).alias("brier"), *[F.count_if(x).alias(k) for k, x in (("tp", hit & pos), ("fp", hit & ~pos), ("tn", ~hit & ~pos), ("fn", ~hit & pos))])
+    c = rates(c).withColumn("balanced_accuracy", (F.col("recall") + F.col("specificity")) / 2).drop("accuracy", "specificity")
+    return c.join(roc_auc(scored, keys), keys).join(average_precision(scored, keys), keys)
+
+
+def slice_metrics(scored: DataFrame, keys: list[str], slices: dict[str, Column], threshold: float = 0.5) -> DataFrame:
+    """The bundle's main columns on named, overlapping slices of the rows; a slice without a row is absent."""
+    held = F.filter(F.array(*[F.when(cond, F.lit(name)) for name, cond in slices.items()]), lambda x: x.isNotNull())
+    rows = scored.withColumn("slice", F.explode(held))
+    return metric_bundle(rows, [*keys, "slice"], threshold).select(*keys, "slice", "n", "positives", "roc_auc", "average_precision", "recall", "fpr", "f1")

@@ -7,6 +7,7 @@ makes one of a folder of Parquet files that ends when all are read.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
@@ -79,6 +80,36 @@ def sessions(events: DataFrame, time: str, keys: list[str], gap: str, late: str
     return events.withWatermark(time, late).groupBy(F.session_window(time, gap).alias("session"), *keys).agg(F.count("*").alias("n"))
 
 
+def matched(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, within: str, late: str = "10 minutes") -> DataFrame:
+    """Inner join of two streams on equal keys where the right time is at or after the left one and no later than ``within``.
+
+    Both sides have a watermark and the condition bounds the times, so the engine drops a row from its state once no row that can
+    still come may match it."""
+    r = right.select(*[F.col(k).alias(f"_{k}") for k in keys], *[c for c in right.columns if c not in keys]).withWatermark(right_time, late)
+    on = F.col(right_time).between(F.col(left_time), F.col(left_time) + F.expr(f"interval {within}"))
+    for k in keys:
+        on = on & (F.col(k) == F.col(f"_{k}"))
+    return left.withWatermark(left_time, late).join(r, on).drop(*[f"_{k}" for k in keys])
+
+
+def run_to_table(stream: DataFrame, path: str, mode: str = "append") -> tuple[DataFrame, list[dict]]:
+    """Run a stream over everything available now into Parquet files under ``path``, whose log names those of finished batches alone, and
+    return the table and the progress of its batches.  A second run over the same path goes on where the first ended."""
+    q = stream.writeStream.outputMode(mode).format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/progress").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/rows"), [json.loads(p.json) for p in q.recentProgress]
+
+
+def write_in_batches(df: DataFrame, path: str, arrival: str, edges: list) -> None:
+    """The rows of ``df`` as files that a stream reads one after the other: those up to each of the ascending ``edges`` of ``arrival``, then
+    the rest."""
+    lows, highs = [None, *edges], [*edges, None]
+    for low, high in zip(lows, highs):
+        part = df if low is None else df.where(F.col(arrival) > low)
+        part = part if high is None else part.where(F.col(arrival) <= high)
+        part.coalesce(1).write.mode("append").parquet(path)
+
+
 def run_to_memory(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Run a stream over everything available now and return what it wrote (for tests and small replays)."""
     q = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()

@@ -42,5 +42,6 @@ def difference(spark, query, sql: str, sf_dir: str = DATA) -> str | None:
     x, y = _norm(a), _norm(b)
     if x == y:
         return None
-    only = [r for r in x if r not in set(y)][:3], [r for r in y if r not in set(x)][:3]
+    a, b = set(x), set(y)
+    only = [r for r in x if r not in b][:3], [r for r in y if r not in a][:3]
     return f"{len(x)} and {len(y)} rows; only in one: {only}"
