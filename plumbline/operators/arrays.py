@@ -82,15 +82,16 @@ def hough_tracks(cells: DataFrame, keys: list[str], time: str, pos: str, value:
     return per.groupBy(*keys, "gradient", "start").agg(F.count("*").alias("hits"), F.sum("_v").alias("power")).where(F.col("hits") >= least)
 
 
-def suppress(candidates: DataFrame, keys: list[str], bin_col: str = "start", grad: str = "gradient", power: str = "power", near_bin: int = 3, near_grad: float = 0.5, rounds: int = 60) -> DataFrame:
+def suppress(candidates: DataFrame, keys: list[str], bin_col: str = "start", grad: str = "gradient", power: str = "power", near_bin: int = 3, near_grad: float = 0.5) -> DataFrame:
     """Greedy by power (then bin, then gradient): a candidate near a kept one in both start and gradient is dropped.
 
     In each round those candidates are kept that no stronger neighbour is left of, and their neighbours go; so a round is one join
-    of neighbours on bins of ``near_bin``, and there are as many rounds as the longest chain of ever stronger neighbours."""
+    of neighbours on bins of ``near_bin``; every round keeps the strongest that is left, so it ends, after as many rounds as the longest
+    chain of ever stronger neighbours needs."""
     order = F.struct(F.col(power), -F.col(bin_col), -F.col(grad))
     left = keep(candidates.withColumn("_o", order))
     kept = None
-    for _ in range(rounds):
+    while True:
         a = left.select(*keys, F.col(bin_col).alias("_b"), F.col(grad).alias("_g"), F.col("_o").alias("_q"), F.explode(F.array(*[F.floor(F.col(bin_col) / near_bin) + d for d in (-1, 0, 1)])).alias("_cell"))
         j = left.withColumn("_cell", F.floor(F.col(bin_col) / near_bin)).join(a, [*keys, "_cell"]).where((F.abs(F.col(bin_col) - F.col("_b")) < near_bin) & (F.abs(F.col(grad) - F.col("_g")) < near_grad))
         top = j.groupBy(*keys, bin_col, grad).agg(F.max("_q").alias("_top"), F.max("_o").alias("_mine"))
@@ -103,8 +104,6 @@ def suppress(candidates: DataFrame, keys: list[str], bin_col: str = "start", gra
         left = keep(left.join(gone, [*keys, bin_col, grad], "left_anti"))
         if left.isEmpty():
             break
-    else:
-        raise RuntimeError(f"suppression did not settle in {rounds} rounds")
     return candidates if kept is None else candidates.join(kept, [*keys, bin_col, grad])
 
 

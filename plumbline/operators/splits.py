@@ -115,10 +115,19 @@ def round_robin(plan: DataFrame, index: str, positive: Column, positives: list[s
     return plan.withColumn("class_label", F.when(positive, pick(positives)).otherwise(pick(negatives)))
 
 
-def campaign_plan(spark, total: int, weights: dict[str, int], seed: int = 1) -> DataFrame:
-    """``(slot, bucket, index)``: buckets by weighted quota, slots in hash order."""
-    quota = weighted_remainder(total, weights)
-    rows = [(b, n) for b, n in quota.items() if n]
-    b = spark.createDataFrame(rows, "bucket string, n int").select("bucket", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("index"))
+def quotas(weights: DataFrame, total: int, bucket: str = "bucket", weight: str = "weight") -> DataFrame:
+    """``bucket, n``: ``floor(total * weight / sum)`` of each bucket, what is left dealt one by one from the first by name."""
+    w = row_numbers(weights.withColumn("_same", F.lit(0)), [], "_same", "_k", then=[F.col(bucket).asc()])
+    all_ = weights.agg(F.sum(weight).alias("_sum"), F.count("*").alias("_of"))
+    w = w.crossJoin(F.broadcast(all_)).withColumn("n", F.floor(F.lit(total) * F.col(weight) / F.col("_sum")).cast("long"))
+    left = w.agg((F.lit(total) - F.sum("n")).alias("_left"))
+    w = w.crossJoin(F.broadcast(left))
+    more = F.floor(F.col("_left") / F.col("_of")) + F.when(F.col("_k") <= F.col("_left") % F.col("_of"), 1).otherwise(0)
+    return w.select(bucket, (F.col("n") + more).cast("long").alias("n"))
+
+
+def campaign_plan(weights: DataFrame, total: int, seed: int = 1) -> DataFrame:
+    """``(slot, bucket, index)`` of ``weights(bucket, weight)``: buckets by weighted quota, slots in hash order."""
+    b = quotas(weights, total).where("n > 0").select("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("index"))
     b = b.withColumn("_k", F.conv(F.substring(stable_order(seed, "plan", F.col("bucket"), F.col("index")), 1, 13), 16, 10).cast("bigint"))
     return row_numbers(b, [], "_k", "slot", then=[F.col("bucket"), F.col("index")]).withColumn("slot", F.col("slot") - 1).drop("_k")

@@ -150,6 +150,12 @@ def _series(s, d):
     return frames(s, d).withColumn("i", F.row_number().over(W._w(KEYS, ORDER)) - 1).select("record_id", "i", "value")
 
 
+def _campaign(s, d):
+    """Slots for a seventh of the orders, dealt to priorities by their share."""
+    w = table(s, d, "orders").groupBy(F.col("o_orderpriority").alias("bucket")).agg(F.count("*").alias("weight"))
+    return L.campaign_plan(w, table(s, d, "orders").count() // 7)
+
+
 def _ring(kind):
     def q(s, d):
         return _r(A.ring_cfar(grid(s, d), ["g"], "x", "y", "v", 2, 1, 0.3, kind, 20), "threshold", digits=6)
@@ -183,7 +189,7 @@ QUERIES = {
     "group_manifest": _manifest,
     "strata_split": _strata,
     "round_robin_classes": lambda s, d: L.round_robin(table(s, d, "orders").select("o_orderkey"), "o_orderkey", F.col("o_orderkey") % 3 == 0, ["a", "b"], ["x", "y", "z"]),
-    "campaign_plan": lambda s, d: L.campaign_plan(s, 101, {"near": 50, "mid": 30, "far": 20}),
+    "campaign_plan": _campaign,
     "method_summary": _summary,
     "best_per_group": _best,
     "top_methods": lambda s, d: _r(R.best_of_group(R.average_precision(scored(s, d), ["method", "phase_id"]).withColumn("name", F.concat_ws("/", "method", "phase_id")).withColumn("all", F.lit(1)), ["all"], "average_precision", "name", 3).select("name", "average_precision"), "average_precision"),
@@ -280,7 +286,7 @@ r AS (SELECT g.*, CASE WHEN p = 1 THEN hp ELSE hold - hp END AS q, row_number()
 SELECT group_id, p AS is_positive, CASE WHEN k <= q THEN 'holdout' ELSE 'train' END AS split_role, CAST(CASE WHEN k <= q THEN -1 ELSE (k - q - 1) % 5 END AS INTEGER) AS cv_fold FROM r""",
     "strata_split": f"WITH c AS (SELECT c_custkey, c_nationkey IN (3, 7) AS held FROM customer), n AS (SELECT count(*) AS n, count(*) FILTER (held) AS h, round_even(count(*) * 0.7e0, 0) AS a, round_even(count(*) * 0.15e0, 0) AS b FROM c), r AS (SELECT c.*, n.*, row_number() OVER (PARTITION BY held ORDER BY {_H.format(tag='strata', id='c_custkey')}, c_custkey) AS k FROM c CROSS JOIN n) SELECT c_custkey, CASE WHEN held THEN 'test' WHEN k <= b THEN 'validation' WHEN k <= b + greatest(n - a - b - h, 0) THEN 'test' ELSE 'train' END AS split FROM r",
     "round_robin_classes": "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN (['a', 'b'])[o_orderkey % 2 + 1] ELSE (['x', 'y', 'z'])[o_orderkey % 3 + 1] END AS class_label FROM orders",
-    "campaign_plan": f"WITH b(bucket, n) AS (VALUES ('near', 51), ('mid', 30), ('far', 20)), x AS (SELECT bucket, CAST(unnest(range(0, n)) AS INTEGER) AS \"index\" FROM b) SELECT bucket, \"index\", row_number() OVER (ORDER BY {_H.format(tag='plan', id='bucket || chr(124) || \"index\"')}, bucket, \"index\") - 1 AS slot FROM x",
+    "campaign_plan": f"WITH w AS (SELECT o_orderpriority AS bucket, count(*) AS weight FROM orders GROUP BY 1), t AS (SELECT sum(weight) AS s, sum(weight) // 7 AS total, count(*) AS c FROM w), q AS (SELECT bucket, total * weight // s AS n, row_number() OVER (ORDER BY bucket) - 1 AS k, total, c FROM w CROSS JOIN t), l AS (SELECT *, total - sum(n) OVER () AS rest FROM q), b AS (SELECT bucket, CAST(n + rest // c + CAST(k < rest % c AS INTEGER) AS BIGINT) AS n FROM l), x AS (SELECT bucket, unnest(range(0, n)) AS \"index\" FROM b) SELECT bucket, \"index\", row_number() OVER (ORDER BY {_H.format(tag='plan', id='bucket || chr(124) || \"index\"')}, bucket, \"index\") - 1 AS slot FROM x",
     "method_summary": f"WITH {SCORED}, {_AP}, c AS (SELECT method, phase_id, count(*) FILTER (score >= 0.5 AND label_id = 1) AS tp, count(*) FILTER (score >= 0.5 AND label_id = 0) AS fp, count(*) FILTER (score < 0.5 AND label_id = 0) AS tn, count(*) FILTER (score < 0.5 AND label_id = 1) AS fn FROM scored GROUP BY 1, 2) SELECT method || '/' || phase_id AS method, tp, fp, fn, tn, round(ap, 9) AS average_precision FROM c JOIN ap USING (method, phase_id)",
     "best_per_group": f"WITH {SCORED}, {_AP}, r AS (SELECT *, row_number() OVER (PARTITION BY phase_id ORDER BY ap DESC NULLS LAST, method) AS k FROM ap) SELECT phase_id, method, round(ap, 9) AS average_precision FROM r WHERE k = 1",
     "top_methods": f"WITH {SCORED}, {_AP} SELECT method || '/' || phase_id AS name, round(ap, 9) AS average_precision FROM ap ORDER BY ap DESC NULLS LAST, name LIMIT 3",

@@ -65,7 +65,7 @@ def _globs(s, d):
 
 def _lookup(s, d):
     l = table(s, d, "orders").select("o_orderkey", F.col("o_custkey").alias("c"), (F.col("o_custkey") + 1).alias("c2"))
-    r = table(s, d, "customer").where("c_custkey % 4 = 0").select("c_custkey", F.col("c_mktsegment").alias("segment"))
+    r = table(s, d, "customer").select((F.col("c_custkey") * 4).alias("c_custkey"), F.col("c_mktsegment").alias("segment"))  # keys apart: most orders miss
     out = J.lookup(l, r.withColumnRenamed("c_custkey", "c"), ["c"], "segment", "none").withColumnRenamed("segment", "direct")
     return J.fallback_lookup(out, r, ["c", "c2"], "c_custkey", "segment").select("o_orderkey", "direct", F.col("segment").alias("fallback"))
 
@@ -78,7 +78,7 @@ def _checked(s, d):
 
 def _first_match(s, d):
     c = table(s, d, "customer").select("c_nationkey", F.col("c_custkey").alias("id"), F.lit("customer").alias("root"))
-    p = table(s, d, "supplier").where("s_nationkey % 3 = 0").select(F.col("s_nationkey").alias("c_nationkey"), F.col("s_suppkey").alias("id"), F.lit("supplier").alias("root"))
+    p = table(s, d, "supplier").select((F.col("s_nationkey") * 3).alias("c_nationkey"), F.col("s_suppkey").alias("id"), F.lit("supplier").alias("root"))
     return J.first_match([p, c], ["c_nationkey"])
 
 
@@ -119,7 +119,7 @@ def _method_families(s, d):
 
 def _grid(s, d):
     """Every cell of a configuration grid but those left out, and every class with every sensor."""
-    r, n = table(s, d, "region").select("r_name"), table(s, d, "nation").where("n_nationkey < 4").select("n_name")
+    r, n = table(s, d, "region").select("r_name"), table(s, d, "nation").select("n_name")
     return F.broadcast(r.where("r_name <> 'ASIA'")).crossJoin(F.broadcast(n)).select(F.col("r_name").alias("regime"), F.col("n_name").alias("variant"))
 
 
@@ -172,15 +172,15 @@ o_totalprice / 300000 BETWEEN 0 AND 1 AS probability, regexp_full_match(lower(o_
     "canonical_identity": """WITH j AS (SELECT *, '{"brand":"' || p_brand || '","key":' || p_partkey || ',"size":' || p_size || '}' AS json FROM part), f AS (SELECT *, sha256(json) AS fp FROM j)
 SELECT p_partkey, json, fp AS fingerprint, 'id:part:' || lower(p_brand) || ':' || substr(sha256('part|' || lower(p_brand) || '|1|' || fp), 1, 16) || ':1' AS id, '{"a":1,"z":' || p_size || '}' AS map FROM f""",
     "glob_match": "SELECT page_id, page_id % 2 <> 0 AS flat, true AS deep, page_id % 2 <> 0 AND page_id < 10 AS one, true AS tail FROM pages",
-    "lookup_fallback": "WITH r AS (SELECT c_custkey, c_mktsegment AS s FROM customer WHERE c_custkey % 4 = 0) SELECT o_orderkey, coalesce(a.s, 'none') AS direct, coalesce(a.s, b.s) AS fallback FROM orders LEFT JOIN r a ON o_custkey = a.c_custkey LEFT JOIN r b ON o_custkey + 1 = b.c_custkey",
+    "lookup_fallback": "WITH r AS (SELECT c_custkey * 4 AS c_custkey, c_mktsegment AS s FROM customer) SELECT o_orderkey, coalesce(a.s, 'none') AS direct, coalesce(a.s, b.s) AS fallback FROM orders LEFT JOIN r a ON o_custkey = a.c_custkey LEFT JOIN r b ON o_custkey + 1 = b.c_custkey",
     "checked_joins": "SELECT n_nationkey, n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey",
-    "first_match_roots": "SELECT s_nationkey AS c_nationkey, s_suppkey AS id, 'supplier' AS root FROM supplier WHERE s_nationkey % 3 = 0 UNION ALL SELECT c_nationkey, c_custkey, 'customer' FROM customer WHERE c_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_nationkey % 3 = 0)",
+    "first_match_roots": "SELECT s_nationkey * 3 AS c_nationkey, s_suppkey AS id, 'supplier' AS root FROM supplier UNION ALL SELECT c_nationkey, c_custkey, 'customer' FROM customer WHERE c_nationkey NOT IN (SELECT s_nationkey * 3 FROM supplier)",
     "first_wins_index": "SELECT o_custkey, min(o_orderkey) AS o_orderkey, arg_min(o_orderstatus, o_orderkey) AS o_orderstatus FROM orders GROUP BY 1",
     "asof_last_value": f"WITH {FRAMES}, l AS (SELECT record_id, frame_id, time_s * 1000 + frame_id / 1e6 AS t FROM frames WHERE event_type = 'purchase'), r AS (SELECT record_id, time_s * 1000 + frame_id / 1e6 AS t, value FROM frames WHERE event_type = 'view') SELECT frame_id, round(value, 9) AS value FROM l ASOF LEFT JOIN r ON l.record_id = r.record_id AND l.t >= r.t",
     "stratum_chain": f"WITH {GROUPS}, t AS (SELECT * FROM grp WHERE group_id % 10 < 6), n AS (SELECT stratum, status, avg(label_id) AS a FROM t WHERE stratum <> '1-URGENT' GROUP BY 1, 2), f AS (SELECT status, avg(label_id) AS b FROM t GROUP BY 1) SELECT group_id, line, round(coalesce(a, b, (SELECT avg(label_id) FROM t), 0), 9) AS rate FROM grp LEFT JOIN n USING (stratum, status) LEFT JOIN f USING (status)",
     "two_key_lookup": "WITH f AS (SELECT user_id AS u, event_type AS t, arg_min(value, event_id) AS value FROM events GROUP BY 1, 2) SELECT c_custkey, round(coalesce(value, -1), 9) AS value FROM customer LEFT JOIN f ON u = c_custkey % 200 AND t = CASE c_custkey % 3 WHEN 0 THEN 'click' WHEN 1 THEN 'view' ELSE 'none' END",
     "method_family_alarms": f"WITH {SCORED} SELECT method, CASE WHEN group_id = '' THEN 'none' ELSE group_id END AS family, count(*) AS n, count(*) FILTER (score >= 0.5) AS fp FROM scored WHERE label_id = 0 GROUP BY 1, 2",
-    "configuration_grid": "SELECT r_name AS regime, n_name AS variant FROM region CROSS JOIN nation WHERE r_name <> 'ASIA' AND n_nationkey < 4",
+    "configuration_grid": "SELECT r_name AS regime, n_name AS variant FROM region CROSS JOIN nation WHERE r_name <> 'ASIA'",
     "prior_lookup": "WITH p AS (SELECT p_brand, avg(p_retailprice) AS prior FROM part GROUP BY 1 HAVING count(*) > 70) SELECT p_partkey, round(coalesce(prior, 1000), 9) AS prior FROM part LEFT JOIN p USING (p_brand)",
     "derived_features": f"WITH {FRAMES} SELECT frame_id, round(value - 40, 9) AS cfar_margin, round(value / 2 - 3, 9) AS snr_minus_noise, round(greatest(value - 40, 0) + frame_id % 5, 9) AS track_evidence, round(value / (1 + value / 3 + 2), 9) AS energy_ratio FROM frames",
     "solver_status": f"WITH {FRAMES} SELECT frame_id, CASE WHEN frame_id % 9 = 0 THEN 'fail' WHEN abs(value - 50) > 3 * (frame_id % 13 + 5) THEN 'fail' WHEN abs(value - 50) > frame_id % 13 + 5 THEN 'warn' ELSE 'pass' END AS status FROM frames",

@@ -2,21 +2,19 @@
 
 from __future__ import annotations
 
-import uuid
-
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import sources as X
 from .. import streaming as St
-from ..operators.graph import shared_folder
 from ..sources import table
+from ..sources.commits import new_root
 from .ranking import _r
 
 
 def _new(spark: SparkSession) -> str:
-    return f"{shared_folder(spark).rstrip('/')}/stores/{uuid.uuid4().hex}"
+    return new_root(spark, "stores")
 
 
 def _csv(s, d):
@@ -78,7 +76,7 @@ def _frame_store(s, d):
     X.write_npz(e, p, "shard", "record_id", "values", (16, 4), ["a", "b", "c", "d"])
     store = X.npz_frames(s, p, "frames", "record_ids", "columns")
     index = store.where("time_index = 0").select("shard_path", "row_offset", "record_id")
-    records = index.where("cast(record_id as long) % 3 = 0").withColumn("place", F.col("record_id").cast("long")).drop("record_id")
+    records = index.withColumn("place", F.col("record_id").cast("long")).drop("record_id")
     X.assert_aligned(index.select(F.col("record_id").cast("long").alias("place"), "record_id"), e.select(F.col("record_id").cast("long").alias("place"), "record_id"), "place", "record_id")
     return _r(X.gather(records, store, ["shard_path", "row_offset"], "place").select("place", "time_index", F.col("values")[1].alias("b"), F.element_at("columns", 2).alias("name")), "b", digits=5)
 
@@ -122,23 +120,31 @@ def _events(s, d):
     return St.replay(s, f"{d}/events*.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def _run(stream: DataFrame, mode: str = "append") -> DataFrame:
-    return St.run_to_memory(stream, f"q_{uuid.uuid4().hex}", mode)
+def _run(s, stream: DataFrame) -> DataFrame:
+    return St.run_to_table(stream, _new(s))[0]
+
+
+def _complete(s, stream: DataFrame) -> DataFrame:
+    """The last state of a stream of aggregates, each batch's written whole over the one before."""
+    p = _new(s)
+    q = stream.writeStream.outputMode("complete").foreachBatch(lambda b, n: b.write.mode("overwrite").parquet(f"{p}/rows")).option("checkpointLocation", f"{p}/progress").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return s.read.schema(stream.schema).parquet(f"{p}/rows")
 
 
 def _windowed(s, d):
-    w = _run(St.windowed_counts(_events(s, d), "ts", ["event_type"], "1 day", value=F.col("value")), "complete")
+    w = _complete(s, St.windowed_counts(_events(s, d), "ts", ["event_type"], "1 day", value=F.col("value")))
     return _r(w.select(F.unix_seconds("window.start").alias("start"), "event_type", "n", "total"), "total", digits=6)
 
 
 def _sessions(s, d):
-    w = _run(St.sessions(_events(s, d), "ts", ["user_id"], "6 hours"), "complete")
+    w = _complete(s, St.sessions(_events(s, d), "ts", ["user_id"], "6 hours"))
     return w.select("user_id", F.unix_micros("session.start").alias("start"), "n")
 
 
 def _trigger(s, d):
     e = _events(s, d).withColumn("tick", F.unix_micros("ts") * 1000 + F.col("event_id") % 1000)
-    return _r(_run(St.trigger_stream(e, "user_id", "tick", "value", 50.0)), "value", digits=6)
+    return _r(_run(s, St.trigger_stream(e, "user_id", "tick", "value", 50.0)), "value", digits=6)
 
 
 QUERIES = {
@@ -176,7 +182,7 @@ ORACLE_SQL = {
     "tensor_f64": _tensor_sql("4x16"),
     "tensor_complex": _tensor_sql("4x8"),
     "tensor_bool": _tensor_sql("4x16", "CAST(x > 0 AS INTEGER)::DOUBLE"),
-    "frame_store": "WITH t AS (SELECT vec_id, embedding, unnest(range(0, 16)) AS i FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) = 64 AND vec_id % 3 = 0) SELECT vec_id AS place, CAST(i AS INTEGER) AS time_index, round(CAST(embedding[i * 4 + 2] AS DOUBLE), 5) AS b, 'b' AS name FROM t",
+    "frame_store": "WITH t AS (SELECT vec_id, embedding, unnest(range(0, 16)) AS i FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) = 64) SELECT vec_id AS place, CAST(i AS INTEGER) AS time_index, round(CAST(embedding[i * 4 + 2] AS DOUBLE), 5) AS b, 'b' AS name FROM t",
     "sequence_csv": "SELECT event_id, true AS same FROM events",
     "frame_codec": "SELECT event_id, user_id, event_id % 256 + event_id * 3 % 256 + event_id * 7 % 256 AS total FROM events",
     "partitioned_sink": "SELECT o_orderstatus, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1",

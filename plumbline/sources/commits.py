@@ -6,6 +6,7 @@ another name and renamed, so a reader sees all tables of a commit or none.  What
 
 from __future__ import annotations
 
+import atexit
 import json
 import uuid
 from collections.abc import Callable
@@ -103,8 +104,17 @@ def read_batches(spark: SparkSession, root: str, table: str) -> DataFrame | None
 
 
 def new_root(spark: SparkSession, name: str) -> str:
-    """A root of its own in the shared folder."""
-    return f"{shared_folder(spark).rstrip('/')}/{name}/{uuid.uuid4().hex}"
+    """A folder of its own in the shared one, deleted when Python ends."""
+    path = f"{shared_folder(spark).rstrip('/')}/{name}/{uuid.uuid4().hex}"
+    atexit.register(_delete, *_fs(spark, path))
+    return path
+
+
+def _delete(fs: object, where: object) -> None:
+    try:
+        fs.delete(where, True)
+    except Exception:  # noqa: BLE001 - the JVM may be gone, and with it all that could delete
+        pass
 
 
 def score_tables(scored: DataFrame, holdout: str = "holdout") -> dict[str, DataFrame]:
