@@ -3,10 +3,11 @@
 Vectors are dealt by region, the nearest of some centres of a bounded sample, and regions are cut into shards.  A query first
 searches a shard of its own region; the k-th score it finds there is a floor for all others, and only shards whose region, a ball
 around its centre, may hold a better one are searched.  In a shard, vectors get one more coordinate, ``sqrt(M^2 - |x|^2)`` with M
-their largest norm, queries a zero: then the largest inner product is the smallest Euclidean distance, and the triangle
-inequality prunes the tree, by the distances from a vantage point and by the ball around the middle of a subtree.  ``factor`` multiplies a lower bound, of a region or a subtree, before it is held against the k-th
-distance so far: above 1 the search is faster and approximate, at 1 it is exact.  All queries of a block go down the tree
-together, so the work is in matrix products.
+their largest norm, queries a zero: then the largest inner product is the smallest Euclidean distance.  The tree parts vectors by
+their distance from a vantage point; a subtree knows the least and greatest distance of its vectors from every vantage point of the
+shard and from one of its own, and the triangle inequality bounds how near it can come to a query.  ``factor`` multiplies every such
+bound, of a region or a subtree, before it is held against the k-th distance so far: above 1 the search is faster and approximate, at
+1 it is exact.  All queries of a block go down the tree together, so the work is in matrix products.
 """
 
 from __future__ import annotations
@@ -22,9 +23,11 @@ from .common import arrow_map, batch, cut, discard, partitions
 from .vectors import matrix, usable
 
 #: Vectors of a shard, queries of a block, vectors of a leaf.
-SHARD_ROWS, QUERY_ROWS, LEAF = 4096, 4096, 64
-#: A subtree of so many vectors is scored whole where the balls of its leaves would prune less than this share of it.
-WHOLE, WORTH = 256, 0.05
+SHARD_ROWS, QUERY_ROWS, LEAF = 4096, 4096, 16
+#: The subtree that a query scores first holds up to so many times as many vectors as it asks for.
+HOME = 3
+#: Vantage points of a shard, each the farthest from those before; a subtree has one of its own besides.
+VANTAGES = 96
 #: Most regions, and the vectors of the sample that their centres come from for each of them.
 MOST_REGIONS, PER_REGION = 1024, 8
 #: Lists of results that are merged at once.
@@ -34,41 +37,48 @@ FACTOR = 1.0
 
 
 class _Node:
-    __slots__ = ("center", "ranges", "kids", "points", "middle", "radius", "leaves")
+    """A subtree: its points, how far they lie from each vantage point of the shard and from one of their own, and two halves."""
 
-    def __init__(self, x: np.ndarray, points: np.ndarray, leaf: int):
+    __slots__ = ("points", "low", "high", "own", "own_low", "own_high", "kids")
+
+    def __init__(self, x: np.ndarray, away: np.ndarray, points: np.ndarray, leaf: int):
         self.points, self.kids = points, ()
-        mean = x[points].mean(0) if len(points) else x.sum(0)
-        self.middle = mean[:-1]
-        self.radius = np.sqrt(((x[points, :-1] - self.middle) ** 2).sum(1).max()) if len(points) else 0.0
+        if not len(points):
+            return
+        mine, seen = x[points], away[points]
+        self.low, self.high = seen.min(0), seen.max(0)
+        self.own = mine[((mine - mine.mean(0)) ** 2).sum(1).argmin()]
+        d = np.sqrt(((mine - self.own) ** 2).sum(1))
+        self.own_low, self.own_high = d.min(), d.max()
         if len(points) <= leaf:
             return
-        self.center = x[points[((x[points] - mean) ** 2).sum(1).argmax()]]  # the farthest point sees the others at most different distances
-        d = np.sqrt(((x[points] - self.center) ** 2).sum(1))
-        order = np.argsort(d, kind="stable")
-        half = len(points) // 2
-        if d[order[0]] == d[order[-1]]:  # all alike: nothing to tell them apart by
+        by = seen[:, seen.std(0).argmax()] if seen.shape[1] and seen.std(0).max() >= d.std() else d  # the vantage point that tells them best apart
+        order = np.argsort(by, kind="stable")
+        if by[order[0]] == by[order[-1]]:  # all alike: nothing to tell them apart by
             return
-        inner, outer = order[:half], order[half:]
-        self.ranges = [(d[inner].min(), d[inner].max()), (d[outer].min(), d[outer].max())]
-        self.kids = (_Node(x, points[inner], leaf), _Node(x, points[outer], leaf))
-        if len(points) <= WHOLE:
-            ends = self._ends()
-            self.leaves = np.stack([n.middle for n in ends]), np.array([n.radius for n in ends]), np.array([len(n.points) for n in ends])
-
-    def _ends(self) -> list[_Node]:
-        return [n for k in self.kids for n in k._ends()] if self.kids else [self]
+        gaps = np.diff(by[order])
+        lo = len(order) // 4
+        half = lo + int(gaps[lo : len(order) - lo - 1].argmax()) + 1  # the widest gap of the middle half
+        self.kids = (_Node(x, away, points[order[:half]], leaf), _Node(x, away, points[order[half:]], leaf))
 
 
 class Search:
     """The ``k`` best candidates of each query in one shard.  ``visited`` counts query-candidate pairs that were scored."""
 
-    def __init__(self, ids: np.ndarray, x: np.ndarray, leaf: int = LEAF):
+    def __init__(self, ids: np.ndarray, x: np.ndarray, leaf: int = LEAF, vantages: int = VANTAGES):
         self.ids, self.x = ids, x
         norm = (x**2).sum(1)
         self.top = norm.max() if len(x) else 0.0
-        self.wide = np.c_[x, np.sqrt(np.maximum(self.top - norm, 0))]
-        self.root = _Node(self.wide, np.arange(len(x)), leaf)
+        wide = np.c_[x, np.sqrt(np.maximum(self.top - norm, 0))]
+        away, chosen = np.zeros((len(x), 0)), []
+        nearest = ((wide - wide.mean(0)) ** 2).sum(1) if len(x) else np.zeros(0)
+        while len(chosen) < min(vantages, len(x)):  # each the farthest from those before
+            chosen.append(wide[nearest.argmax()])
+            d = ((wide - chosen[-1]) ** 2).sum(1)
+            nearest = d if len(chosen) == 1 else np.minimum(nearest, d)
+            away = np.c_[away, np.sqrt(d)]
+        self.vantages = np.array(chosen).reshape(len(chosen), wide.shape[1])
+        self.root = _Node(wide, away, np.arange(len(x)), leaf)
         self.visited = 0
 
     def query(self, qid: np.ndarray, q: np.ndarray, k: int, factor: float = 1.0, floor: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -78,9 +88,15 @@ class Search:
         self.floor = np.full(len(q), -np.inf) if floor is None else floor
         self.qn = (q**2).sum(1)
         self.slack = 1e-12 * np.sqrt(self.qn * max(self.top, 1e-300))
+        self.blur = 1e-7 * np.sqrt(self.qn + self.top)  # what rounding may add to a distance
         self.best = np.full((len(q), k), -np.inf)
         self.at = np.full((len(q), k), -1)
-        self._down(self.root, np.arange(len(q)))
+        self.seen = self._away(np.arange(len(q)), self.vantages)
+        self.kth = np.full(len(q), -np.inf)
+        self.home = np.zeros(len(q), np.int64)
+        if len(self.x):
+            self._descend(self.root, np.arange(len(q)))
+            self._down(self.root, np.arange(len(q)))
         score = np.where(self.at >= 0, self._exact(np.repeat(np.arange(len(q)), k), self.at.ravel()).reshape(self.at.shape), -np.inf)
         ids = np.where(self.at >= 0, self.ids[self.at] if len(self.ids) else -1, -1)
         order = np.lexsort((ids, -score), axis=1)
@@ -90,42 +106,54 @@ class Search:
         """Inner products summed in one order whatever the block, so that equal vectors score alike."""
         return np.add.accumulate(self.q[rows] * self.x[points], axis=1)[:, -1]
 
-    def _far(self) -> np.ndarray:
-        return np.sqrt(np.maximum(self.qn + self.top - 2 * np.maximum(self.best.min(1), self.floor), 0))
+    def _far(self, rows: np.ndarray) -> np.ndarray:
+        """How far the k-th found, or the floor, is."""
+        return np.sqrt(np.maximum(self.qn[rows] + self.top - 2 * np.maximum(self.kth[rows], self.floor[rows]), 0))
+
+    def _away(self, rows: np.ndarray, points: np.ndarray) -> np.ndarray:
+        """Distances of queries from vantage points; a query has a zero more."""
+        return np.sqrt(np.maximum(self.qn[rows][:, None] + (points**2).sum(1)[None, :] - 2 * self.q[rows] @ points[:, :-1].T, 0))
+
+    def _bound(self, node: _Node, rows: np.ndarray) -> np.ndarray:
+        """What the triangle inequality leaves between the queries and every point of a subtree, over all vantage points."""
+        seen, own = self.seen[rows], self._away(rows, node.own[None, :])[:, 0]
+        least = np.maximum(own - node.own_high, node.own_low - own)
+        if seen.shape[1]:
+            least = np.maximum(least, np.maximum(seen - node.high, node.low - seen).max(1))
+        return np.maximum(least - self.blur[rows], 0) * self.factor
+
+    def _descend(self, node: _Node, rows: np.ndarray) -> None:
+        """Score for each query the small subtree whose vantage points it is nearest to: the k-th score there is its first bound."""
+        if not len(rows):
+            return
+        if not node.kids or len(node.points) <= HOME * self.k:
+            self.home[rows] = id(node)
+            self._score_all(node.points, rows)
+            return
+        left, right = (self._away(rows, kid.own[None, :])[:, 0] for kid in node.kids)
+        self._descend(node.kids[0], rows[left <= right])
+        self._descend(node.kids[1], rows[left > right])
 
     def _down(self, node: _Node, rows: np.ndarray) -> None:
+        """Search a subtree for the queries that its bounds let in, but for those that have scored it."""
+        rows = rows[self.home[rows] != id(node)]
         if not len(rows):
             return
         if not node.kids:
-            for lo in range(0, len(node.points), 1024):
-                self._score(node.points[lo : lo + 1024], rows)
+            self._score_all(node.points, rows)
             return
-        if len(node.points) <= WHOLE and self.factor <= 1:
-            middle, radius, size = node.leaves
-            most = self.q[rows] @ middle.T + np.sqrt(self.qn[rows])[:, None] * radius
-            floor = np.maximum(self.best.min(1), self.floor)[rows][:, None]
-            if ((most < floor) @ size).mean() < WORTH * len(node.points):
-                self._score(node.points, rows)
-                return
-        c = node.center
-        d = np.sqrt(np.maximum(self.qn[rows] + (c**2).sum() - 2 * self.q[rows] @ c[:-1], 0))
-        bound = []
-        for (lo, hi), kid in zip(node.ranges, node.kids):
-            best = self.q[rows] @ kid.middle + np.sqrt(self.qn[rows]) * kid.radius  # no point of the kid's ball has a larger product
-            ball = np.sqrt(np.maximum(self.qn[rows] + self.top - 2 * best, 0))
-            bound.append(np.maximum(np.maximum(np.maximum(d - hi, lo - d), 0) * self.factor, ball))
-        first = (bound[1] < bound[0]).astype(int)
-        for near in (0, 1):
-            mine = first == near
-            for kid in (near, 1 - near):
-                keep = mine & (bound[kid] <= self._far()[rows] * (1 + 1e-9) + 1e-9)
-                self._down(node.kids[kid], rows[keep])
+        for kid in node.kids:
+            self._down(kid, rows[self._bound(kid, rows) <= self._far(rows) + self.blur[rows]])
+
+    def _score_all(self, points: np.ndarray, rows: np.ndarray) -> None:
+        for lo in range(0, len(points), 1024):
+            self._score(points[lo : lo + 1024], rows)
 
     def _score(self, points: np.ndarray, rows: np.ndarray) -> None:
         s = self.q[rows] @ self.x[points].T
         self.visited += s.size
         s[self.qid[rows][:, None] == self.ids[points][None, :]] = -np.inf
-        better = s.max(1) >= np.maximum(self.best[rows].min(1), self.floor[rows]) - self.slack[rows]
+        better = s.max(1) >= np.maximum(self.kth[rows], self.floor[rows]) - self.slack[rows]
         rows, s = rows[better], s[better]
         if not len(rows):
             return
@@ -141,6 +169,7 @@ class Search:
             o = np.lexsort((self.ids[p], -e))[: self.k]
             self.best[rows[r]], self.at[rows[r]] = e[o], p[o]
         self.at[rows] = np.where(np.isneginf(self.best[rows]), -1, self.at[rows])
+        self.kth[rows] = self.best[rows].min(1)
 
 
 def centres(x: np.ndarray, n: int, rounds: int = 6) -> np.ndarray:
@@ -247,7 +276,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
         found = cut(found, "home")
         floor = found.select(F.col("query_id").alias("id"), "dim", F.col("shard").alias("done"), F.when(F.size("found") == k, -F.element_at("found", -1)["s"]).alias("floor"))
         q = q.join(floor, ["id", "dim"], "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
-        visits = _visits(q.drop("region", "away"), ball, points)
+        visits = _visits(q.drop("region", "away"), ball, points, factor)
         found = found.unionByName(_search(x, visits, k, factor))
         if most > MERGE:
             found = _merged(found, ["query_id", "dim", F.pmod(F.xxhash64("shard"), F.lit(-(-most // MERGE))).alias("part")], k)
@@ -255,7 +284,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
     return merged.select("query_id", F.posexplode("found").alias("p", "f")).select("query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("f.id").alias("vec_id"), (-F.col("f.s")).alias("score"))
 
 
-def _visits(q: DataFrame, ball: DataFrame, points: dict[int, np.ndarray]) -> DataFrame:
+def _visits(q: DataFrame, ball: DataFrame, points: dict[int, np.ndarray], factor: float) -> DataFrame:
     """A row per query and shard that may hold a better candidate than the query's floor, but for the shard that is ``done``.
 
     No vector of a region has an inner product above the query's with the centre plus its norm times the radius, nor above the
@@ -276,7 +305,7 @@ def _visits(q: DataFrame, ball: DataFrame, points: dict[int, np.ndarray]) -> Dat
                 best = np.minimum(matrix(v.take(pa.array(at))) @ c.T + qn * radius, qn * top)
                 m2 = top.max() ** 2
                 far = lambda s: np.sqrt(np.maximum(qn**2 + m2 - 2 * s, 0))  # noqa: B023,E731
-                keep = far(best) <= far(np.maximum(floor[at][:, None], -1e300)) * (1 + 1e-9) + 1e-9
+                keep = far(best) * factor <= far(np.maximum(floor[at][:, None], -1e300)) * (1 + 1e-9) + 1e-9
                 keep |= np.isneginf(floor[at])[:, None]
                 i, j = np.nonzero(keep)
                 row.append(at[i]), region.append(r[j]), shards.append(count[j])
