@@ -151,7 +151,37 @@ def _pem(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def _key(text: str, start: int, end: int) -> tuple[str, int] | None:
+def _begins_as_key(head: bytes) -> bool:
+    """Whether the first element in a sequence, as far as ``head`` shows it, may be that of a private key: a number 0 or 1, or a
+    sequence that begins with an object's name."""
+    outer = _length(head, 1)
+    at = outer[1] if outer else len(head)
+    inner = _length(head, at + 1) if at + 1 < len(head) else None
+    if not inner or inner[1] >= len(head):
+        return at + 3 >= len(head)  # not to be seen
+    size, body = inner
+    if head[at] == 0x02:
+        return body + size > len(head) or int.from_bytes(head[body : body + size], "big") in (0, 1)
+    return head[at] == 0x30 and (size == 0 or head[body] == 0x06)
+
+
+def _reach(text: str, end: int, known: dict[int, int]) -> int:
+    """Characters, without padding, of the lines that wrap on after ``end``; lines of one stretch are walked once."""
+    if end in known:
+        return known[end]
+    ends, sizes, at, last = [end], [], end, ""
+    while "=" not in last and (m := _NEXT.match(text, at)) and (not sizes or len(m[1]) <= sizes[0] == len(last)):
+        last, at = m[1], m.end()
+        ends.append(at), sizes.append(len(last))
+    left = 0
+    for k in range(len(sizes) - 1, -1, -1):
+        left += sizes[k] - (len(last) - len(last.rstrip("=")) if k == len(sizes) - 1 else 0)
+        if k == 0 or k < len(sizes) - 1:  # from the line before the last on, the width is another
+            known[ends[k]] = left
+    return known.setdefault(end, 0)
+
+
+def _key(text: str, start: int, end: int, known: dict[int, int]) -> tuple[str, int] | None:
     """Kind and end of the key that begins at ``start`` in a run that ends at ``end``: in it alone, or with the lines after it, of
     which all but the last are equally long.  A sequence tells its length and a container its cipher, so what does not fit is
     never decoded."""
@@ -168,7 +198,7 @@ def _key(text: str, start: int, end: int) -> tuple[str, int] | None:
     if head[:1] == b"\x30":
         got = _length(head, 1)
         whole = 2 * sum(got) if got and is_hex else -(-4 * sum(got) // 3) if got else 0
-        if size > whole:
+        if size > whole or not _begins_as_key(head) or (size < whole and (text[end - 1] == "=" or size + _reach(text, end, known) < whole)):
             return None
     elif not head.startswith(b"-----BEGIN ") and not (head.startswith(_MAGIC) and len(head) > 20 and int.from_bytes(head[15:19], "big") < 64 and head[19:20].isalpha()):
         return None
@@ -207,14 +237,14 @@ def find_secrets(text: str) -> list[tuple[str, int, int, bool]]:
     blocks = _pem(text)
     out += [("pem", *x, False) for x in blocks]
     out += [("jwt", *m.span(), False) for m in _TOKEN.finditer(text) if is_token(m[1], m[2])]
-    b = done = 0
+    b, done, known = 0, 0, {}
     for m in _RUN.finditer(text):
         while b < len(blocks) and blocks[b][1] <= m.start():
             b += 1
         if (b < len(blocks) and blocks[b][0] <= m.start()) or m.start() < done:
             continue  # inside a confirmed block, or a line of a key that is found
         for h in _HEAD.finditer(m[0]):
-            got = _key(text, m.start() + h.start(), m.end())
+            got = _key(text, m.start() + h.start(), m.end(), known)
             if got:
                 out.append((got[0], m.start() + h.start(), got[1], False))
                 done = got[1]
