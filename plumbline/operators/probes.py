@@ -24,7 +24,7 @@ class Probe:
     label: str
     categorical: list[str] = field(default_factory=list)
     numeric: list[str] = field(default_factory=list)
-    rows: Column | None = None
+    rows: Column | str | None = None
     gated: bool = True
 
 

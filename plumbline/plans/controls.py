@@ -43,7 +43,7 @@ def _audit(designs, finite):
 SEEDS = P.Probe("seed_only", "label", numeric=["seed_a", "seed_b"])
 ROWS = P.Probe("row_index_only", "label", numeric=["record_id"])
 SHUFFLED = P.Probe("shuffled_label", "shuffled", numeric=["n_chars", "phase"])
-FIRST = [SEEDS, ROWS, P.Probe("metadata", "label", ["lang"], ["phase"]), SHUFFLED, P.Probe("masked", "masked", numeric=["n_chars", "phase"], rows=F.expr("role <> 'present'")), P.Probe("family", "label", ["source", "role"], gated=False)]
+FIRST = [SEEDS, ROWS, P.Probe("metadata", "label", ["lang"], ["phase"]), SHUFFLED, P.Probe("masked", "masked", numeric=["n_chars", "phase"], rows="role <> 'present'"), P.Probe("family", "label", ["source", "role"], gated=False)]
 SECOND = [P.Probe("allowed_metadata", "label", ["lang", "source"], ["phase"]), P.Probe("seed_hash", "label", numeric=["seed_a", "seed_b", "record_id"]), ROWS, SHUFFLED]
 
 
