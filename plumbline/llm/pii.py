@@ -148,6 +148,7 @@ def document_graph(text: str, base: list[tuple[str, int, int]]) -> Graph:
                         label, stop = 1 + BASE_KINDS.index(base[j][0]), min(end, base[j][2])
                         break
                     stop = min(stop, base[j][1])
+                    break  # spans are in order of their starts
                 j += 1
             w = text[at:stop]
             number += 1
