@@ -61,10 +61,12 @@ def overlap_coefficient(df: DataFrame, keys: list[str], side: Column, value: str
 
 
 def robust_peak(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """(greatest - median) / (median absolute deviation + 1e-6), in two passes; a key's values are few enough for one task."""
-    m = df.groupBy(*keys).agg(F.percentile(value, 0.5).alias("_m"), F.max(value).alias("_x"))
-    d = df.join(m, keys).groupBy(*keys).agg(F.percentile(F.abs(F.col(value) - F.col("_m")), 0.5).alias("_mad"), F.first("_m").alias("_m"), F.first("_x").alias("_x"))
-    return d.select(*keys, ((F.col("_x") - F.col("_m")) / (F.col("_mad") + 1e-6)).alias("peak_score"))
+    """(greatest - median) / (median absolute deviation + 1e-6), with medians by rank: no task holds a key's values."""
+    middle = quantiles(df, keys, value, [0.5]).select(*keys, F.col("q")[0].alias("_m"))
+    apart = df.join(middle, keys).select(*keys, F.abs(F.col(value) - F.col("_m")).alias("_d"))
+    spread = quantiles(apart, keys, "_d", [0.5]).select(*keys, F.col("q")[0].alias("_mad"))
+    top = df.groupBy(*keys).agg(F.max(value).alias("_x"))
+    return top.join(middle, keys).join(spread, keys).select(*keys, ((F.col("_x") - F.col("_m")) / (F.col("_mad") + 1e-6)).alias("peak_score"))
 
 
 #: A prime below 2^31 and multipliers of the draws: integer steps that any engine repeats.
