@@ -1,8 +1,8 @@
 """I-Match fingerprints: terms within a band of inverse document frequency, sorted, hashed over several randomised lexicon subsets.
 
 The lexicon holds the terms whose share of all documents lies in the band.  It is bounded whatever the corpus: a document of ``m``
-distinct terms adds to the counts of ``m`` of them, so at most (mean of m) / (least share) terms reach the least share; beyond
-``MOST_TERMS`` only terms below a hash threshold that keeps to it belong to the lexicon.
+distinct terms adds to the counts of ``m`` of them, so at most (mean of m) / (least share) terms reach the least share.  Tasks hold
+up to ``MOST_TERMS`` of them, the most frequent ones first; the others stay in a table that the terms of the texts are joined with.
 
 Subsets are drawn by a hash of the term: at level ``l`` each of four independent hash fields deals the lexicon out to ``2^l`` subsets,
 of which the first 32 are used.  A text of ``m`` terms takes the level at which a subset holds a quarter to a half of one of its
@@ -17,23 +17,24 @@ import hashlib
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import cache
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, cut, discard, extended, partitions, without
+from .common import arrow_map, cut, discard, extended, free_name, partitions, without
 
 #: Band: terms of at least this share of the documents, and of at most this one.
 LEAST_SHARE, MOST_SHARE = 0.0001, 0.25
 #: A text takes all its terms when fewer than one in so many lies in the band.
 ONE_IN = 3
-#: Terms of the lexicon; 16 bytes each reach every task.
+#: Terms of the lexicon that every task holds, 8 bytes each; further ones are joined.
 MOST_TERMS = 4_000_000
 FIELDS, SUBSETS = 4, 32
 #: Bytes of terms stay, A-Z in lower case; all others part terms.
@@ -54,24 +55,47 @@ def _keys(digests: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(digests), ">u8")[::2].astype(np.uint64)
 
 
+def _within(keys: np.ndarray, found: np.ndarray) -> np.ndarray:
+    """Which of ``keys`` are in the sorted ``found``."""
+    if not len(found):
+        return np.zeros(len(keys), bool)
+    return found[np.minimum(np.searchsorted(found, keys), len(found) - 1)] == keys
+
+
+def _no_keys() -> np.ndarray:
+    return np.zeros(0, np.uint64)
+
+
 @dataclass
 class Lexicon:
-    """First halves of the MD5 of the terms in the band, sorted."""
+    """First halves of the MD5 of the terms in the band, sorted.  If they are more than tasks hold, ``rest`` is a table of the
+    other terms' ``key``, and ``above`` those of the terms too frequent for the band, which need no look-up there."""
 
     keys: np.ndarray
+    above: np.ndarray = field(default_factory=_no_keys)
+    rest: DataFrame | None = None
 
     def holds(self, keys: np.ndarray) -> np.ndarray:
-        if not len(self.keys):
-            return np.zeros(len(keys), bool)
-        return self.keys[np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)] == keys
+        return _within(keys, self.keys)
+
+    def held(self) -> Lexicon:
+        """What tasks hold."""
+        return Lexicon(self.keys, self.above)
+
+    def unsettled(self, words: set[bytes]) -> np.ndarray:
+        """Keys of the words that may be in ``rest``."""
+        keys = np.unique(_keys([hashlib.md5(w).digest() for w in words]))
+        return keys[~self.holds(keys) & ~_within(keys, self.above)].view(np.int64)
 
 
 class Band(dict):
-    """Terms with their MD5, which is empty if they are not in a lexicon; each is looked up once while it is remembered."""
+    """Terms with their MD5, which is empty if they are not in a lexicon; each is looked up once while it is remembered.
+    ``found`` are the keys in the lexicon's table among those of the texts at hand."""
 
     def __init__(self, lexicon: Lexicon) -> None:
         super().__init__()
         self.lexicon = lexicon
+        self.found = _no_keys()
 
     def of(self, words: set[bytes]) -> dict[bytes, bytes]:
         """Those of the words that are in the lexicon, with their MD5."""
@@ -79,7 +103,9 @@ class Band(dict):
         if None in got:
             new = [w for w, d in zip(words, got) if d is None]
             digests = [hashlib.md5(w).digest() for w in new]
-            found = dict(zip(new, [d if k else b"" for d, k in zip(digests, self.lexicon.holds(_keys(digests)).tolist())]))
+            keys = _keys(digests)
+            inside = self.lexicon.holds(keys) | _within(keys, self.found)
+            found = dict(zip(new, [d if k else b"" for d, k in zip(digests, inside.tolist())]))
             got = [found[w] if d is None else d for w, d in zip(words, got)]
             if len(self) + len(found) > REMEMBERED:
                 self.clear()
@@ -98,13 +124,37 @@ def fit_lexicon(docs: DataFrame, text_col: str = "text", least: float = LEAST_SH
 
     rows = docs.count()
     counts = arrow_map(docs.select(f"`{text_col}`"), count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    band = counts.where((F.col("n") >= least * rows) & (F.col("n") <= most * rows))
-    table = cut(band, "lexicon")
-    sized = table.count()
-    band = table.where(F.pmod("key", F.lit(1 << 30)) < int(MOST_TERMS / sized * (1 << 30))) if sized > MOST_TERMS else table
-    out = band.select("key").toArrow().column(0).to_numpy()
+    table = cut(counts.where(F.col("n") >= least * rows), "lexicon")
+    band = table.where(F.col("n") <= most * rows)
+    bits = F.length(F.bin("n"))
+    sizes = sorted(((r[0], r[1]) for r in band.groupBy(bits.alias("bits")).count().collect()), reverse=True)
+    if sum(n for _, n in sizes) <= MOST_TERMS:
+        out = Lexicon(_collected(band))
+    else:
+        room = MOST_TERMS
+        for level, n in sizes:  # frequent terms are held, so that no key of the join has very many texts
+            if n > room:
+                break
+            room -= n
+        is_held = (bits > level) | ((bits == level) & (F.pmod("key", F.lit(1 << 30)) < int(room / n * (1 << 30))))
+        out = Lexicon(_collected(band.where(is_held)), _collected(table.where(F.col("n") > most * rows)), cut(band.where(~is_held).select("key"), "lexicon-rest"))
     discard(table)
-    return Lexicon(np.sort(out.astype(np.int64).view(np.uint64)))
+    return out
+
+
+def _collected(terms: DataFrame) -> np.ndarray:
+    return np.sort(terms.select("key").toArrow().column(0).to_numpy().astype(np.int64).view(np.uint64))
+
+
+def _looked_up(table: DataFrame, row: str, asked: DataFrame, lexicon: Lexicon, out_col: str) -> DataFrame:
+    """``table``, whose ``row`` is unique, with those keys of ``asked(row, keys)`` that are in the lexicon's table."""
+    each = asked.select("row", F.explode("keys").alias("key"))
+    found = each.join(lexicon.rest, "key").groupBy("row").agg(F.collect_list("key").alias(out_col)).withColumnRenamed("row", row)
+    return table.join(found, row, "left")
+
+
+def _sorted_keys(found: list[int] | None) -> np.ndarray:
+    return np.sort(np.array(found or [], np.int64).view(np.uint64))
 
 
 @dataclass
@@ -176,7 +226,10 @@ def _entries(words: list[bytes], known: list[bytes], labels: list[str], held: li
 
 def fingerprint(text: str | None, lexicon: Lexicon) -> str:
     """``mark`` as text."""
-    return str(mark(text, Band(lexicon)))
+    band = Band(lexicon)
+    if lexicon.rest is not None:
+        band.found = _collected(lexicon.rest.where(F.col("key").isin(lexicon.unsettled(terms_of(text)).tolist())))
+    return str(mark(text, band))
 
 
 def likeness(a: str, b: str) -> float:
@@ -187,15 +240,31 @@ def likeness(a: str, b: str) -> float:
 
 def fingerprints(docs: DataFrame, lexicon: Lexicon, text_col: str = "text", out_col: str = "fingerprint") -> DataFrame:
     """``docs`` with the fingerprint of each text; a column of that name is replaced.  Null is fingerprinted as the empty text."""
-    shared = docs.sparkSession.sparkContext.broadcast(lexicon)
+    shared = docs.sparkSession.sparkContext.broadcast(lexicon.held())
     docs = without(docs, [out_col])
+    schema, found = extended(docs, f"`{out_col}` string"), None
+    names = schema.names
+    if lexicon.rest is not None:
+        row, found = free_name(docs, "row"), free_name(docs, "found")
+        table = cut(docs.withColumn(row, F.monotonically_increasing_id()), "texts")
+
+        def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                keys = [shared.value.unsettled(terms_of(t)) for t in b.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.list_(pa.int64()))], ["row", "keys"])
+
+        docs = _looked_up(table, row, arrow_map(table.select(f"`{row}`", f"`{text_col}`"), ask, "row long, keys array<long>"), lexicon, found)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         band = Band(shared.value)
         for b in batches:
-            yield b.append_column(out_col, pa.array([str(mark(t, band)) for t in b.column(text_col).to_pylist()], pa.string()))
+            out = []
+            for t, keys in zip(b.column(text_col).to_pylist(), b.column(found).to_pylist() if found else [None] * b.num_rows):
+                band.found = _sorted_keys(keys)
+                out.append(str(mark(t, band)))
+            yield b.append_column(out_col, pa.array(out, pa.string())).select(names)
 
-    return arrow_map(docs, run, extended(docs, f"`{out_col}` string"))
+    return arrow_map(docs, run, schema)
 
 
 def spliced(text: str, after: str) -> str:
@@ -253,26 +322,83 @@ def edited_fingerprints(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     """``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next`` of every row of
     ``docs(doc_id, text)``.  The next document of the last is the first; a single row is its own next.  Rows that repeat an id are in
     order of a hash of their texts."""
-    shared = docs.sparkSession.sparkContext.broadcast(lexicon)
+    shared = docs.sparkSession.sparkContext.broadcast(lexicon.held())
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
     types = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
+    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+
+    def rows(band: Band, texts: Iterator[tuple[int | None, bytes]]) -> Iterator[tuple]:
+        unpack, last = zstandard.ZstdDecompressor().decompress, None
+        for i, packed in texts:
+            text = unpack(packed).decode("utf-8", "surrogatepass")
+            own = mark(text, band)
+            if last is not None:
+                yield _row(*last, text, own, band)
+            last = (i, text, own)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        band, unpack, last, ended = Band(shared.value), zstandard.ZstdDecompressor().decompress, None, False
+        for out in _batched(rows(Band(shared.value), _in_range(batches))):
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), types)], names)
+
+    if lexicon.rest is None:
+        return arrow_map(in_order(docs), run, schema)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
         for b in batches:
-            out = []
-            for tail, i, packed in zip(*(b.column(c).to_pylist() for c in ("tail", "doc_id", "packed"))):
-                if ended:  # further copies of the row that begins the next range
-                    break
-                text, ended = unpack(packed).decode("utf-8", "surrogatepass"), tail
-                own = mark(text, band)
-                if last is not None:
-                    out.append(_row(*last, text, own, band))
-                last = (i, text, own)
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), types)], names)
+            for row, packed in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                texts = [unpack(p).decode("utf-8", "surrogatepass") for p in packed]
+                words = set().union(*map(terms_of, texts), *(terms_of(spliced(t, after)) for t, after in zip(texts, texts[1:])))
+                yield pa.RecordBatch.from_arrays([pa.array([row], pa.int64()), pa.array([shared.value.unsettled(words)], pa.list_(pa.int64()))], ["row", "keys"])
+
+    def run_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        band = Band(shared.value)
+        for b in batches:
+            for ids, packed, found in zip(*(b.column(c).to_pylist() for c in ("ids", "packed", "found"))):
+                band.found = _sorted_keys(found)
+                for out in _batched(rows(band, zip([*ids, None], packed))):
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), types)], names)
+
+    blocks = cut(arrow_map(in_order(docs), _blocks, "row long, ids array<long>, packed array<binary>"), "blocks")
+    asked = arrow_map(blocks.select("row", "packed"), ask, "row long, keys array<long>")
+    return arrow_map(_looked_up(blocks, "row", asked, lexicon, "found"), run_blocks, schema)
+
+
+#: Rows of a batch that is handed back, and compressed bytes of a block of texts whose terms are looked up together.
+OUT_ROWS, BLOCK = 1000, 1 << 18
 
-    return arrow_map(in_order(docs), run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+
+def _batched(rows: Iterator[tuple]) -> Iterator[list[tuple]]:
+    while out := list(islice(rows, OUT_ROWS)):
+        yield out
+
+
+def _in_range(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, bytes]]:
+    """Ids and packed texts of a range of ``in_order``, up to the row that begins the next."""
+    ended = False
+    for b in batches:
+        for tail, i, packed in zip(*(b.column(c).to_pylist() for c in ("tail", "doc_id", "packed"))):
+            if ended:  # further copies of the row that begins the next range
+                break
+            yield i, packed
+            ended = tail
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of rows, each with the text after it; in a block a term is looked up once, however many texts hold it."""
+
+    def block() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([row], pa.int64()), pa.array([ids[:-1]], pa.list_(pa.int64())), pa.array([packed], pa.list_(pa.binary()))], ["row", "ids", "packed"])
+
+    row, ids, packed, size = TaskContext.get().partitionId() << 33, [], [], 0
+    for i, p in _in_range(batches):
+        ids.append(i), packed.append(p)
+        size += len(p)
+        if size >= BLOCK and len(ids) > 1:
+            yield block()
+            row, ids, packed, size = row + 1, [i], [p], len(p)
+    if len(ids) > 1:
+        yield block()
 
 
 def _row(i: int | None, text: str, own: Mark, after: str, next_mark: Mark, band: Band) -> tuple:
@@ -281,7 +407,6 @@ def _row(i: int | None, text: str, own: Mark, after: str, next_mark: Mark, band:
     return i, len(text), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), str(own), str(other), own.like(other), own.like(next_mark)
 
 
-
 OP11_SQL = """
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n FROM documents),
 nx AS (SELECT *, coalesce(lead(text) OVER w, first_value(text) OVER w) AS nt FROM d WINDOW w AS (ORDER BY doc_id NULLS FIRST)),

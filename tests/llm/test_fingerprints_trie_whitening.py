@@ -66,6 +66,24 @@ def test_a_lexicon_beyond_its_bound_keeps_a_share_of_hashes(spark, monkeypatch):
     assert 400 < len(fingerprints.fit_lexicon(docs).keys) < 600
 
 
+@pytest.mark.parametrize("held", [0, 700])
+def test_terms_beyond_those_that_tasks_hold_count_all_the_same(spark, monkeypatch, held):
+    rng = random.Random(8)
+    rows = [(i, "every " + words(rng, rng.choice([1, 3, 40, 300]))) for i in range(150)] + [(7, None), (7, ""), (None, "w1 " * 50), (500, "été — ½" * 9)]
+    docs = spark.createDataFrame(rows, DOCS)
+    whole = fingerprints.fit_lexicon(docs)
+    want = sorted(map(str, fingerprints.edited_fingerprints(docs, whole).collect()))
+    marks = sorted(map(str, fingerprints.fingerprints(docs, whole).collect()))
+    assert whole.rest is None
+    monkeypatch.setattr(fingerprints, "MOST_TERMS", held)
+    monkeypatch.setattr(fingerprints, "BLOCK", 2000)
+    lexicon = fingerprints.fit_lexicon(docs)
+    assert len(lexicon.keys) <= 1.2 * held and len(lexicon.keys) + lexicon.rest.count() == len(whole.keys)
+    assert sorted(map(str, fingerprints.edited_fingerprints(docs, lexicon).collect())) == want
+    assert sorted(map(str, fingerprints.fingerprints(docs, lexicon).collect())) == marks
+    assert fingerprints.fingerprint(rows[0][1], lexicon) == fingerprints.fingerprint(rows[0][1], whole)
+
+
 def test_equal_texts_and_equal_sets_of_terms_have_equal_fingerprints(spark):
     rows = [(i, "the same text of some words") for i in range(40)] + [(100, "Words of TEXT, same the; some"), (200, None), (201, ""), (300, "!!!"), (301, "???")]
     got = {r.doc_id: r for r in edited_rows(spark, rows)[0]}
