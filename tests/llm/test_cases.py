@@ -146,6 +146,21 @@ def test_holders_of_a_passage_are_found_beside_many_that_hold_a_part_of_it(spark
     assert found_pairs(spark, texts) == want
 
 
+def test_an_edited_passage_is_found_though_each_of_its_seeds_names_others(spark):
+    rng = random.Random(3)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    texts, want = [], set()
+    for _ in range(10):
+        p = [word() for _ in range(104)]
+        q = [word() if i % 13 == 12 else x for i, x in enumerate(p)]
+        rows = [[*(word() for _ in range(30)), *x, *(word() for _ in range(30))] for x in (p, q)]
+        rows += [[*(word() for _ in range(50)), *p[i : i + 12], *(word() for _ in range(50))] for i in range(0, 104, 13) for _ in range(30)]
+        want.add((len(texts), len(texts) + 1))
+        texts += [" ".join(r) for r in rows]
+    got = {tuple(sorted((r.doc_id, r.ref_doc_id))) for r in substring_dedup.shared_passages(frame(spark, texts)).collect()}
+    assert got == want
+
+
 @pytest.mark.parametrize("rate, least", [(0.1, 0.9), (0.2, 0.6)])
 def test_recall_of_edited_passages(spark, rate, least):
     """100 words with a share replaced, lost or doubled; each pair alone."""
