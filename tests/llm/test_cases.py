@@ -9,6 +9,7 @@ import re
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -161,6 +162,28 @@ def test_an_edited_passage_is_found_though_each_of_its_seeds_names_others(spark)
     assert got == want
 
 
+def test_a_sentence_of_very_many_texts_makes_no_pairs_to_align_and_a_word_on_end_few_matches():
+    rng = np.random.default_rng(4)
+    k, n = substring_dedup.SEED, 400
+    line = rng.integers(1, 1 << 63, 13, dtype=np.uint64)
+    texts = [np.r_[rng.integers(1, 1 << 63, 60, dtype=np.uint64), line, rng.integers(1, 1 << 63, 60, dtype=np.uint64)] for _ in range(n)]
+    texts[7] = np.r_[texts[7][:60], line, texts[3][73:]]  # one pair shares what follows, too
+    rows = []
+    for t in range(n):
+        at = np.arange(60, 68, 3, dtype=np.int32)
+        seeds = np.array([hash(tuple(texts[t][p : p + k].tolist())) & (1 << 62) - 1 for p in at], np.uint64)
+        near = substring_dedup.around(texts[t], at, np.zeros(3, np.int64), np.full(3, len(texts[t])), k, substring_dedup.NEAR)
+        rows.append({"node": t, "comp": t, "spans": None, "x": seeds.tobytes(), "y": at.tobytes(), "near": near.tobytes()})
+    schema = pa.schema([("node", pa.int64()), ("comp", pa.int64()), ("spans", pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))), *((c, pa.binary()) for c in ("x", "y", "near"))])
+    block = substring_dedup._Block(pa.Table.from_pylist(rows, schema))
+    none = tuple(np.zeros(0, np.int64) for _ in range(4))
+    got = [(int(a), int(b)) for i, j, _, _ in substring_dedup.promising_pairs(block, block, True, none, k, 50) for a, b in zip(i, j)]
+    assert (7, 3) in got and len(set(got)) < n  # of 79,800 pairs: others where bytes of words that differ are alike
+    seed, own, pos = np.full(700, 9, np.uint64), np.repeat([0, 1], 350), np.tile(np.arange(350, dtype=np.int32), 2)
+    keep = np.flatnonzero(substring_dedup.ends_of_runs(seed, own, pos, 8))
+    assert {0, 349, 350, 699} <= set(keep.tolist()) and len(keep) <= 2 * (350 // substring_dedup.EVERY + 2)
+
+
 @pytest.mark.parametrize("rate, least", [(0.1, 0.9), (0.2, 0.6)])
 def test_recall_of_edited_passages(spark, rate, least):
     """100 words with a share replaced, lost or doubled; each pair alone."""
