@@ -70,7 +70,7 @@ def _models(s, d):
 def _models_live(s, d):
     """The same from a stream of four batches."""
     f = features(s, d)
-    first = f.agg(F.min("tick")).first()[0]
+    first = f.agg(F.min("tick")).first()[0] or 0
     stream = _replay(s, f, "tick", [first + h * 3_600_000_000_000 for h in EDGES])
     rows, _ = St.run_to_table(M.models_stream(stream, "record_id", "tick", 0.5), C.new_root(s, "models"))
     return _r(rows, "confidence", digits=10)

@@ -102,10 +102,10 @@ def run_to_table(stream: DataFrame, path: str, mode: str = "append") -> tuple[Da
 
 def write_in_batches(df: DataFrame, path: str, arrival: str, edges: list) -> None:
     """The rows of ``df`` as files that a stream reads one after the other: those up to each of the ascending ``edges`` of ``arrival``, then
-    the rest."""
+    the rest, and with it those that have none."""
     lows, highs = [None, *edges], [*edges, None]
     for low, high in zip(lows, highs):
-        part = df if low is None else df.where(F.col(arrival) > low)
+        part = df if low is None else df.where((F.col(arrival) > low) | (F.col(arrival).isNull() if high is None else F.lit(False)))
         part = part if high is None else part.where(F.col(arrival) <= high)
         part.coalesce(1).write.mode("append").parquet(path)
 

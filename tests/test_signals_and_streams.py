@@ -296,11 +296,19 @@ def odd_events(folder):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["detector_models"])
+@pytest.mark.parametrize("name", ["detector_models", "detector_stream"])
 def test_detectors_on_odd_events_equal_sql(spark, tmp_path, name):
     assert difference(spark, plans.QUERIES[name], plans.ORACLE_SQL[name], odd_events(tmp_path)) is None
 
 
+def test_frames_of_the_trigger_all_say_so(spark, tmp_path):
+    frames = detector_frames(spark).withColumn("tick", F.floor(F.col("tick") / 40)).withColumns({"snr_db": F.lit(25.0), "clutter": F.lit(0.0), "interference": F.lit(0.0)})
+    streaming.write_in_batches(frames, f"{tmp_path}/in", "tick", [9])
+    rows, _ = streaming.run_to_table(models.models_stream(streaming.replay(spark, f"{tmp_path}/in"), "record", "tick", 0.4), f"{tmp_path}/out")
+    tidy = lambda x: sorted((r.record, r.model, r.triggered) for r in x.collect())
+    assert tidy(rows) == tidy(models.run_models(frames, "record", "tick", 0.4)) and rows.where("triggered").count() == 600
+
+
 def test_joined_streams_let_state_go(spark, tmp_path):
     minutes = spark.range(600).select((F.col("id") % 7).alias("k"), F.col("id").alias("n"), F.timestamp_seconds(F.col("id") * 60 + 1_000_000_000).alias("at"))
     for side in ("l", "r"):
