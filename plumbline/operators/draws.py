@@ -128,44 +128,86 @@ def lcg_states(start: int, first: int, count: int) -> np.ndarray:
     return out
 
 
-#: Draws that one row of work makes.
-BLOCK = 1 << 16
+#: Draws that one row of work makes, and values up to which one task resamples a key.
+BLOCK, WHOLE = 1 << 16, 1 << 22
+
+
+def resampled(v: np.ndarray, state: int, rounds: int, low: float, high: float) -> tuple[float, float]:
+    """Percentiles of the medians of ``rounds`` resamples of ``v``, drawn from the generator's states after ``state``."""
+    n, medians = len(v), []
+    for first in range(0, rounds, max(1, (1 << 20) // n)):
+        some = min(max(1, (1 << 20) // n), rounds - first)
+        drawn = v[(lcg_states(state & _WORD, first * n, some * n) % np.uint64(n)).astype(np.int64)].reshape(some, n)
+        a, b = (n - 1) // 2, n // 2
+        drawn.partition((a, b), axis=1)
+        medians += [x if x == y else x + 0.5 * (y - x) for x, y in drawn[:, [a, b]].tolist()]
+    medians = np.sort(medians).tolist()
+
+    def at(p: float) -> float:
+        i = p * (rounds - 1)
+        x, y = medians[int(i)], medians[-int(-i // 1)]
+        return x if x == y else x + (i - int(i)) * (y - x)
+
+    return at(low), at(high)
 
 
 def median_bootstrap(rows: DataFrame, key: str, order: list[str], value: str, rounds: int = 64, low: float = 0.05, high: float = 0.95) -> DataFrame:
     """``key, n, median_low, median_high``: percentiles of the medians of ``rounds`` resamples of a key's values in ``order``, drawn by a congruential
     generator that starts from the SHA-256 of the values as text.  Fewer than three values give their median twice; null values are
-    left out.
+    left out.  A null key has its number of values, and medians only of fewer than three.
 
-    The hash streams over sorted rows; draws are made in blocks, each jumped ahead to, and travel as counts of value numbers."""
+    The hash streams over sorted rows, and the same pass resamples keys of up to ``WHOLE`` values.  Of larger ones the draws are made in
+    blocks, each jumped ahead to, and travel as counts of value numbers."""
     kind, width = dict(rows.dtypes)[key], int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     x = rows.where(F.col(value).isNotNull()).select(F.col(key).alias("k"), *[F.col(o).alias(f"o{i}") for i, o in enumerate(order)], F.col(value).cast("double").alias("v"))
-    sort = [f"o{i}" for i in range(len(order))]
+    sort = [F.col(f"o{i}").asc_nulls_last() for i in range(len(order))]
+    key_type = rows.select(key).limit(0).toArrow().schema.field(0).type
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Values with their number, and for each key its count and first state, in one pass over sorted rows."""
-        at, n, h = None, 0, None
-        done: list[tuple] = []
-        for b in batches:
-            nos = []
-            for k, v in zip(b.column("k").to_pylist(), b.column("v").to_pylist()):
-                if h is None or k != at:
-                    done += [(at, n, _start(h))] if h is not None else []
-                    at, n, h = k, 0, hashlib.sha256()
-                h.update((f"{v:.9g}" if n == 0 else f",{v:.9g}").encode())
-                nos.append(n)
-                n += 1
-            yield _numbered(b.column("k"), nos, b.column("v"), [None] * len(nos))
-        done += [(at, n, _start(h))] if h is not None else []
-        if done:
-            ks, ns, states = zip(*done)
-            yield _numbered(pa.array(ks, key_type), ns, pa.nulls(len(ks), pa.float64()), states)
+        """In one pass over sorted rows the result of each key, or of a large one its values with their number, its count and first state."""
+        at, n, h, held = None, 0, None, []  # held: the key's values so far, if it may be resampled here
 
-    key_type = rows.select(key).limit(0).toArrow().schema.field(0).type
-    schema = f"k {kind}, no long, v double, state long"
-    numbered = keep(x.repartition(width, "k").sortWithinPartitions("k", *sort).mapInArrow(number, schema))
-    values = numbered.where("state is null").select("k", "no", "v")
-    starts = numbered.where("state is not null").select("k", F.col("no").alias("n"), "state")
+        def closed() -> tuple:
+            if at is None and n >= 3:
+                return at, n, None, None, None, 0
+            if held is None:
+                return at, n, None, None, _start(h), 2
+            v = np.concatenate(held)
+            return at, n, *(resampled(v, _start(h), rounds, low, high) if n >= 3 else [float(v.mean())] * 2), None, 0
+
+        for b in batches:
+            ks, vs = b.column("k").to_pylist(), b.column("v").to_numpy(zero_copy_only=False)
+            starts = [0, *(i for i in range(1, len(ks)) if ks[i] != ks[i - 1])] if ks else []
+            done = []
+            for i, j in zip(starts, [*starts[1:], len(ks)]):
+                if h is None or ks[i] != at:
+                    done += [closed()] if h is not None else []
+                    at, n, h, held = ks[i], 0, hashlib.sha256(), []
+                v = vs[i:j]
+                h.update(("," * (n > 0) + ",".join(map("{:.9g}".format, v.tolist()))).encode())
+                if held is not None:
+                    held.append(v)
+                if held is None or n + len(v) > max(WHOLE, 2):
+                    first, v, held = (n, v, None) if held is None else (0, np.concatenate(held), None)
+                    for lo in range(0, len(v), 10_000):
+                        part = v[lo : lo + 10_000]
+                        yield _numbered([at] * len(part), range(first + lo, first + lo + len(part)), part, [None] * len(part), [None] * len(part), [1] * len(part))
+                n += j - i
+            if done:
+                yield _numbered(*zip(*done))
+        if h is not None:
+            yield _numbered(*zip(closed()))
+
+    def _numbered(k: list, no: list, v: list, hi: list, state: list, part: list) -> pa.RecordBatch:
+        types = (key_type, pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.int32())
+        return pa.RecordBatch.from_arrays([pa.array(c, t, from_pandas=False) for c, t in zip((k, no, v, hi, state, part), types)], ["k", "no", "v", "hi", "state", "part"])
+
+    numbered = keep(x.repartition(width, "k").sortWithinPartitions("k", *sort).mapInArrow(number, f"k {kind}, no long, v double, hi double, state long, part int"))
+    out = numbered.where("part = 0").select(F.col("k").alias(key), F.col("no").alias("n"), F.col("v").alias("median_low"), F.col("hi").alias("median_high"))
+    starts = numbered.where("part = 2").select("k", F.col("no").alias("n"), "state")
+    if starts.isEmpty():
+        return out
+    values = numbered.where("part = 1").select("k", "no", "v")
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -176,18 +218,13 @@ def median_bootstrap(rows: DataFrame, key: str, order: list[str], value: str, ro
                 yield pa.RecordBatch.from_arrays([pa.array([b.column("k")[i].as_py()] * len(drawn), key_type), pa.array((drawn // n).astype(np.int32)), pa.array(drawn % n), pa.array(count)], ["k", "round", "no", "c"])
 
     blocks = F.sequence(F.lit(0), F.floor((F.col("n") * rounds - 1) / BLOCK)).cast("array<long>")
-    work = starts.where("n >= 3").withColumn("block", F.explode(blocks)).repartition(width, "k", "block")
+    work = starts.withColumn("block", F.explode(blocks)).repartition(width, "k", "block")
     counts = work.select("k", "n", "state", "block").mapInArrow(draw, f"k {kind}, round int, no long, c long")
     drawn = counts.groupBy("k", "round", "no").agg(F.sum("c").alias("c")).join(values, ["k", "no"])
     medians = quantiles(drawn, ["k", "round"], "v", [0.5], weight="c").select("k", F.col("q")[0].alias("m"))
     many = medians.groupBy("k").agg(F.percentile("m", low).alias("lo"), F.percentile("m", high).alias("hi"))
-    few = values.join(starts.where("n < 3").select("k"), "k", "left_semi").groupBy("k").agg(F.avg("v").alias("lo")).withColumn("hi", F.col("lo"))
-    return starts.select("k", "n").join(many.unionByName(few), "k").select(F.col("k").alias(key), "n", F.col("lo").alias("median_low"), F.col("hi").alias("median_high"))
+    return out.unionByName(starts.select("k", "n").join(many, "k").select(F.col("k").alias(key), "n", F.col("lo").alias("median_low"), F.col("hi").alias("median_high")))
 
 
 def _start(h: object) -> int:
     return _signed(int.from_bytes(h.digest()[:8], "big"))
-
-
-def _numbered(k: pa.Array, no: list, v: pa.Array, state: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([k, pa.array(no, pa.int64()), v, pa.array(state, pa.int64())], ["k", "no", "v", "state"])

@@ -159,6 +159,23 @@ def test_median_bootstrap_equals_serial_resampling(spark, monkeypatch):
         assert np.allclose((got[k].median_low, got[k].median_high), want)
 
 
+def test_keys_of_any_size_are_resampled_alike_and_small_ones_in_one_pass(spark, monkeypatch):
+    rng = random.Random(7)
+    rows = [(k, i, rng.gauss(0, 1)) for k, n in (("a", 70), ("b", 41), ("c", 3), ("d", 2), (None, 5)) for i in range(n)] + [("b", None, 9.0)]
+    df, tidy = spark.createDataFrame(rows, "k string, i int, v double"), lambda x: sorted(map(repr, x.collect()))
+    one = draws.median_bootstrap(df, "k", ["i"], "v")
+    assert one._jdf.queryExecution().executedPlan().toString().count("Exchange") == 0  # all was done before the cut
+    want = tidy(one.selectExpr("k", "n", "round(median_low, 9) AS lo", "round(median_high, 9) AS hi"))
+    monkeypatch.setattr(draws, "WHOLE", 40)
+    assert tidy(draws.median_bootstrap(df, "k", ["i"], "v").selectExpr("k", "n", "round(median_low, 9) AS lo", "round(median_high, 9) AS hi")) == want
+    vs = [v for k, _, v in rows if k == "b"]  # rows without an order value are the last
+    state, medians = int.from_bytes(hashlib.sha256(",".join(f"{v:.9g}" for v in vs).encode()).digest()[:8], "big"), []
+    for i in range(64):
+        medians.append(np.median(np.array(vs)[(draws.lcg_states(state, i * len(vs), len(vs)) % np.uint64(len(vs))).astype(int)]))
+    got = {r.k: r for r in one.collect()}
+    assert np.allclose((got["b"].median_low, got["b"].median_high), np.quantile(medians, [0.05, 0.95])) and got[None].n == 5 and got[None].median_low is None
+
+
 # probes -----------------------------------------------------------------------------------------------------------------
 
 
