@@ -6,6 +6,8 @@ import atexit
 import re
 import shutil
 import tempfile
+import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +33,24 @@ def keep(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
+    """``df`` as a compressed table in the shared folder, for what is too wide to ``keep``, and what deletes it: else it goes when Python ends."""
+    spark, schema = df.sparkSession, df.schema
+    path = f"{shared_folder(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def drop() -> None:
+        try:
+            fs.delete(where, True)
+        except Exception:  # noqa: BLE001 - the JVM may be gone
+            pass
+
+    atexit.register(drop)
+    return spark.read.schema(schema).parquet(path), drop
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """``(node, comp)`` from edges ``(a, b)`` of any ordered type: ``comp`` is the least node that is reachable.  Large-star and
     small-star steps alternate until the edges stand still; each is minima and joins, and only checksums reach the driver."""

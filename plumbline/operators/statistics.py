@@ -7,11 +7,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .graph import keep
-from .prefix import prefix_sums, quantiles, row_numbers, with_buckets
+from .graph import keep, stored
+from .prefix import prefix_sums, quantiles, with_buckets
 from .ranking import ratio
 
 
@@ -81,41 +81,44 @@ def _draws(seed: int, rounds: np.ndarray, index: np.ndarray, n: int) -> np.ndarr
     return z % n
 
 
-def group_weights(scored: DataFrame, group: str, rounds: int, seed: int) -> DataFrame:
-    """``(group, w)``: how often each group is drawn in each round, as many draws with replacement as there are groups; 16-bit
-    counts, packed.  Groups are numbered by id in distributed order; tasks draw for slices of the numbers and deal what they
-    drew, packed, to the partitions that count."""
-    spark = scored.sparkSession
-    g = keep(row_numbers(scored.select(group).distinct(), [], group, "_no").withColumn("_no", F.col("_no") - 1))
-    n, width = max(1, g.count()), int(spark.conf.get("spark.sql.shuffle.partitions"))
+#: Groups whose weights travel together; groups that one task counts; scores that a task adds up before it passes them on.
+SLICE, COUNTED, SCORES = 1 << 12, 1 << 26, 1 << 13
+
+
+def _pack(x: np.ndarray) -> bytes:
+    """An array's bytes, those of equal place in a number side by side, compressed."""
+    return pa.compress(np.ascontiguousarray(x.reshape(-1).view(np.uint8).reshape(-1, x.itemsize).T).tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpack(b: bytes, count: int, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    flat = np.frombuffer(pa.decompress(b, decompressed_size=count * size, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(flat.reshape(size, count).T).view(kind).reshape(-1)
 
-    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        r = np.arange(rounds, dtype=np.int64)[None, :]
-        for b in batches:
-            for lo in range(0, b.num_rows, 2000):
-                z = _draws(seed, r, b.column(0).to_numpy()[lo : lo + 2000][:, None], n)
-                of = np.broadcast_to(r, z.shape).ravel().astype(np.int16)
-                z = z.ravel()
-                order = np.argsort(z % width, kind="stable")
-                cuts = np.searchsorted((z % width)[order], np.arange(width + 1))
-                used = np.flatnonzero(np.diff(cuts))
-                cols = [pa.array([x[order[cuts[p] : cuts[p + 1]]].tobytes() for p in used], pa.binary()) for x in (z // width, of)]
-                yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), *cols], ["p", "no", "round"])
+
+def round_weights(spark: SparkSession, n: int, rounds: int, seed: int) -> DataFrame:
+    """``(slice, round, w)``: how often each of ``n`` numbered groups is drawn in each round, as many draws with replacement as there are groups;
+    16-bit counts of ``SLICE`` groups, packed.
+
+    A task makes the draws of a round and counts them where they fall, so no draw is ever sent: only counts are, of two bits each when
+    packed.  Beyond ``COUNTED`` groups a round is counted in parts, by tasks that each make its draws and count their part's."""
+    parts = -(-n // COUNTED)
+    width = min(rounds * parts, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[int, np.ndarray] = {}
         for b in batches:
-            for p, no, r in zip(*(c.to_pylist() for c in b.columns)):
-                w = counts.setdefault(p, np.zeros((-(-(n - p) // width), rounds), np.uint16))
-                np.add.at(w, (np.frombuffer(no, np.int64), np.frombuffer(r, np.int16)), 1)
-        for p, w in counts.items():
-            for lo in range(0, len(w), 1000):
-                part = w[lo : lo + 1000]
-                no = np.arange(lo, lo + len(part), dtype=np.int64) * width + p
-                yield pa.RecordBatch.from_arrays([pa.array(no), pa.array([x.tobytes() for x in part], pa.binary())], ["_no", "w"])
+            for task in b.column(0).to_pylist():
+                r, low = task // parts, task % parts * COUNTED
+                w = np.zeros(min(COUNTED, n - low), np.uint16)
+                for lo in range(0, n, 1 << 18):
+                    z = _draws(seed, np.int64(r), np.arange(lo, min(n, lo + (1 << 18)), dtype=np.int64), n)
+                    np.add.at(w, z if parts == 1 else z[(z >= low) & (z < low + len(w))] - low, 1)
+                for lo in range(0, len(w), SLICE * 256):
+                    mine = range(lo, min(len(w), lo + SLICE * 256), SLICE)
+                    packed = [_pack(w[i : i + SLICE]) for i in mine]
+                    yield pa.RecordBatch.from_arrays([pa.array([(low + i) // SLICE for i in mine], pa.int64()), pa.array([r] * len(packed), pa.int32()), pa.array(packed, pa.binary())], ["slice", "round", "w"])
 
-    dealt = spark.range(n).mapInArrow(draw, "p int, no binary, round binary").repartitionById(width, F.col("p"))
-    return g.join(dealt.mapInArrow(count, "_no long, w binary"), "_no").select(group, "w")
+    return spark.range(0, rounds * parts, 1, max(1, width)).mapInArrow(count, "slice long, round int, w binary")
 
 
 METRICS = ["roc_auc", "average_precision", "brier", "ece", "recall_at_fpr"]
@@ -125,11 +128,63 @@ def bootstrap_ci(scored: DataFrame, group: str = "group_id", rounds: int = 200,
     """Group-block bootstrap: percentile interval and mean of five metrics over rounds of resampled groups: ROC AUC, average
     precision (tied scores are one step), Brier score, calibration error over equal bins, recall at a false-positive rate.
 
-    A row is never repeated by round: each group carries its packed weights, tasks add them up by score, and buckets of
+    A row is never repeated by round: slices of groups meet their packed weights, tasks add them up by score, and buckets of
     the score order, each a task, take running sums on matrices of scores x rounds from the totals of the buckets above.
     A metric without positives or negatives in a round leaves the round out."""
-    per = keep(with_buckets(scored.groupBy(group, "score").agg(F.sum("label_id").cast("double").alias("p"), F.sum(1 - F.col("label_id")).cast("double").alias("n")), "score"))
-    rows = per.join(group_weights(scored, group, rounds, seed), group).select("_bucket", "score", "p", "n", "w")
+    spark = scored.sparkSession
+    per = scored.groupBy(group, "score").agg(F.sum("label_id").cast("double").alias("p"), F.sum(1 - F.col("label_id")).cast("double").alias("n"))
+    per = per.withColumn("_first", (F.row_number().over(Window.partitionBy(group).orderBy("score")) == 1).cast("int"))
+    per, drop = stored(per)
+    groups = max(1, per.agg(F.sum("_first")).first()[0] or 0)
+    # groups are numbered by id where their rows are
+    no = F.col("_no") - 1
+    rows = prefix_sums(with_buckets(per, "score", "_b"), [], group, {"_no": "_first"}, then=[F.col("score")])
+    rows = rows.select(F.floor(no / SLICE).cast("long").alias("slice"), F.lit(None).cast("int").alias("round"), F.lit(None).cast("binary").alias("w"), (no % SLICE).cast("int").alias("at"), F.col("_b").alias("_bucket"), "score", "p", "n")
+    both = rows.unionByName(round_weights(spark, groups, rounds, seed), allowMissingColumns=True)
+    both = both.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "slice").sortWithinPartitions("slice", F.col("round").asc_nulls_last())
+
+    def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A slice's weights, then its rows, slice after slice; one row per bucket and score, or more if there are many."""
+        weights, known, sums_p, sums_n = None, {}, None, None
+
+        def flush() -> pa.RecordBatch:
+            bucket, s = zip(*known)
+            arrays = [pa.array([_pack(x) for x in m[: len(known)]], pa.binary()) for m in (sums_p, sums_n)]
+            return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(s, pa.float64()), *arrays], ["_bucket", "score", "p", "n"])
+
+        at_slice = None
+        for b in batches:
+            slices, given = b.column("slice").to_numpy(zero_copy_only=False), b.column("round").is_valid().to_numpy(zero_copy_only=False)
+            edges = np.flatnonzero((slices[1:] != slices[:-1]) | (given[1:] != given[:-1])) + 1
+            for lo, hi in zip([0, *edges], [*edges, b.num_rows]):
+                if hi == lo:
+                    continue
+                part, size = b.slice(lo, hi - lo), min(SLICE, groups - int(slices[lo]) * SLICE)
+                if given[lo]:
+                    if at_slice != slices[lo]:
+                        at_slice, weights = slices[lo], np.zeros((size, rounds), np.uint16)
+                    for r, w in zip(part.column("round").to_pylist(), part.column("w").to_pylist()):
+                        weights[:, r] = _unpack(w, size, np.uint16)
+                    continue
+                s, bucket = part.column("score").to_numpy(zero_copy_only=False), part.column("_bucket").to_numpy(zero_copy_only=False)
+                w = weights[part.column("at").to_numpy(zero_copy_only=False)].astype(float)
+                order = np.lexsort((s, bucket))
+                s, bucket, w = s[order], bucket[order], w[order]
+                first = np.flatnonzero(np.r_[True, (s[1:] != s[:-1]) | (bucket[1:] != bucket[:-1])])
+                s1, b1 = s[first], bucket[first]
+                p1, n1 = (np.add.reduceat(part.column(c).to_numpy(zero_copy_only=False)[order][:, None] * w, first) for c in ("p", "n"))
+                if sums_p is None or len(known) + len(s1) > len(sums_p):
+                    if known:
+                        yield flush()
+                    known, sums_p, sums_n = {}, *(np.zeros((max(SCORES, len(s1)), rounds)) for _ in "pn")
+                into = np.array([known.setdefault(x, len(known)) for x in zip(b1.tolist(), s1.tolist())])
+                sums_p[into] += p1
+                sums_n[into] += n1
+        if known:
+            yield flush()
+
+    sums = keep(both.mapInArrow(combine, "_bucket int, score double, p binary, n binary"))
+    drop()
 
     def by_score(s: np.ndarray, p: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         order = np.argsort(s, kind="stable")
@@ -137,23 +192,8 @@ def bootstrap_ci(scored: DataFrame, group: str = "group_id", rounds: int = 200,
         at = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
         return s[at], np.add.reduceat(p[order], at), np.add.reduceat(n[order], at)
 
-    def combine(batches):  # before the shuffle: one row per bucket and score
-        for b in batches:
-            if not b.num_rows:
-                continue
-            bucket, s = b.column(0).to_numpy(), b.column(1).to_numpy()
-            w = np.frombuffer(b"".join(b.column(4).to_pylist()), np.uint16).reshape(-1, rounds).astype(float)
-            p, n = b.column(2).to_numpy()[:, None] * w, b.column(3).to_numpy()[:, None] * w
-            for k in np.unique(bucket):
-                mine = bucket == k
-                s1, p1, n1 = by_score(s[mine], p[mine], n[mine])
-                arrays = [pa.array([y.tobytes() for y in x], pa.binary()) for x in (p1, n1)]
-                yield pa.RecordBatch.from_arrays([pa.array([k] * len(s1), pa.int32()), pa.array(s1), *arrays], ["_bucket", "score", "p", "n"])
-
-    sums = keep(rows.mapInArrow(combine, "_bucket int, score double, p binary, n binary"))
-
     def matrix(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        p, n = (np.frombuffer(b"".join(t.column(c).to_pylist())).reshape(-1, rounds) for c in ("p", "n"))
+        p, n = (np.array([_unpack(x, rounds, float) for x in t.column(c).to_pylist()]) for c in ("p", "n"))
         return by_score(t.column("score").to_numpy(), p, n)
 
     def total(t: pa.Table) -> pa.Table:

@@ -80,6 +80,32 @@ def test_bootstrap_equals_a_plain_one(spark):
     assert set(got) == set(statistics.METRICS) and all(r.rounds == 40 for r in got.values())
 
 
+def test_round_weights_in_parts_count_every_draw(spark, monkeypatch):
+    monkeypatch.setattr(statistics, "COUNTED", 3 * statistics.SLICE)
+    n = 7 * statistics.SLICE + 5
+    got = statistics.round_weights(spark, n, 3, 5).collect()
+    assert len(got) == 8 * 3
+    for r in range(3):
+        packed = [x.w for x in sorted(got, key=lambda x: x.slice) if x.round == r]
+        sizes = [min(statistics.SLICE, n - i * statistics.SLICE) for i in range(8)]
+        w = np.concatenate([statistics._unpack(x, k, np.uint16) for x, k in zip(packed, sizes)])
+        assert (w == np.bincount(statistics._draws(5, np.int64(r), np.arange(n), n), minlength=n)).all()
+
+
+def test_bootstrap_sends_counts_and_no_draws(spark):
+    store = spark.sparkContext._jsc.sc().statusStore()
+
+    def sent() -> int:
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        found = store.executorList(False)
+        return sum(found.apply(i).totalShuffleWrite() for i in range(found.size()))
+
+    rows = spark.range(60_000).selectExpr("id % 20000 AS group_id", "id % 7 / 7 AS score", "cast(id % 3 = 0 AS int) AS label_id")
+    before = sent()
+    assert {r.rounds for r in statistics.bootstrap_ci(rows).collect()} == {200}
+    assert sent() - before < 1.5 * 20_000 * 200  # counts, and rows; draws would be ten bytes each
+
+
 def test_quantiles_by_rank(spark):
     rng = np.random.default_rng(3)
     rows = [("a", float(x)) for x in rng.integers(0, 9, 101)] + [("b", float(x)) for x in rng.normal(size=40)] + [("c", 4.0), ("a", None), ("d", None)]
