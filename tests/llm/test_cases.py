@@ -198,6 +198,24 @@ def test_recall_of_edited_passages(spark, rate, least):
     assert sum(2 * i in got and 2 * i + 1 in got for i in range(60)) >= least * 60
 
 
+def test_first_look_at_a_batch_of_pairs_equals_that_at_each():
+    s, rng = substring_dedup, np.random.default_rng(11)
+    rows = []
+    for _ in range(300):
+        doc, ref = (rng.integers(0, 3, int(rng.integers(30, 200))).astype(np.uint32) for _ in "ab")
+        n = rng.integers(1, 4, int(rng.integers(1, 5))).astype(np.int32)
+        y, x = (np.sort(rng.integers(0, len(w) - 6, n.sum())).astype(np.int32) for w in (doc, ref))
+        rows.append((n, x, y, doc, ref))
+    cols = [pa.array([c.tobytes() for c in col], pa.binary()) for col in zip(*rows)]
+    b = pa.RecordBatch.from_arrays([pa.array(range(300)), pa.array(range(300)), *cols], ["node", "ref", "n", "x", "y", "words", "ref_words"])
+    want = []
+    for n, x, y, doc, ref in rows:
+        ends = np.cumsum(n)
+        want.append(s._promising(x, y, list(zip((ends - n).tolist(), ends.tolist())), ref, doc, 6, 50))
+    assert 0 < sum(map(bool, want)) < 300
+    assert s._first_look(b, 6, 50) == want and s._first_look(b.slice(7, 90), 6, 50) == want[7:97]
+
+
 def test_exact_passages_equal_brute_force(spark):
     rng = random.Random(2)
     word = lambda: f"w{rng.randrange(10**6)}"
